@@ -113,11 +113,11 @@ def star_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def cross_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) between fingerprints of different stars. nodes: fp, star."""
     keys = _keys(nodes, unary_popcounts(F.col("fp")), grid_masks(max_bits, blocks), "fp", "star")
-    mixed = keys.groupBy("cell").agg(F.min("star").alias("s"), F.max("star").alias("t")).filter("s < t").select("cell")
+    mixed = cut(keys.groupBy("cell").agg(F.min("star").alias("s"), F.max("star").alias("t")).filter("s < t").select("cell"))
     kept = cut(keys.join(mixed, "cell"))
     per_star = kept.groupBy("cell", "star").agg(F.count(F.lit(1)).alias("n"))
     main = per_star.groupBy("cell").agg(F.max_by("star", F.struct("n", "star")).alias("main"))
-    rest = kept.join(main, "cell").filter("star <> main").select("cell", F.col("fp").alias("b"), F.col("star").alias("star_b"))
+    rest = cut(kept.join(main, "cell").filter("star <> main").select("cell", F.col("fp").alias("b"), F.col("star").alias("star_b")))
     manhattan = F.bit_count(unary_popcounts(F.col("fp")).bitwiseXOR(unary_popcounts(F.col("b")))) <= max_bits
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = kept.join(rest, "cell").filter((F.col("star") != F.col("star_b")) & manhattan & hamming)
