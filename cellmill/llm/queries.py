@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmill.llm import bpe, simhash
+from cellmill.llm import bpe, decontaminate, simhash, substring
 from cellmill.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.lit(True).alias("contaminated"),
+        F.col("start").cast("long").alias("start_token"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_equal").cast("long").alias("n_equal"),
+    )
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
@@ -31,9 +39,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that loses a repeated passage: what is left of it, and the documents that keep the passages."""
+    changed, _ = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return changed.select(
+        "doc.doc_id", F.col("repeats.sentences").cast("long").alias("n_sentences"), F.col("repeats.removed").cast("long").alias("n_removed"),
+        F.col("repeats.sources").alias("source_doc_ids"), "repeats.text",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
+    "op8_substring": op8_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
