@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmill.llm.bitmap import Bitmap, maybe_in
 from cellmill.llm.common import cut, slices
 from cellmill.llm.graph import components
 
@@ -145,3 +146,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """docs, with all columns, reduced to one row of each near-duplicate group: the one with the smallest id. Rows without
+    an id stay, for they can't be named; of rows that share an id one stays."""
+    found = cut(near_duplicates(docs, id_col, text_col, shingle_words, max_bits, blocks).select(F.col(id_col).alias("__id"), "component_id"))
+    named = found.filter("__id IS NOT NULL")
+    gone = named.filter("__id <> component_id").select("__id").distinct()
+    again = named.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id")
+    listed = cut(gone.withColumn("__gone", F.lit(True)).union(again.join(gone, "__id", "left_anti").withColumn("__gone", F.lit(False))))
+    maybe, never = maybe_in(docs.filter(docs[id_col].isNotNull()), F.xxhash64(docs[id_col]), Bitmap.of(listed, F.xxhash64("__id")))
+    judged = maybe.join(listed, maybe[id_col] == listed["__id"], "left").filter("__gone IS NULL OR NOT __gone")
+    repeated = judged.filter("__gone IS NOT NULL").dropDuplicates(["__id"])
+    once = judged.filter("__gone IS NULL").unionByName(repeated).drop("__id", "__gone")
+    return never.unionByName(once).unionByName(docs.filter(docs[id_col].isNull()))
