@@ -4,7 +4,8 @@ A text is cut at special tokens, then into words by the pre-tokeniser's pattern.
 array: part boundaries and, beside each, the rank of the pair that starts there. The smallest rank is found by a
 scan, its boundary deleted and the two neighbouring ranks refreshed. Words are short, so the scan beats a heap; words
 above LONG_WORD parts take a heap over linked parts instead, so that one endless word costs n log n and not n * n.
-Merged words are remembered in a table of bounded size.
+Merged words are remembered in two tables of bounded size: when the newer is full it becomes the older one, and words
+found there move on, so frequent words stay.
 
 Edge cases: a null text counts as empty (no ids, empty text back); repeated rows are encoded each; an empty table gives
 an empty result; only the named columns are read, so others may be called anything.
@@ -25,7 +26,7 @@ from cellmill.llm.common import slices
 #: Fixed values of the byte-level format: the pattern of words. White space is Unicode's, named as such.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_WORD = 96
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 CACHED_CHARS = 64
 NO_PAIR = 1 << 62
 
@@ -59,6 +60,7 @@ class Codec:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.special else None
         self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
         """Merges the byte ids of one word."""
@@ -96,12 +98,13 @@ class Codec:
         return [p for p in parts if p >= 0]
 
     def _word(self, word: str) -> list[int]:
-        if (ids := self.cache.get(word)) is None:
-            ids = self.merge([self.byte_ids[b] for b in word.encode()])
-            if len(word) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = ids
+        """The ids of a word that isn't in the newer table."""
+        ids = self.older.get(word) or self.merge([self.byte_ids[b] for b in word.encode()])
+        if len(word) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_WORDS:
+                self.older = self.cache.copy()
+                self.cache.clear()
+            self.cache[word] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
