@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmill.llm import bpe, decontaminate, quality, simhash, substring
+from cellmill.llm import bpe, chat, decontaminate, quality, simhash, substring, urls
 from cellmill.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted windows of every conversation and of one that consists of control strings."""
+    control = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    formatted = chat.windows(rows.union(probe))
+    own = F.slice(chat.read_turns(F.col("formatted")), F.col("n_repeated") + 1, F.col("n_new"))
+    read = formatted.select(
+        "conv", "chunk", "span",
+        F.size(own).alias("n"),
+        F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("loss"),
+        F.length("formatted").alias("chars"),
+    )
+    ordered = read.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "span", "n", "turns", "loss", "chars"))).alias("w"))
+    total = lambda field: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x[field])
+    text = lambda field: F.array_join(F.transform("w", lambda x: x[field]), "")
+    return ordered.select(
+        F.col("conv").alias("conv_id"), total("n").alias("n_turns"), F.sha2(text("turns"), 256).alias("turns_sha256"),
+        F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"), total("chars").alias("formatted_chars"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +48,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+#: The rules that this query is asked to judge by.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,11 +97,27 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op8_substring": op8_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_urls": f"""
+        WITH rules(rh, rp, rv) AS (VALUES {", ".join(map(str, URL_RULES))}),
+        parsed AS (
+            SELECT row_number() OVER () AS n, page_id,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        fits AS (
+            SELECT n, rh || rp AS rule, rv, row_number() OVER (PARTITION BY n ORDER BY length(rh || rp) DESC, length(rh) DESC, rv DESC) AS k
+            FROM parsed, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+        SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
+        FROM parsed LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+    """,
+}
