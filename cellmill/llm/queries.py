@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmill.llm import bpe, chat, decontaminate, quality, simhash, substring, urls
+from cellmill.llm import bpe, chat, decontaminate, embedding, quality, simhash, substring, urls
 from cellmill.llm.common import table
 
 
@@ -87,6 +87,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that loses a repeated passage: what is left of it, and the documents that keep the passages."""
     changed, _ = substring.remove_repeats(table(spark, sf_dir, "documents"))
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
+    "op7_embedding": op7_embedding,
     "op8_substring": op8_substring,
 }
 
