@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmill.llm import bpe, chat, decontaminate, embedding, quality, simhash, substring, urls
-from cellmill.llm.common import table
+from cellmill.llm import bpe, chat, decontaminate, embedding, lm, quality, simhash, substring, tokencounts, urls
+from cellmill.llm.common import cut, shared_dir, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,28 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each document is like the texts of `benchmark` rather than the documents at large."""
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, labelled ones are counted anew by the second tokenizer, toxic ones
+    go. The second batch is sent twice, as after a lost answer."""
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    counts = cut(docs.select("doc_id", "source", "lang", *[tokencounts.count_tokens(text, v).alias(v) for v in tokencounts.TOKENIZERS]))
+    at = lambda version: tokencounts.key(F.col("source"), F.col("lang"), F.lit(version), F.col(f"`{version}`"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = cut(counts.join(labels, "doc_id"))
+    rollup = tokencounts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    revised = labelled.select(F.lit("revise").alias("op"), at("words-1").alias("old"), at("words-2").alias("new"))
+    rollup.commit("arrivals", counts.select(F.lit("insert").alias("op"), at("words-1").alias("new")))
+    rollup.commit("recount", revised)
+    rollup.commit("recount", revised)
+    rollup.commit("removals", labelled.filter("toxic = 1").select(F.lit("delete").alias("op"), at("words-2").alias("old")))
+    return rollup.totals().withColumnRenamed("version", "tokenizer_version").withColumnRenamed("docs", "n_docs").withColumnRenamed("tokens", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -109,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_embedding": op7_embedding,
     "op8_substring": op8_substring,
+    "op9_lm": op9_lm,
+    "op10_tokencounts": op10_tokencounts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +150,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
         FROM parsed LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
     """,
+    "op10_tokencounts": r"""
+        WITH counts AS (
+            SELECT doc_id, source, lang,
+                coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS one,
+                coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')), 0) AS two
+            FROM documents),
+        marks AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        placed AS (
+            SELECT source, lang, CASE WHEN marks.doc_id IS NULL THEN 'words-1' ELSE 'words-2' END AS tokenizer_version,
+                CASE WHEN marks.doc_id IS NULL THEN one ELSE two END AS n
+            FROM counts LEFT JOIN marks USING (doc_id) WHERE toxic IS NULL OR toxic <> 1)
+        SELECT source, lang, tokenizer_version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+        FROM placed GROUP BY source, lang, tokenizer_version
+    """,
 }
