@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cells", "stats", "sequences", "kernels", "relations")
+MODULES = ("cells", "stats", "sequences", "kernels", "relations", "questions")
 
 
 def _collect(name: str) -> dict:
