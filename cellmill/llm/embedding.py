@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.common import cut, slices
-from cellmill.llm.graph import components
+from cellmill.llm.graph import components, smallest_reachable
 
 SIMILARITY = 0.98
 MARGIN = 8.0
@@ -97,20 +97,6 @@ def assign(nodes: DataFrame, cells: dict[str, np.ndarray], margin: float = MARGI
     return nodes.select("node", "key", "times", "vector").mapInArrow(run, "node bigint, key string, times bigint, vector array<double>, cells array<int>")
 
 
-def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each of n positions over links u - v."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compare(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
     """Links within one pair of blocks of a cell: rows (node, null, links) and (node, other, null) of a spanning forest."""
     t = {c: table.column(c) for c in ("node", "times", "cells", "block")}
@@ -135,7 +121,7 @@ def compare(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
         once[at] = not (home[other] < cell and int(home[other]) in visits[inside])
     u, v = u[once], v[once]
     links = np.bincount(u, times[v], len(node)) + np.bincount(v, times[u], len(node))
-    root = _forest(len(node), u, v)
+    root = smallest_reachable(len(node), u, v)
     some, joined = np.flatnonzero(links > 0), np.flatnonzero(root != np.arange(len(node)))
     nulls = lambda n: pa.nulls(n, pa.int64())
     return pa.table({

@@ -103,12 +103,13 @@ def _keys(nodes: DataFrame, value: Column, masks: list[int], *keep: str) -> Data
     return nodes.select(F.explode(cells).alias("cell"), *keep)
 
 
-def star_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) from each fingerprint to the smallest one of every clique it is in."""
+def stars(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, star: the smallest fingerprint of all cliques that fp is in (fp itself if it is alone); the two are linked."""
     keys = _keys(nodes, F.col("fp"), clique_masks(max_bits), "fp")
     least = keys.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").drop("top")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= max_bits
-    return keys.join(least, "cell").filter((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b")).distinct()
+    found = keys.join(least, "cell").filter((F.col("a") < F.col("fp")) & near).groupBy("fp").agg(F.min("a").alias("star"))
+    return nodes.join(found, "fp", "left").select("fp", F.coalesce("star", "fp").alias("star"))
 
 
 def cross_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -127,11 +128,8 @@ def cross_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS
 
 def fingerprint_components(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """fp and component (the smallest fp reachable) of distinct fingerprints; only those that have a link."""
-    nodes = cut(nodes)
-    stars = components(star_links(nodes, max_bits))
-    starred = cut(nodes.join(stars.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("star")))
-    cross = cut(cross_links(starred, max_bits, blocks))
-    links = cross.union(starred.filter("star <> fp").select(F.col("star").alias("a"), F.col("fp").alias("b")))
+    starred = cut(stars(nodes, max_bits))
+    links = cross_links(starred, max_bits, blocks).union(starred.filter("star <> fp").select(F.col("star").alias("a"), F.col("fp").alias("b")))
     return components(links).select(F.col("node").alias("fp"), "component")
 
 
