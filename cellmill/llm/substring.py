@@ -6,8 +6,10 @@ its words (lower case, white space ignored). A run that occurs more than once is
 occurrence by (document id, sentence) stays; the sentences of all others go.
 
 The hashes of all runs are counted in one shuffle of 64-bit values with map-side sums. A fixed-size bitmap of those that
-repeat then lets a second pass emit only their occurrences, so positions and texts are shuffled for repeated
-passages alone. A passage that a third of the documents share is reduced by partial minima before the shuffle.
+repeat then lets a second pass emit only their occurrences, so positions and texts are shuffled for repeated passages alone.
+Runs that start at neighbouring sentences form a passage; a passage is sent as one row, and passages of equal content
+are judged once, by their first place. So a passage that a third of the documents share is reduced by partial minima before
+the shuffle, and costs a row for each document rather than one for each run.
 
 Edge cases: null and empty texts have no sentences and come back unchanged; rows that share an id (null included)
 count as one document, so an equal row is no repetition of itself; within a document a later repetition goes too;
@@ -54,25 +56,41 @@ def _halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
-def _occurrences(docs: DataFrame, min_sentences: int, min_words: int, repeated: Bitmap) -> DataFrame:
-    """id, h1, h2, first, after of the runs whose h1 may repeat. docs: id, text."""
+_RUN = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("offset", pa.int32()), ("size", pa.int32())])
+
+
+def _passages(docs: DataFrame, min_sentences: int, min_words: int, repeated: Bitmap) -> DataFrame:
+    """id, start, c1, c2, runs: the passages of documents (id, text) whose runs may all repeat. c1 and c2 are the digest of a
+    passage's runs, each with its hash, offset from start and number of sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated.words)
 
     def run(batches):
         known = Bitmap(shared.value)
         for batch in slices(batches):
-            ids, out = batch.column(0), ([], [], [], [])
+            at, starts, contents, ends, parts = [], [], [], [0], [np.zeros((0, 4), np.int64)]
             for row, text in enumerate(batch.column(1).to_pylist()):
                 first, after, digests = runs(text, min_sentences, min_words)
                 half = _halves(digests)
-                for i in np.flatnonzero(known.has(half[:, 0])).tolist():
-                    for values, value in zip(out, (row, digests[i], first[i], after[i])):
-                        values.append(value)
-            half = _halves(out[1])
-            columns = [ids.take(pa.array(out[0], pa.int32())), pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "first", "after"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h1 bigint, h2 bigint, first int, after int")
+                hits = np.flatnonzero(known.has(half[:, 0]))
+                if not len(hits):
+                    continue
+                begin = np.array(first, np.int64)[hits]
+                for these in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(begin) != 1) + 1):
+                    start = int(begin[these[0]])
+                    passage = np.column_stack([half[hits[these]], begin[these] - start, np.array(after, np.int64)[hits[these]] - begin[these]])
+                    at.append(row)
+                    starts.append(start)
+                    contents.append(xxhash.xxh3_128_digest(np.ascontiguousarray(passage).tobytes()))
+                    ends.append(ends[-1] + len(passage))
+                    parts.append(passage)
+            fields, half = np.concatenate(parts), _halves(contents)
+            items = pa.StructArray.from_arrays([pa.array(fields[:, 0]), pa.array(fields[:, 1]), pa.array(fields[:, 2].astype(np.int32)), pa.array(fields[:, 3].astype(np.int32))], fields=list(_RUN))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(starts, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1]), found]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "c1", "c2", "runs"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, start int, c1 bigint, c2 bigint, runs array<struct<h1:bigint,h2:bigint,offset:int,size:int>>")
 
 
 def _hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
@@ -97,15 +115,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     counts = _hashes(own, min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    found = cut(_occurrences(own, min_sentences, min_words, Bitmap.of(counts, F.col("h1"))))
-    firsts = cut(
-        found.groupBy("h1", "h2").agg(F.min(F.struct("id", "first")).alias("kept"), F.max(F.struct("id", "first")).alias("last"))
-        .filter(~F.col("kept").eqNullSafe(F.col("last"))).drop("last")
-    )
-    later = found.join(firsts, ["h1", "h2"]).filter(~F.struct("id", "first").eqNullSafe(F.col("kept")))
-    return later.groupBy("id").agg(
-        F.sort_array(F.collect_set(F.struct("first", "after"))).alias("gone"), F.sort_array(F.collect_set("kept.id")).alias("sources")
-    )
+    found = cut(_passages(own, min_sentences, min_words, Bitmap.of(counts, F.col("h1"))))
+    contents = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "start")).alias("least"), F.any_value("runs").alias("runs"))
+    each = cut(contents.select("c1", "c2", "least", F.explode("runs").alias("r")).select("c1", "c2", F.struct("least.id", (F.col("least.start") + F.col("r.offset")).alias("at")).alias("place"), "r.*"))
+    kept = cut(each.groupBy("h1", "h2").agg(F.min("place").alias("kept")))
+    judged = each.join(kept, ["h1", "h2"]).groupBy("c1", "c2").agg(F.collect_list(F.struct("offset", "size", "kept")).alias("runs"))
+    placed = found.select("id", "start", "c1", "c2").join(cut(judged), ["c1", "c2"])
+    later = F.filter("runs", lambda r: ~(r["kept"]["id"].eqNullSafe(F.col("id")) & (r["kept"]["at"] == F.col("start") + r["offset"])))
+    spans = F.transform("later", lambda r: F.struct((F.col("start") + r["offset"]).alias("first"), (F.col("start") + r["offset"] + r["size"]).alias("after")))
+    gone = placed.withColumn("later", later).filter(F.size("later") > 0).select("id", spans.alias("gone"), F.transform("later", lambda r: r["kept"]["id"]).alias("sources"))
+    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+    return gone.groupBy("id").agg(flat("gone").alias("gone"), flat("sources").alias("sources"))
 
 
 def _without(text: str | None, gone: list[dict]) -> tuple[str, int, int]:
@@ -124,11 +144,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = cut(repeated_spans(docs, id_col, text_col, min_sentences, min_words))
     maybe, never = maybe_in(docs, F.xxhash64(docs[id_col]), Bitmap.of(spans, F.xxhash64("id")))
 
-    @F.pandas_udf("text string, sentences int, removed int")
-    def rest(texts, gone):
-        import pandas as pd
-
-        return pd.DataFrame([_without(t, g) for t, g in zip(texts, gone)], columns=["text", "sentences", "removed"])
+    @F.arrow_udf("text string, sentences int, removed int")
+    def rest(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        left = [_without(t.as_py(), g.as_py()) for t, g in zip(texts, gone)]
+        kinds = (pa.string(), pa.int32(), pa.int32())
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in left], kind) for k, kind in enumerate(kinds)], names=["text", "sentences", "removed"])
 
     packed = maybe.select(F.struct(*[maybe[c] for c in maybe.columns]).alias("doc"))
     joined = packed.join(spans, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id")), "left")
