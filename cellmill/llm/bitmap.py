@@ -7,6 +7,7 @@ fills up, joins only get more rows to drop themselves. It is gathered as at most
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,9 @@ def maybe_in(df: DataFrame, hashed: Column, bitmap: Bitmap) -> tuple[DataFrame,
     """Splits df into the rows whose key may be in the bitmap and those whose key (null included) surely isn't."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap.words)
 
-    @F.pandas_udf("boolean")
-    def test(keys):
-        import pandas as pd
-
-        return pd.Series(Bitmap(shared.value).has(keys.to_numpy()))
+    @F.arrow_udf("boolean")
+    def test(keys: pa.Array) -> pa.Array:
+        return pa.array(Bitmap(shared.value).has(keys.to_numpy(zero_copy_only=False)))
 
     flag = F.coalesce(test(F.coalesce(hashed, F.lit(0))), F.lit(False)) & hashed.isNotNull()
     return df.filter(flag), df.filter(~flag)

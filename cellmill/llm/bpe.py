@@ -26,7 +26,7 @@ from cellmill.llm.common import slices
 #: Fixed values of the byte-level format: the pattern of words. White space is Unicode's, named as such.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_WORD = 96
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 CACHED_CHARS = 64
 NO_PAIR = 1 << 62
 
@@ -141,6 +141,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             out = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(out + [pa.array(map(model.decode, ids), pa.string())] * decoded, names=names)
+        model.older = {}  # the process goes on to other tasks
 
     names = [id_col, "ids"] + ["decoded"] * decoded
     rows = docs.select(docs[id_col], docs[text_col])

@@ -5,15 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handed to Python code at once; keeps a worker's memory small whatever the session's Arrow batch size is.
 SLICE_ROWS = 256
 
 
+#: Rows of an Arrow batch between Spark and Python: texts may be long, and several batches are in memory at once.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,3 +51,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+@lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    """64-bit hash of a word; a process remembers the words it met last."""
+    return xxhash.xxh64_intdigest(word)

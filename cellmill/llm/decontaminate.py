@@ -20,33 +20,24 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.bitmap import Bitmap, maybe_in
-from cellmill.llm.common import cut, slices
+from cellmill.llm.common import cut, slices, word_hash
 
 #: Five tokens each; the first needs them in a row.
 MASKS = ("11111", "1101101", "110010101", "10101011")
 MIN_TOKENS = 13
 MIN_ITEM = 5
 SIMILARITY = 0.8
-CACHE_WORDS = 1 << 17
 _WORD = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_cache: dict[str, int] = {}
-
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a text."""
     words = _WORD(text.lower()) if text else []
-    known = _cache
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = xxhash.xxh3_64_intdigest(word)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def seeds(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,14 +86,12 @@ def longest_overlap(equal: np.ndarray, similarity: float = SIMILARITY) -> tuple[
     """First and last + 1 of the longest stretch with that share of True, from one True to another; (0, 0) if none."""
     if not equal.any():
         return 0, 0
-    score = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity)))) + 1e-9 * np.arange(len(equal) + 1)
-    lowest = np.minimum.accumulate(score)  # falling: the first place with a score of x or less is found by bisection
-    begin = np.searchsorted(-lowest, -score[1:], side="left")
-    length = np.arange(1, len(equal) + 1) - begin
+    score = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))))
+    lowest = np.minimum.accumulate(np.where(equal, score[:-1], np.inf))  # falling: the first start with a score of x or less is found by bisection
+    begin = np.searchsorted(-lowest, -(score[1:] + 1e-9), side="left")
+    length = np.where(equal, np.arange(1, len(equal) + 1) - begin, 0)
     end = int(np.argmax(length)) + 1
-    begin = end - int(length[end - 1])
-    inside = np.flatnonzero(equal[begin:end])
-    return (begin + int(inside[0]), begin + int(inside[-1]) + 1) if len(inside) else (0, 0)
+    return end - int(length[end - 1]), end
 
 
 def verify(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> tuple[int, int, int] | None:
@@ -132,17 +121,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     )
     maybe, _ = maybe_in(own, F.xxhash64("id"), Bitmap.of(candidates, F.xxhash64("id")))
 
-    @F.pandas_udf("array<struct<start:int,n_tokens:int,n_equal:int>>")
-    def check(doc_texts, item_texts, shifts):
-        import pandas as pd
-
-        out, last, doc = [], None, None
+    @F.arrow_udf("array<struct<start:int,n_tokens:int,n_equal:int>>")
+    def check(doc_texts: pa.Array, item_texts: pa.Array, shifts: pa.Array) -> pa.Array:
+        overlaps = []
         for text, item_text, lines in zip(doc_texts, item_texts, shifts):
-            if text is not last:
-                last, doc = text, tokens(text)
-            item = tokens(item_text)
-            out.append([dict(zip(("start", "n_tokens", "n_equal"), v)) for s in lines if (v := verify(doc, item, int(s), min_tokens, similarity))])
-        return pd.Series(out)
+            doc, item = tokens(text.as_py()), tokens(item_text.as_py())
+            overlaps.append([dict(zip(("start", "n_tokens", "n_equal"), v)) for s in lines.as_py() if (v := verify(doc, item, s, min_tokens, similarity))])
+        return pa.array(overlaps, pa.list_(pa.struct([("start", pa.int32()), ("n_tokens", pa.int32()), ("n_equal", pa.int32())])))
 
     pairs = maybe.select(F.col("id").alias("doc"), "text").join(candidates, F.col("doc").eqNullSafe(F.col("id")))
     found = pairs.select("id", "item", F.explode(check("text", "item_text", "shifts")).alias("o"))

@@ -18,30 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmill.llm.common import word_hash
+
 BUCKETS = 1 << 18
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.0
-CACHE_WORDS = 1 << 17
 _UNITS = re.compile(r"\w+|[^\w\s]+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
-_cache: dict[str, int] = {}
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers and values of a text's features; the values have length 1."""
     units = _UNITS(text) if text else []
-    known = _cache
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for unit in set(units).difference(known):
-        known[unit] = xxhash.xxh64_intdigest(unit)
-    one = np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
+    one = np.fromiter(map(word_hash, units), np.uint64, len(units))
     two = one[:-1] * _MIX + one[1:]
     two ^= two >> np.uint64(31)
     again = np.full(int((one[:-1] == one[1:]).sum()), _REPEAT)
@@ -118,10 +112,8 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Colum
     """The score of each row of docs as a column."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series([score_text(t, shared.value) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([score_text(t.as_py(), shared.value) for t in texts], pa.float64())
 
     return of(docs[text_col])
