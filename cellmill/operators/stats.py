@@ -223,6 +223,21 @@ def mixed_design(z: DataFrame, metrics: list[str], phases: tuple[str, ...], tier
     return z.sparkSession.createDataFrame([{"effect": name, **asdict(phi)} for name, phi in effects.items()])
 
 
+def phi_interaction(z: DataFrame, metrics: list[str], phases: tuple[str, ...], tier: str = "tier") -> Phi:
+    """Phase by tier, after scenes and phases are taken out (three phases): the nested models differ by the tiers' means of the
+    two phase contrasts."""
+    flat, names = contrasts(z, metrics, phases, (tier,))
+    between = within = 0.0
+    n = groups = 0
+    for i in range(2):
+        mine = [c for c in names if c.endswith(f"_{i}")]
+        h, e, _, n, groups = _groups(flat, mine, tier)
+        between, within = between + h, within + e
+    k, q = len(metrics), 2 * (groups - 1)
+    df_e = 2 * (n - groups)
+    return _phi(between, within, q, df_e - (k - q + 1) / 2, n, False)
+
+
 def phi_table(spark, results: dict[str, Phi]) -> DataFrame:
     rows = spark.createDataFrame([{"design": name, **asdict(phi)} for name, phi in results.items()])
     return rows.withColumn("effect_size", interpretation(F.col("phi_wilks")))
