@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,8 +40,8 @@ def to_wide(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 def complete_scenes(cells: DataFrame, phases: int, scene: str = "scene", phase: str = "phase", metrics: tuple[str, ...] = ()) -> DataFrame:
     """Cells of scenes that have every phase, after dropping cells that miss a metric."""
     whole = cells.dropna("any", subset=list(metrics)) if metrics else cells
-    full = whole.groupBy(scene).agg(F.countDistinct(phase).alias("__p")).filter(F.col("__p") == phases).select(scene)
-    return whole.join(full, scene, "left_semi")
+    seen = F.size(F.collect_set(phase).over(W.partitionBy(scene)))  # a scene's cells are as few as its phases
+    return whole.withColumn("__p", seen).filter(F.col("__p") == phases).drop("__p")
 
 
 def mean_by(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -62,7 +62,7 @@ def analyse(cells: DataFrame, metrics: list[str], specs: list[S.Spec], phases: t
 
 def full_analysis(spark, sf):
     c = cells(spark, sf).withColumnRenamed("difficulty", "tier")
-    return rounded(analyse(C.complete_scenes(c, 3).select("scene", "phase", "tier", *METRICS), METRICS, SPECS, lower=("absrel", "rmse")))
+    return rounded(analyse(C.complete_scenes(c, 3).select("scene", "phase", "tier", *METRICS).persist(), METRICS, SPECS, lower=("absrel", "rmse")))
 
 
 def phase_summary(spark, sf):

@@ -15,7 +15,9 @@ TWO = ["absrel", "rmse"]
 def _z(spark, sf, metrics=None):
     metrics = metrics or METRICS
     whole = C.complete_scenes(cells(spark, sf).withColumnRenamed("difficulty", "tier"), 3, metrics=tuple(metrics))
-    return X.standardise(whole.select("scene", "phase", "tier", *metrics), metrics, ("absrel", "rmse"))
+    # a few rows a scene, which the tests below read several times
+    kept = whole.select("scene", "phase", "tier", *metrics).persist()
+    return X.standardise(kept, metrics, ("absrel", "rmse"))
 
 
 def standardise_z(spark, sf):
