@@ -207,7 +207,7 @@ ORACLE_SQL = {
     "mode_split": """SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k FROM (
         SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY ALL)) WHERE k = 1""",
     "frame_deltas": f"""WITH {_EV}, d AS (SELECT *, value - lag(value) OVER w AS delta FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
-        SELECT event_id, round(delta, 6) AS delta, round(delta - lag(delta) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), 6) AS jerk FROM d""",
+        SELECT event_id, round(delta, 6) + 0 AS delta, round(delta - lag(delta) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), 6) + 0 AS jerk FROM d""",
     "gap_rates": f"WITH {_EV} SELECT event_id, round((value - lag(value) OVER w) / nullif(event_id - lag(event_id) OVER w, 0), 6) AS rate FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "mad_filter": f"{_MAD} SELECT event_id, round(CASE WHEN mad > 0 AND value > med + 2.0 * mad THEN med ELSE value END, 6) AS clipped FROM d JOIN s USING (event_type)",
     "mad_outliers": f"{_MAD} SELECT event_id, round(value, 6) AS value FROM d JOIN s USING (event_type) WHERE CASE WHEN mad > 0 THEN CAST(0.6745 AS DOUBLE) * abs(value - med) / mad > 2.0 ELSE abs(value - med) > 0 END",
