@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -25,8 +26,10 @@ from cellmill.llm.common import slices
 
 #: Fixed values of the byte-level format: the pattern of words. White space is Unicode's, named as such.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The same for texts that are all ASCII.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 LONG_WORD = 96
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 3 << 16
 CACHED_CHARS = 64
 NO_PAIR = 1 << 62
 
@@ -52,11 +55,13 @@ class Codec:
         self.byte_ids = [0] * 256
         for c, b in alphabet.items():
             self.byte_ids[b] = vocab.get(c, -1)
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids
+        self.made: list[int] = []  # the id that the merge of a rank makes
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
-        self.words = regex.compile(WORDS).findall
+            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
+        self.words, self.ascii_words = regex.compile(WORDS).findall, re.compile(ASCII_WORDS).findall
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.special else None
         self.cache: dict[str, list[int]] = {}
@@ -66,40 +71,40 @@ class Codec:
         """Merges the byte ids of one word."""
         if len(parts) > LONG_WORD:
             return self._merge_long(parts)
-        merges = self.merges
-        ranks = [merges[k][0] if (k := a << 32 | b) in merges else NO_PAIR for a, b in zip(parts, parts[1:])]
+        rank, made = self.ranks.get, self.made
+        ranks = [rank(a << 32 | b, NO_PAIR) for a, b in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) != NO_PAIR:
             at = ranks.index(least)
-            parts[at] = merges[parts[at] << 32 | parts[at + 1]][1]
+            parts[at] = made[least]
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = merges[k][0] if (k := parts[at] << 32 | parts[at + 1]) in merges else NO_PAIR
+                ranks[at] = rank(parts[at] << 32 | parts[at + 1], NO_PAIR)
             if at:
-                ranks[at - 1] = merges[k][0] if (k := parts[at - 1] << 32 | parts[at]) in merges else NO_PAIR
+                ranks[at - 1] = rank(parts[at - 1] << 32 | parts[at], NO_PAIR)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        ranks, n = self.ranks, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[k][0], i, k) for i in range(n - 1) if (k := parts[i] << 32 | parts[i + 1]) in merges]
+        heap = [(ranks[k], i, k) for i in range(n - 1) if (k := parts[i] << 32 | parts[i + 1]) in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, key = heapq.heappop(heap)
+            least, i, key = heapq.heappop(heap)
             j = after[i]
             if parts[i] < 0 or j >= n or parts[i] << 32 | parts[j] != key:
                 continue  # one of the two has been merged meanwhile
-            parts[i], parts[j] = merges[key][1], -1
+            parts[i], parts[j] = self.made[least], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (k := parts[a] << 32 | parts[b]) in merges:
-                    heapq.heappush(heap, (merges[k][0], a, k))
+                if a >= 0 and b < n and (k := parts[a] << 32 | parts[b]) in ranks:
+                    heapq.heappush(heap, (ranks[k], a, k))
         return [p for p in parts if p >= 0]
 
     def _word(self, word: str) -> list[int]:
         """The ids of a word that isn't in the newer table."""
-        ids = self.older.get(word) or self.merge([self.byte_ids[b] for b in word.encode()])
+        ids = self.older.get(word) or self.merge(list(map(self.byte_ids.__getitem__, word.encode())))
         if len(word) <= CACHED_CHARS:
             if len(self.cache) >= CACHE_WORDS:
                 self.older = self.cache.copy()
@@ -114,7 +119,7 @@ class Codec:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
-                for word in self.words(piece):
+                for word in (self.ascii_words if piece.isascii() else self.words)(piece):
                     out += known(word) or word_ids(word)
         return out
 
@@ -141,7 +146,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             out = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(out + [pa.array(map(model.decode, ids), pa.string())] * decoded, names=names)
-        model.older = {}  # the process goes on to other tasks
 
     names = [id_col, "ids"] + ["decoded"] * decoded
     rows = docs.select(docs[id_col], docs[text_col])

@@ -1,6 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut after sentence ends and line ends; the pieces make up the text again. From every sentence a run starts: the
+A text is cut after sentence ends, line ends and clause marks; the pieces, called sentences here, make up the text again. Clauses
+count because a passage set into other text loses the sentences at its two ends, and long sentences would lose all of it. From every sentence a run starts: the
 fewest consecutive sentences, at least MIN_SENTENCES, that hold MIN_WORDS words or more. Every run is hashed to 128 bits over
 its words (lower case, white space ignored). A run that occurs more than once is a repeated span. Its first
 occurrence by (document id, sentence) stays; the sentences of all others go.
@@ -32,7 +33,7 @@ from cellmill.llm.common import cut, slices
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
-_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)|(?<=[。！？])")
+_END = re.compile(r"(?<=[.!?,;:]\s)|(?<=\n)|(?<=[。！？，；：])")
 
 
 def sentences(text: str | None) -> list[str]:
