@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,3 +69,34 @@ def confidence(normed: DataFrame, keys: list[str], base: DataFrame, replicates:
     scored = weighted.groupBy(*keys, "replicate").agg((F.sum(F.col("weight") * F.col("p")) / F.sum("weight")).alias("score"))
     ranked = global_rank(scored.withColumn("score", F.round("score", 9)), "score", *keys, by=("replicate",)).withColumn("drawn", tertile(F.col("rank"), F.col("total")))
     return ranked.join(base, keys).groupBy(*keys, "tier").agg(F.avg((F.col("drawn") == F.col("tier")).cast("double")).alias("confidence"))
+
+
+def principal_axes(df: DataFrame, features: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and the n leading axes of the features' covariance, from sums; every axis points where features grow together."""
+    row = df.agg(*[F.avg(f).alias(f"a_{f}") for f in features], *[F.covar_pop(f, g).alias(f"c_{i}_{j}") for i, f in enumerate(features) for j, g in enumerate(features) if i <= j]).first()
+    k = len(features)
+    cov = np.array([[row[f"c_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :n].T
+    signs = np.where(axes.sum(axis=1) < 0, -1.0, 1.0)
+    return np.array([row[f"a_{f}"] or 0.0 for f in features]), axes * signs[:, None]
+
+
+def component_scores(df: DataFrame, keys: list[str], features: list[str], n: int = 1) -> DataFrame:
+    """keys and pc1 .. pcn: projections of centred features (a column a feature) on the leading axes."""
+    means, axes = principal_axes(df, features, n)
+    on = lambda axis: sum(((F.col(f) - float(m)) * float(w) for f, m, w in zip(features, means, axis)), F.lit(0.0))
+    return df.select(*keys, *[on(a).alias(f"pc{i + 1}") for i, a in enumerate(axes)])
+
+
+def cluster_tiers(df: DataFrame, keys: list[str], features: list[str], n: int = 5, seed: int = 7) -> DataFrame:
+    """Three k-means clusters on leading components, named by their mean feature: easy, medium, hard."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = component_scores(df, keys, features, min(n, len(features))).join(df, keys)
+    points = VectorAssembler(inputCols=[c for c in scored.columns if c.startswith("pc")], outputCol="__x").transform(scored)
+    found = KMeans(k=3, seed=seed, featuresCol="__x", predictionCol="__c").fit(points).transform(points)
+    mean = sum((F.col(f) for f in features), F.lit(0.0)) / len(features)
+    order = sorted(found.groupBy("__c").agg(F.avg(mean).alias("m")).collect(), key=lambda r: r.m)
+    name = F.create_map(*[x for r, t in zip(order, TIER_ORDER) for x in (F.lit(r["__c"]), F.lit(t))])
+    return found.select(*keys, name[F.col("__c")].alias("tier"))

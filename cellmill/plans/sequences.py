@@ -54,6 +54,28 @@ def consensus_tier(spark, sf):
     return D.consensus(votes[0].unionByName(votes[1]).unionByName(votes[2]), KEYS)
 
 
+def _wide_norms(spark, sf):
+    n = _normed(spark, sf)
+    return n.groupBy(*KEYS).pivot("feature", METRICS).agg(F.first("p")).persist()
+
+
+def component_scores(spark, sf):
+    """First principal component of the percentile norms."""
+    return rounded(D.component_scores(_wide_norms(spark, sf), KEYS, METRICS), 4)
+
+
+def cluster_tiers(spark, sf):
+    """Cells in three clusters of the norms' components, by mean norm."""
+    return D.cluster_tiers(_wide_norms(spark, sf), KEYS, METRICS)
+
+
+def effort_weights(spark, sf):
+    """Scores whose feature weights are tempered by how much work a scene was: one plus its number of orders' priorities."""
+    effort = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("scene")).agg((1 + F.countDistinct("o_orderpriority")).alias("effort"))
+    s = D.scores(_normed(spark, sf), KEYS).join(effort, "scene")
+    return rounded(s.select(*KEYS, (F.col("weighted") * F.pow(F.col("effort").cast("double"), F.lit(0.25))).alias("score")))
+
+
 def confidence_flips(spark, sf):
     """How often cells keep their tier under 40 random weightings."""
     n = _normed(spark, sf)
@@ -161,7 +183,7 @@ def temporal_stability(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    percentile_norms, difficulty_score, category_scores, tertile_cut, scene_splits, consensus_tier, confidence_flips, mode_split, frame_deltas, gap_rates, mad_filter, mad_outliers, area_stability,
+    percentile_norms, difficulty_score, category_scores, tertile_cut, scene_splits, consensus_tier, component_scores, cluster_tiers, effort_weights, confidence_flips, mode_split, frame_deltas, gap_rates, mad_filter, mad_outliers, area_stability,
     dense_grid, id_switches, contiguity, islands, reopened_keys, anchor_relative, cumulative_drift, motion_slope, align_affine, align_median, align_disparity, align_log, temporal_stability,
 )}
 
@@ -204,6 +226,8 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY s, scene, phase) AS rk, count(*) OVER (PARTITION BY replicate) AS n FROM s)
         SELECT scene, phase, tier, round(avg(CASE WHEN tier = CASE WHEN rk * 3 <= n THEN 'easy' WHEN rk * 3 <= 2 * n THEN 'medium' ELSE 'hard' END THEN 1.0 ELSE 0.0 END), 6) AS confidence
         FROM r JOIN base USING (scene, phase) GROUP BY ALL""",
+    "effort_weights": f"""WITH {_N}, e AS (SELECT l_suppkey AS scene, 1 + count(DISTINCT o_orderpriority) AS effort FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT scene, phase, avg(p) AS w FROM normed GROUP BY ALL)
+        SELECT scene, phase, round(w * pow(CAST(effort AS DOUBLE), CAST(0.25 AS DOUBLE)), 6) AS score FROM m JOIN e USING (scene)""",
     "mode_split": """SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k FROM (
         SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY ALL)) WHERE k = 1""",
     "frame_deltas": f"""WITH {_EV}, d AS (SELECT *, value - lag(value) OVER w AS delta FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))

@@ -13,6 +13,7 @@ from cellmill.functions import fdist
 from cellmill.functions import images as I
 from cellmill.functions import kernels as K
 from cellmill.operators import cells as C
+from cellmill.operators import difficulty as D
 from cellmill.operators import grouped as R
 from cellmill.operators import quality as U
 from cellmill.operators import scores as S
@@ -138,6 +139,17 @@ def test_percentile_norm(spark):
     assert got == pytest.approx([1 / 3, 2.5 / 3, 2.5 / 3, 0.5, 0.5, 0.5, 0.5])
 
 
+def test_components_and_clusters(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.02, size=(20, 4)) for c in (0.1, 0.5, 0.9)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double, d double")
+    got = np.array([r.pc1 for r in D.component_scores(df, ["i"], list("abcd")).orderBy("i").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, 0] * s[0])) and got[0] < got[-1]
+    tiers = [r.tier for r in D.cluster_tiers(df, ["i"], list("abcd")).orderBy("i").collect()]
+    assert tiers == ["easy"] * 20 + ["medium"] * 20 + ["hard"] * 20
+
+
 def test_cells(spark):
     rows = [(i, f"s{i % 3}", p, "easy" if i > 3 else None, 0.1 + 0.05 * (p == "int"), 42.0, 50) for i in range(12) for p in ("clu", "int", "cln")]
     s = spark.createDataFrame(rows + [(99, None, "clu", "easy", 9.0, 1.0, 1)], "sample long, scene string, phase string, difficulty string, absrel double, latency_ms double, frame_budget long")
