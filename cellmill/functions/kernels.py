@@ -155,6 +155,38 @@ def chain(steps: Column) -> Column:
     return F.aggregate(steps, F.array(*[F.lit(x) for x in IDENTITY]), compose)
 
 
+def inverse(m: Column) -> Column:
+    """Inverse of a rigid motion (12 numbers)."""
+    r = lambda i, j: m[3 * j + i]  # noqa: E731  transposed
+    move = [-sum((r(i, k) * m[9 + k] for k in range(3)), F.lit(0.0)) for i in range(3)]
+    return F.array(*[r(i, j) for i in range(3) for j in range(3)], *move)
+
+
+def relative(a: Column, b: Column) -> Column:
+    """Motion from pose a to pose b, in a's axes."""
+    return compose(inverse(a), b)
+
+
+#: Signs of the axes between the two camera conventions (y and z point the other way).
+AXIS_SIGNS = (1.0, -1.0, -1.0)
+
+
+def flip_axes(m: Column) -> Column:
+    """A motion in the other camera convention: axes flipped on both sides."""
+    s = AXIS_SIGNS
+    return F.array(*[m[3 * i + j] * (s[i] * s[j]) for i in range(3) for j in range(3)], *[m[9 + i] * s[i] for i in range(3)])
+
+
+def motion(q: Vec, t: Vec) -> Column:
+    """A motion from a unit quaternion and a translation."""
+    return F.array(*[x for row in quaternion_matrix(q) for x in row], *t)
+
+
+def motion_angle(m: Column) -> Column:
+    """Degrees that a motion turns by."""
+    return F.degrees(F.acos(F.greatest(F.least((m[0] + m[4] + m[8] - 1) / 2, F.lit(1.0)), F.lit(-1.0))))
+
+
 # -- text ------------------------------------------------------------------------------------------------------------------
 
 #: Spellings that mean the same.

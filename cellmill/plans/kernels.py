@@ -169,9 +169,32 @@ def roofline(spark, sf):
     return rounded(p.select("p_partkey", tflops.alias("tflops"), bound.alias("bound"), (F.col("flops") / F.col("traffic")).alias("intensity")))
 
 
+def vqa_score(spark, sf):
+    """Answers as boxes, overall and by type, in one pass: invalid ones count with IoU 0 and GIoU -1."""
+    b = _boxes(spark, sf).withColumn("valid", K.box_valid(_cols(_B), F.lit(100), F.lit(100)))
+    b = b.withColumn("iou", F.when(F.col("valid"), K.box_iou(_cols(_A), _cols(_B), True)).otherwise(0.0)).withColumn("giou", F.when(F.col("valid"), K.box_giou(_cols(_A), _cols(_B))).otherwise(-1.0))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return rounded(b.groupingSets([["l_returnflag"], []], "l_returnflag").agg(
+        share(F.col("valid")).alias("valid_share"), F.avg("iou").alias("mean_iou"), F.avg("giou").alias("mean_giou"), share(F.col("iou") >= 0.5).alias("acc_50"), share(F.col("iou") >= 0.75).alias("acc_75"),
+        share(F.col("valid") & K.center_inside(_cols(_B), _cols(_A))).alias("center"), F.count(F.lit(1)).alias("n"),
+    ))
+
+
+def chain_drift(spark, sf):
+    """Drift of chains of ten relative poses: the product of the predicted steps against the product of the true ones, and the
+    mere sum of step errors beside it."""
+    e, q, r, t, u = _quats(spark, sf)
+    small = lambda v, w: [x * 0.02 for x in v[:3]] + [F.sqrt(1 - sum((x * x * 0.0004 for x in v[:3]), F.lit(0.0)))]  # noqa: E731  a slight turn
+    steps = e.select("vec_id", F.floor(F.col("vec_id") / 10).alias("chain"), K.motion(small(q, None), t).alias("truth"), K.motion(small(q, None), [a + b * 0.01 for a, b in zip(t, u)]).alias("pred"))
+    ordered = steps.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("vec_id", "truth", "pred"))).alias("s"))
+    ends = ordered.select("chain", K.chain(F.transform("s", lambda x: x["truth"])).alias("a"), K.chain(F.transform("s", lambda x: x["pred"])).alias("b"), F.aggregate("s", F.lit(0.0), lambda acc, x: acc + K.norm([x["pred"][9 + i] - x["truth"][9 + i] for i in range(3)])).alias("summed"))
+    off = K.relative(F.col("a"), F.col("b"))
+    return rounded(ends.select("chain", K.motion_angle(off).alias("angle"), K.norm([off[9 + i] for i in range(3)]).alias("drift"), "summed"), 4)
+
+
 QUERIES = {f.__name__: f for f in (
     depth_errors, depth_bands, depth_clip_mean, depth_quality, box_iou, box_giou, iou_accuracy, box_scaling, rotation_error, pose_vector, error_auc, joint_success, joint_auc, mean_iou, confusion_matrix,
-    token_f1, label_normalise, box_parsing, metadata_fields, roofline,
+    token_f1, label_normalise, box_parsing, metadata_fields, roofline, vqa_score, chain_drift,
 )}
 
 _DEPTH = f"{roles.SAMPLES_SQL}, d AS (SELECT scene, phase, rmse AS truth, latency_ms / 15 + CAST(0.05 AS DOUBLE) AS pred FROM samples WHERE rmse > CAST(0.3 AS DOUBLE) AND rmse < 5 AND latency_ms / 15 + CAST(0.05 AS DOUBLE) > 0)"
@@ -217,6 +240,10 @@ ORACLE_SQL = {
     "iou_accuracy": f"""WITH {_BOXES}, i AS (SELECT l_returnflag, {_VALID} AS valid, {_iou(1)[0]} AS iou FROM b)
         SELECT l_returnflag, {", ".join(f"round(avg(CASE WHEN valid AND iou >= CAST({t!r} AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS acc_{round(t * 100)}" for t in _ACC)},
         round(avg(CASE WHEN valid THEN iou ELSE 0.0 END), 6) AS mean_score, count(*) AS n, round(({" + ".join(f"avg(CASE WHEN valid AND iou >= CAST({t!r} AS DOUBLE) THEN 1.0 ELSE 0.0 END)" for t in _ACC)}) / 10, 6) AS mean_acc FROM i GROUP BY l_returnflag""",
+    "vqa_score": f"""WITH {_BOXES}, i AS (SELECT l_returnflag, {_VALID} AS valid, CASE WHEN {_VALID} THEN {_iou(1)[0]} ELSE 0.0 END AS iou, CASE WHEN {_VALID} THEN {_iou(1)[0]} - ({_HULL} - {_iou(1)[1]}) / CAST({_HULL} AS DOUBLE) ELSE -1.0 END AS giou,
+        (cx + dx) / 2.0 BETWEEN ax AND bx AND (cy + dy) / 2.0 BETWEEN ay AND bz AS inside FROM b)
+        SELECT l_returnflag, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(avg(iou), 6) AS mean_iou, round(avg(giou), 6) AS mean_giou, round(avg(CASE WHEN iou >= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS acc_50,
+            round(avg(CASE WHEN iou >= CAST(0.75 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS acc_75, round(avg(CASE WHEN valid AND inside THEN 1.0 ELSE 0.0 END), 6) AS center, count(*) AS n FROM i GROUP BY GROUPING SETS ((l_returnflag), ())""",
     "box_scaling": f"SELECT p_partkey, {_scale(0, 640)} AS x1, {_scale(1, 480)} AS y1, {_scale(4, 640)} AS x2, {_scale(9, 480)} AS y2 FROM part",
     "rotation_error": f"WITH {_POSE} SELECT vec_id, round(angle, 4) AS angle, round(angle, 4) AS matrix_angle, round(translation, 4) AS translation, round(direction, 4) AS direction, rotation_bin FROM c",
     "pose_vector": f"WITH {_POSE} SELECT label, rotation_bin, round(avg(angle), 4) AS angle, round(avg(translation), 4) AS translation, count(*) AS n FROM c GROUP BY ALL",

@@ -183,6 +183,20 @@ def test_chain_is_a_product(spark):
     assert not np.allclose(got[9:], [3.0, 0.0, 1.5])  # turning first is not adding up
 
 
+def test_relative_poses(spark):
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(2, 4))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    t = rng.normal(size=(2, 3))
+    m = np.tile(np.eye(4), (2, 1, 1))
+    m[:, :3, :3], m[:, :3, 3] = I.quaternion_matrices(q), t
+    a, b = (K.motion([F.lit(float(x)) for x in q[i]], [F.lit(float(x)) for x in t[i]]) for i in (0, 1))
+    r = spark.range(1).select(K.relative(a, b).alias("r"), K.flip_axes(K.flip_axes(a)).alias("same"), a.alias("a"), K.motion_angle(K.relative(a, b)).alias("angle")).first()
+    want = np.linalg.inv(m[0]) @ m[1]
+    assert np.allclose(r.r, [*want[:3, :3].ravel(), *want[:3, 3]]) and np.allclose(r.same, r.a)
+    assert r.angle == pytest.approx(math.degrees(math.acos((np.trace(want[:3, :3]) - 1) / 2)))
+
+
 def brute_assign(cost):
     n, m = cost.shape
     if n > m:
