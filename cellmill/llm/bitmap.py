@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 24
+BITS = 1 << 26
 
 
 def slot(hashed: Column) -> Column:
@@ -32,6 +32,10 @@ class Bitmap:
         words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
         return cls(words)
 
+    def fill(self) -> float:
+        """Share of bits set: about the share of other keys that pass."""
+        return float(np.bitwise_count(self.words).sum()) / BITS
+
     def has(self, hashed: np.ndarray) -> np.ndarray:
         at = hashed.astype(np.int64, copy=False).view(np.uint64) & np.uint64(BITS - 1)
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

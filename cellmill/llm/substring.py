@@ -1,13 +1,15 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut after sentence ends, line ends and clause marks; the pieces, called sentences here, make up the text again. Clauses
-count because a passage set into other text loses the sentences at its two ends, and long sentences would lose all of it. From every sentence a run starts: the
+A text is cut after sentence ends and line ends, and a sentence of more than LONG_SENTENCE words after its clause marks too; the
+pieces, called sentences here, make up the text again. (A passage set into other text loses the sentences at its two ends, and
+long ones would lose nearly all of it.) From every sentence a run starts: the
 fewest consecutive sentences, at least MIN_SENTENCES, that hold MIN_WORDS words or more. Every run is hashed to 128 bits over
 its words (lower case, white space ignored). A run that occurs more than once is a repeated span. Its first
 occurrence by (document id, sentence) stays; the sentences of all others go.
 
 The hashes of all runs are counted in one shuffle of 64-bit values with map-side sums. A fixed-size bitmap of those that
-repeat then lets a second pass emit only their occurrences, so positions and texts are shuffled for repeated passages alone.
+repeat then lets a second pass emit only their occurrences, so positions and texts are shuffled for repeated passages alone; once
+the bitmap fills up, a join takes its place.
 Runs that start at neighbouring sentences form a passage; a passage is sent as one row, and passages of equal content
 are judged once, by their first place. So a passage that a third of the documents share is reduced by partial minima before
 the shuffle, and costs a row for each document rather than one for each run.
@@ -33,12 +35,19 @@ from cellmill.llm.common import cut, slices
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
-_END = re.compile(r"(?<=[.!?,;:]\s)|(?<=\n)|(?<=[。！？，；：])")
+LONG_SENTENCE = 24
+#: Beyond this share of bits the bitmap filters too little, and runs are joined with the repeated hashes instead.
+MAX_FILL = 0.25
+_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)|(?<=[。！？])")
+_CLAUSE = re.compile(r"(?<=[,;:]\s)|(?<=[，；：])")
 
 
 def sentences(text: str | None) -> list[str]:
     """The pieces of a text; joined, they are the text."""
-    return [s for s in _END.split(text) if s] if text else []
+    whole = [s for s in _END.split(text) if s] if text else []
+    if not any(len(s) > 2 * LONG_SENTENCE for s in whole):
+        return whole
+    return [c for s in whole for c in (_CLAUSE.split(s) if len(s) > 2 * LONG_SENTENCE and len(s.split()) > LONG_SENTENCE else (s,)) if c]
 
 
 def runs(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[bytes]]:
@@ -60,38 +69,83 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 _RUN = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("offset", pa.int32()), ("size", pa.int32())])
 
 
+class _Passages:
+    """Collects passages: runs of a document that start at neighbouring sentences, with the digest of their contents."""
+
+    names = ["id", "start", "c1", "c2", "runs"]
+
+    def __init__(self):
+        self.row, self.start, self.digest, self.ends, self.parts = [], [], [], [0], [np.zeros((0, 4), np.int64)]
+
+    def add(self, row: int, first: np.ndarray, size: np.ndarray, half: np.ndarray) -> None:
+        for these in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first) != 1) + 1):
+            passage = np.column_stack([half[these], first[these] - first[these[0]], size[these]])
+            self.row.append(row)
+            self.start.append(int(first[these[0]]))
+            self.digest.append(xxhash.xxh3_128_digest(np.ascontiguousarray(passage).tobytes()))
+            self.ends.append(self.ends[-1] + len(passage))
+            self.parts.append(passage)
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        fields, half = np.concatenate(self.parts), _halves(self.digest)
+        columns = [pa.array(fields[:, k] if k < 2 else fields[:, k].astype(np.int32)) for k in range(4)]
+        runs = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_RUN)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(self.row, pa.int32())), pa.array(self.start, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1]), runs], names=self.names)
+
+
+def _passage_schema(docs: DataFrame) -> str:
+    return f"id {docs.schema['id'].dataType.simpleString()}, start int, c1 bigint, c2 bigint, runs array<struct<h1:bigint,h2:bigint,offset:int,size:int>>"
+
+
 def _passages(docs: DataFrame, min_sentences: int, min_words: int, repeated: Bitmap) -> DataFrame:
-    """id, start, c1, c2, runs: the passages of documents (id, text) whose runs may all repeat. c1 and c2 are the digest of a
-    passage's runs, each with its hash, offset from start and number of sentences."""
+    """id, start, c1, c2, runs: the passages of documents (id, text) whose runs may all repeat, by the bitmap. c1 and c2 are the
+    digest of a passage's runs, each with its hash, offset from start and number of sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated.words)
 
     def run(batches):
         known = Bitmap(shared.value)
         for batch in slices(batches):
-            at, starts, contents, ends, parts = [], [], [], [0], [np.zeros((0, 4), np.int64)]
+            out = _Passages()
             for row, text in enumerate(batch.column(1).to_pylist()):
                 first, after, digests = runs(text, min_sentences, min_words)
                 half = _halves(digests)
                 hits = np.flatnonzero(known.has(half[:, 0]))
-                if not len(hits):
-                    continue
-                begin = np.array(first, np.int64)[hits]
-                for these in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(begin) != 1) + 1):
-                    start = int(begin[these[0]])
-                    passage = np.column_stack([half[hits[these]], begin[these] - start, np.array(after, np.int64)[hits[these]] - begin[these]])
-                    at.append(row)
-                    starts.append(start)
-                    contents.append(xxhash.xxh3_128_digest(np.ascontiguousarray(passage).tobytes()))
-                    ends.append(ends[-1] + len(passage))
-                    parts.append(passage)
-            fields, half = np.concatenate(parts), _halves(contents)
-            items = pa.StructArray.from_arrays([pa.array(fields[:, 0]), pa.array(fields[:, 1]), pa.array(fields[:, 2].astype(np.int32)), pa.array(fields[:, 3].astype(np.int32))], fields=list(_RUN))
-            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(starts, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1]), found]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "c1", "c2", "runs"])
+                if len(hits):
+                    begin = np.array(first, np.int64)[hits]
+                    out.add(row, begin, np.array(after, np.int64)[hits] - begin, half[hits])
+            yield out.batch(batch.column(0))
+
+    return docs.mapInArrow(run, _passage_schema(docs))
+
+
+def _passages_by_join(docs: DataFrame, min_sentences: int, min_words: int, repeated: DataFrame) -> DataFrame:
+    """The same by a join of all runs with the repeated hashes, for corpora whose repeated hashes fill the bitmap."""
+
+    def every(batches):
+        for batch in slices(batches):
+            row, firsts, sizes, digests = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                first, after, found = runs(text, min_sentences, min_words)
+                row += [k] * len(first)
+                firsts += first
+                sizes += [b - a for a, b in zip(first, after)]
+                digests += found
+            half = _halves(digests)
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(firsts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(half[:, 0]), pa.array(half[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "first", "size", "h1", "h2"])
+
+    def split(batches):
+        for batch in slices(batches):
+            out = _Passages()
+            for row, hits in enumerate(batch.column(1)):
+                fields = np.column_stack([hits.values.field(k).to_numpy().astype(np.int64) for k in range(4)])
+                out.add(row, fields[:, 0], fields[:, 1], fields[:, 2:])
+            yield out.batch(batch.column(0))
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, start int, c1 bigint, c2 bigint, runs array<struct<h1:bigint,h2:bigint,offset:int,size:int>>")
+    hits = docs.mapInArrow(every, f"id {kind}, first int, size int, h1 bigint, h2 bigint").join(repeated, "h1", "left_semi")
+    grouped = hits.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "size", "h1", "h2"))).alias("hits"))
+    return grouped.mapInArrow(split, _passage_schema(docs))
 
 
 def _hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
@@ -115,8 +169,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents that keep the passage)."""
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
-    counts = _hashes(own, min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    found = cut(_passages(own, min_sentences, min_words, Bitmap.of(counts, F.col("h1"))))
+    counts = cut(_hashes(own, min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
+    bitmap = Bitmap.of(counts, F.col("h1"))
+    sparse = bitmap.fill() <= MAX_FILL
+    found = cut(_passages(own, min_sentences, min_words, bitmap) if sparse else _passages_by_join(own, min_sentences, min_words, counts))
     contents = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "start")).alias("least"), F.any_value("runs").alias("runs"))
     each = cut(contents.select("c1", "c2", "least", F.explode("runs").alias("r")).select("c1", "c2", F.struct("least.id", (F.col("least.start") + F.col("r.offset")).alias("at")).alias("place"), "r.*"))
     kept = cut(each.groupBy("h1", "h2").agg(F.min("place").alias("kept")))

@@ -145,7 +145,9 @@ def sentence(rng):
     return (prose(rng, rng.randint(3, 9)) + ".").capitalize()
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("max_fill", [substring.MAX_FILL, -1.0])
+def test_substring_against_brute_force(spark, monkeypatch, max_fill):
+    monkeypatch.setattr(substring, "MAX_FILL", max_fill)
     rng = random.Random(6)
     shared = [" ".join(sentence(rng) for _ in range(8)) for _ in range(5)]
     rows = []
@@ -166,7 +168,9 @@ def test_substring_against_brute_force(spark):
         assert r.repeats.sources and all(s <= r.doc.doc_id for s in r.repeats.sources)
 
 
-def test_substring_edges(spark):
+@pytest.mark.parametrize("max_fill", [substring.MAX_FILL, -1.0])
+def test_substring_edges(spark, monkeypatch, max_fill):
+    monkeypatch.setattr(substring, "MAX_FILL", max_fill)
     assert [x.count() for x in substring.remove_repeats(docs(spark, []))] == [0, 0]
     text = " ".join(f"Sentence number {i} has some six words." for i in range(6))
     changed, untouched = substring.remove_repeats(docs(spark, [(1, text), (1, text), (None, text), (None, None)]))
