@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cellmill.llm.common import word_hash
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.0
 _UNITS = re.compile(r"\w+|[^\w\s]+").findall
