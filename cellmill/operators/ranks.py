@@ -36,13 +36,19 @@ def tertile(rank: Column, total: Column, distinct: Column | None = None) -> Colu
     return F.when(few, "medium").otherwise(third)
 
 
-def percentile_norm(df: DataFrame, by: tuple[str, ...], value: str, out: str) -> DataFrame:
+def percentile_norm(df: DataFrame, by: tuple[str, ...], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Average rank over the number of valid values within groups `by`; ties share their mean, missing values and
-    constant groups get 0.5. Ranks are counted over distinct values, so ties never meet in one task as rows."""
+    constant groups get 0.5. Ranks are counted over distinct values, so ties never meet in one task as rows, and within buckets
+    between approximate quantiles, so a group is not one task either."""
     valid = F.when(~F.isnan(value), F.col(value))
     seen = df.select(*by, valid.alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    g = W.partitionBy(*by)
-    running = F.sum("__n").over(g.orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    average = (running - F.col("__n") + (F.col("__n") + 1) / 2) / F.sum("__n").over(g)
-    norms = seen.select(*by, "__v", F.when(F.count(F.lit(1)).over(g) < 2, F.lit(0.5)).otherwise(average).alias("__p"))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    groups = seen.groupBy(*by).agg(F.percentile_approx("__v", shares, F.lit(1000)).alias("__cuts"), F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
+    placed = seen.join(groups, list(by)).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    sizes = placed.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__s"))
+    before = F.sum("__s").over(W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__s")
+    running = F.sum("__n").over(W.partitionBy(*by, "__bucket").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = placed.withColumn("__running", running).join(sizes.withColumn("__before", before).drop("__s"), [*by, "__bucket"])
+    average = (F.col("__before") + F.col("__running") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__total")
+    norms = ranked.select(*by, "__v", F.when(F.col("__distinct") < 2, F.lit(0.5)).otherwise(average).alias("__p"))
     return df.withColumn("__v", valid).join(norms, [*by, "__v"], "left").withColumn(out, F.coalesce("__p", F.lit(0.5))).drop("__v", "__p")

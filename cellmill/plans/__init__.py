@@ -1,4 +1,4 @@
-"""Registered queries of the reference's operator families, with equal SQL where SQL can express them."""
+"""Registered queries of the operator families, with equal SQL where SQL can express them."""
 
 from __future__ import annotations
 
