@@ -180,9 +180,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = found.select("id", "start", "c1", "c2").join(cut(judged), ["c1", "c2"])
     later = F.filter("runs", lambda r: ~(r["kept"]["id"].eqNullSafe(F.col("id")) & (r["kept"]["at"] == F.col("start") + r["offset"])))
     spans = F.transform("later", lambda r: F.struct((F.col("start") + r["offset"]).alias("first"), (F.col("start") + r["offset"] + r["size"]).alias("after")))
-    gone = placed.withColumn("later", later).filter(F.size("later") > 0).select("id", spans.alias("gone"), F.transform("later", lambda r: r["kept"]["id"]).alias("sources"))
-    flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
-    return gone.groupBy("id").agg(flat("gone").alias("gone"), flat("sources").alias("sources"))
+    gone = placed.withColumn("later", later).filter(F.size("later") > 0).select("id", spans.alias("gone"), F.array_distinct(F.transform("later", lambda r: r["kept"]["id"])).alias("sources"))
+    flat = lambda c: F.flatten(F.collect_set(c))
+    return gone.groupBy("id").agg(F.sort_array(flat("gone")).alias("gone"), F.sort_array(F.array_distinct(flat("sources"))).alias("sources"))
 
 
 def _without(text: str | None, gone: list[dict]) -> tuple[str, int, int]:
