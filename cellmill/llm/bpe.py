@@ -29,7 +29,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: The same for texts that are all ASCII.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 LONG_WORD = 96
-CACHE_WORDS = 3 << 16
+CACHE_WORDS = 1 << 17
 CACHED_CHARS = 64
 NO_PAIR = 1 << 62
 
@@ -112,6 +112,11 @@ class Codec:
             self.cache[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the tables of merged words."""
+        self.cache.clear()
+        self.older = {}
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         known, word_ids = self.cache.get, self._word
@@ -146,6 +151,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             out = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(out + [pa.array(map(model.decode, ids), pa.string())] * decoded, names=names)
+        model.forget()  # the process goes on to other tasks
 
     names = [id_col, "ids"] + ["decoded"] * decoded
     rows = docs.select(docs[id_col], docs[text_col])

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -53,7 +52,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-@lru_cache(1 << 16)
-def word_hash(word: str) -> int:
-    """64-bit hash of a word; a process remembers the words it met last."""
-    return xxhash.xxh64_intdigest(word)
+class _Hashes(dict):
+    """64-bit hashes of words; a process remembers WORDS of them."""
+
+    WORDS = 1 << 16
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+word_hash = _Hashes().__getitem__
