@@ -197,3 +197,26 @@ def test_pipeline(spark, tmp_path):
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("hot,bucket_tokens", [(1 << 14, 1 << 17), (60, 500), (1, 100)])
+def test_lm_counts_every_word(spark, hot, bucket_tokens):
+    """3,000 words, more than the 2,046 that were once told apart; rare words, hot ones and hot bigrams, whatever is dealt where."""
+    rng = random.Random(5)
+    text = lambda k: " ".join(rng.choice(["the", "of the", f"w{rng.randrange(3000)}", f"w{rng.randrange(3000)}"]) for _ in range(k))
+    background = [text(rng.randint(0, 60)) for _ in range(250)] + [" ".join(f"w{i}" for i in range(3000)), None, "", "a rare1", "a rare2"]
+    target = [text(30) for _ in range(20)] + ["a rare1", None]
+    t = spark.createDataFrame([(x, 1) for x in target], "text string, n int")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs(spark, list(enumerate(background))), t, hot=hot, bucket_tokens=bucket_tokens).collect()}
+    size = len({w for x in background + target for w in (x or "").split()}) + 2
+    assert len(got) == len(background) and size > 2048
+    for i, (near, far) in enumerate(slow_lm(background, target, size)):
+        assert got[i].target_loss == pytest.approx(near, abs=1e-9) and got[i].background_loss == pytest.approx(far, abs=1e-9)
+    assert got[len(background) - 2].score < got[len(background) - 1].score  # differ only in rare words
+
+
+def test_lm_keeps_odd_ids_apart(spark):
+    rows = [(None, "a b"), (None, "c"), (7, "a"), (7, "b b b")]
+    t = spark.createDataFrame([("a", 1)], "text string, n int")
+    got = lm.cross_entropy_difference(docs(spark, rows), t, hot=1).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (0, 3), (7, 2), (7, 4)]
