@@ -7,7 +7,8 @@ join of the vectors at the same radius loses nothing, and survivors are verified
 
 The vectors are kept in unary form (0 -> 00, 1 -> 01, 2 -> 11), which makes the Manhattan distance the bit count of an
 XOR. The range join runs on sub-grids: the 32 coordinates form BLOCKS groups; vectors within distance d differ in at
-most d groups, so they share a grid cell in at least one choice of BLOCKS - d groups. Every choice is one equi-join key.
+most d groups, so they share a grid cell in at least one choice of BLOCKS - d groups. Every choice is one equi-join key. BLOCKS grows
+with the counted number of fingerprints, so that a cell holds a bounded number of strangers.
 
 Work stays linear in dense neighbourhoods. Equal fingerprints are one node. Fingerprints that agree outside `d` fixed bit
 positions are mutually linked, so each such clique becomes a star, and joins only look for links between
@@ -28,16 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmill.llm.bitmap import Bitmap, maybe_in
 from cellmill.llm.common import cut, slices
 from cellmill.llm.graph import components
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
-BLOCKS = 6
 LOW_BITS = 0x5555555555555555
 CHUNK = 1 << 15
+CELL = 16
+#: Chance that the popcounts of two unrelated two-bit segments are equal.
+_SAME = 0.375
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -80,24 +82,30 @@ def unary_popcounts(fp: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(high, 1))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def grid_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
+def grid_blocks(nodes: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest coordinate groups at which a cell holds about CELL strangers or fewer."""
+    kept = lambda blocks: (blocks - max_bits) * (32 // blocks)
+    return next((b for b in range(max_bits + 1, 17) if nodes * _SAME ** kept(b) <= CELL), 16)
+
+
+def grid_masks(max_bits: int, blocks: int) -> list[int]:
     """One mask per choice of blocks - max_bits coordinate groups; each covers whole segments."""
     edges = [round(32 * i / blocks) * 2 for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [_signed(sum(c)) for c in combinations(masks, blocks - max_bits)]
+    return [signed(sum(c)) for c in combinations(masks, blocks - max_bits)]
 
 
 def clique_masks(max_bits: int = MAX_BITS) -> list[int]:
     """Masks that clear max_bits neighbouring bits each; fingerprints equal under one are mutually linked."""
     full = (1 << 64) - 1
-    return [_signed(full ^ (((1 << max_bits) - 1) << at)) for at in range(0, 64 - max_bits + 1, max_bits)] if max_bits else []
+    return [signed(full ^ (((1 << max_bits) - 1) << at)) for at in range(0, 64 - max_bits + 1, max_bits)] if max_bits else []
 
 
-def _keys(nodes: DataFrame, value: Column, masks: list[int], *keep: str) -> DataFrame:
+def cell_keys(nodes: DataFrame, value: Column, masks: list[int], *keep: str) -> DataFrame:
     """A row for each mask: the cell that value falls in (hashed with the mask's number; a collision only adds candidates)."""
     cells = F.array(*[F.xxhash64(F.lit(i), value.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     return nodes.select(F.explode(cells).alias("cell"), *keep)
@@ -105,16 +113,16 @@ def _keys(nodes: DataFrame, value: Column, masks: list[int], *keep: str) -> Data
 
 def stars(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """fp, star: the smallest fingerprint of all cliques that fp is in (fp itself if it is alone); the two are linked."""
-    keys = _keys(nodes, F.col("fp"), clique_masks(max_bits), "fp")
+    keys = cell_keys(nodes, F.col("fp"), clique_masks(max_bits), "fp")
     least = keys.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").drop("top")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("a"))) <= max_bits
     found = keys.join(least, "cell").filter((F.col("a") < F.col("fp")) & near).groupBy("fp").agg(F.min("a").alias("star"))
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("star", "fp").alias("star"))
 
 
-def cross_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def cross_links(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
     """Links (a, b) between fingerprints of different stars. nodes: fp, star."""
-    keys = _keys(nodes, unary_popcounts(F.col("fp")), grid_masks(max_bits, blocks), "fp", "star")
+    keys = cell_keys(nodes, unary_popcounts(F.col("fp")), grid_masks(max_bits, blocks), "fp", "star")
     mixed = cut(keys.groupBy("cell").agg(F.min("star").alias("s"), F.max("star").alias("t")).filter("s < t").select("cell"))
     kept = cut(keys.join(mixed, "cell"))
     per_star = kept.groupBy("cell", "star").agg(F.count(F.lit(1)).alias("n"))
@@ -126,14 +134,16 @@ def cross_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS
     return pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
 
 
-def fingerprint_components(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """fp and component (the smallest fp reachable) of distinct fingerprints; only those that have a link."""
+def fingerprint_components(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
+    """fp and component (the smallest fp reachable) of distinct fingerprints; only those that have a link. The number of coordinate
+    groups follows from the number of fingerprints unless it is given; links are the same with any."""
     starred = cut(stars(nodes, max_bits))
+    blocks = blocks or grid_blocks(starred.count(), max_bits)
     links = cross_links(starred, max_bits, blocks).union(starred.filter("star <> fp").select(F.col("star").alias("a"), F.col("fp").alias("b")))
     return components(links).select(F.col("node").alias("fp"), "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words).toDF("id", "fp"))
     least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
@@ -144,18 +154,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """docs, with all columns, reduced to one row of each near-duplicate group: the one with the smallest id. Rows without
-    an id stay, for they can't be named; of rows that share an id one stays."""
-    found = cut(near_duplicates(docs, id_col, text_col, shingle_words, max_bits, blocks).select(F.col(id_col).alias("__id"), "component_id"))
-    named = found.filter("__id IS NOT NULL")
-    gone = named.filter("__id <> component_id").select("__id").distinct()
-    again = named.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id")
-    listed = cut(gone.withColumn("__gone", F.lit(True)).union(again.join(gone, "__id", "left_anti").withColumn("__gone", F.lit(False))))
-    maybe, never = maybe_in(docs.filter(docs[id_col].isNotNull()), F.xxhash64(docs[id_col]), Bitmap.of(listed, F.xxhash64("__id")))
-    judged = maybe.join(listed, maybe[id_col] == listed["__id"], "left").filter("__gone IS NULL OR NOT __gone")
-    repeated = judged.filter("__gone IS NOT NULL").dropDuplicates(["__id"])
-    once = judged.filter("__gone IS NULL").unionByName(repeated).drop("__id", "__gone")
-    return never.unionByName(once).unionByName(docs.filter(docs[id_col].isNull()))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cellmill.llm import decontaminate, embedding, graph, simhash, substring
+from cellmill.llm import decontaminate, embedding, graph, near_copies, simhash, substring
 from cellmill.llm.bitmap import Bitmap, maybe_in
 from cellmill.llm.graph import components
 
@@ -101,7 +101,7 @@ def test_grid_join_finds_every_link(spark):
 def test_manhattan_is_a_lower_bound(spark):
     rng = random.Random(4)
     rows = [(x, x ^ sum(1 << b for b in rng.sample(range(64), 5))) for x in (rng.getrandbits(64) for _ in range(200))]
-    df = spark.createDataFrame([(simhash._signed(a), simhash._signed(b)) for a, b in rows], "a long, b long")
+    df = spark.createDataFrame([(simhash.signed(a), simhash.signed(b)) for a, b in rows], "a long, b long")
     u, v = simhash.unary_popcounts(F.col("a")), simhash.unary_popcounts(F.col("b"))
     got = df.select(F.bit_count(u.bitwiseXOR(v)).alias("m"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("h")).collect()
     for (a, b), r in zip(rows, got):
@@ -120,10 +120,77 @@ def test_simhash_documents(spark):
     want = union_find([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], fps)
     assert by == want and by[4] == by[5] == by[6] == 4
     assert [r.component_id for r in got if r.doc_id is None] == [10]
-    kept = simhash.keep_one(docs(spark, rows)).collect()
-    assert sorted(r.doc_id or -1 for r in kept) == sorted({*want.values(), 3, -1})
-    assert kept[0].asDict().keys() == docs(spark, []).first().asDict().keys() if docs(spark, []).first() else True
-    assert simhash.near_duplicates(docs(spark, [])).count() == simhash.keep_one(docs(spark, [])).count() == 0
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_block_number_grows_with_the_table():
+    found = [simhash.grid_blocks(10**k) for k in range(2, 14)]
+    assert found == sorted(found) and found[0] == 4 and found[-1] > 8
+    for blocks in set(found):  # whatever the number, two vectors three apart share a cell
+        for at in range(0, 64, 7):
+            x = 1 << at | 1 << (at + 9) % 64 | 1 << (at + 31) % 64
+            assert any(not (x & m % (1 << 64)) for m in simhash.grid_masks(3, blocks))
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def slow_shingles(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = []
+    for _ in range(12):
+        base = prose(rng, rng.randint(60, 400))
+        rows += [base, base] + [edited(rng, base, rng.randint(0, max(1, len(base.split()) // 25))) for _ in range(12)]
+    rows += [prose(rng, rng.randint(1, 300)) for _ in range(60)] + [None, "", " \n", "one two", "one two", prose(rng, 30_000)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows)).collect()}
+    sets = {i: slow_shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and slow_alike(sets[a], sets[b])]
+    edits = [(a, b) for a, b in links if sets[a] != sets[b]]
+    assert len(edits) > 100 and all(got[a] == got[b] for a, b in links if sets[a] == sets[b])
+    assert sum(got[a] == got[b] for a, b in edits) >= 0.98 * len(edits)
+    whole = union_find(links, sets)
+    assert all(whole[i] == whole[c] for i, c in got.items())  # nothing joins what the rule does not
+    kept = near_copies.keep_one(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs(spark, []).columns
+
+
+def test_near_copies_tell_rows_apart_by_content(spark):
+    rng = random.Random(16)
+    p, u, v = (prose(rng, 120) for _ in range(3))
+    rows = [(1, p), (7, p), (7, u), (7, edited(rng, p, 1)), (None, u), (None, v), (None, v), (9, None), (None, ""), (9, None), (2, " x ")]
+    kept = near_copies.keep_one(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept if r.text) == sorted([(1, p), (7, u), (0, v), (2, " x ")])
+    assert [r.doc_id for r in kept if not r.text] == [9]
+    assert near_copies.keep_one(docs(spark, [])).count() == near_copies.near_copies(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bound", [("BLOCK_TEXTS", 4), ("BLOCK_CHARS", 3000)])
+def test_verification_in_blocks_is_exact(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_copies, *bound)
+    rng = random.Random(17)
+    base = prose(rng, 200)
+    rows = list(enumerate([base, base + " x"] + [edited(rng, base, rng.randint(2, 9)) for _ in range(40)] + [None, "", "a b"]))
+    table = docs(spark, rows)
+    nodes = table.filter("doc_id < 42").select(F.col("doc_id").alias("node"), *near_copies.text_key(F.col("text")))
+    pairs = spark.createDataFrame([(a, b) for a in range(42) for b in range(a + 1, 42)], "a long, b long")
+    got = {(r.a, r.b) for r in near_copies.verified(pairs, nodes, table).collect()}
+    sets = {i: slow_shingles(t) for i, t in rows}
+    assert got == {(a, b) for a in range(42) for b in range(a + 1, 42) if slow_alike(sets[a], sets[b])} and len(got) > 10
 
 
 def slow_repeats(rows):
