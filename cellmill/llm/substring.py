@@ -1,11 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut after sentence ends and line ends, and a sentence of more than LONG_SENTENCE words after its clause marks too; the
-pieces, called sentences here, make up the text again. (A passage set into other text loses the sentences at its two ends, and
-long ones would lose nearly all of it.) From every sentence a run starts: the
+A text is cut after sentence ends, line ends and clause marks; the pieces, called sentences here, make up the text again. (A
+passage set into other text loses the pieces at its two ends; whole sentences would lose more of it.) From every sentence a run starts: the
 fewest consecutive sentences, at least MIN_SENTENCES, that hold MIN_WORDS words or more. Every run is hashed to 128 bits over
 its words (lower case, white space ignored). A run that occurs more than once is a repeated span. Its first
-occurrence by (document id, sentence) stays; the sentences of all others go.
+occurrence by (document, sentence) stays; the sentences of all others go.
+
+A document is an id with a text, so positions never cross texts: rows that share an id but not the text are documents each, in
+the order of two 64-bit hashes of their texts; documents without an id come last. Equal rows are one document.
 
 The hashes of all runs are counted in one shuffle of 64-bit values with map-side sums. A fixed-size bitmap of those that
 repeat then lets a second pass emit only their occurrences, so positions and texts are shuffled for repeated passages alone; once
@@ -14,9 +16,8 @@ Runs that start at neighbouring sentences form a passage; a passage is sent as o
 are judged once, by their first place. So a passage that a third of the documents share is reduced by partial minima before
 the shuffle, and costs a row for each document rather than one for each run.
 
-Edge cases: null and empty texts have no sentences and come back unchanged; rows that share an id (null included)
-count as one document, so an equal row is no repetition of itself; within a document a later repetition goes too;
-an empty table gives an empty result; other columns are untouched.
+Edge cases: null and empty texts have no sentences and come back unchanged; an equal row (null ids included) is no repetition of
+itself; within a document a later repetition goes too; an empty table gives an empty result; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -27,27 +28,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.bitmap import Bitmap, maybe_in
-from cellmill.llm.common import cut, slices
+from cellmill.llm.common import cut, slices, text_key
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
-LONG_SENTENCE = 24
 #: Beyond this share of bits the bitmap filters too little, and runs are joined with the repeated hashes instead.
 MAX_FILL = 0.25
-_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)|(?<=[。！？])")
-_CLAUSE = re.compile(r"(?<=[,;:]\s)|(?<=[，；：])")
+_END = re.compile(r"(?<=[.!?,;:]\s)|(?<=\n)|(?<=[。！？，；：])")
 
 
 def sentences(text: str | None) -> list[str]:
     """The pieces of a text; joined, they are the text."""
-    whole = [s for s in _END.split(text) if s] if text else []
-    if not any(len(s) > 2 * LONG_SENTENCE for s in whole):
-        return whole
-    return [c for s in whole for c in (_CLAUSE.split(s) if len(s) > 2 * LONG_SENTENCE and len(s.split()) > LONG_SENTENCE else (s,)) if c]
+    return [s for s in _END.split(text) if s] if text else []
 
 
 def runs(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[bytes]]:
@@ -164,10 +160,15 @@ def _hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 bigint")
 
 
+def document(id_col: Column, text_col: Column) -> Column:
+    """What names a document: its id and two hashes of its text; in order, those without an id come last."""
+    return F.struct(id_col.isNull().alias("no_id"), id_col.alias("id"), *text_key(text_col))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document that loses sentences: id, gone (array of [first, after) structs), sources (ids of the
-    documents that keep the passage)."""
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """One row per document that loses sentences: id (a struct, see document), gone (array of [first, after) structs), sources (ids
+    of the documents that keep the passage)."""
+    own = docs.select(document(docs[id_col], docs[text_col]).alias("id"), docs[text_col].alias("text"))
 
     counts = cut(_hashes(own, min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
     bitmap = Bitmap.of(counts, F.col("h1"))
@@ -180,7 +181,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = found.select("id", "start", "c1", "c2").join(cut(judged), ["c1", "c2"])
     later = F.filter("runs", lambda r: ~(r["kept"]["id"].eqNullSafe(F.col("id")) & (r["kept"]["at"] == F.col("start") + r["offset"])))
     spans = F.transform("later", lambda r: F.struct((F.col("start") + r["offset"]).alias("first"), (F.col("start") + r["offset"] + r["size"]).alias("after")))
-    gone = placed.withColumn("later", later).filter(F.size("later") > 0).select("id", spans.alias("gone"), F.array_distinct(F.transform("later", lambda r: r["kept"]["id"])).alias("sources"))
+    gone = placed.withColumn("later", later).filter(F.size("later") > 0).select("id", spans.alias("gone"), F.array_distinct(F.transform("later", lambda r: r["kept"]["id"]["id"])).alias("sources"))
     flat = lambda c: F.flatten(F.collect_set(c))
     return gone.groupBy("id").agg(F.sort_array(flat("gone")).alias("gone"), F.sort_array(F.array_distinct(flat("sources"))).alias("sources"))
 
@@ -199,7 +200,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The changed rows and the untouched ones. The changed ones are two structs: `doc`, the row as it was, and
     `repeats`: text (what is left), sentences, removed (numbers of sentences), sources (ids that keep the passages)."""
     spans = cut(repeated_spans(docs, id_col, text_col, min_sentences, min_words))
-    maybe, never = maybe_in(docs, F.xxhash64(docs[id_col]), Bitmap.of(spans, F.xxhash64("id")))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), document(docs[id_col], docs[text_col]).alias("of"))
+    maybe, never = maybe_in(packed, F.xxhash64("of"), Bitmap.of(spans, F.xxhash64("id")))
 
     @F.arrow_udf("text string, sentences int, removed int")
     def rest(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -207,8 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = (pa.string(), pa.int32(), pa.int32())
         return pa.StructArray.from_arrays([pa.array([x[k] for x in left], kind) for k, kind in enumerate(kinds)], names=["text", "sentences", "removed"])
 
-    packed = maybe.select(F.struct(*[maybe[c] for c in maybe.columns]).alias("doc"))
-    joined = packed.join(spans, F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id")), "left")
+    joined = maybe.join(spans, F.col("of").eqNullSafe(F.col("id")), "left")
     left = joined.filter("gone IS NOT NULL").withColumn("rest", rest(F.col(f"doc.`{text_col}`"), F.col("gone")))
     changed = left.select("doc", F.struct("rest.text", "rest.sentences", "rest.removed", "sources").alias("repeats"))
-    return changed, never.unionByName(joined.filter("gone IS NULL").select("doc.*"))
+    return changed, never.select("doc.*").unionByName(joined.filter("gone IS NULL").select("doc.*"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellmill.llm import decontaminate, embedding, graph, near_copies, simhash, substring
 from cellmill.llm.bitmap import Bitmap, maybe_in
+from cellmill.llm.common import text_key
 from cellmill.llm.graph import components
 
 #: A table whose other columns have the operators' own names.
@@ -186,25 +187,44 @@ def test_verification_in_blocks_is_exact(spark, monkeypatch, bound):
     base = prose(rng, 200)
     rows = list(enumerate([base, base + " x"] + [edited(rng, base, rng.randint(2, 9)) for _ in range(40)] + [None, "", "a b"]))
     table = docs(spark, rows)
-    nodes = table.filter("doc_id < 42").select(F.col("doc_id").alias("node"), *near_copies.text_key(F.col("text")))
+    nodes = table.filter("doc_id < 42").select(F.col("doc_id").alias("node"), *text_key(F.col("text")))
     pairs = spark.createDataFrame([(a, b) for a in range(42) for b in range(a + 1, 42)], "a long, b long")
     got = {(r.a, r.b) for r in near_copies.verified(pairs, nodes, table).collect()}
     sets = {i: slow_shingles(t) for i, t in rows}
     assert got == {(a, b) for a in range(42) for b in range(a + 1, 42) if slow_alike(sets[a], sets[b])} and len(got) > 10
 
 
-def slow_repeats(rows):
-    """What is left of each text: {(id, text): (text, removed)}, by the rule itself."""
+def slow_pieces(text):
+    """The pieces of a text, found character by character."""
+    out, piece = [], ""
+    for at, c in enumerate(text or ""):
+        before = text[at - 1] if at else ""
+        piece += c
+        if c == "\n" or c in "。！？，；：" or (c.isspace() and before and before in ".!?,;:"):
+            out.append(piece)
+            piece = ""
+    return out + [piece] if piece else out
+
+
+def slow_repeats(spark, rows):
+    """What is left of each document: {(id, text): (text, removed)}, by the rule itself and with none of the module's code."""
+    keys = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "k int, id long, text string").select("k", *text_key(F.col("text"))).collect()
+    place = {rows[r.k]: (rows[r.k][0] is None, rows[r.k][0] or 0, r.d1, r.d2) for r in keys}
     first, left = {}, {}
-    for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
-        starts, afters, digests = substring.runs(text)
+    for doc in sorted(set(rows), key=place.get):
+        parts = slow_pieces(doc[1])
         gone = set()
-        for s, e, d in zip(starts, afters, digests):
-            at = first.setdefault(d, (i, s))
-            if at != (i, s):
-                gone |= set(range(s, e))
-        parts = substring.sentences(text)
-        left[i] = "".join(p for k, p in enumerate(parts) if k not in gone), len(gone)
+        for start in range(len(parts)):
+            words = []
+            for after in range(start + 1, len(parts) + 1):
+                words += parts[after - 1].lower().split()
+                if after >= start + 2 and len(words) >= 13:
+                    break
+            else:
+                continue
+            if parts[start].split() and first.setdefault(" ".join(words), (doc, start)) != (doc, start):
+                gone |= set(range(start, after))
+        left[doc] = "".join(p for k, p in enumerate(parts) if k not in gone), len(gone)
     return left
 
 
@@ -224,15 +244,17 @@ def test_substring_against_brute_force(spark, monkeypatch, max_fill):
             parts.insert(rng.randint(0, len(parts)), rng.choice(shared))
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
     rows += [(200, None), (201, ""), (202, "One. Two."), (203, shared[0] + " " + shared[1] + " " + shared[0])]
-    want = slow_repeats(rows)
+    rows += [(7, shared[2] + " " + sentence(rng)), (7, unique := " ".join(sentence(rng) for _ in range(9))), (None, shared[3]), (None, shared[3]), (None, sentence(rng) + " " + shared[3]), (None, unique + " End.")]
+    want = slow_repeats(spark, rows)
     changed, untouched = substring.remove_repeats(docs(spark, rows))
-    got = {r.doc.doc_id: (r.repeats.text, r.repeats.removed) for r in changed.collect()}
-    same = {r.doc_id: (r.text or "", 0) for r in untouched.collect()}
+    got = {(r.doc.doc_id, r.doc.text): (r.repeats.text, r.repeats.removed) for r in changed.collect()}
+    same = {(r.doc_id, r.text): (r.text or "", 0) for r in untouched.collect()}
+    assert len(got[None, unique + " End."][0].split()) < 15 and (7, unique) in same
     assert got == {i: v for i, v in want.items() if v[1]} and len(got) > 20
     assert same == {i: v for i, v in want.items() if not v[1]}
     assert set(untouched.columns) == set(docs(spark, []).columns)
     for r in changed.collect():
-        assert r.repeats.sources and all(s <= r.doc.doc_id for s in r.repeats.sources)
+        assert r.repeats.sources and (r.doc.doc_id is None or all(s <= r.doc.doc_id for s in r.repeats.sources))
 
 
 @pytest.mark.parametrize("max_fill", [substring.MAX_FILL, -1.0])
@@ -241,8 +263,8 @@ def test_substring_edges(spark, monkeypatch, max_fill):
     assert [x.count() for x in substring.remove_repeats(docs(spark, []))] == [0, 0]
     text = " ".join(f"Sentence number {i} has some six words." for i in range(6))
     changed, untouched = substring.remove_repeats(docs(spark, [(1, text), (1, text), (None, text), (None, None)]))
-    assert sorted(r.doc.doc_id for r in changed.collect()) == [1, 1]  # the null id comes first; equal rows are one document
-    assert sorted(r.text or "" for r in untouched.collect()) == ["", text]
+    assert [r.doc.doc_id for r in changed.collect()] == [None]  # null ids come last; equal rows are one document
+    assert sorted((r.doc_id or 0, r.text or "") for r in untouched.collect()) == [(0, ""), (1, text), (1, text)]
     for t in (text, "x\n\ny. z", "a.b.c", "。", "no end", "e! f? g"):
         assert "".join(substring.sentences(t)) == t
 
