@@ -133,11 +133,12 @@ def compare(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
     """One row per row: id_col, n_links, component_id (smallest id reachable), kept (whether the row represents its group).
-    Rows that share an id but not a vector are one node of the graph."""
+    Rows that share an id but not a vector are vectors each; their id names the group of either."""
     plain = rows.select(rows[id_col].cast("long").alias("id"), rows[label_col].alias("label"), rows[vector_col].cast("array<double>").alias("vector"))
     key = F.concat_ws("|", F.col("label").cast("string"), F.size("vector").cast("string"))
     plain = plain.withColumn("key", F.when(usable(F.col("vector")) & F.col("id").isNotNull() & F.col("label").isNotNull(), key))
-    nodes = cut(plain.filter("key IS NOT NULL").groupBy("key", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("times")))
+    distinct = plain.filter("key IS NOT NULL").groupBy("key", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     placed = cut(assign(nodes, fit_cells(nodes), margin))
     inside = placed.withColumn("cell", F.explode("cells"))
     sizes = inside.groupBy("key", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -148,12 +149,14 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     compared = cut(pairs.groupBy("key", "cell", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
     links = compared.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(compared.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    known = nodes.join(links, "node", "left").join(groups, "node", "left").select(
-        F.col("key").alias("node_key"), F.col("vector").alias("node_vector"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "node").alias("component")
+    named = cut(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    known = named.join(links, "node", "left").join(ids, "component").select(
+        F.col("key").alias("node_key"), F.col("vector").alias("node_vector"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), "component_id"
     )
     same = (F.col("key") == F.col("node_key")) & (F.col("vector") == F.col("node_vector"))
     found = plain.join(cut(known), same, "left")
-    component = F.coalesce("component", "id")
+    component = F.coalesce("component_id", "id")
     return found.select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )

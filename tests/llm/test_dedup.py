@@ -373,3 +373,10 @@ def test_blocks_of_a_large_cell(spark):
     degree = (u @ u.T >= 0.98).sum(axis=1) - 1
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(degree.tolist()))
     assert {r.component_id for r in got} == {0}
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.05], 0), (2, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (5, [-1.0, 0.0], 0), (4, [-1.0, 0.05], 0), (3, [5.0, 5.0], 1)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors(spark, rows)).collect()]
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 2, 2, True), (5, 2, 2, False), (5, 2, 2, False), (5, 1, 4, False), (4, 1, 4, True), (3, 0, 3, True)]
+    assert sorted(got) == sorted(want)
