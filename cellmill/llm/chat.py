@@ -9,28 +9,37 @@ target counts once.
 Template: <|start|>role<|sep|>text<|end|>. Control strings (the template's and common foreign ones) inside a role or text
 get a backslash after their first character; strings that already look so get one more, which makes it reversible.
 
-Turns are dealt by (conversation, turn // CHUNK_TURNS), and a span ends with its chunk: no task needs a
-whole conversation, however long. The last HISTORY_TURNS turn numbers of a chunk go to the next one too, as history.
+Prefix sums don't need a whole conversation in one task: turns are sorted into ranges, summed within each, and ranges get the sums
+of those before them. By its prefix sum a turn falls into a section of SECTION_WINDOWS windows' worth of tokens; a window ends with its section, and
+sections are formatted independently. History reaches back across sections.
+
+Tokens are estimated from the text: a mark or letter of a script without spaces is one, a word of other letters one for every four
+of them. Pass `tokens` to count by another rule.
 
 Edge cases: null roles and texts are empty; a null turn counts as turn -1; a null conversation id is a conversation;
-repeated rows are turns each, and ties of the turn number go by role, then text; a turn beyond the budget has a window of its
+repeated rows are turns each, and ties of the turn number go by role, then the first TIE_CHARS characters of the text, then its hash; a turn beyond the budget has a window of its
 own and is never cut; an empty table gives no windows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmill.llm.common import cut
+
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: What starts a control string, and what may follow (the template's own, then foreign ones).
 _HEADS = r"([<\[])"
 _TAILS = r"(\|(?:start|sep|end)\|>|/?s>|/?INST\])"
 BUDGET = 1024
 HISTORY = 256
-CHUNK_TURNS = 64
-HISTORY_TURNS = 8
+SECTION_WINDOWS = 64
+TIE_CHARS = 64
 TURN_MARKS = 4
+#: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han, fullwidth forms.
+_NO_SPACES = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F"
+_TOKEN = rf"[{_NO_SPACES}]|[\p{{L}}\p{{M}}\p{{N}}_&&[^{_NO_SPACES}]]{{1,4}}|[^\p{{L}}\p{{M}}\p{{N}}_\s]"
 
 
 def escape(text: Column) -> Column:
@@ -42,66 +51,80 @@ def unescape(text: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """A quarter of the characters, rounded up."""
-    return F.floor((F.length(text) + 3) / 4)
+    """One for every four letters of a word, for a mark, and for a letter of a script without spaces."""
+    return F.regexp_count(text, F.lit(_TOKEN))
 
 
 def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens) -> DataFrame:
+    """conv, turn, role, role_out, text_out, tokens, before: the tokens of the conversation's turns before this one."""
     role, text = F.coalesce(rows[role_col], F.lit("")), F.coalesce(rows[text_col], F.lit(""))
     plain = rows.select(rows[conv_col].alias("conv"), F.coalesce(rows[turn_col].cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"))
-    return plain.select(
+    turns = plain.select(
         "conv", "turn", "role", escape(F.col("role")).alias("role_out"), escape(F.col("text")).alias("text_out"),
         (tokens(F.col("text")).cast("long") + TURN_MARKS).alias("tokens"),
+        F.substr("text", F.lit(1), F.lit(TIE_CHARS)).alias("head"), F.xxhash64("text").alias("digest"),
     )
+    order = ["turn", "role", "head", "digest", "tie"]  # turns equal up to the tie are equal, so any order does
+    dealt = cut(turns.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy(F.col("conv").alias("of"), F.col("part").alias("in_part")).agg(F.sum("tokens").alias("sum"))
+    earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy("in_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(parts.select("of", "in_part", earlier.alias("offset")))
+    within = F.sum("tokens").over(Window.partitionBy("part", "conv").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    placed = dealt.withColumn("within", within).join(offsets, (F.col("part") == F.col("in_part")) & F.col("conv").eqNullSafe(F.col("of")))
+    return placed.select("conv", "turn", "role", "role_out", "text_out", "tokens", (F.col("within") + F.col("offset")).alias("before"))
 
 
-def _spans(turns: Column, room: Column) -> Column:
-    """turns with their prefix sums and span numbers; history from the chunk before is in span -1."""
-    empty = F.array().cast("array<struct<turn:bigint,role:string,role_out:string,text_out:string,tokens:bigint,old:boolean,before:bigint,span:int>>")
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("begin"), F.lit(-1).alias("span"), empty.alias("out"))
+def _starts(turns: Column, room: Column) -> Column:
+    """Positions (from 1) in turns at which spans begin, and one past the end. Turns of the section before come first, marked old."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("begin"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, t: Column) -> Column:
-        total = acc["sum"] + t["tokens"]
-        opens = ~t["old"] & ((acc["span"] < 0) | (total - acc["begin"] > room))
-        span = F.when(opens, acc["span"] + 1).otherwise(acc["span"])
-        fields = [t[c].alias(c) for c in ("turn", "role", "role_out", "text_out", "tokens", "old")]
-        out = F.concat(acc["out"], F.array(F.struct(*fields, acc["sum"].alias("before"), span.alias("span"))))
-        return F.struct(total.alias("sum"), F.when(opens, acc["sum"]).otherwise(acc["begin"]).alias("begin"), span.alias("span"), out.alias("out"))
+        opens = ~t["old"] & ((F.size(acc["starts"]) == 0) | (t["before"] + t["tokens"] - acc["begin"] > room))
+        return F.struct(
+            (acc["at"] + 1).alias("at"), F.when(opens, t["before"]).otherwise(acc["begin"]).alias("begin"),
+            F.when(opens, F.concat(acc["starts"], F.array(acc["at"] + 1))).otherwise(acc["starts"]).alias("starts"),
+        )
 
-    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+    return F.aggregate(turns, start, step, lambda acc: F.concat(acc["starts"], F.array(acc["at"] + 1)))
 
 
 def windows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, target: str = "assistant", tokens=estimated_tokens) -> DataFrame:
-    """One row per window: conv, chunk, span (their order within a conversation), n_repeated (turns in front that an earlier
+    """One row per window: conv, section, span (their order within a conversation), n_repeated (turns in front that an earlier
     window has), n_new, n_tokens, formatted, loss (array of [start, end) in code points of formatted)."""
-    turns = _turns(rows, conv_col, turn_col, role_col, text_col, tokens)
-    chunk = F.floor(F.col("turn") / CHUNK_TURNS)
-    late = F.pmod("turn", F.lit(CHUNK_TURNS)) >= CHUNK_TURNS - HISTORY_TURNS
-    places = F.when(late, F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("old")), F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("old")))).otherwise(
-        F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("old")))
-    )
-    dealt = turns.withColumn("place", F.explode(places)).select("*", "place.*")
-    chunks = (
-        dealt.groupBy("conv", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "role_out", "text_out", "tokens", "old"))).alias("turns"))
+    turns = cut(_turns(rows, conv_col, turn_col, role_col, text_col, tokens))
+    first_system = F.min_by(F.struct("before", "role_out", "text_out", "tokens"), "before")
+    systems = cut(turns.filter(F.col("role") == "system").groupBy(F.col("conv").alias("of")).agg(first_system.alias("system")))
+    of_conv = F.col("conv").eqNullSafe(F.col("of"))
+    room = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(1)).cast("long")
+    roomy = turns.join(systems.select("of", F.col("system.tokens").alias("system_tokens")), of_conv, "left").withColumn("room", room)
+    size = F.greatest(F.col("room") * SECTION_WINDOWS, F.lit(4 * history + 1))
+    section = F.floor(F.col("before") / size)
+    place = lambda number, old: F.struct(number.alias("section"), F.lit(old).alias("old"))
+    late = F.col("before") >= (section + 1) * size - history
+    dealt = roomy.withColumn("place", F.explode(F.when(late, F.array(place(section, False), place(section + 1, True))).otherwise(F.array(place(section, False))))).select("*", "place.*")
+    sections = (
+        dealt.groupBy("conv", "section", "room")
+        .agg(F.array_sort(F.collect_list(F.struct("before", "role", "role_out", "text_out", "tokens", "old"))).alias("turns"))
         .filter(F.exists("turns", lambda t: ~t["old"]))
     )
-    first_system = F.min(F.struct("turn", "role", "role_out", "text_out", "tokens"))
-    systems = turns.filter(F.col("role") == "system").groupBy(F.col("conv").alias("of")).agg(first_system.alias("system"))
-    joined = chunks.join(systems, F.col("conv").eqNullSafe(F.col("of")), "left").drop("of")
-    room = F.greatest(F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0)), F.lit(1))
-    spanned = joined.withColumn("turns", _spans(F.col("turns"), room))
-    each = spanned.withColumn("span", F.explode(F.sequence(F.lit(0), F.element_at("turns", -1)["span"])))
-    new = each.withColumn("new", F.filter("turns", lambda t: t["span"] == F.col("span")))
-    same_as_system = lambda t: F.coalesce((t["turn"] == F.col("system.turn")) & (t["role"] == "system") & (t["text_out"] == F.col("system.text_out")), F.lit(False))
-    recent = F.filter("turns", lambda t: (t["span"] < F.col("span")) & (F.col("new")[0]["before"] - t["before"] <= history) & ~same_as_system(t))
+    started = sections.join(systems, of_conv, "left").withColumn("starts", _starts(F.col("turns"), F.col("room")))
+    same_as_system = lambda t: F.coalesce(t["before"] == F.col("system.before"), F.lit(False))
     piece = lambda t, own: F.struct(t["role_out"].alias("role_out"), t["text_out"].alias("text_out"), t["tokens"].alias("tokens"), own.alias("own"))
-    has_own_system = F.exists("new", same_as_system)
+    reach = history // TURN_MARKS + 1  # a turn has TURN_MARKS tokens or more, so history has no more turns
+
+    def window(k: Column) -> Column:
+        begin, after = F.get("starts", k), F.get("starts", k + 1)
+        oldest = F.greatest(F.lit(1), begin - reach)
+        base = F.get("turns", begin - 1)["before"]
+        recent = F.filter(F.slice("turns", oldest, begin - oldest), lambda t: (base - t["before"] <= history) & ~same_as_system(t))
+        return F.struct(k.alias("span"), F.slice("turns", begin, after - begin).alias("new"), recent.alias("recent"))
+
+    each = started.select("conv", "section", "system", F.explode(F.transform(F.sequence(F.lit(0), F.size("starts") - 2), window)).alias("w")).select("*", "w.*")
     nothing = F.array().cast("array<struct<role_out:string,text_out:string,tokens:bigint,own:boolean>>")
-    system = F.when(F.col("system").isNotNull() & ~has_own_system, F.array(piece(F.col("system"), F.lit(False)))).otherwise(nothing)
-    parts = new.select(
-        "conv", "chunk", "span",
-        F.concat(system, F.transform(recent, lambda t: piece(t, F.lit(False)))).alias("repeated"),
+    system = F.when(F.col("system").isNotNull() & ~F.exists("new", same_as_system), F.array(piece(F.col("system"), F.lit(False)))).otherwise(nothing)
+    parts = each.select(
+        "conv", "section", "span",
+        F.concat(system, F.transform("recent", lambda t: piece(t, F.lit(False)))).alias("repeated"),
         F.transform("new", lambda t: piece(t, t["role"] == target)).alias("new"),
     ).withColumn("pieces", F.concat("repeated", "new"))
     head = lambda p: F.concat(F.lit(START), p["role_out"], F.lit(SEP))
@@ -114,7 +137,7 @@ def windows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         return F.struct((end + len(END)).alias("at"), F.when(p["own"], F.concat(acc["loss"], masked)).otherwise(acc["loss"]).alias("loss"))
 
     return parts.select(
-        "conv", "chunk", "span", F.size("repeated").alias("n_repeated"), F.size("new").alias("n_new"),
+        "conv", "section", "span", F.size("repeated").alias("n_repeated"), F.size("new").alias("n_new"),
         F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("n_tokens"),
         F.array_join(F.transform("pieces", lambda p: F.concat(head(p), p["text_out"], F.lit(END))), "").alias("formatted"),
         F.aggregate("pieces", begin, mark, lambda acc: acc["loss"]).alias("loss"),

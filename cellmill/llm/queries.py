@@ -20,13 +20,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.windows(rows.union(probe))
     own = F.slice(chat.read_turns(F.col("formatted")), F.col("n_repeated") + 1, F.col("n_new"))
     read = formatted.select(
-        "conv", "chunk", "span",
+        "conv", "section", "span",
         F.size(own).alias("n"),
         F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
         F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("loss"),
         F.length("formatted").alias("chars"),
     )
-    ordered = read.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "span", "n", "turns", "loss", "chars"))).alias("w"))
+    ordered = read.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("section", "span", "n", "turns", "loss", "chars"))).alias("w"))
     total = lambda field: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x[field])
     text = lambda field: F.array_join(F.transform("w", lambda x: x[field]), "")
     return ordered.select(

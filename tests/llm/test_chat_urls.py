@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -14,7 +15,7 @@ CONV = "conv_id long, turn long, role string, text string, formatted string, spa
 def read(spark, rows, **how):
     df = chat.windows(spark.createDataFrame([(*r, "x", 1) for r in rows], CONV), **how)
     out = df.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("masked", chat.read_loss(F.col("formatted"), F.col("loss")))
-    return sorted(out.collect(), key=lambda r: (r.conv is not None, r.conv, r.chunk, r.span))
+    return sorted(out.collect(), key=lambda r: (r.conv is not None, r.conv, r.section, r.span))
 
 
 def test_escape_round_trip(spark):
@@ -37,16 +38,61 @@ def test_windows_hold_each_turn_once(spark, turns, budget):
     for w in got:
         assert len(w.turns) == w.n_repeated + w.n_new
         if systems:
-            assert systems[0] in [(t.role, t.text) for t in w.turns] or w.chunk == 0
+            assert systems[0] in [(t.role, t.text) for t in w.turns]
         assert w.n_tokens <= budget or w.n_new == 1
 
 
-def test_history_crosses_chunks_and_is_masked(spark):
-    rows = [(7, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(150)] + [(7, -1, "system", "be brief")]
-    got = read(spark, rows, budget=200, history=60)
-    first_of_chunk = next(w for w in got if w.chunk == 1 and w.span == 0)
-    assert [t.text for t in first_of_chunk.turns][:2] == ["be brief", "text 56"] or first_of_chunk.n_repeated > 1
-    assert sum(len(w.masked) for w in got) == 75
+def slow_windows(rows, budget, history, section_windows):
+    """The windows of one conversation by a plain loop: [(turns, number of repeated ones)]. rows: (turn, role, text)."""
+    turns = sorted(((-1 if n is None else n, r or "", t or "") for n, r, t in rows))
+    tokens = [sum(-(-len(w) // 4) for w in t.split()) + chat.TURN_MARKS for _, _, t in turns]
+    before = [sum(tokens[:i]) for i in range(len(turns))]
+    system = next((i for i, t in enumerate(turns) if t[1] == "system"), None)
+    room = max(1, budget - history - (tokens[system] if system is not None else 0))
+    size = max(room * section_windows, 4 * history + 1)
+    spans = []
+    for i in range(len(turns)):
+        first = spans[-1][0] if spans else 0
+        if not spans or before[i] // size != before[first] // size or before[i] + tokens[i] - before[first] > room:
+            spans.append([])
+        spans[-1].append(i)
+    out = []
+    for span in spans:
+        repeated = [i for i in range(span[0]) if before[span[0]] - before[i] <= history and i != system]
+        if system is not None and system not in span:
+            repeated.insert(0, system)
+        out.append(([turns[i][1:] for i in repeated + span], len(repeated)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["short", "sparse", "null", "repeated", "long", "system"])
+def test_windows_against_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(chat, "SECTION_WINDOWS", 5)
+    rng = random.Random(kind)
+    say = lambda: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 40)))
+    number = {"short": lambda i: i, "sparse": lambda i: 100 * i, "null": lambda i: None, "repeated": lambda i: i // 50, "long": lambda i: i, "system": lambda i: i}[kind]
+    rows = [(number(i), rng.choice(["user", "assistant"]), say()) for i in range({"short": 130, "long": 1000}.get(kind, 200))]
+    if kind in ("system", "repeated"):
+        rows += [(60, "system", "be brief"), (3, "system", "be kind")]
+    got = read(spark, [(1, *r) for r in rows], budget=300, history=60)
+    assert [([(t.role, t.text) for t in w.turns], w.n_repeated) for w in got] == slow_windows(rows, 300, 60, 5)
+    assert [x for w in got for x in w.masked] == [t for _, r, t in sorted((-1 if n is None else n, r, t) for n, r, t in rows) if r == "assistant"]
+    filled = [w.n_tokens for w in got]
+    assert max(filled) <= 300 and sum(filled) / len(filled) > 200
+
+
+def test_one_conversation_over_many_partitions(spark):
+    rows = [(1, i, "user", f"turn {i}") for i in range(3000)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9)
+    got = chat.windows(df).orderBy("conv", "section", "span").collect()
+    assert len(got) > 10 and sum(w.n_new for w in got) == 3001
+    assert all(a.section * chat.SECTION_WINDOWS <= b.section * chat.SECTION_WINDOWS for a, b in zip(got, got[1:]) if a.conv == b.conv)
+
+
+def test_token_estimate(spark):
+    texts = {"": 0, "four five words": 1 + 1 + 2, "a, b.": 4, "東京は日本": 5, "ไทย": 3, "Straße": 2, "日本 test": 3, "\t \n": 0}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.estimated_tokens(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == texts
 
 
 def test_edges_chat(spark):
