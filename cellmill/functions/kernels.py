@@ -1,11 +1,14 @@
-"""Scalar kernels as column expressions: depth errors, boxes, poses, text, timing. Nothing here leaves the JVM."""
+"""Scalar kernels as column expressions: depth errors, boxes, poses, text, timing. Only the Unicode compatibility form of labels leaves the JVM."""
 
 from __future__ import annotations
 
 import math
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # -- depth: pixel rows are aggregated ------------------------------------------------------------------------------------
 
@@ -87,10 +90,12 @@ def center_inside(a: Box, b: Box) -> Column:
 
 
 def scaled_box(b: Box, width: Column, height: Column) -> Box:
-    """Pixel box of a box in [0, 1] (if all four are) or in [0, 1000]; both scale to the last pixel, and are clamped."""
-    unit = (F.least(*b) >= 0) & (F.greatest(*b) <= 1)
+    """Pixel box of a box in [0, 1] (if all four numbers are) or on a grid of [0, 1000], neither rounded nor clamped; nulls for numbers
+    off the grid or corners out of order."""
+    unit = F.greatest(*b) <= 1
     scale = F.when(unit, 1.0).otherwise(1000.0)
-    at = lambda c, size: F.greatest(F.least(F.floor(c / scale * (size - 1) + 0.5), size - 1), F.lit(0))
+    fine = (F.least(*b) >= 0) & (F.greatest(*b) <= 1000) & (b[0] <= b[2]) & (b[1] <= b[3])
+    at = lambda c, size: F.when(fine, c * (size - 1) / scale)
     return at(b[0], width), at(b[1], height), at(b[2], width), at(b[3], height)
 
 
@@ -132,8 +137,8 @@ def translation_error(a: Vec, b: Vec) -> Column:
     return norm([x - y for x, y in zip(a, b)])
 
 
-def direction_error(a: Vec, b: Vec, tiny: float = 1e-8) -> Column:
-    """Degrees between two translations; 180 where one has no length."""
+def direction_error(a: Vec, b: Vec, tiny: float = 1e-9) -> Column:
+    """Degrees between two translations; 180 where one is shorter than tiny."""
     size = norm(a) * norm(b)
     angle = F.degrees(F.acos(F.greatest(F.least(dot(a, b) / F.nullif(size, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))))
     return F.when((norm(a) < tiny) | (norm(b) < tiny), F.lit(180.0)).otherwise(angle)
@@ -189,20 +194,29 @@ def motion_angle(m: Column) -> Column:
 
 # -- text ------------------------------------------------------------------------------------------------------------------
 
-#: Spellings that mean the same.
-ALIASES = {"gray": "grey", "grey colored": "grey", "metallic": "metal"}
+#: Spellings that mean the same, by kind of attribute.
+COLOUR_ALIASES = {"gray": "grey"}
+FUNCTION_ALIASES = {"to drink": "drink", "to eat": "eat", "to snack": "snack"}
+
+
+@F.arrow_udf(StringType())
+def compatible(texts: pa.Array) -> pa.Array:
+    """Unicode compatibility form (NFKC); the JVM's functions have none."""
+    plain = (t.as_py() for t in texts)
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in plain], pa.string())
 
 
 def normal_label(text: Column) -> Column:
-    """Lower case without punctuation, underscores as spaces, single spaces."""
-    plain = F.regexp_replace(F.lower(F.trim(text)), "_", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9 ]", ""), " +", " "))
+    """Compatibility form, lower case, underscores as spaces, letters, digits and hyphens of any script kept, single spaces."""
+    plain = F.regexp_replace(F.lower(compatible(text)), "_", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}\s-]", ""), r"(?U)\s+", " "))
 
 
-def canonical(text: Column, aliases: dict[str, str] = ALIASES) -> Column:
-    label = F.regexp_replace(normal_label(text), "^to ", "")
+def canonical(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Lower case and single spaces, then the aliases of the value's kind."""
+    label = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
     out = label
-    for a, b in aliases.items():
+    for a, b in (aliases or {}).items():
         out = F.when(label == a, F.lit(b)).otherwise(out)
     return out
 
@@ -212,11 +226,12 @@ def words(text: Column) -> Column:
 
 
 def token_f1(pred: Column, truth: Column) -> Column:
-    """F1 of the words of two texts as multisets."""
-    p, t = words(pred), words(truth)
+    """F1 of two arrays of words (see words) as multisets; 0 where either is empty or null."""
+    nothing = F.array().cast("array<string>")
+    p, t = F.coalesce(pred, nothing), F.coalesce(truth, nothing)
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + F.least(count(p, w), count(t, w)))
-    return F.when((F.size(p) == 0) & (F.size(t) == 0), 1.0).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(t)))
+    common = F.aggregate(F.array_intersect(p, t), F.lit(0), lambda acc, w: acc + F.least(count(p, w), count(t, w)))
+    return F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(t)))
 
 
 def only_box(text: Column) -> Column:
@@ -234,11 +249,10 @@ def metadata_field(json: Column, name: str) -> Column:
 # -- timing ----------------------------------------------------------------------------------------------------------------
 
 
-def roofline(flops: Column, traffic: Column, peak_tflops: float, peak_gbs: float) -> tuple[Column, Column]:
-    """Attainable TFLOP/s and what bounds it."""
-    intensity = flops / F.nullif(traffic, F.lit(0.0))
-    by_memory = intensity * peak_gbs / 1000.0
-    return F.least(by_memory, F.lit(peak_tflops)), F.when(by_memory < peak_tflops, "memory").otherwise("compute")
+def roofline(flops: Column, traffic: Column, peak_tflops: float, peak_gbs: float) -> tuple[Column, Column, Column, Column]:
+    """Milliseconds that the arithmetic and the traffic take at least, the larger of them, and what bounds the kernel."""
+    compute, memory = flops / (peak_tflops * 1e12) * 1e3, traffic / (peak_gbs * 1e9) * 1e3
+    return compute, memory, F.greatest(compute, memory), F.when(compute >= memory, "compute").otherwise("memory")
 
 
 def human_bytes(n: Column) -> Column:

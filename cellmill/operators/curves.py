@@ -36,12 +36,13 @@ def confusion(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFr
 
 
 def mean_iou(df: DataFrame, pred: str, truth: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean over the classes of the truth of intersection over union of rows with that class."""
+    """Mean over the truth's classes (those of 0 and more) of intersection over union of rows with that class; 1 where the truth
+    has no class."""
     c = confusion(df, pred, truth, by)
     t = c.groupBy(*by, truth).agg(F.sum("n").alias("nt"), F.sum(F.when(F.col(pred) == F.col(truth), F.col("n")).otherwise(0)).alias("hit"))
     p = c.groupBy(*by, pred).agg(F.sum("n").alias("np")).withColumnRenamed(pred, truth)
-    iou = t.join(p, [*by, truth], "left").withColumn("iou", F.col("hit") / (F.col("nt") + F.coalesce("np", F.lit(0)) - F.col("hit")))
-    return iou.groupBy(*by).agg(F.avg("iou").alias("miou"), F.count(F.lit(1)).alias("classes"))
+    iou = t.join(p, [*by, truth], "left").withColumn("iou", F.when(F.col(truth) >= 0, F.col("hit") / (F.col("nt") + F.coalesce("np", F.lit(0)) - F.col("hit"))))
+    return iou.groupBy(*by).agg(F.coalesce(F.avg("iou"), F.lit(1.0)).alias("miou"), F.count("iou").alias("classes"))
 
 
 def log_curve(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

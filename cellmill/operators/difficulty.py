@@ -26,6 +26,17 @@ def scores(normed: DataFrame, keys: list[str], weights: DataFrame | None = None)
     )
 
 
+def effort_stratified(features: list[str], effort: tuple[str, ...], alpha: float = 0.25) -> dict[str, float]:
+    """Weights that give the effort features a share of alpha, equally, and all others the rest; equal weights if all are effort."""
+    marked = [f for f in features if f in effort]
+    others = [f for f in features if f not in effort]
+    if not marked or not 0 <= alpha <= 1:
+        raise ValueError(f"no effort feature among {features}" if not marked else f"alpha must lie in [0, 1], not {alpha}")
+    if not others:
+        return {f: 1 / len(features) for f in features}
+    return {f: alpha / len(marked) if f in effort else (1 - alpha) / len(others) for f in features}
+
+
 def category_scores(normed: DataFrame, categories: DataFrame, keys: list[str]) -> DataFrame:
     """Mean norm of each category of features (categories: feature, category)."""
     return normed.join(F.broadcast(categories), "feature").groupBy(*keys, "category").agg(F.avg("p").alias("score"))

@@ -39,10 +39,16 @@ def odd_one_out(attrs: DataFrame, frame: list[str], item: str, value: str) -> Da
     return shared.join(items, frame).join(have, [*frame, value, item], "left_anti")
 
 
+#: Different values up to which they are broadcast to the frames; beyond, Spark multiplies them by a shuffle.
+BROADCAST_VALUES = 10_000
+
+
 def absent_values(attrs: DataFrame, frame: list[str], value: str) -> DataFrame:
-    """Values known somewhere that no object of a frame has."""
+    """Values known somewhere that no object of a frame has. The result is as large as frames times values by its rule."""
+    have = attrs.select(*frame, value).distinct()
     frames, values = attrs.select(*frame).distinct(), attrs.select(value).distinct()
-    return frames.crossJoin(F.broadcast(values)).join(attrs.select(*frame, value).distinct(), [*frame, value], "left_anti")
+    few = values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return frames.crossJoin(F.broadcast(values) if few else values).join(have, [*frame, value], "left_anti")
 
 
 def synonyms(names: DataFrame, frame: list[str], item: str, canonical: str, alias: str) -> DataFrame:
@@ -84,29 +90,64 @@ def farthest_pair(objects: DataFrame, frame: list[str], item: str, x: str, y: st
     return both.filter("flat = deep").select(*frame, F.col("flat.a").alias("a"), F.col("flat.b").alias("b"))
 
 
+#: Hash slices within which a ring is numbered; no task numbers a whole ring.
+SLICES = 256
+
+
+def ring(members: DataFrame, by: list[str], member: str, seed: str) -> DataFrame:
+    """by, member, place (0-based, in the order of the members' hashes) and size of the ring of each group."""
+    hashed = members.select(*by, member).distinct().withColumn("__h", hash_rank(seed, *by, member))
+    sliced = hashed.withColumn("__slice", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
+    group = by or ["__all"]
+    sliced = sliced if by else sliced.withColumn("__all", F.lit(0))
+    sizes = sliced.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    every = W.partitionBy(*group)  # at most SLICES rows
+    before = F.sum("__n").over(every.orderBy("__slice").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    offsets = sizes.select(*group, "__slice", before.alias("__before"), F.sum("__n").over(every).alias("size"))
+    within = F.row_number().over(W.partitionBy(*group, "__slice").orderBy("__h", member)) - 1
+    return sliced.withColumn("__k", within).join(offsets, [*group, "__slice"]).select(*by, member, (F.col("__k") + F.col("__before")).alias("place"), "size")
+
+
+def spin(seed: str, *parts: str) -> Column:
+    """A number that says where a key starts on any ring."""
+    return F.conv(F.substring(hash_rank(seed, *parts), 1, 12), 16, 10).cast("long")
+
+
 def references(targets: DataFrame, catalog: DataFrame, value: str, frame: list[str], item: str, seed: str) -> DataFrame:
-    """For a question (frame, item, value) a catalogued object that has the value and is no object of the frame: the one
-    with the smallest hash. Targets whose value another object of the frame has too are ambiguous and left out."""
+    """For a question (frame, item, value) a catalogued object that has the value and is no object of the frame: the first on the
+    value's ring from the question's own start. A frame of n objects can reject n at most, so n + 1 places are looked up, whatever the
+    catalogue's size. Targets whose value another object of the frame has too are ambiguous and left out."""
     shared = targets.groupBy(*frame, value).agg(F.countDistinct(item).alias("n")).filter("n > 1").select(*frame, value)
-    clear = targets.join(shared, [*frame, value], "left_anti")
-    found = clear.join(catalog.select(value, F.col(item).alias("reference")).distinct(), value)
+    clear = targets.join(shared, [*frame, value], "left_anti").distinct()
+    numbered = ring(catalog.select(value, F.col(item).alias("reference")), [value], "reference", seed)
     present = targets.select(*frame, F.col(item).alias("reference")).distinct()
+    objects = present.groupBy(*frame).agg(F.count(F.lit(1)).alias("__objects"))
+    sizes = numbered.groupBy(value).agg(F.first("size").alias("size"))
+    asked = clear.join(objects, frame).join(sizes, value).withColumn("__start", spin(seed, *frame, item, value))
+    tried = asked.select(*frame, item, value, "size", "__start", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__objects"), F.col("size") - 1))).alias("step"))
+    placed = tried.withColumn("place", F.pmod(F.col("__start") + F.col("step"), F.col("size"))).drop("size")
+    found = placed.join(numbered.select(value, "place", "reference"), [value, "place"])
     outside = found.join(present, [*frame, "reference"], "left_anti")
-    rank = hash_rank(seed, *frame, item, value, "reference")
-    return outside.groupBy(*frame, item, value).agg(F.min_by("reference", rank).alias("reference"))
+    return outside.groupBy(*frame, item, value).agg(F.min_by("reference", "step").alias("reference"))
 
 
 def options(questions: DataFrame, pool: DataFrame, key: list[str], answer: str, seed: str, n: int = 3) -> DataFrame:
     """Answer and n wrong options in hash order as an array, with the answer's letter. pool: key columns that narrow it (may be
-    none) and option. Questions with fewer than n real wrong options are dropped."""
+    none) and option. The options follow the question's start on the ring of the (narrowed) pool; n + 1 places are looked up, of
+    which the answer can take one. Questions with fewer than n real wrong options are dropped."""
     narrow = [c for c in pool.columns if c != "option"]
-    candidates = questions.join(pool.distinct(), narrow) if narrow else questions.crossJoin(F.broadcast(pool.distinct()))
-    wrong = candidates.filter(F.col("option") != F.col(answer)).withColumn("h", hash_rank(seed, *key, "option"))
-    w = W.partitionBy(*key).orderBy("h")
-    few = wrong.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).groupBy(*key, answer).agg(F.collect_list("option").alias("wrong")).filter(F.size("wrong") == n)
+    numbered = ring(pool, narrow, "option", seed)
+    sizes = numbered.groupBy(*narrow).agg(F.first("size").alias("__size")) if narrow else numbered.agg(F.first("size").alias("__size"))
+    sized = questions.join(sizes, narrow) if narrow else questions.crossJoin(F.broadcast(sizes))  # one row
+    tried = sized.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.col("__size") - 1))))
+    placed = tried.withColumn("place", F.pmod(spin(seed, *key) + F.col("__step"), F.col("__size")))
+    wrong = placed.join(numbered.drop("size"), [*narrow, "place"]).filter(F.col("option") != F.col(answer))
+    steps = F.array_sort(F.collect_list(F.struct("__step", "option")))
+    few = wrong.groupBy(*key, answer).agg(F.transform(F.slice(steps, 1, n), lambda s: s["option"]).alias("wrong")).filter(F.size("wrong") == n)
     every = F.concat("wrong", F.array(answer))
-    mixed = F.transform(F.array_sort(F.transform(every, lambda o: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.concat_ws("/", *[F.col(k).cast("string") for k in key]), o.cast("string")), 256).alias("h"), o.alias("o")))), lambda s: s["o"])
-    out = few.withColumn("options", mixed).drop("wrong")
+    own = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    hashed = lambda o: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), own, o.cast("string")), 256).alias("h"), o.alias("o"))
+    out = few.withColumn("options", F.transform(F.array_sort(F.transform(every, hashed)), lambda s: s["o"])).drop("wrong")
     return out.withColumn("letter", F.substring(F.lit("ABCDEFGH"), F.array_position("options", F.col(answer)).cast("int"), F.lit(1)))
 
 

@@ -21,32 +21,46 @@ def gap_rates(df: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return df.withColumn("rate", (F.col(value) - F.lag(value).over(w)) / F.nullif(gap, F.lit(0)))
 
 
-def mad_clip(df: DataFrame, keys: list[str], value: str, k: float = 5.0) -> DataFrame:
-    """Values more than k median absolute deviations above the median are replaced by the median."""
-    center = df.groupBy(*keys).agg(F.median(value).alias("med"))
+#: Fixed value: makes the median absolute deviation of normal values their standard deviation.
+MAD_SCALE = 1.4826
+
+
+def _spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with med, mad, range and n of its key."""
+    center = df.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("range"))
     far = df.join(center, keys)
-    spread = far.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    over = (F.col("mad") > 0) & (F.col(value) > F.col("med") + k * F.col("mad"))
-    return far.join(spread, keys).withColumn("clipped", F.when(over, F.col("med")).otherwise(F.col(value)))
+    return far.join(far.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad")), keys)
+
+
+def mad_clip(df: DataFrame, keys: list[str], value: str, k: float = 5.0) -> DataFrame:
+    """Values more than k scaled median absolute deviations above the median are replaced by the median. Keys with fewer than three
+    values or without spread pass unchanged."""
+    over = (F.col("n") >= 3) & (F.col("mad") > 0) & (F.col(value) > F.col("med") + k * F.col("mad") * MAD_SCALE)
+    return _spread(df, keys, value).withColumn("clipped", F.when(over, F.col("med")).otherwise(F.col(value)))
 
 
 def mad_outliers(df: DataFrame, keys: list[str], value: str, z: float = 3.5) -> DataFrame:
-    """Modified z-scores beyond z; with no spread any other value than the median is an outlier."""
-    center = df.groupBy(*keys).agg(F.median(value).alias("med"))
-    far = df.join(center, keys)
-    spread = far.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    d = F.abs(F.col(value) - F.col("med"))
-    return far.join(spread, keys).withColumn("outlier", F.when(F.col("mad") > 0, 0.6745 * d / F.col("mad") > z).otherwise(d > 0))
+    """Values whose robust z-score is above z; low values never are. Where most values are equal, any above the median; where
+    all are (to 1e-9), none."""
+    above = F.col(value) - F.col("med")
+    outlier = F.when(F.col("range") < 1e-9, False).when(F.col("mad") < 1e-12, above > 1e-9).otherwise(above / (MAD_SCALE * F.col("mad")) > z)
+    return _spread(df, keys, value).withColumn("outlier", outlier)
 
 
-def stability(df: DataFrame, keys: list[str], order: list[str], value: str, drop: float = 0.5) -> DataFrame:
-    """Coefficient of variation of a size over frames, sudden drops, and changes between seen (> 0) and unseen."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    before = F.lag(value).over(w)
+def stability(df: DataFrame, keys: list[str], item: str, order: list[str], value: str, drop: float = 0.5) -> DataFrame:
+    """Means over the items of a key that were seen (size > 0): coefficient of variation over the frames that show the item, share of
+    frames at which it loses more than `drop` of its size, share of frames at which it comes or goes. df: a row per item and frame."""
+    before = F.lag(value).over(W.partitionBy(*keys, item).orderBy(*order))
     seen, was = F.col(value) > 0, before > 0
-    marked = df.withColumn("fell", (was & (F.col(value) < before * (1 - drop))).cast("int")).withColumn("flipped", (seen != was).cast("int"))
-    cv = F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))
-    return marked.groupBy(*keys).agg(cv.alias("cv"), F.coalesce(F.sum("fell"), F.lit(0)).alias("drops"), F.coalesce(F.sum("flipped"), F.lit(0)).alias("flips"))
+    marked = df.withColumn("fell", F.when(was, ((before - F.col(value)) / before > drop).cast("int"))).withColumn("flipped", (seen != was).cast("int"))
+    shown = F.when(seen, F.col(value))
+    frames = F.count(F.lit(1))
+    each = marked.groupBy(*keys, item).agg(
+        (F.stddev_pop(shown) / F.avg(shown)).alias("cv"), F.max(seen).alias("ever"),
+        (F.sum("fell") / frames).alias("drops"), F.when(frames > 1, F.coalesce(F.sum("flipped"), F.lit(0)) / frames).alias("flips"),
+    )
+    mean = lambda c: F.coalesce(F.avg(F.when(F.col("ever"), F.col(c))), F.lit(0.0))
+    return each.groupBy(*keys).agg(mean("cv").alias("area_cv"), mean("drops").alias("area_drop"), mean("flips").alias("vis_instability"))
 
 
 def dense_grid(df: DataFrame, keys: list[str], frame: str, item: str, value: str) -> DataFrame:
@@ -98,20 +112,29 @@ def slopes(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
-def aligned(df: DataFrame, keys: list[str], pred: str, truth: str, mode: str = "affine") -> DataFrame:
-    """Prediction brought to the truth per key from running sums: none, median (ratio of medians), affine, disparity
-    (affine in 1/x) or log (affine in ln x)."""
+#: Smallest disparity or depth that is inverted, largest logarithm of a depth.
+INVERSE_FLOOR, LOG_CAP = 1e-3, 5.0
+
+
+def aligned(df: DataFrame, keys: list[str], pred: str, truth: str, mode: str = "affine", valid: Column | None = None) -> DataFrame:
+    """Prediction brought to the truth per key from running sums: none, median (ratio of medians), affine (truth over prediction),
+    disparity (1 / truth over prediction, which is a disparity itself) or log (ln truth over prediction). Only `valid` rows are
+    fitted; a key without any keeps its predictions, one with a constant prediction gets the mean."""
     if mode == "none":
         return df.withColumn("aligned", F.col(pred))
+    x, y = F.col(pred), F.col(truth)
+    fine = F.lit(True) if valid is None else valid
     if mode == "median":
-        fit = df.groupBy(*keys).agg((F.median(truth) / F.nullif(F.median(pred), F.lit(0.0))).alias("__s"))
-        return df.join(fit, keys).withColumn("aligned", F.col(pred) * F.col("__s")).drop("__s")
-    turn = {"affine": lambda c: c, "disparity": lambda c: 1 / F.nullif(c, F.lit(0.0)), "log": lambda c: F.when(c > 0, F.ln(c))}[mode]
-    x, y = turn(F.col(pred)), turn(F.col(truth))
-    fit = df.withColumn("__x", x).withColumn("__y", y).groupBy(*keys).agg(F.regr_slope("__y", "__x").alias("__s"), F.regr_intercept("__y", "__x").alias("__t"))
+        scale = F.median(F.when(fine, y)) / F.greatest(F.median(F.when(fine, x)), F.lit(1e-9))
+        return df.join(df.groupBy(*keys).agg(scale.alias("__s")), keys).withColumn("aligned", x * F.coalesce("__s", F.lit(1.0))).drop("__s")
+    goal = {"affine": y, "disparity": 1 / F.greatest(y, F.lit(INVERSE_FLOOR)), "log": F.when(y > 0, F.ln(y))}[mode]
+    pairs = df.withColumn("__x", F.when(fine & goal.isNotNull(), x)).withColumn("__y", F.when(fine & x.isNotNull(), goal))
+    fit = pairs.groupBy(*keys).agg(
+        F.coalesce(F.regr_slope("__y", "__x"), F.lit(0.0)).alias("__s"), F.coalesce(F.regr_intercept("__y", "__x"), F.avg("__y")).alias("__t"), F.count("__y").alias("__n")
+    )
     line = x * F.col("__s") + F.col("__t")
-    back = {"affine": line, "disparity": F.when(line > 0, 1 / F.nullif(line, F.lit(0.0))), "log": F.exp(line)}[mode]
-    return df.join(fit, keys).withColumn("aligned", back).drop("__s", "__t")
+    back = {"affine": line, "disparity": 1 / F.greatest(line, F.lit(INVERSE_FLOOR)), "log": F.exp(F.least(line, F.lit(LOG_CAP)))}[mode]
+    return df.join(fit, keys).withColumn("aligned", F.when(F.col("__n") > 0, back).otherwise(x)).drop("__s", "__t", "__n")
 
 
 def consecutive_mean(df: DataFrame, keys: list[str], order: list[str], distance: Column | str, value: str) -> DataFrame:

@@ -72,11 +72,12 @@ def weighted_mean_nulls(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    """Percentiles of latency per model after the first frames of each scene are trimmed as warm-up."""
+    """Percentiles of latency per model after the first frames of each scene are trimmed as warm-up; a scene with no more than those keeps all."""
     from pyspark.sql import Window as W
 
     s = roles.samples(spark, sf)
-    trimmed = s.withColumn("k", F.row_number().over(W.partitionBy("model", "scene").orderBy("sample", "latency_ms"))).filter("k > 2")
+    w = W.partitionBy("model", "scene")
+    trimmed = s.withColumn("k", F.row_number().over(w.orderBy("sample", "latency_ms"))).withColumn("frames", F.count(F.lit(1)).over(w)).filter("k > 2 OR frames <= 2")
     p = [F.percentile("latency_ms", q).alias(f"p{round(q * 100)}") for q in (0.05, 0.5, 0.95, 0.99)]
     return rounded(trimmed.groupBy("model").agg(*p, F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"), F.count(F.lit(1)).alias("n")))
 
@@ -167,7 +168,8 @@ ORACLE_SQL = {
         FROM samples WHERE frame % 3 <> 0 AND frame <> 4 GROUP BY model, task""",
     "latency_percentiles": f"""WITH {roles.SAMPLES_SQL} SELECT model, round(quantile_cont(latency_ms, 0.05), 6) AS p5, round(quantile_cont(latency_ms, 0.5), 6) AS p50,
         round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99, round(avg(latency_ms), 6) AS mean, round(max(latency_ms), 6) AS max, count(*) AS n
-        FROM (SELECT *, row_number() OVER (PARTITION BY model, scene ORDER BY sample, latency_ms) AS k FROM samples) WHERE k > 2 GROUP BY model""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY model, scene ORDER BY sample, latency_ms) AS k, count(*) OVER (PARTITION BY model, scene) AS frames FROM samples)
+        WHERE k > 2 OR frames <= 2 GROUP BY model""",
     "esd_by_tier": f"""WITH {roles.TIERED_SQL} SELECT model, round(avg(absrel) FILTER (WHERE difficulty = 'easy'), 6) AS easy, round(avg(absrel) FILTER (WHERE difficulty = 'medium'), 6) AS medium,
         round(avg(absrel) FILTER (WHERE difficulty = 'hard'), 6) AS hard FROM tiered GROUP BY model""",
     "phase_weighted_score": f"""WITH {roles.TIERED_SQL}, m AS (SELECT phase, difficulty, avg(rmse) AS v FROM tiered WHERE phase IS NOT NULL AND difficulty IS NOT NULL GROUP BY ALL),

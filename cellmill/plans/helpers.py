@@ -95,7 +95,7 @@ def best_box_format(spark, sf):
 
 
 def answer_phrases(spark, sf):
-    d = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("I think. Answer: "), F.substr("text", F.lit(1), F.lit(20)))).otherwise(F.col("text")).alias("t"))
+    d = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("I think. Answer: "), F.col("text"))).otherwise(F.col("text")).alias("t"))
     phrase, flags = H.split_answer(F.col("t"))
     return d.select("item_id", F.length(phrase).cast("long").alias("chars"), F.concat_ws(",", flags).alias("flags"))
 
@@ -172,7 +172,7 @@ ORACLE_SQL = {
         p AS (SELECT a.label, a.block, a.vec_id AS item, degrees(2 * acos(least(abs(list_dot_product(a.q, b.q)) / (sqrt(list_dot_product(a.q, a.q)) * sqrt(list_dot_product(b.q, b.q))), 1.0))) AS angle FROM e a JOIN e b ON a.label = b.label AND a.block = b.block AND a.vec_id <> b.vec_id),
         m AS (SELECT label, block, item, median(angle) AS med FROM p GROUP BY ALL) SELECT label, block, arg_min(item, struct_pack(a := round(med, 9), b := item)) AS medoid, round(min(med), 5) AS median FROM m GROUP BY ALL""",
     "best_box_format": "SELECT p_partkey, true AS good, CASE p_partkey % 3 WHEN 0 THEN 'pixels' WHEN 1 THEN 'thousandths' ELSE 'corner_size' END AS meaning FROM part",
-    "answer_phrases": r"""WITH d AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'I think. Answer: ' || substr(text, 1, 20) ELSE text END AS t FROM benchmark), m AS (SELECT item_id, t, regexp_extract(t, '(?is).*answer\s*[:=]\s*(.*)$', 1) AS m FROM d),
+    "answer_phrases": r"""WITH d AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'I think. Answer: ' || text ELSE text END AS t FROM benchmark), m AS (SELECT item_id, t, regexp_extract(t, '(?is).*answer\s*[:=]\s*(.*)$', 1) AS m FROM d),
         p AS (SELECT item_id, m, trim(CASE WHEN m <> '' THEN m ELSE t END) AS p FROM m)
         SELECT item_id, length(p) AS chars, concat_ws(',', CASE WHEN p = '' THEN 'empty' END, CASE WHEN m = '' THEN 'no_marker' END, CASE WHEN length(p) > 60 THEN 'long' END, CASE WHEN contains(p, chr(10)) THEN 'lines' END, CASE WHEN ends_with(p, '?') THEN 'question' END) AS flags FROM p""",
     "registered_metrics": f"""WITH {roles.SAMPLES_SQL}, p AS (SELECT phase, avg(absrel) AS a, avg(delta1) AS d, count(*) AS n FROM samples GROUP BY phase),

@@ -80,12 +80,12 @@ def iou_accuracy(spark, sf):
 
 
 def box_scaling(spark, sf):
-    """Boxes given in thousandths of the image, or as shares, as pixels."""
+    """Boxes given in thousandths of the image, or as shares, as pixels; some are off the grid."""
     p = table(spark, sf, "part")
     size = F.col("p_size").cast("double")
-    given = tuple(F.when(F.col("p_partkey") % 2 == 0, (size + o) / 60).otherwise((size + o) * 16) for o in (0, 1, 4, 9))
+    given = tuple(F.when(F.col("p_partkey") % 2 == 0, (size + o) / 60).otherwise((size + o) * 17) for o in (0, 1, 4, 9))
     px = K.scaled_box(given, F.lit(640), F.lit(480))
-    return p.select("p_partkey", *[c.cast("long").alias(n) for c, n in zip(px, ("x1", "y1", "x2", "y2"))])
+    return rounded(p.select("p_partkey", *[c.alias(n) for c, n in zip(px, ("x1", "y1", "x2", "y2"))]))
 
 
 def _quats(spark, sf):
@@ -129,8 +129,8 @@ def joint_auc(spark, sf):
 
 
 def mean_iou(spark, sf):
-    """Line numbers as predicted classes against quantities' sevenths."""
-    li = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("long").alias("pred"), (F.pmod(F.col("l_quantity").cast("long"), F.lit(7)) + 1).alias("truth"))
+    """Line numbers as predicted classes against quantities' eighths; one of these is no class."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("long").alias("pred"), (F.pmod(F.col("l_quantity").cast("long"), F.lit(8)) - 1).alias("truth"))
     return rounded(V.mean_iou(li, "pred", "truth", ("l_returnflag",)))
 
 
@@ -139,15 +139,23 @@ def confusion_matrix(spark, sf):
 
 
 def token_f1(spark, sf):
-    """Words of a user's turn against the answer's first words."""
+    """Words of a user's turn against those of the answer."""
     c = table(spark, sf, "conversations")
-    u, a = c.filter("role = 'user'").select("conv_id", "turn", F.substr("text", F.lit(1), F.lit(80)).alias("u")), c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.substr("text", F.lit(1), F.lit(80)).alias("a"))
+    u, a = c.filter("role = 'user'").select("conv_id", "turn", K.words(F.col("text")).alias("u")), c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), K.words(F.col("text")).alias("a"))
     return rounded(u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", K.token_f1(F.col("u"), F.col("a")).alias("f1")))
 
 
 def label_normalise(spark, sf):
     p = table(spark, sf, "part")
-    return p.select("p_partkey", K.normal_label(F.concat_ws("_", F.lit(" To "), "p_name", F.lit("(x)!"))).alias("label"), K.canonical(F.concat(F.lit("To "), "p_type")).alias("canonical"))
+    return p.select("p_partkey", K.normal_label(F.concat_ws("_", F.lit(" To "), "p_name", F.lit("x-y\t(x)!"))).alias("label"))
+
+
+def canonical_values(spark, sf):
+    """Colours, functions and materials in odd spellings."""
+    p = table(spark, sf, "part")
+    colour = F.concat(F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, "GRAY").otherwise(F.upper(F.substring_index("p_name", " ", 1))), F.lit("  "))
+    function = F.element_at(F.array(*[F.lit(x) for x in ("To  Drink", "to eat ", "To Snack", "cut")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return p.select("p_partkey", K.canonical(colour, K.COLOUR_ALIASES).alias("colour"), K.canonical(function, K.FUNCTION_ALIASES).alias("function"), K.canonical("p_type").alias("material"))
 
 
 def box_parsing(spark, sf):
@@ -165,8 +173,8 @@ def metadata_fields(spark, sf):
 def roofline(spark, sf):
     """Parts as kernels: size is work, price is traffic."""
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 1e9).alias("flops"), (F.col("p_retailprice") * 1e4).alias("traffic"))
-    tflops, bound = K.roofline(F.col("flops"), F.col("traffic"), 19.5, 2039.0)
-    return rounded(p.select("p_partkey", tflops.alias("tflops"), bound.alias("bound"), (F.col("flops") / F.col("traffic")).alias("intensity")))
+    compute, memory, least, bound = K.roofline(F.col("flops"), F.col("traffic"), 19.5, 2039.0)
+    return rounded(p.select("p_partkey", compute.alias("compute_ms"), memory.alias("memory_ms"), least.alias("bound_ms"), bound.alias("bound"), (F.col("flops") / F.col("traffic")).alias("intensity")), 9)
 
 
 def vqa_score(spark, sf):
@@ -194,7 +202,7 @@ def chain_drift(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     depth_errors, depth_bands, depth_clip_mean, depth_quality, box_iou, box_giou, iou_accuracy, box_scaling, rotation_error, pose_vector, error_auc, joint_success, joint_auc, mean_iou, confusion_matrix,
-    token_f1, label_normalise, box_parsing, metadata_fields, roofline, vqa_score, chain_drift,
+    token_f1, label_normalise, canonical_values, box_parsing, metadata_fields, roofline, vqa_score, chain_drift,
 )}
 
 _DEPTH = f"{roles.SAMPLES_SQL}, d AS (SELECT scene, phase, rmse AS truth, latency_ms / 15 + CAST(0.05 AS DOUBLE) AS pred FROM samples WHERE rmse > CAST(0.3 AS DOUBLE) AND rmse < 5 AND latency_ms / 15 + CAST(0.05 AS DOUBLE) > 0)"
@@ -221,9 +229,13 @@ _POSE = f"""p AS (SELECT vec_id, label, {", ".join(f"{x} AS q{i}" for i, x in en
     c AS (SELECT *, CASE WHEN angle < 15 THEN '0-15' WHEN angle < 45 THEN '15-45' WHEN angle < 90 THEN '45-90' ELSE '90-180' END AS rotation_bin FROM a)"""
 _LIMITS = [(1.0, 0.02), (2.0, 0.05), (4.0, 0.08)]
 _share = lambda a, b: f"avg(CASE WHEN rmse <= {a} AND absrel <= CAST({b} AS DOUBLE) THEN 1.0 ELSE 0.0 END)"
-_words = lambda c: f"list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(trim({c})), '_', ' '), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> '')"
-_norm = lambda c: f"trim(regexp_replace(regexp_replace(replace(lower(trim({c})), '_', ' '), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-_scale = lambda o, size: f"CAST(greatest(least(floor(CASE WHEN p_partkey % 2 = 0 AND (p_size + 9) / 60.0 <= 1 THEN (p_size + {o}) / CAST(60 AS DOUBLE) WHEN p_partkey % 2 = 0 THEN (p_size + {o}) / CAST(60 AS DOUBLE) / 1000 ELSE (p_size + {o}) * 16 / CAST(1000 AS DOUBLE) END * {size - 1} + 0.5), {size - 1}), 0) AS BIGINT)"
+_norm = lambda c: rf"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({c})), '_', ' '), '[^\p{{L}}\p{{N}}\s-]', '', 'g'), '\s+', ' ', 'g'))"
+_words = lambda c: f"list_filter(string_split({_norm(c)}, ' '), lambda w: w <> '')"
+_canonical = lambda c: rf"trim(regexp_replace(lower({c}), '\s+', ' ', 'g'))"
+_SCALE = """s AS (SELECT p_partkey, p_size + o.o AS v, o.o, p_partkey % 2 = 0 AS share, CASE WHEN o.o IN (0, 4) THEN 639 ELSE 479 END AS last FROM part, (VALUES (0), (1), (4), (9)) o(o)),
+    g AS (SELECT p_partkey, o, last, CASE WHEN share THEN v / CAST(60 AS DOUBLE) ELSE v * CAST(17 AS DOUBLE) END AS given FROM s),
+    w AS (SELECT *, max(given) OVER (PARTITION BY p_partkey) AS most FROM g),
+    b AS (SELECT p_partkey, o, CASE WHEN most <= 1000 THEN given * last / CASE WHEN most <= 1 THEN 1.0 ELSE 1000.0 END END AS px FROM w)"""
 ORACLE_SQL = {
     "depth_errors": f"""WITH {_DEPTH} SELECT phase, round(avg(abs(pred - truth) / truth), 6) AS absrel, round(avg((pred - truth) * (pred - truth) / truth), 6) AS sqrel, round(sqrt(avg((pred - truth) * (pred - truth))), 6) AS rmse,
         round(avg(abs(pred - truth)), 6) AS mae, round(sqrt(avg((ln(pred) - ln(truth)) * (ln(pred) - ln(truth)))), 6) AS log_rmse, round(stddev_pop(ln(pred) - ln(truth)), 6) AS silog,
@@ -244,23 +256,29 @@ ORACLE_SQL = {
         (cx + dx) / 2.0 BETWEEN ax AND bx AND (cy + dy) / 2.0 BETWEEN ay AND bz AS inside FROM b)
         SELECT l_returnflag, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(avg(iou), 6) AS mean_iou, round(avg(giou), 6) AS mean_giou, round(avg(CASE WHEN iou >= CAST(0.5 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS acc_50,
             round(avg(CASE WHEN iou >= CAST(0.75 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS acc_75, round(avg(CASE WHEN valid AND inside THEN 1.0 ELSE 0.0 END), 6) AS center, count(*) AS n FROM i GROUP BY GROUPING SETS ((l_returnflag), ())""",
-    "box_scaling": f"SELECT p_partkey, {_scale(0, 640)} AS x1, {_scale(1, 480)} AS y1, {_scale(4, 640)} AS x2, {_scale(9, 480)} AS y2 FROM part",
+    "box_scaling": f"""WITH {_SCALE} SELECT p_partkey, round(max(px) FILTER (WHERE o = 0), 6) AS x1, round(max(px) FILTER (WHERE o = 1), 6) AS y1, round(max(px) FILTER (WHERE o = 4), 6) AS x2,
+        round(max(px) FILTER (WHERE o = 9), 6) AS y2 FROM b GROUP BY p_partkey""",
     "rotation_error": f"WITH {_POSE} SELECT vec_id, round(angle, 4) AS angle, round(angle, 4) AS matrix_angle, round(translation, 4) AS translation, round(direction, 4) AS direction, rotation_bin FROM c",
     "pose_vector": f"WITH {_POSE} SELECT label, rotation_bin, round(avg(angle), 4) AS angle, round(avg(translation), 4) AS translation, count(*) AS n FROM c GROUP BY ALL",
     "error_auc": f"""WITH {roles.SAMPLES_SQL}, t AS (SELECT i, CAST(5 AS DOUBLE) / 99 * i AS t FROM (SELECT unnest(range(100)) AS i)), c AS (SELECT phase, i, avg(CASE WHEN rmse <= t + 1e-12 THEN 1.0 ELSE 0.0 END) AS s FROM samples, t GROUP BY ALL),
         a AS (SELECT phase, (s + lead(s) OVER (PARTITION BY phase ORDER BY i)) / 2 AS area FROM c) SELECT phase, round(sum(area) / 99, 6) AS auc, (SELECT count(*) FROM samples s WHERE s.phase = a.phase) AS n FROM a GROUP BY phase""",
     "joint_success": f"WITH {roles.SAMPLES_SQL} SELECT phase, {', '.join(f'round({_share(a, b)}, 6) AS s{i}' for i, (a, b) in enumerate(_LIMITS))}, count(*) AS n FROM samples GROUP BY phase",
     "joint_auc": f"WITH {roles.SAMPLES_SQL} SELECT phase, round(({' + '.join(_share(a, b / 100) for a in (1, 2, 3, 4, 5) for b in (2, 4, 6, 8))}) / 20, 6) AS auc FROM samples GROUP BY phase",
-    "mean_iou": """WITH d AS (SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS pred, CAST(l_quantity AS BIGINT) % 7 + 1 AS truth FROM lineitem), t AS (SELECT l_returnflag, truth AS c, count(*) AS nt, count(*) FILTER (WHERE pred = truth) AS hit FROM d GROUP BY ALL),
-        p AS (SELECT l_returnflag, pred AS c, count(*) AS np FROM d GROUP BY ALL) SELECT l_returnflag, round(avg(hit / CAST(nt + coalesce(np, 0) - hit AS DOUBLE)), 6) AS miou, count(*) AS classes FROM t LEFT JOIN p USING (l_returnflag, c) GROUP BY l_returnflag""",
+    "mean_iou": """WITH d AS (SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS pred, CAST(l_quantity AS BIGINT) % 8 - 1 AS truth FROM lineitem), t AS (SELECT l_returnflag, truth AS c, count(*) AS nt, count(*) FILTER (WHERE pred = truth) AS hit FROM d GROUP BY ALL),
+        p AS (SELECT l_returnflag, pred AS c, count(*) AS np FROM d GROUP BY ALL) SELECT l_returnflag, round(coalesce(avg(hit / CAST(nt + coalesce(np, 0) - hit AS DOUBLE)) FILTER (WHERE c >= 0), 1.0), 6) AS miou,
+            count(*) FILTER (WHERE c >= 0) AS classes FROM t LEFT JOIN p USING (l_returnflag, c) GROUP BY l_returnflag""",
     "confusion_matrix": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
-    "token_f1": f"""WITH j AS (SELECT u.conv_id, u.turn, {_words("substr(u.text, 1, 80)")} AS p, {_words("substr(a.text, 1, 80)")} AS t FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn - 1 = u.turn AND u.role = 'user' AND a.role = 'assistant'),
-        c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))), 0) AS common FROM j)
-        SELECT conv_id, turn, round(CASE WHEN len(p) = 0 AND len(t) = 0 THEN 1.0 WHEN common = 0 THEN 0.0 ELSE 2.0 * common / CAST(len(p) + len(t) AS DOUBLE) END, 6) AS f1 FROM c""",
-    "label_normalise": f"""SELECT p_partkey, {_norm("concat_ws('_', ' To ', p_name, '(x)!')")} AS label,
-        CASE regexp_replace({_norm("'To ' || p_type")}, '^to ', '') WHEN 'gray' THEN 'grey' WHEN 'grey colored' THEN 'grey' WHEN 'metallic' THEN 'metal' ELSE regexp_replace({_norm("'To ' || p_type")}, '^to ', '') END AS canonical FROM part""",
+    "token_f1": f"""WITH j AS (SELECT u.conv_id, u.turn, {_words("coalesce(u.text, '')")} AS p, {_words("coalesce(a.text, '')")} AS t FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn - 1 = u.turn AND u.role = 'user' AND a.role = 'assistant'),
+        n AS (SELECT *, row_number() OVER () AS pair FROM j),
+        a AS (SELECT pair, w, count(*) AS n FROM (SELECT pair, unnest(p) AS w FROM n) GROUP BY ALL), b AS (SELECT pair, w, count(*) AS n FROM (SELECT pair, unnest(t) AS w FROM n) GROUP BY ALL),
+        c AS (SELECT pair, sum(least(a.n, b.n)) AS common FROM a JOIN b USING (pair, w) GROUP BY pair)
+        SELECT conv_id, turn, round(coalesce(2.0 * common / CAST(len(p) + len(t) AS DOUBLE), 0.0), 6) AS f1 FROM n LEFT JOIN c USING (pair)""",
+    "label_normalise": f"""SELECT p_partkey, {_norm("concat_ws('_', ' To ', p_name, 'x-y' || chr(9) || '(x)!')")} AS label FROM part""",
+    "canonical_values": f"""WITH v AS (SELECT p_partkey, {_canonical("CASE WHEN p_partkey % 3 = 0 THEN 'GRAY' ELSE upper(split_part(p_name, ' ', 1)) END")} AS c,
+            {_canonical("list_extract(['To  Drink', 'to eat ', 'To Snack', 'cut'], p_partkey % 4 + 1)")} AS f, {_canonical("p_type")} AS material FROM part)
+        SELECT p_partkey, CASE c WHEN 'gray' THEN 'grey' ELSE c END AS colour, CASE f WHEN 'to drink' THEN 'drink' WHEN 'to eat' THEN 'eat' WHEN 'to snack' THEN 'snack' ELSE f END AS function, material FROM v""",
     "box_parsing": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x1, CAST(1 AS DOUBLE) AS y1, CAST(p_size + 5 AS DOUBLE) AS x2, CAST(9 AS DOUBLE) AS y2 FROM part WHERE p_partkey % 3 <> 0",
     "metadata_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "roofline": """WITH p AS (SELECT p_partkey, p_size * CAST(1e9 AS DOUBLE) / (p_retailprice * CAST(1e4 AS DOUBLE)) AS i FROM part)
-        SELECT p_partkey, round(least(i * 2039 / 1000, CAST(19.5 AS DOUBLE)), 6) AS tflops, CASE WHEN i * 2039 / 1000 < CAST(19.5 AS DOUBLE) THEN 'memory' ELSE 'compute' END AS bound, round(i, 6) AS intensity FROM p""",
+    "roofline": """WITH p AS (SELECT p_partkey, p_size * CAST(1e9 AS DOUBLE) AS f, p_retailprice * CAST(1e4 AS DOUBLE) AS t FROM part), m AS (SELECT *, f / (CAST(19.5 AS DOUBLE) * 1e12) * 1e3 AS c, t / (CAST(2039 AS DOUBLE) * 1e9) * 1e3 AS m FROM p)
+        SELECT p_partkey, round(c, 9) AS compute_ms, round(m, 9) AS memory_ms, round(greatest(c, m), 9) AS bound_ms, CASE WHEN c >= m THEN 'compute' ELSE 'memory' END AS bound, round(f / t, 9) AS intensity FROM m""",
 }

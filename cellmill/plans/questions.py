@@ -45,7 +45,7 @@ def attr_odd_one_out(spark, sf):
 
 def attr_absent(spark, sf):
     """Size classes that an order's parts lack."""
-    return G.absent_values(_attrs(spark, sf).filter("attribute = 'size' AND frame % 50 = 1"), FRAME, "value")
+    return G.absent_values(_attrs(spark, sf).filter("attribute = 'size'"), FRAME, "value")
 
 
 def synonym_yes(spark, sf):
@@ -72,8 +72,8 @@ def spatial_farthest(spark, sf):
 
 def incontext_reference(spark, sf):
     """For a part with a brand of its own in an order, a part outside the order with the same brand."""
-    o = _objects(spark, sf).filter("frame % 20 = 1").select("frame", "item", F.col("p_brand").alias("value"))
-    catalog = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("value")).filter("item % 40 = 0")
+    o = _objects(spark, sf).select("frame", "item", F.col("p_brand").alias("value"))
+    catalog = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("value"))
     return G.references(o, catalog, "value", FRAME, "item", "ref")
 
 
@@ -194,13 +194,14 @@ _P = f"{_O}, p AS (SELECT frame, item, CAST(item % 64 AS DOUBLE) AS x, CAST(item
 _ext = lambda c, f: f"CASE WHEN count(*) FILTER (WHERE {c} = {f}_{c}) = 1 THEN min(item) FILTER (WHERE {c} = {f}_{c}) END"
 _M = f"""{roles.SCENES_SQL}, {roles.SAMPLES_SQL}, m AS (SELECT scene, phase, frame, bool_or(model = 'A') AS has_rgb, bool_or(model = 'N') AS has_depth, bool_or(model = 'R') AS has_mask FROM samples GROUP BY ALL),
     f AS (SELECT scene, phase, frame, tier, has_rgb, has_depth, has_mask, format('scene_{{:05d}}/{{}}/{{:06d}}.png', scene, phase, frame) AS path FROM m LEFT JOIN scenes USING (scene) WHERE has_rgb AND has_depth AND has_mask)"""
+_spin = lambda text: f"CAST(('0x' || substr(sha256({text}), 1, 12)) AS BIGINT)"
 ORACLE_SQL = {
     "attr_unique_owner": f"WITH {_A} SELECT frame, attribute, value, min(item) AS item FROM a GROUP BY ALL HAVING count(DISTINCT item) = 1",
     "attr_composition": f"WITH {_O} SELECT frame, p_brand AS brand, size_class AS size, min(item) AS item FROM o GROUP BY ALL HAVING count(DISTINCT item) = 1",
     "attr_count": f"WITH {_O} SELECT frame, p_brand AS value, count(DISTINCT item) AS n FROM o GROUP BY ALL HAVING count(DISTINCT item) >= 2",
     "attr_odd_one_out": f"""WITH {_O}, t AS (SELECT frame, count(DISTINCT item) AS total FROM o GROUP BY frame), s AS (SELECT frame, size_class AS value, count(DISTINCT item) AS n FROM o GROUP BY ALL)
         SELECT s.frame, s.value, o.item FROM s JOIN t USING (frame) JOIN o USING (frame) WHERE n = total - 1 AND n >= 2 AND o.size_class <> s.value""",
-    "attr_absent": f"WITH {_O}, f AS (SELECT DISTINCT frame FROM o WHERE frame % 50 = 1), v AS (SELECT DISTINCT size_class AS value FROM o WHERE frame % 50 = 1) SELECT frame, value FROM f, v EXCEPT SELECT frame, size_class FROM o",
+    "attr_absent": f"WITH {_O}, f AS (SELECT DISTINCT frame FROM o), v AS (SELECT DISTINCT size_class AS value FROM o) SELECT frame, value FROM f, v EXCEPT SELECT frame, size_class FROM o",
     "synonym_yes": f"""WITH {_O}, p AS (SELECT DISTINCT frame, item, p_type AS alias FROM o WHERE p_type <> p_brand)
         SELECT frame, item, alias FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.frame = p.frame AND o.item <> p.item AND (o.p_type = p.alias OR o.p_brand = p.alias))""",
     "spatial_pairs": f"""WITH {_P} SELECT a.frame, a.item AS a, b.item AS b, 'left_of' AS relation FROM p a JOIN p b ON a.frame = b.frame AND a.item <> b.item AND b.x - a.x >= CAST(6.4 AS DOUBLE)
@@ -210,11 +211,20 @@ ORACLE_SQL = {
     "spatial_farthest": f"""WITH {_P}, d AS (SELECT a.frame, a.item AS a, b.item AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, (a.area - b.area) * (a.area - b.area) AS z FROM p a JOIN p b ON a.frame = b.frame AND a.item < b.item),
         r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d2 DESC, a DESC, b DESC) AS k2, row_number() OVER (PARTITION BY frame ORDER BY d2 + z DESC, a DESC, b DESC) AS k3 FROM d)
         SELECT frame, a, b FROM r WHERE k2 = 1 AND k3 = 1""",
-    "incontext_reference": f"""WITH {_O}, t AS (SELECT frame, item, p_brand AS value FROM o WHERE frame % 20 = 1), s AS (SELECT frame, value FROM t GROUP BY ALL HAVING count(DISTINCT item) > 1),
-        c AS (SELECT p_partkey AS reference, p_brand AS value FROM part WHERE p_partkey % 40 = 0),
-        j AS (SELECT t.*, reference FROM t JOIN c USING (value) WHERE (frame, value) NOT IN (SELECT (frame, value) FROM s) AND (frame, reference) NOT IN (SELECT (frame, item) FROM t))
-        SELECT frame, item, value, arg_min(reference, sha256('ref:' || frame || chr(31) || item || chr(31) || value || chr(31) || reference)) AS reference FROM j GROUP BY ALL""",
-    "mcq_options": """WITH q AS (SELECT p_partkey AS q, p_type AS answer FROM part), pool AS (SELECT DISTINCT p_type AS o FROM part), w AS (SELECT q, answer, o, row_number() OVER (PARTITION BY q ORDER BY sha256('opt:' || q || chr(31) || o)) AS k FROM q, pool WHERE o <> answer),
+    "incontext_reference": f"""WITH {_O}, t AS (SELECT DISTINCT frame, item, p_brand AS value FROM o),
+        s AS (SELECT frame, value FROM t GROUP BY ALL HAVING count(DISTINCT item) > 1), clear AS (SELECT t.* FROM t LEFT JOIN s USING (frame, value) WHERE s.frame IS NULL),
+        c AS (SELECT p_partkey AS reference, p_brand AS value FROM part),
+        r AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY sha256('ref:' || value || chr(31) || reference), reference) - 1 AS place, count(*) OVER (PARTITION BY value) AS size FROM c),
+        n AS (SELECT frame, count(DISTINCT item) AS objects FROM t GROUP BY frame),
+        a AS (SELECT clear.*, objects, size, {_spin("'ref:' || frame || chr(31) || item || chr(31) || value")} AS start
+            FROM clear JOIN n USING (frame) JOIN (SELECT DISTINCT value, size FROM r) USING (value)),
+        p AS (SELECT *, unnest(range(least(objects + 1, size))) AS step FROM a),
+        f AS (SELECT p.frame, p.item, p.value, step, reference FROM p JOIN r ON r.value = p.value AND r.place = (p.start + p.step) % p.size)
+        SELECT f.frame, f.item, f.value, arg_min(f.reference, step) AS reference FROM f LEFT JOIN t ON t.frame = f.frame AND t.item = f.reference WHERE t.frame IS NULL GROUP BY ALL""",
+    "mcq_options": f"""WITH q AS (SELECT p_partkey AS q, p_type AS answer FROM part),
+        pool AS (SELECT o, row_number() OVER (ORDER BY sha256('opt:' || o), o) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT p_type AS o FROM part)),
+        p AS (SELECT q, answer, size, {_spin("'opt:' || q")} AS start, unnest(range(least(4, size))) AS step FROM q, (SELECT DISTINCT size FROM pool)),
+        w AS (SELECT q, answer, o, row_number() OVER (PARTITION BY q ORDER BY step) AS k FROM p JOIN pool ON place = (start + step) % p.size WHERE o <> answer),
         e AS (SELECT q, answer, o FROM w WHERE k <= 3 UNION ALL SELECT q, answer, answer FROM q), m AS (SELECT q, answer, list(o ORDER BY sha256('opt:' || q || ':' || o)) AS os FROM e GROUP BY ALL)
         SELECT q, answer, array_to_string(os, '|') AS options, substr('ABCDEFGH', CAST(list_position(os, answer) AS INT), 1) AS letter FROM m WHERE len(os) = 4""",
     "mcq_accuracy": """WITH l AS (SELECT doc_id, quality, lang, source, CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END END AS given FROM labels JOIN documents USING (doc_id))

@@ -141,7 +141,7 @@ def nearest_in_direction(spark, sf):
 
 def overlap_fraction(spark, sf):
     """Share of each object's box that others of its frame cover (sums, so it may pass 1)."""
-    o = _objects(spark, sf).filter("frame % 5 = 1").select("frame", "item", F.pmod("x", F.lit(40)).alias("x"), F.pmod("y", F.lit(40)).alias("y"), F.col("size").cast("long").alias("size"))
+    o = _objects(spark, sf).select("frame", "item", F.pmod("x", F.lit(40)).alias("x"), F.pmod("y", F.lit(40)).alias("y"), F.col("size").cast("long").alias("size"))
     a = o.select("frame", "item", "x", "y", "size")
     b = o.select("frame", *[F.col(c).alias(f"{c}_b") for c in ("item", "x", "y", "size")])
     w = F.least(F.col("x") + F.col("size"), F.col("x_b") + F.col("size_b")) - F.greatest("x", "x_b")
@@ -152,7 +152,7 @@ def overlap_fraction(spark, sf):
 
 def occluder_best(spark, sf):
     """For each object the smaller-numbered one that covers most of it."""
-    o = _objects(spark, sf).filter("frame % 5 = 1").select("frame", "item", F.pmod("x", F.lit(40)).alias("x"), F.col("size").cast("long").alias("size"))
+    o = _objects(spark, sf).select("frame", "item", F.pmod("x", F.lit(40)).alias("x"), F.col("size").cast("long").alias("size"))
     b = o.select("frame", *[F.col(c).alias(f"{c}_b") for c in ("item", "x", "size")])
     cover = F.greatest(F.least(F.col("x") + F.col("size"), F.col("x_b") + F.col("size_b")) - F.greatest("x", "x_b"), F.lit(0))
     pairs = o.join(b, "frame").filter("item_b < item").withColumn("cover", cover / F.col("size")).filter("cover > 0")
@@ -269,10 +269,10 @@ ORACLE_SQL = {
     "nearest_in_direction": f"""WITH {_OBJ}, p AS (SELECT a.frame, a.item, b.item AS other, b.x - a.x AS dx, b.y - a.y AS dy, abs(b.x - a.x) + abs(b.y - a.y) AS distance FROM obj a JOIN obj b ON a.frame = b.frame AND a.item <> b.item),
         d AS (SELECT *, unnest(list_filter([CASE WHEN dx < 0 THEN 'left' END, CASE WHEN dx > 0 THEN 'right' END, CASE WHEN dy < 0 THEN 'above' END, CASE WHEN dy > 0 THEN 'below' END], lambda v: v IS NOT NULL)) AS direction FROM p)
         SELECT frame, item, direction, arg_min(other, struct_pack(a := distance, b := other)) AS nearest, min(distance) AS distance FROM d GROUP BY ALL""",
-    "overlap_fraction": f"""WITH {_OBJ}, o AS (SELECT frame, item, x % 40 AS x, y % 40 AS y, CAST(size AS BIGINT) AS size FROM obj WHERE frame % 5 = 1)
+    "overlap_fraction": f"""WITH {_OBJ}, o AS (SELECT frame, item, x % 40 AS x, y % 40 AS y, CAST(size AS BIGINT) AS size FROM obj)
         SELECT a.frame, a.item, round(sum(greatest(least(a.x + a.size, b.x + b.size) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.size, b.y + b.size) - greatest(a.y, b.y), 0)) / CAST(max(a.size * a.size) AS DOUBLE), 6) AS overlap
         FROM o a JOIN o b ON a.frame = b.frame AND a.item <> b.item GROUP BY ALL""",
-    "occluder_best": f"""WITH {_OBJ}, o AS (SELECT frame, item, x % 40 AS x, CAST(size AS BIGINT) AS size FROM obj WHERE frame % 5 = 1),
+    "occluder_best": f"""WITH {_OBJ}, o AS (SELECT frame, item, x % 40 AS x, CAST(size AS BIGINT) AS size FROM obj),
         p AS (SELECT a.frame, a.item, b.item AS other, greatest(least(a.x + a.size, b.x + b.size) - greatest(a.x, b.x), 0) / CAST(a.size AS DOUBLE) AS cover FROM o a JOIN o b ON a.frame = b.frame AND b.item < a.item)
         SELECT frame, item, arg_max(other, struct_pack(a := cover, b := -other)) AS occluder, round(max(cover), 6) AS cover FROM p WHERE cover > 0 GROUP BY ALL""",
     "nearest_points": f"""WITH {_E5}, p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM e a JOIN e b ON a.label < 5 AND b.label >= 5)

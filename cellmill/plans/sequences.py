@@ -69,11 +69,17 @@ def cluster_tiers(spark, sf):
     return D.cluster_tiers(_wide_norms(spark, sf), KEYS, METRICS)
 
 
+EFFORT_FEATURES = ("iter_mean",)
+
+
 def effort_weights(spark, sf):
-    """Scores whose feature weights are tempered by how much work a scene was: one plus its number of orders' priorities."""
-    effort = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("scene")).agg((1 + F.countDistinct("o_orderpriority")).alias("effort"))
-    s = D.scores(_normed(spark, sf), KEYS).join(effort, "scene")
-    return rounded(s.select(*KEYS, (F.col("weighted") * F.pow(F.col("effort").cast("double"), F.lit(0.25))).alias("score")))
+    """Scores in which the work that a scene was has a quarter of the weight: one plus the number of its orders' priorities."""
+    effort = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_suppkey").alias("scene")).agg((1.0 + F.countDistinct("o_orderpriority")).alias("iter_mean"))
+    features = [*METRICS, *EFFORT_FEATURES]
+    c = cells(spark, sf).join(effort, "scene")
+    normed = D.long_features(c.select(*KEYS, *[F.round(m, 9).alias(m) for m in features]), KEYS, features)
+    weights = D.effort_stratified(features, EFFORT_FEATURES)
+    return rounded(D.scores(normed, KEYS, _dim(spark, weights, "weight", "double")).select(*KEYS, F.col("weighted").alias("score")))
 
 
 def confidence_flips(spark, sf):
@@ -113,9 +119,11 @@ def mad_outliers(spark, sf):
 
 
 def area_stability(spark, sf):
-    """Order values per customer over days, as sizes of an object over frames."""
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("o_totalprice") / 1000).alias("size"))
-    return rounded(Q.stability(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "size", 0.5))
+    """Order values of a nation's customers over days, as sizes of a scene's objects over frames; urgent orders are unseen."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    size = F.when(F.col("o_orderpriority") == "1-URGENT", 0.0).otherwise(F.col("o_totalprice") / 1000)
+    frames = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", "o_custkey", "o_orderdate", "o_orderkey", size.alias("size"))
+    return rounded(Q.stability(frames, ["c_nationkey"], "o_custkey", ["o_orderdate", "o_orderkey"], "size"))
 
 
 def dense_grid(spark, sf):
@@ -200,8 +208,8 @@ def _tier(value, source="scored", extra=""):
 
 
 _EV = "ev AS (SELECT user_id, event_type, event_id, ts, round(value, 6) AS value FROM events)"
-_MAD = f"""WITH {_EV}, m AS (SELECT event_type, median(value) AS med FROM ev GROUP BY 1), d AS (SELECT ev.*, med FROM ev JOIN m USING (event_type)),
-    s AS (SELECT event_type, median(abs(value - med)) AS mad FROM d GROUP BY 1)"""
+_MAD = f"""WITH {_EV}, m AS (SELECT event_type, median(value) AS med, count(value) AS n, max(value) - min(value) AS spread FROM ev GROUP BY 1),
+    d AS (SELECT ev.*, med, n, spread FROM ev JOIN m USING (event_type)), s AS (SELECT event_type, median(abs(value - med)) AS mad FROM d GROUP BY 1)"""
 
 
 def _align(fit, back):
@@ -209,6 +217,7 @@ def _align(fit, back):
         SELECT scene, phase, round(avg(abs(aligned - latency_ms)), 5) AS mae, count(aligned) AS n FROM a GROUP BY scene, phase"""
 
 
+_fit = lambda y: f"coalesce(regr_slope({y}, rmse), 0) AS s, coalesce(regr_intercept({y}, rmse), avg({y})) AS t"
 _U = "(CAST(('0x' || substr(sha256('weights:' || replicate || ':' || feature), 1, 8)) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)"
 ORACLE_SQL = {
     "percentile_norms": f"WITH {_N} SELECT scene, phase, feature, round(p, 6) AS p FROM normed",
@@ -226,18 +235,28 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY s, scene, phase) AS rk, count(*) OVER (PARTITION BY replicate) AS n FROM s)
         SELECT scene, phase, tier, round(avg(CASE WHEN tier = CASE WHEN rk * 3 <= n THEN 'easy' WHEN rk * 3 <= 2 * n THEN 'medium' ELSE 'hard' END THEN 1.0 ELSE 0.0 END), 6) AS confidence
         FROM r JOIN base USING (scene, phase) GROUP BY ALL""",
-    "effort_weights": f"""WITH {_N}, e AS (SELECT l_suppkey AS scene, 1 + count(DISTINCT o_orderpriority) AS effort FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT scene, phase, avg(p) AS w FROM normed GROUP BY ALL)
-        SELECT scene, phase, round(w * pow(CAST(effort AS DOUBLE), CAST(0.25 AS DOUBLE)), 6) AS score FROM m JOIN e USING (scene)""",
+    "effort_weights": f"""WITH {CELLS_SQL},
+        e AS (SELECT l_suppkey AS scene, 1.0 + count(DISTINCT o_orderpriority) AS iter_mean FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+        c AS (SELECT * FROM cells JOIN e USING (scene)),
+        l AS (SELECT scene, phase, 'absrel' AS feature, round(absrel, 9) AS v FROM c UNION ALL SELECT scene, phase, 'rmse', round(rmse, 9) FROM c
+            UNION ALL SELECT scene, phase, 'delta1', round(delta1, 9) FROM c UNION ALL SELECT scene, phase, 'iter_mean', iter_mean FROM c),
+        n AS (SELECT scene, phase, feature, CASE WHEN min(v) OVER f = max(v) OVER f THEN 0.5 ELSE
+            (rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0) / count(*) OVER f END AS p FROM l WINDOW f AS (PARTITION BY feature))
+        SELECT scene, phase, round(sum(p * CAST(0.25 AS DOUBLE)), 6) AS score FROM n GROUP BY scene, phase""",
     "mode_split": """SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k FROM (
         SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY ALL)) WHERE k = 1""",
     "frame_deltas": f"""WITH {_EV}, d AS (SELECT *, value - lag(value) OVER w AS delta FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
         SELECT event_id, round(delta, 6) + 0 AS delta, round(delta - lag(delta) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), 6) + 0 AS jerk FROM d""",
     "gap_rates": f"WITH {_EV} SELECT event_id, round((value - lag(value) OVER w) / nullif(event_id - lag(event_id) OVER w, 0), 6) AS rate FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
-    "mad_filter": f"{_MAD} SELECT event_id, round(CASE WHEN mad > 0 AND value > med + 2.0 * mad THEN med ELSE value END, 6) AS clipped FROM d JOIN s USING (event_type)",
-    "mad_outliers": f"{_MAD} SELECT event_id, round(value, 6) AS value FROM d JOIN s USING (event_type) WHERE CASE WHEN mad > 0 THEN CAST(0.6745 AS DOUBLE) * abs(value - med) / mad > 2.0 ELSE abs(value - med) > 0 END",
-    "area_stability": """WITH o AS (SELECT o_custkey, o_totalprice / 1000 AS size, lag(o_totalprice / 1000) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders)
-        SELECT o_custkey, round(stddev_pop(size) / nullif(avg(size), 0), 6) AS cv, CAST(coalesce(sum(CASE WHEN was > 0 AND size < was * 0.5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS drops,
-            CAST(coalesce(sum(CASE WHEN (size > 0) <> (was > 0) THEN 1 ELSE 0 END), 0) AS BIGINT) AS flips FROM o GROUP BY o_custkey""",
+    "mad_filter": f"{_MAD} SELECT event_id, round(CASE WHEN n >= 3 AND mad > 0 AND value > med + 2.0 * mad * CAST(1.4826 AS DOUBLE) THEN med ELSE value END, 6) AS clipped FROM d JOIN s USING (event_type)",
+    "mad_outliers": f"""{_MAD} SELECT event_id, round(value, 6) AS value FROM d JOIN s USING (event_type)
+        WHERE CASE WHEN spread < 1e-9 THEN false WHEN mad < 1e-12 THEN value > med + 1e-9 ELSE (value - med) / (CAST(1.4826 AS DOUBLE) * mad) > 2.0 END""",
+    "area_stability": """WITH s AS (SELECT c_nationkey, o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0.0 ELSE CAST(o_totalprice / 1000 AS DOUBLE) END AS size FROM orders JOIN customer ON o_custkey = c_custkey),
+        o AS (SELECT *, lag(size) OVER (PARTITION BY c_nationkey, o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM s),
+        e AS (SELECT c_nationkey, o_custkey, count(*) AS t, max(size) > 0 AS ever, stddev_pop(size) FILTER (WHERE size > 0) / avg(size) FILTER (WHERE size > 0) AS cv,
+            count(*) FILTER (WHERE was > 0) AS shown, count(*) FILTER (WHERE was > 0 AND (was - size) / was > 0.5) AS fell, count(*) FILTER (WHERE (size > 0) <> (was > 0)) AS flipped FROM o GROUP BY ALL)
+        SELECT c_nationkey, round(coalesce(avg(cv) FILTER (WHERE ever), 0.0), 6) AS area_cv, round(coalesce(avg(fell / CAST(t AS DOUBLE)) FILTER (WHERE ever AND shown > 0), 0.0), 6) AS area_drop,
+            round(coalesce(avg(flipped / CAST(t AS DOUBLE)) FILTER (WHERE ever AND t > 1), 0.0), 6) AS vis_instability FROM e GROUP BY c_nationkey""",
     "dense_grid": """WITH d AS (SELECT o_orderstatus, l_linenumber, p_brand, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
         s AS (SELECT o_orderstatus, l_linenumber, p_brand, sum(q) AS q FROM d GROUP BY ALL)
         SELECT o_orderstatus, l_linenumber, p_brand, round(coalesce(q, 0), 6) AS q FROM (SELECT DISTINCT o_orderstatus, l_linenumber FROM d) JOIN (SELECT DISTINCT o_orderstatus, p_brand FROM d) USING (o_orderstatus)
@@ -254,10 +273,10 @@ ORACLE_SQL = {
     "cumulative_drift": f"WITH {_EV} SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS drift FROM ev",
     "motion_slope": f"""WITH {roles.SAMPLES_SQL} SELECT scene, phase, round(regr_slope(latency_ms, CAST(frame AS DOUBLE)), 6) AS slope, round(regr_intercept(latency_ms, CAST(frame AS DOUBLE)), 6) AS intercept,
         round(regr_r2(latency_ms, CAST(frame AS DOUBLE)), 6) AS r2, count(*) AS n FROM samples GROUP BY scene, phase""",
-    "align_affine": _align("regr_slope(latency_ms, rmse) AS s, regr_intercept(latency_ms, rmse) AS t", "rmse * s + t"),
-    "align_median": _align("median(latency_ms) / nullif(median(rmse), 0) AS s", "rmse * s"),
-    "align_disparity": _align("regr_slope(1 / latency_ms, 1 / rmse) AS s, regr_intercept(1 / latency_ms, 1 / rmse) AS t", "CASE WHEN s / rmse + t > 0 THEN 1 / (s / rmse + t) END"),
-    "align_log": _align("regr_slope(ln(latency_ms), ln(rmse)) AS s, regr_intercept(ln(latency_ms), ln(rmse)) AS t", "exp(s * ln(rmse) + t)"),
+    "align_affine": _align(_fit("latency_ms"), "rmse * s + t"),
+    "align_median": _align("median(latency_ms) / greatest(median(rmse), 1e-9) AS s", "rmse * s"),
+    "align_disparity": _align(_fit("1 / greatest(latency_ms, 1e-3)"), "1 / greatest(s * rmse + t, 1e-3)"),
+    "align_log": _align(_fit("ln(latency_ms)"), "exp(least(s * rmse + t, 5.0))"),
     "temporal_stability": f"""WITH {_EV}, d AS (SELECT user_id, event_type, abs(value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS d FROM ev)
         SELECT user_id, event_type, round(avg(d), 6) AS mean_change, count(d) AS steps FROM d GROUP BY ALL""",
 }
