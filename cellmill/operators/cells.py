@@ -37,10 +37,10 @@ def to_wide(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return long.groupBy(*keys).pivot("metric", metrics).agg(F.first("value"))
 
 
-def complete_scenes(cells: DataFrame, phases: int, scene: str = "scene", phase: str = "phase", metrics: tuple[str, ...] = ()) -> DataFrame:
+def complete_scenes(cells: DataFrame, phases: int, scene: str | tuple[str, ...] = "scene", phase: str = "phase", metrics: tuple[str, ...] = ()) -> DataFrame:
     """Cells of scenes that have every phase, after dropping cells that miss a metric."""
     whole = cells.dropna("any", subset=list(metrics)) if metrics else cells
-    seen = F.size(F.collect_set(phase).over(W.partitionBy(scene)))  # a scene's cells are as few as its phases
+    seen = F.size(F.collect_set(phase).over(W.partitionBy(*([scene] if isinstance(scene, str) else scene))))  # a scene's cells are as few as its phases
     return whole.withColumn("__p", seen).filter(F.col("__p") == phases).drop("__p")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmill.operators.ranks import global_rank, percentile_norm, tertile
+from cellmill.session import settle
 
 TIER_ORDER = ("easy", "medium", "hard")
 
@@ -71,15 +72,60 @@ def mode_split(frames: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.withColumn("k", F.row_number().over(top)).filter("k = 1").drop("k")
 
 
-def confidence(normed: DataFrame, keys: list[str], base: DataFrame, replicates: int = 100, seed: str = "weights") -> DataFrame:
-    """Share of replicates in which a key keeps its tier when features are weighted by normalised exponential draws, which are
-    flat Dirichlet weights. base: keys and tier. Draws are hashes, so a replicate is the same everywhere."""
-    draws = normed.select("feature").distinct().select("feature", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("feature")), 256), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-    weighted = normed.join(F.broadcast(draws.withColumn("weight", -F.ln(u))), "feature")  # features times replicates
-    scored = weighted.groupBy(*keys, "replicate").agg((F.sum(F.col("weight") * F.col("p")) / F.sum("weight")).alias("score"))
-    ranked = global_rank(scored.withColumn("score", F.round("score", 9)), "score", *keys, by=("replicate",)).withColumn("drawn", tertile(F.col("rank"), F.col("total")))
-    return ranked.join(base, keys).groupBy(*keys, "tier").agg(F.avg((F.col("drawn") == F.col("tier")).cast("double")).alias("confidence"))
+#: Flip rates below which a tier is of high or medium confidence.
+HIGH_BELOW, MEDIUM_BELOW = 0.10, 0.50
+#: Accuracy of approximate quantiles that bracket a border (their error is one in that many rows).
+BRACKET = 10_000
+
+
+def tier_borders(scored: DataFrame, by: str, value: str, ties: list[str], total: int) -> DataFrame:
+    """by, easy and medium: the (value, ties) of the last row of the first and of the second third in each group; null where a third
+    is empty. Each group has `total` rows. Two approximate quantiles bracket a border, the rows below are counted and only the few
+    rows between are ordered, so the groups' rows are never shuffled."""
+    ranks = [total // 3, 2 * total // 3]
+    slack = 2.0 / BRACKET
+    shares = [min(max(r / total + d, 0.0), 1.0) for r in ranks for d in (-slack, slack)]
+    brackets = F.broadcast(scored.groupBy(by).agg(F.percentile_approx(value, shares, BRACKET).alias("__b")))  # a row for each group
+    lows, highs = [F.col("__b")[0], F.col("__b")[2]], [F.col("__b")[1], F.col("__b")[3]]
+    near = scored.join(brackets, by)
+    below = near.groupBy(by).agg(*[F.count_if(F.col(value) < low).alias(f"__less{i}") for i, low in enumerate(lows)])
+    between = lambda i: near.filter((F.col(value) >= lows[i]) & (F.col(value) <= highs[i])).select(by, F.struct(value, *ties).alias("__row"))
+    out = below
+    for i, name in enumerate(("easy", "medium")):
+        number = F.row_number().over(W.partitionBy(by).orderBy("__row"))
+        at = between(i).join(F.broadcast(below.select(by, f"__less{i}")), by).withColumn("__k", number + F.col(f"__less{i}")).filter(F.col("__k") == ranks[i])
+        out = out.join(at.select(by, F.col("__row").alias(name)), by, "left")
+    return out.select(by, "easy", "medium")
+
+
+def confidence(normed: DataFrame, keys: list[str], base: DataFrame, replicates: int = 1000, seed: str = "weights", high: float = HIGH_BELOW, medium: float = MEDIUM_BELOW) -> DataFrame:
+    """Share of replicates in which a key leaves its tier when features are weighted by normalised exponential draws, which are
+    flat Dirichlet weights, and the label of that share. base: keys and tier. Draws are hashes, so a replicate is the same everywhere.
+    Replicates are made where the keys' norms are; borders and flips are aggregated there, so the shuffles carry a row a replicate
+    and a row a key, not their product."""
+    features = sorted(r.feature for r in normed.select("feature").distinct().collect())  # names of columns, a few dozen
+    if not features:
+        return base.select(*keys, "tier", F.lit(0.0).alias("flip_rate"), F.lit("high").alias("confidence")).limit(0)
+    wide = settle(normed.groupBy(*keys).pivot("feature", features).agg(F.first("p")))
+    total = wide.count()
+    spark = normed.sparkSession
+    u = lambda f: (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.lit(f)), 256), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    draws = spark.range(replicates).withColumnRenamed("id", "replicate")
+    draws = draws.select("replicate", *[(-F.ln(u(f))).alias(f"__w{i}") for i, f in enumerate(features)])
+    each = wide.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).join(F.broadcast(draws), "replicate")
+    known = [(F.col(f"`{f}`"), F.col(f"__w{i}")) for i, f in enumerate(features)]
+    weight = sum((F.when(p.isNotNull(), w).otherwise(0.0) for p, w in known), F.lit(0.0))
+    score = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in known), F.lit(0.0)) / weight
+    scored = each.select(*keys, "replicate", F.round(score, 9).alias("score"))
+    borders = settle(tier_borders(scored, "replicate", "score", keys, total))
+    row = F.struct("score", *keys)
+    drawn = F.when(row <= F.col("easy"), "easy").when(row <= F.col("medium"), "medium").otherwise("hard")
+    joined = scored.join(F.broadcast(borders), "replicate").select(*keys, (F.lit("medium") if total < 3 else drawn).alias("drawn"))
+    tallies = joined.groupBy(*keys).agg(*[F.count_if(F.col("drawn") == t).alias(f"__{t}") for t in TIER_ORDER])
+    kept = sum((F.when(F.col("tier") == t, F.col(f"__{t}")).otherwise(0) for t in TIER_ORDER), F.lit(0))
+    rate = (replicates - kept) / replicates
+    label = F.when(F.col("flip_rate") < high, "high").when(F.col("flip_rate") < medium, "medium").otherwise("low")
+    return base.join(tallies, keys).select(*keys, "tier", rate.alias("flip_rate")).withColumn("confidence", label)
 
 
 def principal_axes(df: DataFrame, features: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:

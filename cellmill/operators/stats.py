@@ -25,13 +25,14 @@ class StatsError(ValueError):
     """A cube that the test can't be made on."""
 
 
-def standardise(cells: DataFrame, metrics: list[str], lower_is_better: tuple[str, ...] = ()) -> DataFrame:
-    """z-scores over all cells (population deviation; constant columns become 0), turned so that higher is better."""
-    stats = cells.agg(*[F.avg(m).alias(f"__a_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"__s_{m}") for m in metrics])
+def standardise(cells: DataFrame, metrics: list[str], lower_is_better: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """z-scores over all cells, or those of a group (population deviation; constant columns become 0), turned so that higher is better."""
+    stats = cells.groupBy(*by).agg(*[F.avg(m).alias(f"__a_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"__s_{m}") for m in metrics])
     sign = lambda m: -1.0 if m in lower_is_better else 1.0
     z = lambda m: F.when(F.col(f"__s_{m}") > 0, (F.col(m) - F.col(f"__a_{m}")) / F.col(f"__s_{m}") * sign(m)).otherwise(F.lit(0.0))
     rest = [c for c in cells.columns if c not in metrics]
-    return cells.crossJoin(F.broadcast(stats)).select(*rest, *[z(m).alias(m) for m in metrics])  # one row of statistics
+    joined = cells.join(stats, list(by)) if by else cells.crossJoin(F.broadcast(stats))  # one row of statistics
+    return joined.select(*rest, *[z(m).alias(m) for m in metrics])
 
 
 def sscp(df: DataFrame, metrics: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +62,22 @@ class Cube:
 
     @classmethod
     def of(cls, z: DataFrame, metrics: list[str], scene: str = "scene", phase: str = "phase") -> Cube:
-        rows = sorted(sscp(z, metrics, (phase,)).collect(), key=lambda r: str(r[phase]))
+        by_scene = z.groupBy(scene).agg(*[F.avg(m).alias(m) for m in metrics])
+        return cls._from(sscp(z, metrics, (phase,)).collect(), sscp(by_scene, metrics).first(), metrics, phase)
+
+    @classmethod
+    def of_each(cls, z: DataFrame, metrics: list[str], group: str, scene: str = "scene", phase: str = "phase") -> dict[str, Cube]:
+        """A cube for every value of a column (a small set), from two aggregations of all of them."""
+        by_scene = z.groupBy(group, scene).agg(*[F.avg(m).alias(m) for m in metrics])
+        scenes = {r[group]: r for r in sscp(by_scene, metrics, (group,)).collect()}
+        phases: dict[str, list] = {}
+        for r in sscp(z, metrics, (group, phase)).collect():
+            phases.setdefault(r[group], []).append(r)
+        return {g: cls._from(rows, scenes[g], metrics, phase) for g, rows in sorted(phases.items())}
+
+    @classmethod
+    def _from(cls, by_phase: list, of_scenes, metrics: list[str], phase: str) -> Cube:
+        rows = sorted(by_phase, key=lambda r: str(r[phase]))
         moments = [_moments(r, metrics) for r in rows]
         if len(rows) < 2 or moments[0][0] < 2:
             raise StatsError("at least two phases and two scenes are needed")
@@ -72,8 +88,7 @@ class Cube:
         within = sum(c - np.outer(s, s) / n for _, s, c in moments)
         grand = means.mean(axis=0)
         between = n * (means - grand).T @ (means - grand)
-        by_scene = z.groupBy(scene).agg(*[F.avg(m).alias(m) for m in metrics])
-        _, s, c = _moments(sscp(by_scene, metrics).first(), metrics)
+        _, s, c = _moments(of_scenes, metrics)
         scenes = len(rows) * (c - np.outer(s, s) / n)
         return cls([r[phase] for r in rows], n, means, within, between, scenes)
 

@@ -13,6 +13,7 @@ from cellmill.operators import quality as U
 from cellmill.operators import scores as S
 from cellmill.operators import stats as X
 from cellmill.plans.cells import METRICS, SPECS, cells, rounded
+from cellmill.session import settle
 
 
 class IntegrityError(ValueError):
@@ -62,7 +63,7 @@ def analyse(cells: DataFrame, metrics: list[str], specs: list[S.Spec], phases: t
 
 def full_analysis(spark, sf):
     c = cells(spark, sf).withColumnRenamed("difficulty", "tier")
-    return rounded(analyse(C.complete_scenes(c, 3).select("scene", "phase", "tier", *METRICS).persist(), METRICS, SPECS, lower=("absrel", "rmse")))
+    return rounded(analyse(settle(C.complete_scenes(c, 3).select("scene", "phase", "tier", *METRICS)), METRICS, SPECS, lower=("absrel", "rmse")))
 
 
 def phase_summary(spark, sf):

@@ -8,6 +8,7 @@ from cellmill import roles
 from cellmill.operators import difficulty as D
 from cellmill.operators import sequences as Q
 from cellmill.plans.cells import CELLS_SQL, METRICS, cells, rounded
+from cellmill.session import settle
 from cellmill.sources.tables import table
 
 WEIGHTS = {"absrel": 0.5, "rmse": 0.3, "delta1": 0.2}
@@ -56,7 +57,7 @@ def consensus_tier(spark, sf):
 
 def _wide_norms(spark, sf):
     n = _normed(spark, sf)
-    return n.groupBy(*KEYS).pivot("feature", METRICS).agg(F.first("p")).persist()
+    return settle(n.groupBy(*KEYS).pivot("feature", METRICS).agg(F.first("p")))
 
 
 def component_scores(spark, sf):
@@ -83,10 +84,10 @@ def effort_weights(spark, sf):
 
 
 def confidence_flips(spark, sf):
-    """How often cells keep their tier under 40 random weightings."""
+    """How often cells leave their tier under 1,000 random weightings."""
     n = _normed(spark, sf)
     base = D.tiers(D.scores(n, KEYS).select(*KEYS, F.round("weighted", 9).alias("v")), "v", *KEYS).select(*KEYS, "tier")
-    return rounded(D.confidence(n, KEYS, base, 40))
+    return rounded(D.confidence(n, KEYS, base))
 
 
 def mode_split(spark, sf):
@@ -230,11 +231,11 @@ ORACLE_SQL = {
         c AS (SELECT scene, phase, tier, count(*) AS n FROM v GROUP BY ALL)
         SELECT scene, phase, tier AS consensus, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY scene, phase ORDER BY n DESC, CASE tier WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS k FROM c) WHERE k = 1""",
     "confidence_flips": f"""WITH {_N}, even AS (SELECT scene, phase, round(avg(p), 9) AS e FROM normed GROUP BY ALL), base AS ({_tier('e', 'even')}),
-        dr AS (SELECT feature, replicate, -ln({_U}) AS weight FROM (SELECT DISTINCT feature FROM normed), (SELECT unnest(range(40)) AS replicate)),
+        dr AS (SELECT feature, replicate, -ln({_U}) AS weight FROM (SELECT DISTINCT feature FROM normed), (SELECT unnest(range(1000)) AS replicate)),
         s AS (SELECT scene, phase, replicate, round(sum(weight * p) / sum(weight), 9) AS s FROM normed JOIN dr USING (feature) GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY s, scene, phase) AS rk, count(*) OVER (PARTITION BY replicate) AS n FROM s)
-        SELECT scene, phase, tier, round(avg(CASE WHEN tier = CASE WHEN rk * 3 <= n THEN 'easy' WHEN rk * 3 <= 2 * n THEN 'medium' ELSE 'hard' END THEN 1.0 ELSE 0.0 END), 6) AS confidence
-        FROM r JOIN base USING (scene, phase) GROUP BY ALL""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY s, scene, phase) AS rk, count(*) OVER (PARTITION BY replicate) AS n FROM s),
+        f AS (SELECT scene, phase, tier, avg(CASE WHEN tier <> CASE WHEN rk * 3 <= n THEN 'easy' WHEN rk * 3 <= 2 * n THEN 'medium' ELSE 'hard' END THEN 1.0 ELSE 0.0 END) AS rate FROM r JOIN base USING (scene, phase) GROUP BY ALL)
+        SELECT scene, phase, tier, round(rate, 6) AS flip_rate, CASE WHEN rate < CAST(0.1 AS DOUBLE) THEN 'high' WHEN rate < 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM f""",
     "effort_weights": f"""WITH {CELLS_SQL},
         e AS (SELECT l_suppkey AS scene, 1.0 + count(DISTINCT o_orderpriority) AS iter_mean FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
         c AS (SELECT * FROM cells JOIN e USING (scene)),

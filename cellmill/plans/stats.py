@@ -8,6 +8,7 @@ from cellmill import roles
 from cellmill.operators import cells as C
 from cellmill.operators import stats as X
 from cellmill.plans.cells import CELLS_SQL, METRICS, cells, rounded
+from cellmill.session import settle
 
 TWO = ["absrel", "rmse"]
 
@@ -15,8 +16,7 @@ TWO = ["absrel", "rmse"]
 def _z(spark, sf, metrics=None):
     metrics = metrics or METRICS
     whole = C.complete_scenes(cells(spark, sf).withColumnRenamed("difficulty", "tier"), 3, metrics=tuple(metrics))
-    # a few rows a scene, which the tests below read several times
-    kept = whole.select("scene", "phase", "tier", *metrics).persist()
+    kept = settle(whole.select("scene", "phase", "tier", *metrics))  # the tests below read it several times
     return X.standardise(kept, metrics, ("absrel", "rmse"))
 
 
@@ -42,13 +42,10 @@ def phi_designs_k2(spark, sf):
 
 
 def phi_by_model(spark, sf):
-    """One-way phase effect of every model (a small set), each on its complete scenes."""
-    s = roles.tiered_samples(spark, sf)
-    out = {}
-    for model in sorted(r.model for r in s.select("model").distinct().collect()):
-        c = C.complete_scenes(C.cells_from_samples(s.filter(F.col("model") == model), METRICS), 3)
-        out[model] = X.phi_oneway(X.Cube.of(X.standardise(c.select("scene", "phase", *METRICS), METRICS), METRICS))
-    return rounded(X.phi_table(spark, out).withColumnRenamed("design", "model"))
+    """One-way phase effect of every model, each on its complete scenes: all models in one pass."""
+    c = C.complete_scenes(C.cells_from_samples(roles.tiered_samples(spark, sf), METRICS, ("model", "scene", "phase")), 3, ("model", "scene"))
+    cubes = X.Cube.of_each(X.standardise(c.select("model", "scene", "phase", *METRICS), METRICS, by=("model",)), METRICS, "model")
+    return rounded(X.phi_table(spark, {m: X.phi_oneway(cube) for m, cube in cubes.items()}).withColumnRenamed("design", "model"))
 
 
 def phi_mixed_design(spark, sf):
@@ -91,8 +88,8 @@ def mean_ci(spark, sf):
 
 
 def hash_bootstrap(spark, sf):
-    """Spread of 200 bootstrap means of a metric per phase, scenes drawn by hash."""
-    means = X.bootstrap_means(cells(spark, sf), "rmse", "scene", 200, ("phase",))
+    """Spread of 2,000 bootstrap means of a metric per phase, scenes drawn by hash."""
+    means = X.bootstrap_means(cells(spark, sf), "rmse", "scene", 2000, ("phase",))
     return rounded(means.groupBy("phase").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high")))
 
 
@@ -157,7 +154,7 @@ ORACLE_SQL = {
         SELECT phase, n, round(m, 6) AS mean, round(md, 6) AS median, round(sd, 6) AS std, round(p5, 6) AS p5, round(p95, 6) AS p95,
             round(m - CAST(1.96 AS DOUBLE) * sd / sqrt(n), 6) AS ci95_low, round(m + CAST(1.96 AS DOUBLE) * sd / sqrt(n), 6) AS ci95_high FROM s""",
     "hash_bootstrap": f"""WITH {CELLS_SQL}, r AS (SELECT phase, scene, rmse, replicate, CAST(('0x' || substr(sha256('boot:' || replicate || ':' || scene), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS h
-            FROM cells, (SELECT unnest(range(200)) AS replicate)),
+            FROM cells, (SELECT unnest(range(2000)) AS replicate)),
         t AS (SELECT *, {_POISSON} AS times FROM r), m AS (SELECT phase, replicate, sum(rmse * times) / nullif(sum(times), 0) AS mean FROM t GROUP BY ALL)
         SELECT phase, round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS se, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY phase""",
     "degradation_curve": f"WITH {_BUDGET} SELECT model, frame_budget, round(avg(rmse), 6) AS rmse, count(*) AS n FROM bb GROUP BY ALL",
