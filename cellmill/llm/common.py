@@ -1,9 +1,7 @@
-"""Helpers shared by the operators: table access, lineage cuts, Arrow batch slicing."""
+"""Helpers shared by the operators: table access, lineage cuts, names of texts, Arrow batch slicing."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmill.session import settle, shared_dir  # noqa: F401  shared_dir is for other modules
+
 #: Rows handed to Python code at once; keeps a worker's memory small whatever the session's Arrow batch size is.
 SLICE_ROWS = 256
 
@@ -26,25 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get()
-    own = os.path.join(tempfile.gettempdir(), "cellmill-checkpoints")
-    context.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there, so a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+cut = settle  #: cuts lineage in the shared folder
 
 
 def text_key(text: Column) -> list[Column]:

@@ -5,8 +5,9 @@ path-prefix expressions, but only of the shapes (number of host labels, length o
 an expression's SHA-256 digest is the key of an equi-join with the rules; survivors are confirmed by the full digest. Of
 several rules the longest wins, then the one with the longer host, then block before allow.
 
-The rules' shapes are a small set whatever the rules are (at most labels times path lengths). Rules are broadcast up to
-BROADCAST_RULES rows, which is checked; beyond, Spark joins by shuffle and splits hot keys.
+The rules' shapes are a small set whatever the rules are (at most labels times path lengths). Up to BROADCAST_RULES rules, which
+is checked, and LOOKUP_SHAPES shapes, every shape is a broadcast join of its own, and pages stay where they are; beyond, Spark joins by
+shuffle and splits hot keys, and every different host and path is judged once.
 
 Edge cases: a null URL, or one without ://, has an empty host and path and fits no rule; an empty URL too; repeated rows get the same
 verdict each; rows with a null id are judged like others; null parts of a rule count as empty, and rules without a host are
@@ -20,9 +21,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmill.llm.common import cut
+
 DEFAULT_VERDICT = "allow"
 PREFIX_DIGITS = 8
 BROADCAST_RULES = 100_000
+#: Shapes up to which each is looked up by itself.
+LOOKUP_SHAPES = 32
 
 
 def ascii_lower(text: Column) -> Column:
@@ -63,15 +68,21 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     fitting = F.filter(known, lambda s: (s["labels"] <= host_labels) & (s["path_chars"] <= F.length("path")) & (F.col("host") != ""))
     suffix = lambda s: F.element_at(F.array(*[F.substring_index("host", ".", -n) for n in range(1, most + 1)]), s["labels"])
     most = max(n for n, _ in shapes)
-    expressions = F.transform(fitting, lambda s: _digest(suffix(s), F.substr(F.col("path"), F.lit(1), s["path_chars"])))
-    spread = parsed.select("id", "url", F.explode(expressions).alias("digest")).withColumn("prefix", F.substr("digest", F.lit(1), F.lit(PREFIX_DIGITS)))
-    fits = spread.join(F.broadcast(rules) if small else rules, "prefix").filter("digest = full")
-    order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_verdict")
-    best = (
-        fits.groupBy("id", "url").agg(F.max_by(F.struct("rule_host", "rule_path", "rule_verdict"), order).alias("best"))
-        .select(F.col("id").alias("best_id"), F.col("url").alias("best_url"), "best")
-    )
-    judged = parsed.join(best, F.col("id").eqNullSafe(F.col("best_id")) & F.col("url").eqNullSafe(F.col("best_url")), "left")
-    return judged.select(
-        F.col("id").alias(id_col), "host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    digest = lambda n, chars: _digest(suffix({"labels": F.lit(n)}), F.substr(F.col("path"), F.lit(1), F.lit(chars)))
+    place = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))
+    if small and len(shapes) <= LOOKUP_SHAPES:  # a look-up for each shape; pages aren't shuffled
+        judged, found = parsed, []
+        for i, (n, chars) in enumerate(sorted(shapes)):
+            fits = (F.col("host") != "") & (host_labels >= n) & (F.length("path") >= chars)
+            judged = judged.withColumn(f"digest{i}", F.when(fits, digest(n, chars))).withColumn(f"prefix{i}", F.substr(f"digest{i}", F.lit(1), F.lit(PREFIX_DIGITS)))
+            own = rules.filter((F.col("labels") == n) & (F.col("path_chars") == chars)).select(F.col("prefix").alias(f"of{i}"), F.col("full").alias(f"full{i}"), place.alias(f"rule{i}"))
+            judged = judged.join(F.broadcast(own), (F.col(f"prefix{i}") == F.col(f"of{i}")) & (F.col(f"digest{i}") == F.col(f"full{i}")), "left")
+            found.append(F.col(f"rule{i}"))
+        judged = judged.withColumn("best", F.greatest(*found) if len(found) > 1 else found[0])
+    else:  # the verdict depends on host and path alone, so each of them is judged once
+        expressions = F.transform(fitting, lambda s: _digest(suffix(s), F.substr(F.col("path"), F.lit(1), s["path_chars"])))
+        spread = parsed.select("host", "path", F.explode(expressions).alias("digest")).withColumn("prefix", F.substr("digest", F.lit(1), F.lit(PREFIX_DIGITS)))
+        fits = spread.join(F.broadcast(rules) if small else rules, "prefix").filter("digest = full")
+        decided = cut(fits.groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path")).agg(F.max(place).alias("best")))
+        judged = parsed.join(decided, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -119,7 +119,10 @@ def brute(url, rules):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-def test_urls_against_brute_force(spark):
+@pytest.mark.parametrize("bounds", [{}, {"LOOKUP_SHAPES": 0}, {"BROADCAST_RULES": 0}])
+def test_urls_against_brute_force(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(urls, name, value)
     values = [
         "http://A.Example.COM/en/700?x#y", "https://example.com/en/8", "https://notexample.com/en/7", "http://x.net/de/", "http://example.net/de/81", "http://sub.example.net/de/9",
         "ftp://org/es/", "org/es/", "http://org", "http://org?/es/", "http://É.org/es/1", None, "", "://", "x://com/en/://org/es/", "http://com/en", "http://a.b.c.d.com/en/zz", "http://com/en/\n1", "http://.com/en/",
