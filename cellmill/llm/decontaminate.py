@@ -3,15 +3,19 @@
 Texts become lower-case word tokens. Fixed masks pick positions out of a short window of tokens; the others may differ. The
 hash of the picked tokens is a seed. Seeds of the test items are joined with those of the documents; a common seed puts an
 item and a document on one diagonal. There the overlap is verified token by token: the longest stretch whose share of
-equal tokens is SIMILARITY or more, and which has MIN_TOKENS tokens (or the whole item, if that is shorter), is a
-leak. With these masks no stretch of MIN_TOKENS tokens with two substitutions escapes.
+equal tokens is SIMILARITY or more, and which has MIN_TOKENS tokens or that share of the item, if that is shorter, is a leak.
+
+Masks follow from an item's length, so that no such stretch escapes where it is short: items of 16 tokens and more have masks
+of five tokens, which find every stretch of 13 to 21 tokens with a fifth substituted; shorter items have masks of four, which find every stretch of 5
+to 14; items of four tokens or fewer match as a whole only. Only masks that some item needs are hashed.
 
 Documents send only seeds that a fixed-size bitmap of the test seeds lets pass, and only documents with a candidate are
-read again for verification, so the corpus itself is not shuffled.
+read again for verification, once with all their items, so the corpus itself is not shuffled.
 
-Edge cases: null and empty texts have no tokens and leak nothing; items under five tokens can't be told from
-chance and match nothing; rows that share an id (null included) are judged together; the best of several overlaps of one
-item and document is reported, ties to the first; empty tables give empty results; other columns are untouched.
+Edge cases: null and empty texts have no tokens and leak nothing; items of fewer than `min_item` tokens are left out (1 takes all; a
+word or two can't be told from chance, so clean() takes 5); rows are documents by id and text, so rows that share an id (null included) are judged each
+by its own text, and equal rows once; the best of several overlaps of one item and document is reported, ties to the first; empty
+tables give empty results; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -24,62 +28,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.bitmap import Bitmap, maybe_in
-from cellmill.llm.common import cut, slices, word_hash
+from cellmill.llm.common import cut, document, slices, word_hash
 
-#: Five tokens each; the first needs them in a row.
+#: Five tokens each, for items of LONG_ITEM tokens and more; the first needs them in a row.
 MASKS = ("11111", "1101101", "110010101", "10101011")
+#: Four tokens each, for shorter items.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+LONG_ITEM = 16
+#: Items up to this length match as a whole.
+WHOLE = 4
 MIN_TOKENS = 13
-MIN_ITEM = 5
+MIN_ITEM = 1
 SIMILARITY = 0.8
 _WORD = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a text."""
     words = _WORD(text.lower()) if text else []
     return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
-def seeds(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hash, row and position of every window of every mask."""
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n tokens."""
+    return MASKS if n >= LONG_ITEM else SHORT_MASKS if n > WHOLE else ("1" * n,) if n else ()
+
+
+def seeds(rows: list[np.ndarray], masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed hash, row and position of every window of every mask; of masks for whole items only a row's first place of each seed."""
+    nothing = (np.zeros(0, np.int64),) * 3
     sizes = np.array([len(r) for r in rows], np.int64)
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return nothing
     all_tokens = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), sizes)
     start = np.cumsum(sizes) - sizes
     at = np.arange(len(all_tokens)) - start[row]
     room = sizes[row] - at
     found = []
-    for number, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(all_tokens) - len(mask) + 1
         if n <= 0:
             continue
-        h = np.full(n, number + 1, np.uint64)
+        h = np.full(n, int(mask, 2), np.uint64)
         for offset, bit in enumerate(mask):
             if bit == "1":
                 h ^= all_tokens[offset : offset + n]
                 h *= _MIX
                 h ^= h >> np.uint64(29)
         fits = room[:n] >= len(mask)
-        found.append((h[fits].view(np.int64), row[:n][fits], at[:n][fits]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        here = h[fits].view(np.int64), row[:n][fits], at[:n][fits]
+        if len(mask) <= WHOLE and mask not in SHORT_MASKS:
+            _, first = np.unique(np.stack(here[:2]), axis=1, return_index=True)
+            here = tuple(x[first] for x in here)
+        found.append(here)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else nothing
 
 
-def _seed_rows(table: DataFrame, allowed: Bitmap | None = None) -> DataFrame:
-    """table: id, text. Returns seed, id, at."""
-    shared = table.sparkSession.sparkContext.broadcast(allowed.words) if allowed else None
+def _item_seeds(items: DataFrame, min_item: int) -> DataFrame:
+    """items: id, text. Returns seed, id, at and the number of the item's tokens."""
 
     def run(batches):
-        known = Bitmap(shared.value) if shared else None
         for batch in slices(batches):
-            hashed, row, at = seeds([tokens(t) for t in batch.column(1).to_pylist()])
-            if known:
-                hit = known.has(hashed)
-                hashed, row, at = hashed[hit], row[hit], at[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(hashed), batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32))], names=["seed", "id", "at"])
+            rows = [tokens(t) for t in batch.column(1).to_pylist()]
+            for masks in {masks_for(len(r)) for r in rows}:
+                kept = np.array([k for k, r in enumerate(rows) if masks_for(len(r)) == masks and len(r) >= min_item], np.int64)
+                hashed, row, at = seeds([rows[k] for k in kept], masks)
+                size = np.array([len(rows[k]) for k in kept], np.int32)
+                columns = [pa.array(hashed), batch.column(0).take(pa.array(kept[row])), pa.array(at.astype(np.int32)), pa.array(size[row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at", "size"])
+
+    return items.mapInArrow(run, f"seed bigint, id {items.schema['id'].dataType.simpleString()}, at int, size int")
 
-    return table.mapInArrow(run, f"seed bigint, id {table.schema['id'].dataType.simpleString()}, at int")
+
+def _doc_seeds(docs: DataFrame, allowed: Bitmap, masks: tuple[str, ...]) -> DataFrame:
+    """docs: id, text. Returns seed, id, at of seeds that may be an item's."""
+    shared = docs.sparkSession.sparkContext.broadcast(allowed.words)
+
+    def run(batches):
+        known = Bitmap(shared.value)
+        for batch in slices(batches):
+            hashed, row, at = seeds([tokens(t) for t in batch.column(1).to_pylist()], masks)
+            hit = known.has(hashed)
+            columns = [pa.array(hashed[hit]), batch.column(0).take(pa.array(row[hit])), pa.array(at[hit].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "id", "at"])
+
+    return docs.mapInArrow(run, f"seed bigint, id {docs.schema['id'].dataType.simpleString()}, at int")
 
 
 def longest_overlap(equal: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -101,42 +136,53 @@ def verify(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int = MIN_
         return None
     equal = doc[a:b] == item[a - shift : b - shift]
     begin, end = longest_overlap(equal, similarity)
-    if end - begin < min(min_tokens, max(MIN_ITEM, int(np.ceil(similarity * len(item))))):
+    if end - begin < min(min_tokens, int(np.ceil(similarity * len(item) - 1e-9))):
         return None
     return a + begin, end - begin, int(equal[begin:end].sum())
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per leaked item and document: id, item, start, n_tokens, n_equal (in tokens of the document)."""
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, min_item: int = MIN_ITEM) -> DataFrame:
+    """One row per leaked item and document: document (see common.document), id, item, start, n_tokens, n_equal (in tokens of the document)."""
     test = items.select(items[item_id_col].alias("id"), items[item_text_col].alias("text")).filter("text IS NOT NULL").distinct()
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    test_seeds = cut(_seed_rows(test))
-    hits = cut(_seed_rows(own, Bitmap.of(test_seeds, F.col("seed"))))
+    own = docs.select(document(docs[id_col], docs[text_col]).alias("id"), docs[text_col].alias("text"))
+    test_seeds = cut(_item_seeds(test, min_item))
+    sizes = [r["size"] for r in test_seeds.select(F.least("size", F.lit(LONG_ITEM)).alias("size")).distinct().collect()]  # at most LONG_ITEM numbers
+    masks = tuple(sorted({m for n in sizes for m in masks_for(n)}))
+    hits = cut(_doc_seeds(own, Bitmap.of(test_seeds, F.col("seed")), masks))
     lines = hits.join(test_seeds.select("seed", F.col("id").alias("item"), F.col("at").alias("item_at")), "seed")
     lines = lines.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     texts = test.select(F.col("id").alias("item_id"), F.col("text").alias("item_text"))
-    candidates = cut(
-        lines.groupBy("id", "item").agg(F.collect_set("shift").alias("shifts"))
-        .join(texts, F.col("item").eqNullSafe(F.col("item_id"))).drop("item_id")
-    )
+    by_item = lines.groupBy("id", "item").agg(F.collect_set("shift").alias("shifts")).join(texts, F.col("item").eqNullSafe(F.col("item_id")))
+    candidates = cut(by_item.groupBy("id").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("items")))
     maybe, _ = maybe_in(own, F.xxhash64("id"), Bitmap.of(candidates, F.xxhash64("id")))
-
-    @F.arrow_udf("array<struct<start:int,n_tokens:int,n_equal:int>>")
-    def check(doc_texts: pa.Array, item_texts: pa.Array, shifts: pa.Array) -> pa.Array:
-        overlaps = []
-        for text, item_text, lines in zip(doc_texts, item_texts, shifts):
-            doc, item = tokens(text.as_py()), tokens(item_text.as_py())
-            overlaps.append([dict(zip(("start", "n_tokens", "n_equal"), v)) for s in lines.as_py() if (v := verify(doc, item, s, min_tokens, similarity))])
-        return pa.array(overlaps, pa.list_(pa.struct([("start", pa.int32()), ("n_tokens", pa.int32()), ("n_equal", pa.int32())])))
-
-    pairs = maybe.select(F.col("id").alias("doc"), "text").join(candidates, F.col("doc").eqNullSafe(F.col("id")))
-    found = pairs.select("id", "item", F.explode(check("text", "item_text", "shifts")).alias("o"))
-    best = F.max_by(F.col("o"), F.struct(F.col("o.n_equal"), -F.col("o.n_tokens"), -F.col("o.start")))
-    return found.groupBy("id", "item").agg(best.alias("o")).select("id", "item", "o.*")
-
-
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, whose documents hold no item."""
-    bad = cut(leaks(docs, items, id_col, text_col, item_id_col, item_text_col, min_tokens, similarity).select(F.col("id").alias("__leaked")).distinct())
-    maybe, never = maybe_in(docs, F.xxhash64(docs[id_col]), Bitmap.of(bad, F.xxhash64("__leaked")))
-    return never.unionByName(maybe.join(bad, maybe[id_col].eqNullSafe(bad["__leaked"]), "left_anti"))
+    pairs = maybe.select(F.col("id").alias("doc"), "text").join(candidates, F.col("doc").eqNullSafe(F.col("id"))).dropDuplicates(["id"])
+    overlap = pa.struct([("place", pa.int32()), ("start", pa.int32()), ("n_tokens", pa.int32()), ("n_equal", pa.int32())])
+
+    @F.arrow_udf("array<struct<place:int,start:int,n_tokens:int,n_equal:int>>")
+    def check(doc_texts: pa.Array, item_lists: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(doc_texts, item_lists):
+            doc, best = tokens(text.as_py()), []
+            for place, one in enumerate(found.as_py()):
+                item = tokens(one["item_text"])
+                spans = [v for s in one["shifts"] if (v := verify(doc, item, s, min_tokens, similarity))]
+                if spans:
+                    start, n, equal = max(spans, key=lambda v: (v[2], -v[1], -v[0]))
+                    best.append({"place": place, "start": start, "n_tokens": n, "n_equal": equal})
+            out.append(best)
+        return pa.array(out, pa.list_(overlap))
+
+    found = pairs.select("id", "items", F.explode(check("text", "items")).alias("o"))
+    each = found.select("id", F.get("items", F.col("o.place"))["item"].alias("item"), "o.start", "o.n_tokens", "o.n_equal")
+    best = F.max_by(F.struct("start", "n_tokens", "n_equal"), F.struct(F.col("n_equal"), -F.col("n_tokens"), -F.col("start")))
+    several = each.groupBy("id", "item").agg(best.alias("o"))  # items of one id and different texts
+    return several.select(F.col("id").alias("document"), F.col("id.id").alias("id"), "item", "o.*")
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, min_item: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts hold no item of five tokens or more."""
+    found = leaks(docs, items, id_col, text_col, item_id_col, item_text_col, min_tokens, similarity, min_item)
+    bad = cut(found.select(F.col("document").alias("leaked")).distinct())
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), document(docs[id_col], docs[text_col]).alias("of"))
+    maybe, never = maybe_in(packed, F.xxhash64("of"), Bitmap.of(bad, F.xxhash64("leaked")))
+    return never.select("row.*").unionByName(maybe.join(bad, F.col("of").eqNullSafe(F.col("leaked")), "left_anti").select("row.*"))

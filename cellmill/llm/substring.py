@@ -28,11 +28,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmill.llm.bitmap import Bitmap, maybe_in
-from cellmill.llm.common import cut, slices, text_key
+from cellmill.llm.common import cut, document, slices
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
@@ -160,11 +160,6 @@ def _hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 bigint")
 
 
-def document(id_col: Column, text_col: Column) -> Column:
-    """What names a document: its id and two hashes of its text; in order, those without an id come last."""
-    return F.struct(id_col.isNull().alias("no_id"), id_col.alias("id"), *text_key(text_col))
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document that loses sentences: id (a struct, see document), gone (array of [first, after) structs), sources (ids
     of the documents that keep the passage)."""

@@ -1,4 +1,6 @@
 import random
+import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -272,12 +274,20 @@ def test_substring_edges(spark, monkeypatch, max_fill):
         assert "".join(substring.sentences(t)) == t
 
 
-def test_masks_catch_two_substitutions():
-    n = decontaminate.MIN_TOKENS
-    for a in range(n):
-        for b in range(a, n):
-            bad = {a, b}
-            assert any(all(at + o not in bad for o, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (a, b)
+def escapes(n, masks):
+    """Places of substitutions inside a stretch of n tokens (a fifth of them at most) that no mask avoids."""
+    out = []
+    for k in range(int(0.2 * n + 1e-9) + 1):
+        for bad in combinations(range(1, n - 1), k):
+            if not any(all(at + o not in bad for o, bit in enumerate(m) if bit == "1") for m in masks for at in range(n - len(m) + 1)):
+                out.append(bad)
+    return out
+
+
+def test_masks_catch_every_allowed_substitution():
+    assert not [b for n in range(13, 20) for b in escapes(n, decontaminate.MASKS)]
+    assert not [b for n in range(4, 15) for b in escapes(n, decontaminate.SHORT_MASKS)]
+    assert [decontaminate.masks_for(n) for n in (0, 1, 4, 5, 15, 16)] == [(), ("1",), ("1111",), decontaminate.SHORT_MASKS, decontaminate.SHORT_MASKS, decontaminate.MASKS]
 
 
 def slow_overlap(equal, similarity):
@@ -297,6 +307,83 @@ def test_longest_overlap():
         assert end - begin == slow_overlap(list(equal), 0.8)
 
 
+def slow_words(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def slow_leaks(rows, items, min_item=1):
+    """(id, text, item): longest stretch, by trying every diagonal of every pair; with none of the module's code."""
+    out = {}
+    for i, text in set(rows):
+        doc = slow_words(text)
+        for item_id, item_text in set(items):
+            item = slow_words(item_text)
+            need = min(13, -(-len(item) * 8 // 10))
+            if len(item) < max(1, min_item):
+                continue
+            best = 0
+            for shift in range(-len(item) + 1, len(doc)):
+                equal = [shift + k >= 0 and shift + k < len(doc) and doc[shift + k] == w for k, w in enumerate(item)]
+                if sum(equal) >= 0.8 * need - 1e-9:
+                    best = max(best, slow_overlap(equal, 0.8))
+            if best >= need:
+                out[i, text, item_id] = best
+    return out
+
+
+def substituted(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = "changed"
+    return " ".join(words)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(18)
+    items = [(n, prose(rng, n)) for n in range(1, 41)] + [(50, None), (51, ""), (None, prose(rng, 9)), (3, prose(rng, 3))]
+    rows = [(k, prose(rng, rng.randint(0, 60))) for k in range(60)]
+    for k in range(400):
+        item = rng.choice([t for _, t in items if t])
+        n = len(item.split())
+        part = item.split()[rng.randint(0, n // 8) : n - rng.randint(0, n // 8)]
+        rows.append((100 + k // 2, f"{prose(rng, rng.randint(0, 25))} {substituted(rng, ' '.join(part), rng.randint(0, len(part) // 4))} {prose(rng, rng.randint(0, 25))}"))
+    rows += [(None, items[20][1]), (None, prose(rng, 30)), (7, None), (7, ""), (1, items[9][1])]
+    test = spark.createDataFrame([(i, t, "x") for i, t in items] + [(5, items[4][1], "y")], "item_id long, text string, id string")
+    want = slow_leaks(rows, items)
+    found = decontaminate.leaks(docs(spark, rows), test)
+    texts = {(r.id, r.d1): r.text for r in spark.createDataFrame(rows, "id long, text string").select("id", "text", *text_key(F.col("text"))).collect()}
+    got = {(r.id, texts[r.id, r.document.d1], r.item): r.n_tokens for r in found.collect()}
+    assert len(want) > 200 and set(got) <= set(want)
+    assert all(got[k] <= want[k] for k in got)
+    by_size = {}
+    for key in want:
+        size = len(slow_words(dict(items)[key[2]]))
+        by_size.setdefault(size, []).append(key in got)
+    assert all(all(hits) for size, hits in by_size.items() if size < 16) and sum(sum(h) for h in by_size.values()) >= 0.99 * len(want)
+    left = decontaminate.clean(docs(spark, rows), test).collect()
+    bad = {(i, t) for i, t, _ in slow_leaks(rows, items, 5)}
+    assert sorted((r.doc_id or -1, r.text or "") for r in left) == sorted((i or -1, t or "") for i, t in rows if (i, t) not in bad)
+
+
+@pytest.mark.parametrize("n", [*range(1, 17), 20, 30, 40])
+def test_recall_by_item_length(n):
+    """Whole items with a fifth of their tokens substituted anywhere: the share with a common seed on the right diagonal and a verified overlap."""
+    rng = random.Random(n)
+    hits = total = 0
+    for _ in range(200):
+        item = [f"w{k}" for k in range(n)]
+        doc = item[:]
+        for at in rng.sample(range(n), n // 5):
+            doc[at] = "changed"
+        a, b = (decontaminate.tokens(" ".join(x)) for x in (doc, item))
+        masks = decontaminate.masks_for(n)
+        (h, _, at), (g, _, place) = decontaminate.seeds([a], masks), decontaminate.seeds([b], masks)
+        common = {(int(s), int(p)) for s, p in zip(h, at)} & {(int(s), int(p)) for s, p in zip(g, place)}
+        hits += bool(common) and decontaminate.verify(a, b, 0) is not None
+        total += 1
+    assert hits >= 0.9 * total, hits / total
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     items = [prose(rng, n) for n in (40, 20, 13, 7, 5, 3)] + [None, ""]
@@ -311,11 +398,11 @@ def test_leaks(spark):
         (5, items[2]), (6, items[3] + " " + other(9)), (7, items[4]), (8, items[5]), (9, None), (10, ""), (11, other(300)), (12, " ".join(items[1].split()[:9]) + " " + other(10)), (None, items[2]), (1, other(8)),
     ]
     found = decontaminate.leaks(docs(spark, rows), test).collect()
-    assert {(r.id, r.item) for r in found} == {(1, 0), (2, 0), (4, 1), (5, 2), (6, 3), (7, 4), (None, 2)}
+    assert {(r.id, r.item) for r in found} == {(1, 0), (2, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5), (None, 2)}
     by = {(r.id, r.item): r for r in found}
     assert (by[1, 0].start, by[1, 0].n_tokens, by[1, 0].n_equal) == (50, 40, 40) and (by[2, 0].n_tokens, by[2, 0].n_equal) == (40, 35)
     left = decontaminate.clean(docs(spark, rows), test)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 8, 9, 10, 11, 12] and set(left.columns) == set(docs(spark, []).columns)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 8, 9, 10, 11, 12] and set(left.columns) == set(docs(spark, []).columns)
     assert decontaminate.leaks(docs(spark, []), test).count() == decontaminate.leaks(docs(spark, rows), test.limit(0)).count() == 0
     assert decontaminate.clean(docs(spark, rows), test.limit(0)).count() == len(rows)
 
