@@ -151,9 +151,9 @@ def slow_alike(a, b):
     return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("cell, heavy", [(near_copies.CELL, near_copies.HEAVY), (12, 3)])
-def test_near_copies_against_brute_force(spark, monkeypatch, cell, heavy):
-    monkeypatch.setattr(near_copies, "HEAVY", heavy)
+@pytest.mark.parametrize("cell, block", [(near_copies.CELL, near_copies.BLOCK_NODES), (12, 16)])
+def test_near_copies_against_brute_force(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", block)
     monkeypatch.setattr(near_copies.sub_grids, "__defaults__", (cell, near_copies.RECALL))
     rng = random.Random(15)
     rows = []
@@ -186,17 +186,30 @@ def test_near_copies_tell_rows_apart_by_content(spark):
 
 
 @pytest.mark.parametrize("bound", [("BLOCK_TEXTS", 4), ("BLOCK_CHARS", 3000)])
-def test_verification_in_blocks_is_exact(spark, monkeypatch, bound):
+def test_verification_in_blocks(spark, monkeypatch, bound):
     monkeypatch.setattr(near_copies, *bound)
     rng = random.Random(17)
     base = prose(rng, 200)
     rows = list(enumerate([base, base + " x"] + [edited(rng, base, rng.randint(2, 9)) for _ in range(40)] + [None, "", "a b"]))
     table = docs(spark, rows)
-    nodes = table.filter("doc_id < 42").select(F.col("doc_id").alias("node"), *text_key(F.col("text")))
-    pairs = spark.createDataFrame([(a, b) for a in range(42) for b in range(a + 1, 42)], "a long, b long")
-    got = {(r.a, r.b) for r in near_copies.verified(pairs, nodes, table).collect()}
-    sets = {i: slow_shingles(t) for i, t in rows}
-    assert got == {(a, b) for a in range(42) for b in range(a + 1, 42) if slow_alike(sets[a], sets[b])} and len(got) > 10
+    sketched = [(i, *near_copies.wide_fingerprint(t)) for i, t in rows[:42]]
+    keys = table.filter("doc_id < 42").select(F.col("doc_id").alias("node"), *text_key(F.col("text")))
+    nodes = keys.join(spark.createDataFrame(sketched, "node long, fp long, fp2 long, size long"), "node")
+    links = near_copies.verified(nodes.select("node", F.lit(0).cast("long").alias("in_group")), nodes, table).collect()
+    sets = {i: slow_shingles(t) for i, t in rows[:42]}
+    alike = [(a, b) for a in sets for b in sets if a < b and slow_alike(sets[a], sets[b])]
+    assert {(r.a, r.b) for r in links} <= set(alike)
+    assert union_find([(r.a, r.b) for r in links], sets) == union_find(alike, sets) and len(alike) > 10
+
+
+def test_wide_fingerprints_of_different_shingles():
+    assert near_copies.wide_fingerprint(None) == near_copies.wide_fingerprint(" ") == (0, 0, 0)
+    once, often = near_copies.wide_fingerprint("a b c d e f"), near_copies.wide_fingerprint("a b c d e f " * 500)
+    assert once[2] == 2 and often[2] == 6 and near_copies.wide_fingerprint("A  b") == near_copies.wide_fingerprint("a b")
+    rng = random.Random(19)
+    a = prose(rng, 300)
+    bits = lambda x, y: sum((p ^ q) & (2**64 - 1) and ((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x[:2], y[:2]))
+    assert bits(near_copies.wide_fingerprint(a), near_copies.wide_fingerprint(edited(rng, a, 2))) < 29 < bits(near_copies.wide_fingerprint(a), near_copies.wide_fingerprint(prose(rng, 300)))
 
 
 def slow_pieces(text):
