@@ -7,6 +7,8 @@ above LONG_WORD parts take a heap over linked parts instead, so that one endless
 Merged words are remembered in two tables of bounded size: when the newer is full it becomes the older one, and words
 found there move on, so frequent words stay.
 
+A file that asks for a normalizer, a prefix space, whole-word look-ups or other things that aren't done here is refused.
+
 Edge cases: a null text counts as empty (no ids, empty text back); repeated rows are encoded each; an empty table gives
 an empty result; only the named columns are read, so others may be called anything.
 """
@@ -41,12 +43,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: What a file must say where it says anything, because nothing else is implemented.
+_ASSUMED = {
+    "": {"normalizer": None, "post_processor": None},
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+    "added_tokens": {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False},
+}
+
+
+def check_spec(spec: dict) -> None:
+    """Raises ValueError for a file that asks for what this module does not do."""
+    for part, wanted in _ASSUMED.items():
+        given = [spec] if not part else spec.get(part) if part == "added_tokens" else [spec.get(part) or {}]
+        for section in given or ():
+            for name, value in wanted.items():
+                if section.get(name, value) not in (value, "" if value is None else value):
+                    raise ValueError(f"{part or 'tokenizer'}.{name} is {section[name]!r}; only {value!r} is supported")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (a tokenizer description in JSON with a byte-level BPE model)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         as_bytes = lambda token: bytes(alphabet[c] for c in token)
         self.tokens: dict[int, bytes] = {i: as_bytes(t) for t, i in vocab.items()}

@@ -7,8 +7,8 @@ one sparse dot product. Training is sequential by nature and runs in one task ov
 has BUCKETS + 1 numbers whatever the data, so it is broadcast; scoring is a map without a shuffle.
 
 Edge cases: null and empty texts have no features and get the score of the bias alone; rows without a label, an id or a text
-in the table of documents don't train; several labels of one id train one after another; without any training
-row every score is 0.5; a null id is scored, and is not held out.
+in the table of documents don't train; several different labels of one id train one after another, equal ones once; of several
+texts of one id the one with the smallest hash trains; without any training row every score is 0.5; a null id is scored, and is not held out.
 """
 
 from __future__ import annotations
@@ -93,11 +93,12 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learnt from at most `rows` labelled rows that are not held out."""
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label"))
+    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).distinct()
     order = [F.xxhash64("id"), "id", "label"]
     sample = known.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).orderBy(*order).limit(rows)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text IS NOT NULL")
     found = texts.join(F.broadcast(sample), "id")  # `rows` rows of two numbers
+    found = found.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text an id, however often it occurs
 
     def run(batches):
         rows = [(t, y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]

@@ -120,7 +120,9 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("recount", revised)
     rollup.commit("recount", revised)
     rollup.commit("removals", labelled.filter("toxic = 1").select(F.lit("delete").alias("op"), at("words-2").alias("old")))
-    return rollup.totals().withColumnRenamed("version", "tokenizer_version").withColumnRenamed("docs", "n_docs").withColumnRenamed("tokens", "n_tokens")
+    totals = cut(rollup.totals())
+    rollup.remove()  # its folder was this query's own
+    return totals.withColumnRenamed("version", "tokenizer_version").withColumnRenamed("docs", "n_docs").withColumnRenamed("tokens", "n_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,9 +4,9 @@ A rollup is a folder of committed batches. A batch holds signed sums by source,
 subtract, a revision subtracts the old count and adds the new one, perhaps under another key. Totals are the sums
 over all batches, so a change costs as much as the change, not as the corpus.
 
-A batch is committed when its folder has Spark's success mark, which is written last. Committing an id again does nothing, and
-what a failed attempt left is overwritten; so a batch can be retried after any loss. compact() folds committed
-batches into one and remembers their ids.
+A batch is written to a folder of its own and committed by renaming that to its final name, which fails if the name is taken: of
+several writers of one id the first wins, and the others' work is removed. So a batch can be retried after any loss, and what a failed attempt
+left is never read. compact() folds committed batches into one and remembers their ids.
 
 Edge cases: null keys are keys; a null count is zero tokens (the document still counts); an unknown operation is an error; an
 empty batch is committed and adds nothing; repeated rows count each; keys whose documents and tokens both reach zero vanish;
@@ -15,6 +15,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,10 @@ class Rollup:
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._path = spark._jvm.org.apache.hadoop.fs.Path
 
+    def remove(self) -> None:
+        """Deletes the rollup with all its batches."""
+        self._fs.delete(self._path(self.folder), True)
+
     def _of(self, batch: str) -> str:
         return f"{self.folder}/batch-{batch}"
 
@@ -73,25 +80,39 @@ class Rollup:
         if not self._exists(self.folder):
             return []
         found = [s.getPath().toString() for s in self._fs.listStatus(self._path(self.folder)) if s.isDirectory()]
-        return sorted(p for p in found if self._exists(f"{p}/_SUCCESS"))
+        return sorted(p for p in found if p.rpartition("/")[2].startswith("batch-"))
 
     def _read(self) -> DataFrame:
         places = self.batches()
         return self.spark.read.schema(SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], SCHEMA)
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self._of(batch)}/_SUCCESS") or not self._read().filter(F.col("folded") == batch).isEmpty()
+        return self._exists(self._of(batch)) or not self._read().filter(F.col("folded") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes once; False if it is in already."""
         if self.committed(batch):
             return False
-        self._write(batch, sums(signed(changes)).withColumn("folded", F.lit(None).cast("string")))
+        return self._write(batch, sums(signed(changes)).withColumn("folded", F.lit(None).cast("string")))
+
+    def _write(self, batch: str, rows: DataFrame) -> bool:
+        """Whether this writer was the first."""
+        jvm, staged = self.spark._jvm, f"{self.folder}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)  # a row for each key, in as many files as adaptive execution leaves
+        hadoop = jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(self._path(staged).toUri() if "://" in staged else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            files.rename(self._path(staged), self._path(self._of(batch)), never_over)
+        except Py4JJavaError as e:
+            if not self._exists(self._of(batch)):
+                raise
+            self._fs.delete(self._path(staged), True)
+            if "exist" not in str(e.java_exception).lower():
+                raise
+            return False
         return True
 
-    def _write(self, batch: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("overwrite").parquet(self._of(batch))  # a row for each key
-
     def totals(self) -> DataFrame:
         """Batches that a compacted one has folded in don't count again, even where their removal was cut short."""
         folded = {r.folded for r in self._read().filter("folded IS NOT NULL").select("folded").distinct().collect()}
@@ -103,7 +124,7 @@ class Rollup:
         """Folds all committed batches into one with this (new) id. Batches are removed after it is written; if that is cut
         short, calling it again ends it."""
         places = [p for p in self.batches() if p.rpartition("/")[2] != f"batch-{batch}"]
-        if not self._exists(f"{self._of(batch)}/_SUCCESS"):
+        if not self._exists(self._of(batch)):
             names = [(p.rpartition("/batch-")[2],) for p in places]
             old = self._read().filter("folded IS NOT NULL").select("folded").union(self.spark.createDataFrame(names, "folded string"))
             ids = old.distinct().select(*[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(0).cast("long").alias(k) for k in ("docs", "tokens")], "folded")

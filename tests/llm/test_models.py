@@ -159,8 +159,8 @@ def test_rollup(spark, tmp_path):
     assert r.commit("b2", second) and not r.commit("b2", second) and not r.commit("b1", second)
     assert read() == {a: (3, 20), b: (1, 12)}
     assert r.commit("empty", changes(spark, []))
-    (tmp_path / "rollup" / "batch-torn").mkdir()  # what a lost driver leaves
-    (tmp_path / "rollup" / "batch-torn" / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "rollup" / "staged-torn").mkdir()  # what a lost driver leaves
+    (tmp_path / "rollup" / "staged-torn" / "part-0.parquet").write_bytes(b"half")
     assert read() == {a: (3, 20), b: (1, 12)}
     assert r.commit("torn", changes(spark, [("insert", None, (*b, 1), 0)])) and read()[b] == (2, 13)
     before = read()
@@ -220,3 +220,33 @@ def test_lm_keeps_odd_ids_apart(spark):
     t = spark.createDataFrame([("a", 1)], "text string, n int")
     got = lm.cross_entropy_difference(docs(spark, rows), t, hot=1).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (0, 3), (7, 2), (7, 4)]
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    r = tokencounts.Rollup(spark, str(tmp_path / "rollup"))
+    rows = spark.createDataFrame([("insert", ("s", "en", "1", 7))], "op string, new struct<source:string,lang:string,version:string,tokens:bigint>")
+    signed = tokencounts.sums(tokencounts.signed(rows)).withColumn("folded", F.lit(None).cast("string"))
+    assert [r._write("one", signed), r._write("one", signed)] == [True, False]  # both found it uncommitted
+    assert [(t.docs, t.tokens) for t in r.totals().collect()] == [(1, 7)]
+    assert sorted(p.name for p in (tmp_path / "rollup").iterdir()) == ["batch-one"]
+    rows.limit(0).write.parquet(str(tmp_path / "rollup" / "staged-left-by-a-crash"))
+    assert [(t.docs, t.tokens) for t in r.totals().collect()] == [(1, 7)]
+    r.remove()
+    assert not (tmp_path / "rollup").exists()
+
+
+def test_codec_refuses_other_formats():
+    from cellmill.llm import bpe
+
+    good = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE", "unk_token": ""}, "added_tokens": [{"content": "x", "lstrip": False}]}
+    bpe.check_spec(good)
+    for bad in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "BPE", "ignore_merges": True}}, {"added_tokens": [{"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_spec(good | bad)
+
+
+def test_repeated_ids_train_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 500 + [(2, "bad bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame([(1, "good words here"), (2, "bad bad bad")], "doc_id long, text string")
+    assert (quality.train(docs, labels) == quality.train(once, labels)).all()
