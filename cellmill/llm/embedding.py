@@ -1,9 +1,13 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells.
 
 Equal vectors of a label are one node with a multiplicity. Labels with more than CELL nodes are cut into cells by spherical
-k-means, fitted on a bounded sample (SAMPLE nodes, those with the smallest hashes) with at most MAX_CENTROIDS centroids
-in all, so the broadcast is bounded; every node is assigned. A node is at home in its nearest cell and visits all cells whose centroid
-is at most `margin` degrees further away than its own. Within a cell, home nodes are compared with home nodes and visitors; a pair
+k-means, fitted on a bounded sample (SAMPLE nodes of large labels, those with the smallest hashes) with at most MAX_CENTROIDS centroids
+in all, so the broadcast is bounded; every node is assigned. Cells that still hold more than SPLIT nodes are cut again by k-means of their own, fitted
+on executors from a bounded sample of each, so cells don't grow with the table. Centroids stay `margin` degrees apart at least, so a dense
+neighbourhood is not cut into cells that all its nodes would visit.
+
+A node is at home in its nearest cell and visits all cells whose centroid is at most `margin` degrees further away than its own; the same holds
+within a cell that is cut again. Within a cell, home nodes are compared with home nodes and visitors; a pair
 met in two cells counts in the smaller one. A margin of twice the link angle (23 degrees at 0.98) makes the search exact; the
 default of 8 leaves out pairs only where a link happens to point straight across a border (see README for measured recall).
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,9 @@ from cellmill.llm.graph import components, smallest_reachable
 SIMILARITY = 0.98
 MARGIN = 8.0
 CELL = 256
+SPLIT = 1024
+#: Centroids that one cell is cut into at most, and rows that one task assigns to them.
+MAX_SUB, SUB_ROWS = 512, 4096
 BLOCK = 1024
 SAMPLE = 32_768
 MAX_CENTROIDS = 32_768
@@ -57,7 +65,21 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarr
     return centroids
 
 
-def fit_cells(nodes: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+def apart(centroids: np.ndarray, degrees: float) -> np.ndarray:
+    """The centroids without those nearer than that to an earlier one."""
+    near = np.cos(np.radians(degrees))
+    kept = np.zeros(len(centroids), bool)
+    for at in range(0, len(centroids), 512):
+        block = centroids[at : at + 512]
+        free = ~(block @ centroids[kept].T > near).any(axis=1) if kept.any() else np.ones(len(block), bool)
+        among = block @ block.T > near
+        for k in np.flatnonzero(free):
+            if not (among[k, :k] & kept[at : at + k]).any():
+                kept[at + k] = True
+    return centroids[kept]
+
+
+def fit_cells(nodes: DataFrame, cell: int = CELL, sample: int = SAMPLE, margin: float = MARGIN) -> dict[str, np.ndarray]:
     """Centroids by label, for labels with more than `cell` nodes. nodes: key, vector."""
     sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).orderBy(F.desc("n"), "key").limit(MAX_CENTROIDS // 2)
     large = {r.key: r.n for r in sizes.collect()}
@@ -65,18 +87,28 @@ def fit_cells(nodes: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> dict[
     if not total:
         return {}
     share = min(1.0, sample / total)
-    chosen = nodes.filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "vector").limit(2 * sample)
+    names = F.broadcast(nodes.sparkSession.createDataFrame([(k,) for k in large], "key string"))  # at most MAX_CENTROIDS / 2 names
+    chosen = nodes.join(names, "key").filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "vector").limit(2 * sample)
     by_key: dict[str, list] = {}
     for r in sorted(chosen.toArrow().to_pylist(), key=lambda r: (r["key"], r["vector"])):
-        if r["key"] in large:
-            by_key.setdefault(r["key"], []).append(r["vector"])
+        by_key.setdefault(r["key"], []).append(r["vector"])
     scale = min(1.0, MAX_CENTROIDS * cell / (2 * total))
     wanted = {k: min(max(1, int(large[k] * scale / cell)), max(1, len(v) // 4)) for k, v in by_key.items()}
-    return {k: spherical_kmeans(unit(np.array(v)), wanted[k]) for k, v in by_key.items() if wanted[k] > 1}
+    fitted = {k: apart(spherical_kmeans(unit(np.array(v)), wanted[k]), margin) for k, v in by_key.items() if wanted[k] > 1}
+    return {k: c for k, c in fitted.items() if len(c) > 1}
+
+
+def cells_of(rows: np.ndarray, centroids: np.ndarray, margin: float) -> list[list[int]]:
+    """The home cell of each unit row, then those that it visits."""
+    angles = np.degrees(np.arccos(np.clip(rows @ centroids.T, -1, 1)))
+    nearest = angles.argmin(axis=1)
+    near = angles <= angles[np.arange(len(rows)), nearest][:, None] + margin
+    near[np.arange(len(rows)), nearest] = False
+    return [[int(home), *map(int, np.flatnonzero(others))] for home, others in zip(nearest, near)]
 
 
 def assign(nodes: DataFrame, cells: dict[str, np.ndarray], margin: float = MARGIN) -> DataFrame:
-    """nodes (node, key, times, vector) with home and cells (home first, then visited ones)."""
+    """nodes (node, key, times, vector) with their cells (home first, then visited ones)."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
@@ -86,40 +118,76 @@ def assign(nodes: DataFrame, cells: dict[str, np.ndarray], margin: float = MARGI
             vectors = batch.column(3).to_pylist()
             for key in set(keys) & shared.value.keys():
                 rows = np.flatnonzero(keys == key)
-                angles = np.degrees(np.arccos(np.clip(unit([vectors[i] for i in rows]) @ shared.value[key].T, -1, 1)))
-                nearest = angles.argmin(axis=1)
-                near = angles <= angles[np.arange(len(rows)), nearest][:, None] + margin
-                near[np.arange(len(rows)), nearest] = False
-                for i, home, others in zip(rows, nearest, near):
-                    at[i] = [int(home), *map(int, np.flatnonzero(others))]
+                for i, found in zip(rows, cells_of(unit([vectors[i] for i in rows]), shared.value[key], margin)):
+                    at[i] = found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.int32()))], names=["node", "key", "times", "vector", "cells"])
 
-    return nodes.select("node", "key", "times", "vector").mapInArrow(run, "node bigint, key string, times bigint, vector array<double>, cells array<int>")
+    return nodes.select("node", "key", "times", "vector").mapInArrow(run, NODE + ", cells array<int>")
+
+
+NODE = "node bigint, key string, times bigint, vector array<double>"
+_INSIDE = NODE + ", cells array<int>, cell int, subs array<int>"
+
+
+def split_cells(inside: DataFrame, margin: float = MARGIN, cell: int | None = None) -> DataFrame:
+    """inside (NODE, cells, cell) with subs: the parts of the cell, home first; [0] where the cell isn't cut."""
+    cell = cell or CELL
+    sizes = cut(inside.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n")))
+    big = sizes.filter(F.col("n") > SPLIT).withColumn("parts", F.least(F.ceil(F.col("n") / cell), F.lit(MAX_SUB)))
+    known = inside.join(big, ["key", "cell"], "left")
+    whole = known.filter("n IS NULL").select(*inside.columns, F.array(F.lit(0)).alias("subs"))
+    crowded = cut(known.filter("n IS NOT NULL"))
+    draw = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 20)) <= F.least(F.lit(1.0), 4 * F.col("parts") / F.col("n")) * (1 << 20)
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows = unit(np.array(table.column("vector").to_pylist()))
+        rows = rows[np.argsort(table.column("node").to_numpy(), kind="stable")]
+        k = min(table.column("parts")[0].as_py(), max(1, len(rows) // 4))
+        centroids = apart(spherical_kmeans(rows, k), margin)
+        return pa.table({"key": table.column("key")[:1], "cell": table.column("cell")[:1], "model": pa.array([centroids.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    models = crowded.filter(draw).groupBy("key", "cell").applyInArrow(fit, "key string, cell int, model array<array<double>>")
+    deals = F.ceil(F.col("n") / SUB_ROWS)
+    dealt = crowded.select(*inside.columns, F.pmod(F.xxhash64("node"), deals).alias("deal"), F.lit(None).cast("array<array<double>>").alias("model"))
+    copies = models.join(big, ["key", "cell"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)))
+    none = lambda c: F.lit(None).cast(inside.schema[c].dataType).alias(c)
+    copies = copies.select(*[c if c in ("key", "cell") else none(c) for c in inside.columns], "deal", "model")
+
+    def place(table: pa.Table) -> pa.Table:
+        model = pa.compute.drop_null(table.column("model"))
+        rows = table.filter(pa.compute.is_valid(table.column("node"))).select([f.split(" ")[0] for f in _INSIDE.split(", ")[:-1]])
+        subs = cells_of(unit(np.array(rows.column("vector").to_pylist())), np.array(model[0].as_py()), margin) if len(model) and len(rows) else [[0]] * len(rows)
+        return rows.append_column("subs", pa.array(subs, pa.list_(pa.int32())))
+
+    placed = dealt.unionByName(copies).groupBy("key", "cell", "deal").applyInArrow(place, _INSIDE)
+    return whole.unionByName(placed)
+
+
+def _once(homes: np.ndarray, visits: list[list[int]], here: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether a pair counts in this cell: one of the two is at home here, and they don't meet in a smaller cell."""
+    out = (homes[u] == here) | (homes[v] == here)
+    for at in np.flatnonzero(out & (homes[u] != homes[v])):
+        inside, other = (u[at], v[at]) if homes[u[at]] == here else (v[at], u[at])
+        out[at] = not (homes[other] < here and int(homes[other]) in visits[inside])
+    return out
 
 
 def compare(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
     """Links within one pair of blocks of a cell: rows (node, null, links) and (node, other, null) of a spanning forest."""
-    t = {c: table.column(c) for c in ("node", "times", "cells", "block")}
-    i, j, cell = (table.column(c)[0].as_py() for c in ("i", "j", "cell"))
-    node, times, block = (t[c].to_numpy() for c in ("node", "times", "block"))
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    node = table.column("node").to_numpy()
     order = np.lexsort((node,))
-    node, times, block = node[order], times[order], block[order]
-    cells = [t["cells"][int(k)].as_py() for k in order]
-    home = np.array([c[0] for c in cells])
+    node, times, block = node[order], table.column("times").to_numpy()[order], table.column("block").to_numpy()[order]
     rows = unit(np.array([table.column("vector")[int(k)].as_py() for k in order]))
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     a, b = np.nonzero(rows[left] @ rows[right].T >= similarity)
     u, v = left[a], right[b]
-    keep = (home[u] == cell) | (home[v] == cell)
     if i == j:
-        keep &= u < v
-    u, v = u[keep], v[keep]
-    visits = [set(c) for c in cells]
-    once = home[u] == home[v]
-    for at in np.flatnonzero(~once):
-        inside, other = (u[at], v[at]) if home[u[at]] == cell else (v[at], u[at])
-        once[at] = not (home[other] < cell and int(home[other]) in visits[inside])
-    u, v = u[once], v[once]
+        u, v = u[u < v], v[u < v]
+    for level, name in (("cells", "cell"), ("subs", "sub")):
+        visits = [table.column(level)[int(k)].as_py() for k in order]
+        counts = _once(np.array([c[0] for c in visits]), visits, table.column(name)[0].as_py(), u, v)
+        u, v = u[counts], v[counts]
     links = np.bincount(u, times[v], len(node)) + np.bincount(v, times[u], len(node))
     root = smallest_reachable(len(node), u, v)
     some, joined = np.flatnonzero(links > 0), np.flatnonzero(root != np.arange(len(node)))
@@ -139,14 +207,14 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     plain = plain.withColumn("key", F.when(usable(F.col("vector")) & F.col("id").isNotNull() & F.col("label").isNotNull(), key))
     distinct = plain.filter("key IS NOT NULL").groupBy("key", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    placed = cut(assign(nodes, fit_cells(nodes), margin))
-    inside = placed.withColumn("cell", F.explode("cells"))
-    sizes = inside.groupBy("key", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = inside.join(sizes, ["key", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = cut(assign(nodes, fit_cells(nodes, margin=margin), margin))
+    inside = cut(split_cells(placed.withColumn("cell", F.explode("cells")), margin).withColumn("sub", F.explode("subs")))
+    sizes = cut(inside.groupBy("key", "cell", "sub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    blocked = inside.join(sizes, ["key", "cell", "sub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "times", "cells", "vector"
+        "key", "cell", "sub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "times", "cells", "subs", "vector"
     )
-    compared = cut(pairs.groupBy("key", "cell", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
+    compared = cut(pairs.groupBy("key", "cell", "sub", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
     links = compared.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(compared.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = cut(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))

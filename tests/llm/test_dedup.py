@@ -427,7 +427,13 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, lab, "k", 1, 2, "v", 3) for i, v, lab in rows], VECTORS)
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("cell, split", [(40, 10**6), (60, 80), (10**6, 60)])
+def test_embeddings_against_brute_force(spark, monkeypatch, cell, split):
+    """Cells of one level, of two, and of the second alone."""
+    monkeypatch.setattr(embedding, "CELL", min(cell, 40))
+    monkeypatch.setattr(embedding, "SPLIT", split)
+    monkeypatch.setattr(embedding, "SUB_ROWS", 50)
+    monkeypatch.setattr(embedding.fit_cells, "__defaults__", (cell, embedding.SAMPLE, embedding.MARGIN))
     rng = np.random.default_rng(9)
     rows, at = [], 0
     for label in (0, 1):
@@ -438,11 +444,7 @@ def test_embeddings_against_brute_force(spark):
                 at += 1
     rows += [(at + k, rows[0][1], 0) for k in range(5)] + [(at + 9, [2 * x for x in rows[0][1]], 0), (at + 10, rows[0][1], 1)]
     odd = [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 16, 0), (1003, [None] + [1.0] * 15, 0), (1004, [float("nan")] * 16, 0), (1005, [float("inf")] * 16, 0), (1006, rows[0][1], None), (None, rows[0][1], 0), (1008, [1.0] * 3, 0), (1009, [2.0] * 3, 0)]
-    embedding.CELL, cell = 40, embedding.CELL  # several cells at this size
-    try:
-        got = embedding.near_duplicates(vectors(spark, rows + odd)).collect()
-    finally:
-        embedding.CELL = cell
+    got = embedding.near_duplicates(vectors(spark, rows + odd)).collect()
     ids = [r[0] for r in rows] + [1008, 1009]
     links = set()
     every = rows + odd[-2:]
@@ -483,3 +485,13 @@ def test_vectors_that_share_an_id(spark):
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors(spark, rows)).collect()]
     want = [(1, 1, 1, True), (1, 1, 1, True), (2, 2, 2, True), (5, 2, 2, False), (5, 2, 2, False), (5, 1, 4, False), (4, 1, 4, True), (3, 0, 3, True)]
     assert sorted(got) == sorted(want)
+
+
+def test_centroids_stay_apart():
+    rng = np.random.default_rng(11)
+    dense = embedding.unit(np.ones(8) + rng.normal(size=(2000, 8)) * 0.01)
+    assert len(embedding.apart(dense, 8.0)) == 1
+    spread = embedding.unit(rng.normal(size=(1500, 8)))
+    kept = embedding.apart(spread, 30.0)
+    angles = np.degrees(np.arccos(np.clip(kept @ kept.T, -1, 1))) + 180 * np.eye(len(kept))
+    assert 10 < len(kept) < 1500 and angles.min() >= 30 and (np.degrees(np.arccos(np.clip(spread @ kept.T, -1, 1))).min(axis=1) < 30.001).all()
