@@ -159,7 +159,7 @@ def split_cells(inside: DataFrame, margin: float = MARGIN, cell: int | None = No
         subs = cells_of(unit(np.array(rows.column("vector").to_pylist())), np.array(model[0].as_py()), margin) if len(model) and len(rows) else [[0]] * len(rows)
         return rows.append_column("subs", pa.array(subs, pa.list_(pa.int32())))
 
-    placed = dealt.unionByName(copies).groupBy("key", "cell", "deal").applyInArrow(place, _INSIDE)
+    placed = dealt.unionByName(copies).repartition("key", "cell", "deal").groupBy("key", "cell", "deal").applyInArrow(place, _INSIDE)
     return whole.unionByName(placed)
 
 
@@ -214,7 +214,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     pairs = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "cell", "sub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "times", "cells", "subs", "vector"
     )
-    compared = cut(pairs.groupBy("key", "cell", "sub", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
+    compared = cut(pairs.repartition("key", "cell", "sub", "i", "j").groupBy("key", "cell", "sub", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
     links = compared.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(compared.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = cut(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
