@@ -77,6 +77,7 @@ class Cube:
 
     @classmethod
     def _from(cls, by_phase: list, of_scenes, metrics: list[str], phase: str) -> Cube:
+        """of_scenes may be None where only one-way tests follow."""
         rows = sorted(by_phase, key=lambda r: str(r[phase]))
         moments = [_moments(r, metrics) for r in rows]
         if len(rows) < 2 or moments[0][0] < 2:
@@ -88,8 +89,10 @@ class Cube:
         within = sum(c - np.outer(s, s) / n for _, s, c in moments)
         grand = means.mean(axis=0)
         between = n * (means - grand).T @ (means - grand)
-        _, s, c = _moments(of_scenes, metrics)
-        scenes = len(rows) * (c - np.outer(s, s) / n)
+        scenes = np.zeros_like(within)
+        if of_scenes is not None:
+            _, s, c = _moments(of_scenes, metrics)
+            scenes = len(rows) * (c - np.outer(s, s) / n)
         return cls([r[phase] for r in rows], n, means, within, between, scenes)
 
 
@@ -258,16 +261,61 @@ def phi_table(spark, results: dict[str, Phi]) -> DataFrame:
     return rows.withColumn("effect_size", interpretation(F.col("phi_wilks")))
 
 
-def bootstrap_means(df: DataFrame, value: str, unit: str, replicates: int = 200, by: tuple[str, ...] = (), seed: str = "boot") -> DataFrame:
-    """Mean of every bootstrap replicate. The multiplicity of a unit in a replicate is a Poisson(1) draw from the hash of both, so
-    rows are drawn where they are, in any order, without an index of all rows."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col(unit).cast("string")), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    total, times = 0.0, F.lit(0)
-    for k in range(0, 8):  # Poisson(1) quantiles; beyond 8 the chance is under 1e-6
+def poisson_steps(most: int = 8) -> list[float]:
+    """Shares of Poisson(1) draws that are 0 or less, 1 or less, and so on; beyond `most` the chance is under 1e-6."""
+    out, total = [], 0.0
+    for k in range(most):
         total += math.exp(-1) / math.factorial(k)
-        times = times + F.when(h >= total, 1).otherwise(0)
-    drawn = df.select(*by, unit, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("times", times)
-    return drawn.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("mean"))
+        out.append(total)
+    return out
+
+
+def poisson_times(seed: str, replicate: str, unit: str) -> Column:
+    """How often a unit is drawn in a replicate: a Poisson(1) draw from the hash of both, the same in any order."""
+    text = F.concat_ws(":", F.lit(seed), F.col(replicate).cast("string"), F.col(unit).cast("string"))
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return sum((F.when(h >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
+
+
+def _replicated(df: DataFrame, replicates: int, seed: str, unit: str) -> DataFrame:
+    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.withColumn("times", poisson_times(seed, "replicate", unit)).filter("times > 0")
+
+
+def bootstrap_means(df: DataFrame, value: str, unit: str, replicates: int = 2000, by: tuple[str, ...] = (), seed: str = "boot") -> DataFrame:
+    """Mean of every bootstrap replicate. Rows are drawn where they are, without an index of all rows."""
+    drawn = _replicated(df.select(*by, unit, value), replicates, seed, unit)
+    return drawn.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col("times"))), F.lit(0))).alias("mean"))
+
+
+def bootstrap_phi(z: DataFrame, metrics: list[str], replicates: int = 1000, level: float = 0.95, seed: str = "phi", least: float = 0.5, scene: str = "scene", phase: str = "phase") -> DataFrame:
+    """Spread of the one-way phase effect over scenes drawn anew: means, percentile limits, standard errors, and how many draws gave none. A scene's
+    cells are drawn together. One aggregation makes the sums of every replicate; the driver gets a row a replicate and phase."""
+    if not 0 < level < 1 or replicates < 50:
+        raise StatsError("the level must lie in (0, 1), and at least 50 replicates are needed")
+    pairs = list(combinations_with_replacement(metrics, 2))
+    t = F.col("times")
+    sums = [F.sum(t).alias("n"), *[F.sum(t * F.col(m)).alias(f"s_{m}") for m in metrics], *[F.sum(t * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]]
+    rows = _replicated(z.select(scene, phase, *metrics), replicates, seed, scene).groupBy("replicate", phase).agg(*sums).collect()
+    drawn: dict[int, list] = {}
+    for r in rows:
+        drawn.setdefault(r.replicate, []).append(r)
+    found = []
+    for k in sorted(drawn):
+        try:
+            found.append(phi_oneway(Cube._from(drawn[k], None, metrics, phase)))
+        except (StatsError, np.linalg.LinAlgError):
+            continue
+    if len(found) < int(least * replicates):
+        raise StatsError(f"only {len(found)} of {replicates} draws could be tested")
+    out: dict[str, float | int] = {}
+    tails = [100 * (1 - level) / 2, 100 * (1 + level) / 2]
+    for name in ("phi_wilks", "phi_pillai"):
+        values = np.array([getattr(p, name) for p in found])
+        low, high = np.percentile(values, tails)
+        out |= {f"{name}_mean": float(values.mean()), f"{name}_low": float(low), f"{name}_high": float(high), f"{name}_se": float(values.std(ddof=1)) if len(values) > 1 else 0.0}
+    out |= {"n_boot": replicates, "n_success": len(found), "n_failed": replicates - len(found)}
+    return z.sparkSession.createDataFrame([out])
 
 
 def mean_ci(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -66,6 +66,50 @@ def full_analysis(spark, sf):
     return rounded(analyse(settle(C.complete_scenes(c, 3).select("scene", "phase", "tier", *METRICS)), METRICS, SPECS, lower=("absrel", "rmse")))
 
 
+def track_analysis(cells: DataFrame, metrics: list[str], specs: list[S.Spec], phases: tuple[str, ...] = roles.PHASES, lower: tuple[str, ...] = (), epsilon: float = 0.01) -> DataFrame:
+    """Everything that is asked of one model's cells (scene, phase, tier, metrics): the whole analysis, the phase effect within every tier, and means
+    with their composites overall, by phase and by tier, as one long table of section, name and value."""
+    cells = settle(cells)
+    out = analyse(cells, metrics, specs, phases, lower, epsilon).withColumnRenamed("test", "section")
+    z = X.standardise(cells, metrics, lower)
+    rows = [(f"tier {tier}", name, float(v)) for tier, cube in X.Cube.of_each(z, metrics, "tier").items() for name, v in asdict(X.phi_oneway(cube)).items()]
+    out = out.unionByName(cells.sparkSession.createDataFrame(rows, "section string, name string, value double"))
+    return out.unionByName(metric_means(cells, metrics, specs, epsilon).unpivot(["section"], [*metrics, "composite"], "name", "value"))
+
+
+def metric_means(cells: DataFrame, metrics: list[str], specs: list[S.Spec], epsilon: float = 0.01) -> DataFrame:
+    """Means over all cells, by phase and by tier, with the composite of the means: section, metrics, composite."""
+    sets = cells.groupingSets([[], ["phase"], ["tier"]], "phase", "tier").agg(*[F.avg(m).alias(m) for m in metrics])
+    section = F.when(F.col("phase").isNotNull(), F.concat(F.lit("phase "), "phase")).when(F.col("tier").isNotNull(), F.concat(F.lit("tier "), "tier")).otherwise("all")
+    return sets.withColumn("section", section).withColumn("composite", S.composite(specs, epsilon)).select("section", *metrics, "composite")
+
+
+def ego_analysis(cells: DataFrame, metrics: list[str], hardware: list[str], expected: dict[str, int] | None = None) -> DataFrame:
+    """Means of metrics over all cells and by tier, and of hardware columns whose values are all finite (null else); the numbers of cells of each tier
+    must be as expected, where that is given."""
+    if expected is not None:
+        found = {r.tier: r.n for r in cells.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}  # a few tiers
+        if found != expected:
+            raise IntegrityError(f"cells by tier: {found}, expected {expected}")
+    fine = lambda c: F.count_if(F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))) == F.count(F.lit(1))
+    return cells.groupingSets([[], ["tier"]], "tier").agg(*[F.avg(m).alias(m) for m in metrics], *[F.when(fine(h), F.avg(h)).alias(h) for h in hardware], F.countDistinct("scene").alias("scenes"), F.count(F.lit(1)).alias("cells"))
+
+
+def tracking_analysis(spark, sf):
+    c = C.complete_scenes(cells(spark, sf).withColumnRenamed("difficulty", "tier"), 3).filter("tier IS NOT NULL")
+    return rounded(track_analysis(c.select("scene", "phase", "tier", *METRICS), METRICS, SPECS, lower=("absrel", "rmse")))
+
+
+def tracking_means(spark, sf):
+    """Means and composites by phase and tier."""
+    return rounded(metric_means(cells(spark, sf).withColumnRenamed("difficulty", "tier"), METRICS, SPECS))
+
+
+def ego_means(spark, sf):
+    c = cells(spark, sf).withColumnRenamed("difficulty", "tier").withColumn("memory", F.when(F.col("scene") % 7 > 0, F.col("n_samples") * 1.5))
+    return rounded(ego_analysis(c, METRICS, ["latency_ms_mean", "memory"]))
+
+
 def phase_summary(spark, sf):
     """Cells, scenes and metric means by phase and tier, with subtotals."""
     c = cells(spark, sf).withColumnRenamed("difficulty", "tier")
@@ -80,11 +124,18 @@ def matched_bin_delta(spark, sf):
     return rounded(by.dropna().withColumn("delta", F.col("cross") - F.col("intra")))
 
 
-QUERIES = {f.__name__: f for f in (full_analysis, phase_summary, matched_bin_delta)}
+QUERIES = {f.__name__: f for f in (full_analysis, tracking_analysis, tracking_means, ego_means, phase_summary, matched_bin_delta)}
 
 from cellmill.plans.cells import CELLS_SQL  # noqa: E402
 
+_MEANS = ", ".join(f"avg({m}) AS {m}" for m in METRICS)
+_RATIO = ", ".join(f"least(greatest(({s.name} - CAST({s.worst} AS DOUBLE)) / CAST({s.best - s.worst!r} AS DOUBLE), CAST(0.01 AS DOUBLE)), 1.0) AS d_{s.name}" for s in SPECS)
 ORACLE_SQL = {
+    "tracking_means": f"""WITH {CELLS_SQL}, m AS (SELECT 'all' AS section, {_MEANS} FROM cells UNION ALL SELECT 'phase ' || phase, {_MEANS} FROM cells GROUP BY phase UNION ALL SELECT 'tier ' || difficulty, {_MEANS} FROM cells GROUP BY difficulty),
+        d AS (SELECT *, {_RATIO} FROM m) SELECT section, round(absrel, 6) AS absrel, round(rmse, 6) AS rmse, round(delta1, 6) AS delta1, round(exp((ln(d_absrel) + ln(d_rmse) + ln(d_delta1)) / 3), 6) AS composite FROM d""",
+    "ego_means": f"""WITH {CELLS_SQL}, c AS (SELECT *, difficulty AS tier, CASE WHEN scene % 7 > 0 THEN n_samples * 1.5 END AS memory FROM cells)
+        SELECT tier, round(avg(absrel), 6) AS absrel, round(avg(rmse), 6) AS rmse, round(avg(delta1), 6) AS delta1, round(avg(latency_ms_mean), 6) AS latency_ms_mean,
+            round(CASE WHEN count(memory) = count(*) THEN avg(memory) END, 6) AS memory, count(DISTINCT scene) AS scenes, count(*) AS cells FROM c GROUP BY GROUPING SETS ((), (tier))""",
     "phase_summary": f"""WITH {CELLS_SQL} SELECT phase, difficulty AS tier, round(avg(absrel), 6) AS absrel, round(avg(rmse), 6) AS rmse, round(avg(delta1), 6) AS delta1, count(DISTINCT scene) AS scenes, count(*) AS cells,
         CAST(sum(n_samples) AS BIGINT) AS samples FROM cells GROUP BY GROUPING SETS ((phase, difficulty), (phase), ())""",
     "matched_bin_delta": f"""WITH {roles.SAMPLES_SQL}, b AS (SELECT CAST(floor(latency_ms / 20) AS BIGINT) AS bin, avg(rmse) FILTER (WHERE model = 'A') AS intra, avg(rmse) FILTER (WHERE model = 'N') AS "cross" FROM samples GROUP BY 1)

@@ -97,6 +97,11 @@ def _by_budget(spark, sf):
     return roles.samples(spark, sf).groupBy("model", "scene", "frame_budget").agg(F.avg("rmse").alias("rmse"))
 
 
+def phi_bootstrap(spark, sf):
+    """Spread of the phase effect on two metrics over 1,000 draws of scenes."""
+    return rounded(X.bootstrap_phi(_z(spark, sf, TWO), TWO))
+
+
 def degradation_curve(spark, sf):
     return rounded(C.mean_by(_by_budget(spark, sf), ["model", "frame_budget"], ["rmse"]))
 
@@ -113,7 +118,7 @@ def wilcoxon_budgets(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     standardise_z, sscp_by_phase, phi_designs, phi_designs_k2, phi_by_model, phi_mixed_design, phi_transitions, hotelling_k2, phase_differences, holm_adjust, metric_corr, worst_correlated_pair,
-    mean_ci, hash_bootstrap, degradation_curve, critical_budget, wilcoxon_budgets,
+    mean_ci, hash_bootstrap, phi_bootstrap, degradation_curve, critical_budget, wilcoxon_budgets,
 )}
 
 _Z = f"""{CELLS_SQL}, whole AS (SELECT * FROM cells WHERE scene IN (SELECT scene FROM cells GROUP BY scene HAVING count(DISTINCT phase) = 3)),
@@ -134,8 +139,20 @@ _K2 = f"""WITH {_Z}, pm AS (SELECT phase, avg(absrel) AS a, avg(rmse) AS b FROM
         ((e.bb + h.bb) * h.aa - 2 * (e.ab + h.ab) * h.ab + (e.aa + h.aa) * h.bb) / ((e.aa + h.aa) * (e.bb + h.bb) - (e.ab + h.ab) * (e.ab + h.ab)) AS pillai FROM e, h)
     SELECT design, round(wilks, 6) AS wilks, round(sqrt(wilks), 6) AS phi_wilks, round(pillai, 6) AS pillai, round(1 - pillai / 2, 6) AS phi_pillai FROM w"""
 _BUDGET = f"{roles.SAMPLES_SQL}, bb AS (SELECT model, scene, frame_budget, avg(rmse) AS rmse FROM samples GROUP BY ALL)"
-_POISSON = " + ".join(f"CASE WHEN h >= CAST({t!r} AS DOUBLE) THEN 1 ELSE 0 END" for t in [__import__("functools").reduce(lambda s, k: s + __import__("math").exp(-1) / __import__("math").factorial(k), range(n + 1), 0.0) for n in range(8)])
+_POISSON = " + ".join(f"CASE WHEN h >= CAST({step!r} AS DOUBLE) THEN 1 ELSE 0 END" for step in X.poisson_steps())
+_DRAW = "CAST(('0x' || substr(sha256('{seed}:' || replicate || ':' || scene), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS h"
 ORACLE_SQL = {
+    "phi_bootstrap": f"""WITH {_Z}, d AS (SELECT z.*, replicate, {_DRAW.format(seed='phi')} FROM z, (SELECT unnest(range(1000)) AS replicate)), t AS (SELECT *, {_POISSON} AS t FROM d),
+        p AS (SELECT replicate, phase, sum(t) AS n, sum(t * absrel) AS sa, sum(t * rmse) AS sb, sum(t * absrel * absrel) AS aa, sum(t * absrel * rmse) AS ab, sum(t * rmse * rmse) AS bb FROM t WHERE t > 0 GROUP BY ALL),
+        m AS (SELECT *, sa / n AS ma, sb / n AS mb, avg(sa / n) OVER r AS ga, avg(sb / n) OVER r AS gb FROM p WINDOW r AS (PARTITION BY replicate)),
+        e AS (SELECT replicate, sum(aa - sa * sa / n) AS eaa, sum(ab - sa * sb / n) AS eab, sum(bb - sb * sb / n) AS ebb,
+            sum(n * (ma - ga) * (ma - ga)) AS haa, sum(n * (ma - ga) * (mb - gb)) AS hab, sum(n * (mb - gb) * (mb - gb)) AS hbb FROM m GROUP BY replicate HAVING count(*) >= 2 AND min(n) >= 2),
+        l AS (SELECT *, (eaa + ebb) / 2 AS mid, sqrt((eaa - ebb) * (eaa - ebb) / 4 + eab * eab) AS off FROM e),
+        f AS (SELECT *, (eaa + haa) * (ebb + hbb) - (eab + hab) * (eab + hab) AS td FROM l WHERE (mid + off) / (mid - off) BETWEEN 0 AND 1000),
+        w AS (SELECT sqrt((eaa * ebb - eab * eab) / td) AS x, 1 - ((ebb + hbb) * haa - 2 * (eab + hab) * hab + (eaa + haa) * hbb) / td / 2 AS y FROM f)
+        SELECT round(avg(x), 6) AS phi_wilks_mean, round(quantile_cont(x, 0.025), 6) AS phi_wilks_low, round(quantile_cont(x, 0.975), 6) AS phi_wilks_high, round(stddev_samp(x), 6) AS phi_wilks_se,
+            round(avg(y), 6) AS phi_pillai_mean, round(quantile_cont(y, 0.025), 6) AS phi_pillai_low, round(quantile_cont(y, 0.975), 6) AS phi_pillai_high, round(stddev_samp(y), 6) AS phi_pillai_se,
+            1000 AS n_boot, count(*) AS n_success, 1000 - count(*) AS n_failed FROM w""",
     "standardise_z": f"WITH {_Z} SELECT scene, phase, round(absrel, 6) AS absrel, round(rmse, 6) AS rmse, round(delta1, 6) AS delta1 FROM z",
     "sscp_by_phase": f"""WITH {_Z} SELECT phase, count(*) AS n, round(sum(absrel), 4) AS s_absrel, round(sum(rmse), 4) AS s_rmse, round(sum(absrel * absrel), 4) AS p_absrel_absrel,
         round(sum(absrel * rmse), 4) AS p_absrel_rmse, round(sum(rmse * rmse), 4) AS p_rmse_rmse FROM z GROUP BY phase""",
