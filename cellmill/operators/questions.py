@@ -169,3 +169,74 @@ def semantic_key(kind: Column, parts: dict[str, list[Column]]) -> Column:
     for name, columns in parts.items():
         out = F.when(kind == name, F.concat_ws(chr(31), F.lit(name), *columns)).otherwise(out)
     return out
+
+
+def farthest_from(objects: DataFrame, frame: list[str], item: str, x: str, y: str, anchors: DataFrame) -> DataFrame:
+    """For every object of a frame that is among the anchors (item) the object furthest from it in the image; none on a tie."""
+    other = objects.select(*frame, F.col(item).alias("farthest"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    pairs = objects.join(anchors.select(item).distinct(), item).join(other, frame).filter(F.col(item) != F.col("farthest"))
+    far = pairs.withColumn("__d", (F.col(x) - F.col("__x")) * (F.col(x) - F.col("__x")) + (F.col(y) - F.col("__y")) * (F.col(y) - F.col("__y")))
+    best = far.groupBy(*frame, item).agg(F.max(F.struct(F.col("__d").alias("d"), F.col("farthest").alias("o"))).alias("m"), F.collect_list("__d").alias("all"))  # frames hold few objects
+    return best.filter(F.size(F.filter("all", lambda d: d == F.col("m.d"))) == 1).select(*frame, item, F.col("m.o").alias("farthest"))
+
+
+def identify(objects: DataFrame, frame: list[str], item: str, identity: str, catalog: DataFrame) -> DataFrame:
+    """Objects that can be found again by their identity, and `dropped`: why others can't (not in the catalogue, or twice in the frame)."""
+    known = catalog.select(identity).distinct().withColumn("__known", F.lit(True))
+    times = F.count(F.lit(1)).over(W.partitionBy(*frame, identity))
+    why = F.when(F.col("__known").isNull(), "not_in_catalog").when(times > 1, "duplicate_identity")
+    return objects.join(known, identity, "left").select(*frame, item, identity, why.alias("dropped"))
+
+
+def presence_questions(visible: DataFrame, frame: list[str], category: str, references: DataFrame, n: int, seed: str) -> DataFrame:
+    """Up to n visible categories of a frame that have a reference (answer yes), and as many that are not visible (no), which follow the
+    frame's start on the ring of references; of these a frame can reject no more than it shows."""
+    from cellmill.operators.sampling import top_by_hash
+
+    seen = visible.select(*frame, category).distinct()
+    yes = top_by_hash(seen.join(references.select(category).distinct(), category), frame, n, seed, *frame, category)
+    numbered = ring(references, [], category, seed)
+    size = F.broadcast(numbered.agg(F.first("size").alias("__size")))  # one row
+    counts = yes.groupBy(*frame).agg(F.count(F.lit(1)).alias("__wanted")).join(seen.groupBy(*frame).agg(F.count(F.lit(1)).alias("__have")), frame)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__wanted") + F.col("__have"), F.col("__size")) - 1)).alias("__step")
+    tried = counts.crossJoin(size).select(*frame, "__wanted", "__size", steps).withColumn("place", F.pmod(spin(seed, *frame) + F.col("__step"), F.col("__size")))
+    absent = tried.join(numbered.drop("size"), "place").join(seen, [*frame, category], "left_anti")
+    no = absent.withColumn("__k", F.row_number().over(W.partitionBy(*frame).orderBy("__step"))).filter(F.col("__k") <= F.col("__wanted"))
+    return yes.select(*frame, category, F.lit("yes").alias("answer")).unionByName(no.select(*frame, category, F.lit("no").alias("answer")))
+
+
+def _mixed(options: Column, seed: str, *key: str) -> Column:
+    """Options in hash order."""
+    own = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    hashed = F.transform(options, lambda o: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), own, o), 256).alias("h"), o.alias("o")))
+    return F.transform(F.array_sort(hashed), lambda s: s["o"])
+
+
+def direction_questions(objects: DataFrame, frame: list[str], item: str, x: str, y: str, n: int, seed: str) -> DataFrame:
+    """For n objects of each frame the nearest object (Manhattan distance) on the first side that has any (left, right, above, below), with up to two
+    other objects and "nothing" as options, and the answer's place among them."""
+    from cellmill.operators.sampling import top_by_hash
+
+    refs = top_by_hash(objects, frame, n, seed, *frame, item)
+    other = objects.select(*frame, F.col(item).alias("__o"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    dx, dy = F.col("__x") - F.col(x), F.col("__y") - F.col(y)
+    ways = F.array_compact(F.array(F.when(dx < 0, 1), F.when(dx > 0, 2), F.when(dy < 0, 3), F.when(dy > 0, 4)))
+    met = refs.join(other, frame).filter(F.col(item) != F.col("__o")).withColumn("__d", F.abs(dx) + F.abs(dy))
+    best = met.withColumn("way", F.explode(ways)).groupBy(*frame, item).agg(F.min(F.struct(F.col("way"), F.col("__d").alias("d"), F.col("__o").alias("o"))).alias("b"))
+    answers = best.select(*frame, item, F.col("b.way").alias("way"), F.col("b.o").alias("answer"))
+    wrong = met.select(*frame, item, "__o").join(answers, [*frame, item]).filter(F.col("__o") != F.col("answer"))
+    few = top_by_hash(wrong, [*frame, item], 2, seed, *frame, item, "__o").groupBy(*frame, item).agg(F.collect_list(F.col("__o").cast("string")).alias("wrong"))
+    every = F.concat(F.array(F.col("answer").cast("string"), F.lit("nothing")), F.coalesce("wrong", F.array().cast("array<string>")))
+    out = answers.join(few, [*frame, item], "left").withColumn("options", _mixed(every, seed, *frame, item))
+    direction = F.element_at(F.array(*[F.lit(w) for w in ("left", "right", "above", "below")]), F.col("way"))
+    place = F.array_position("options", F.col("answer").cast("string")).cast("int")
+    return out.select(*frame, item, direction.alias("direction"), "answer", F.concat_ws("|", "options").alias("options"), place.alias("place"))
+
+
+def count_questions(objects: DataFrame, frame: list[str], item: str, category: str, seed: str) -> DataFrame:
+    """How many objects of a category a frame has, with neighbouring numbers as options, and the answer's place among them."""
+    counted = objects.groupBy(*frame, category).agg(F.countDistinct(item).alias("answer"))
+    low = F.greatest(F.col("answer") - 1, F.lit(1))
+    every = F.transform(F.sequence(low, low + 3), lambda v: v.cast("string"))
+    out = counted.withColumn("options", _mixed(every, seed, *frame, category))
+    return out.select(*frame, category, "answer", F.concat_ws("|", "options").alias("options"), F.array_position("options", F.col("answer").cast("string")).cast("int").alias("place"))

@@ -141,3 +141,30 @@ def consecutive_mean(df: DataFrame, keys: list[str], order: list[str], distance:
     """Mean absolute change between neighbouring frames, per key."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy(*keys).agg(F.avg("__d").alias("mean_change"), F.count("__d").alias("steps"))
+
+
+#: Depth bands in metres.
+BANDS = {"near": (0.3, 1.0), "mid": (1.0, 2.5), "far": (2.5, 5.0)}
+
+
+def range_gradients(pixels: DataFrame, clip: list[str], frame: str, pixel: str, pred: str, truth: str, static: float = 0.05, least: int = 100) -> DataFrame:
+    """Errors of change between successive frames by the band of the first frame's true depth: mean difference of absolute changes where the truth is static
+    (tgm), mean squared difference of changes (tgse). A pair of frames counts for a band with `least` pixels or more; clips average their pairs.
+    pixels: clip, frame, pixel, pred, truth. Pairs are a shift within the pixel, so no frame is joined with itself."""
+    frames = pixels.select(*clip, frame).distinct().withColumn("__t", F.row_number().over(W.partitionBy(*clip).orderBy(frame)))
+    w = W.partitionBy(*clip, pixel).orderBy("__t")
+    lead = lambda c: F.lead(c).over(w)
+    shifted = pixels.join(frames, [*clip, frame]).select(*clip, "__t", pred, truth, lead(pred).alias("__p"), lead(truth).alias("__g"), lead("__t").alias("__u"))
+    low, high = min(a for a, _ in BANDS.values()), max(b for _, b in BANDS.values())
+    fine = lambda p, g: (F.col(g) > low) & (F.col(g) < high) & (F.col(p) > 0) & (F.abs(F.col(p)) < float("inf"))
+    valid = shifted.filter((F.col("__u") == F.col("__t") + 1) & fine(pred, truth) & fine("__p", "__g"))
+    dp, dt = F.col("__p") - F.col(pred), F.col("__g") - F.col(truth)
+    band = F.lit(None).cast("string")
+    for name, (a, b) in BANDS.items():
+        band = F.when((F.col(truth) >= a) & (F.col(truth) < b), F.lit(name)).otherwise(band)
+    still = F.abs(dt) < static
+    each = valid.withColumn("__band", band).filter("__band IS NOT NULL").groupBy(*clip, "__t", "__band").agg(
+        F.when(F.count_if(still) >= least, F.avg(F.when(still, F.abs(F.abs(dp) - F.abs(dt))))).alias("tgm"),
+        F.when(F.count(F.lit(1)) >= least, F.avg((dp - dt) * (dp - dt))).alias("tgse"),
+    )
+    return each.groupBy(*clip).agg(*[F.avg(F.when(F.col("__band") == b, F.col(m))).alias(f"{m}_{b}") for m in ("tgm", "tgse") for b in BANDS])
