@@ -28,8 +28,8 @@ def knn_votes(spark, sf):
 def range_gradients(spark, sf):
     """Errors of change between a label's successive frames, by depth."""
     e = table(spark, sf, "embeddings").select(F.col("label").alias("clip"), "vec_id", F.posexplode("embedding").alias("pixel", "v"))
-    truth = F.round(F.abs(F.col("v").cast("double")) * 6 + 0.25, 4)
-    p = e.select("clip", "vec_id", "pixel", truth.alias("truth"), F.round(truth * 1.05 + F.pmod("pixel", F.lit(3)) * 0.02, 4).alias("pred"))
+    truth = F.abs(F.col("v").cast("double")) * 6 + 0.25
+    p = e.select("clip", "vec_id", "pixel", truth.alias("truth"), (truth * 1.05 + F.pmod("pixel", F.lit(3)) * 0.02).alias("pred"))
     return rounded(Q.range_gradients(p, ["clip"], "vec_id", "pixel", "pred", "truth", static=0.5, least=3), 9)
 
 
@@ -92,8 +92,8 @@ ORACLE_SQL = {
     "knn_embeddings": f"WITH {_KNN} SELECT query, neighbour, round(cosine, 6) AS cosine, place FROM nn",
     "knn_votes": f"""WITH {_KNN}, w AS (SELECT query, e.label, sum(greatest(cosine, 0)) AS w FROM nn JOIN embeddings e ON e.vec_id = neighbour GROUP BY ALL), s AS (SELECT *, CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 0.0 END AS share FROM w WINDOW p AS (PARTITION BY query)),
         t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(share, 9) DESC, label) AS k FROM s) SELECT query, t.label, round(share, 5) AS share, t.label IS NOT DISTINCT FROM e.label AS agreed FROM t JOIN embeddings e ON e.vec_id = query WHERE k = 1""",
-    "range_gradients": f"""WITH e AS (SELECT label AS clip, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding FROM embeddings), p AS (SELECT clip, vec_id, t, pixel, round(abs(CAST(embedding[pixel + 1] AS DOUBLE)) * 6 + CAST(0.25 AS DOUBLE), 4) AS truth
-            FROM (SELECT *, unnest(range(64)) AS pixel FROM e)), v AS (SELECT *, round(truth * CAST(1.05 AS DOUBLE) + pixel % 3 * CAST(0.02 AS DOUBLE), 4) AS pred, {_BAND} AS band FROM p),
+    "range_gradients": f"""WITH e AS (SELECT label AS clip, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding FROM embeddings), p AS (SELECT clip, vec_id, t, pixel, abs(CAST(embedding[pixel + 1] AS DOUBLE)) * 6 + CAST(0.25 AS DOUBLE) AS truth
+            FROM (SELECT *, unnest(range(64)) AS pixel FROM e)), v AS (SELECT *, truth * CAST(1.05 AS DOUBLE) + pixel % 3 * CAST(0.02 AS DOUBLE) AS pred, {_BAND} AS band FROM p),
         d AS (SELECT a.clip, a.t, a.band, b.pred - a.pred AS dp, b.truth - a.truth AS dt FROM v a JOIN v b ON a.clip = b.clip AND b.t = a.t + 1 AND a.pixel = b.pixel
             WHERE a.truth > CAST(0.3 AS DOUBLE) AND a.truth < 5 AND b.truth > CAST(0.3 AS DOUBLE) AND b.truth < 5 AND a.pred > 0 AND b.pred > 0),
         s AS (SELECT clip, t, band, CASE WHEN count(*) FILTER (WHERE abs(dt) < 0.5) >= 3 THEN avg(abs(abs(dp) - abs(dt))) FILTER (WHERE abs(dt) < 0.5) END AS tgm, CASE WHEN count(*) >= 3 THEN avg((dp - dt) * (dp - dt)) END AS tgse FROM d WHERE band IS NOT NULL GROUP BY ALL)
