@@ -78,8 +78,11 @@ def temporal_gradients(pred: np.ndarray, truth: np.ndarray, static: float = 0.05
     return {"tgm": mean(tgm), "tgse": mean(tgse), "tcc": mean(tcc)}
 
 
-def nearest_distance(a: np.ndarray, b: np.ndarray, p: int = 2, block: int = 2048) -> np.ndarray:
-    """Distance of each point of a to the nearest of b, in blocks."""
+#: Pairs of points up to which all are compared.
+FEW_PAIRS = 4_000_000
+
+
+def _all_pairs(a: np.ndarray, b: np.ndarray, p: int, block: int = 1024) -> np.ndarray:
     out = []
     for at in range(0, len(a), block):
         d = np.abs(a[at : at + block, None] - b[None])
@@ -87,6 +90,36 @@ def nearest_distance(a: np.ndarray, b: np.ndarray, p: int = 2, block: int = 2048
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def nearest_distance(a: np.ndarray, b: np.ndarray, p: int = 2) -> np.ndarray:
+    """Distance (p = 1 or 2) of each point of a to the nearest of b. Points of b lie in grid cells; a distance of one cell or less is
+    final once the neighbouring cells are searched, and what is left goes on in a grid twice as wide."""
+    if not len(a) or not len(b):
+        return np.full(len(a), np.inf)
+    low = np.minimum(a.min(axis=0), b.min(axis=0))
+    extent = float(max((np.maximum(a.max(axis=0), b.max(axis=0)) - low).max(), 1e-12))
+    side = extent / max(1.0, len(b) ** (1 / 3))
+    best, left = np.full(len(a), np.inf), np.arange(len(a))
+    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * 3, indexing="ij"), -1).reshape(-1, 3)
+    while left.size * len(b) > FEW_PAIRS and side < extent:
+        span = int(extent / side) + 3
+        number = lambda points: (np.floor((points - low) / side).astype(np.int64) + 1) @ np.array([span * span, span, 1])
+        cells = number(b)
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        own = number(a[left])
+        for step in steps @ np.array([span * span, span, 1]):
+            begin, end = (np.searchsorted(cells, own + step, side) for side in ("left", "right"))
+            for j in range(int((end - begin).max())):
+                has = np.flatnonzero(end - begin > j)
+                d = np.abs(a[left[has]] - b[order[begin[has] + j]])
+                d = d.sum(-1) if p == 1 else np.sqrt((d * d).sum(-1))
+                best[left[has]] = np.minimum(best[left[has]], d)
+        left = left[best[left] > side]
+        side *= 2
+    best[left] = _all_pairs(a[left], b, p)
+    return best
+
+
 def cloud_scores(pred: np.ndarray, truth: np.ndarray, limits: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1)) -> dict[str, float]:
     """Chamfer distance and F-scores of two point clouds; nan and zeros under ten points."""
     if min(len(pred), len(truth)) < 10:

@@ -1,7 +1,8 @@
 """Global ranks without a single-partition window, percentile norms and thirds.
 
-A global row number needs one order over the whole table. Approximate quantiles cut the order into buckets; numbers are counted
-within buckets, and the sizes of earlier buckets are added. The result is exact whatever the cuts are.
+A global row number needs one order over the whole table. Rows are sorted into ranges by value and ties, as many as the session has
+shuffle partitions; numbers are counted within ranges, and the sizes of earlier ranges are added. A value that many rows share is cut by its
+ties, so no range holds it whole.
 """
 
 from __future__ import annotations
@@ -10,23 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellmill.session import settle
+
 BUCKETS = 64
 
 
-def global_rank(df: DataFrame, value: str, *ties: str, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    """df with rank (1-based, ascending by value, then ties; nulls and NaN last) and total (rows), within groups `by` if given."""
-    key = F.coalesce(F.col(value), F.lit(float("nan"))) if dict(df.dtypes)[value] in ("double", "float") else F.col(value)
-    if by:
-        w = W.partitionBy(*by)
-        return df.withColumn("rank", F.row_number().over(w.orderBy(key.asc_nulls_last(), *ties))).withColumn("total", F.count(F.lit(1)).over(w))
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    bucket = sum((F.coalesce(F.col(value) >= c, F.lit(True)).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    placed = df.withColumn("__bucket", bucket)
-    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    order = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)  # over at most `buckets` rows
-    offsets = sizes.select("__bucket", (F.sum("__n").over(order) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("total"))
-    within = F.row_number().over(W.partitionBy("__bucket").orderBy(key.asc_nulls_last(), *ties))
-    return placed.withColumn("__within", within).join(F.broadcast(offsets), "__bucket").withColumn("rank", F.col("__within") + F.col("__before")).drop("__bucket", "__within", "__before")
+def global_rank(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """df with rank (1-based, ascending by value, then ties; nulls and NaN last) and total (rows)."""
+    number = dict(df.dtypes)[value] in ("double", "float")
+    key = F.when(~F.isnan(value), F.col(value)) if number else F.col(value)
+    order = [key.asc_nulls_last(), *ties]
+    # ranges are sampled anew whenever the plan runs, so they are settled before two readers use them
+    dealt = settle(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    up_to = W.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row for each range
+    offsets = sizes.select("__range", (F.sum("__n").over(up_to) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("total"))
+    within = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    ranked = dealt.withColumn("__within", within).join(F.broadcast(offsets), "__range")
+    return ranked.withColumn("rank", F.col("__within") + F.col("__before")).drop("__range", "__within", "__before")
 
 
 def tertile(rank: Column, total: Column, distinct: Column | None = None) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellmill.session import shared_dir
+
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """Counts and sums of event types in fixed windows."""
@@ -54,13 +56,17 @@ def synchronised(a: DataFrame, b: DataFrame, keys: list[str], within: str = "1 h
 CELL_STATE = "n long, total double, last double, change double, steps long"
 
 
-def stateful_cells(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def stateful_cells(samples: DataFrame, keys: list[str], order: str, value: str, idle: int | None = None) -> DataFrame:
     """Running cells over a stream of samples: after every batch a key's count, mean and mean absolute change between neighbours.
-    The last value is kept as state, and starts anew with each key."""
+    The last value is kept as state, starts anew with each key, and is dropped when a key has been
+    idle for so many milliseconds (None: never; with a timeout a run over what is there does not end by itself, so it is for streams that go on)."""
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, mean double, mean_change double"
 
     def step(key: tuple, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total, last, change, steps = state.get if state.exists else (0, 0.0, None, 0.0, 0)
         rows = pd.concat(list(batches)).sort_values(order)
         for v in rows[value].dropna():
@@ -68,30 +74,49 @@ def stateful_cells(samples: DataFrame, keys: list[str], order: str, value: str)
                 change, steps = change + abs(v - last), steps + 1
             n, total, last = n + 1, total + v, v
         state.update((n, total, last, change, steps))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame([(*key, n, total / n if n else None, change / steps if steps else None)], columns=[*keys, "n", "mean", "mean_change"])
 
-    return samples.groupBy(*keys).applyInPandasWithState(step, schema, CELL_STATE, "update", "NoTimeout")
+    return samples.groupBy(*keys).applyInPandasWithState(step, schema, CELL_STATE, "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all there is and returns its rows. With a checkpoint folder, a second run goes on where it ended."""
-    name = f"cellmill_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Runs a stream over all there is and returns its rows, which are written to the shared folder batch by batch. With a checkpoint folder, a second
+    run goes on where it ended. In complete mode the last batch is the result."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")  # a batch that is tried again replaces itself
+
+    writer = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{place}-checkpoint").start()
     query.awaitTermination()
-    return spark.table(name)
+    if not _exists(spark, place):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(place)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_new(spark: SparkSession, source: DataFrame, path: str, key: str, checkpoint: str) -> None:
-    """Appends the rows of a stream whose key the table at path lacks: a resumed run skips what is done."""
+    """Appends the rows of a stream whose key the table at path lacks: a resumed run skips what is done. Of the table only the keys between the
+    batch's smallest and largest are read, which Parquet's statistics narrow to the files that can hold them."""
 
     def put(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if _exists(spark, path):
+            span = batch.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+            known = spark.read.parquet(path).select(key)
+            if span.low is not None:
+                known = known.filter(F.col(key).between(span.low, span.high) | F.col(key).isNull())
+            fresh = fresh.join(known.withColumnRenamed(key, "__known"), F.col(key).eqNullSafe(F.col("__known")), "left_anti")
         fresh.write.mode("append").parquet(path)
 
     source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,11 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellmill.functions import images
 from cellmill.functions import kernels as K
-from cellmill.operators import curves, difficulty, sequences
+from cellmill.functions import names as N
+from cellmill.operators import curves, difficulty, grouped, identity, lookups, planning, questions, ranks, sequences, stats, vectors
 
 
 def one(spark, rows, schema, column):
@@ -103,3 +106,137 @@ def test_boxes_on_the_grid(spark):
 def test_roofline_names_the_slower_part(spark):
     got = spark.createDataFrame([(19.5e12, 2039e9 / 2), (1.0, 2039e9)], "f double, t double").select(*K.roofline(F.col("f"), F.col("t"), 19.5, 2039.0)).collect()
     assert [r[3] for r in got] == ["compute", "memory"] and got[0][0] == pytest.approx(1000.0) and got[0][2] == pytest.approx(1000.0) and got[1][2] == pytest.approx(1000.0)
+
+
+def test_ranks_cut_a_shared_value_by_its_ties(spark):
+    rows = [(i, 1.0) for i in range(4000)] + [(9000 + i, float(i)) for i in range(50)] + [(9900, None), (9901, float("nan"))]
+    got = {r.i: (r["rank"], r.total) for r in ranks.global_rank(spark.createDataFrame(rows, "i long, v double").repartition(7), "v", "i").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None or math.isnan(r[1]), r[1] if r[1] is not None and not math.isnan(r[1]) else 0.0, r[0]))
+    assert got == {i: (k + 1, len(rows)) for k, (i, _) in enumerate(order)}
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_distance_in_grid_cells(monkeypatch, p):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(900, 3)), np.concatenate([rng.normal(size=(700, 3)), rng.normal(size=(5, 3)) * 50])
+    want = images._all_pairs(a, b, p)
+    monkeypatch.setattr(images, "FEW_PAIRS", 1000)
+    assert images.nearest_distance(a, b, p) == pytest.approx(want)
+    assert images.nearest_distance(a[:0], b, p).size == 0 and np.isinf(images.nearest_distance(a, b[:0], p)).all()
+
+
+def test_selections_from_the_rule():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(80, 3))
+    chosen, gap = [0], ((points - points[0]) ** 2).sum(1)
+    while len(chosen) < 9:
+        gap[chosen] = -1
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(1))
+    assert grouped.farthest_points(points, 9).tolist() == sorted(chosen)
+    poses = np.concatenate([np.cumsum(rng.normal(size=(80, 3)) * 0.1, axis=0), rng.normal(size=(80, 4))], axis=1)
+    poses[:, 3:] /= np.linalg.norm(poses[:, 3:], axis=1, keepdims=True)
+    for radius in (0.0, 0.3, 0.9, 2.0):
+        kept = []
+        for i in range(79):
+            if all(grouped.pose_distance(poses[i], poses[[k]], 0.5)[0] >= radius for k in kept):
+                kept.append(i)
+        assert grouped.ordered_poses(poses, radius, 0.5) == [*kept, 79]
+    for k in (2, 5, 20, 79, 80, 200):
+        got = grouped.ordered_poses_for(poses, k, 0.5, 0.0)
+        assert len(got) == min(k, 80) and got[0] == 0 and got[-1] == 79 and got == sorted(set(got))
+
+
+def test_bootstrap_of_the_phase_effect(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, p, float(k + rng.normal()), float(rng.normal())) for s in range(40) for k, p in enumerate(("clutter", "interaction", "clean"))]
+    z = spark.createDataFrame(rows, "scene int, phase string, a double, b double")
+    got = stats.bootstrap_phi(z, ["a", "b"], 80).first()
+    point = stats.phi_oneway(stats.Cube.of(z, ["a", "b"]))
+    assert got.n_boot == 80 and got.n_success + got.n_failed == 80 and got.phi_wilks_low < point.phi_wilks < got.phi_wilks_high and got.phi_wilks_se > 0
+    with pytest.raises(stats.StatsError):
+        stats.bootstrap_phi(z, ["a", "b"], 10)
+    with pytest.raises(stats.StatsError):  # a constant metric fails every draw
+        stats.bootstrap_phi(z.withColumn("b", F.lit(0.0)), ["a", "b"], 60)
+
+
+def test_names(spark):
+    q = [("What is made of  wood that is used for eating?", "wood", "eating", None), ("Which is NOT made of steel", None, None, "steel"), ("Where?", None, None, None)]
+    material, function = N.composition_parts(F.col("q"))
+    got = spark.createDataFrame([(x[0],) for x in q], "q string").select(material, function, N.odd_one_out_part(F.col("q"))).collect()
+    assert [tuple(r) for r in got] == [x[1:] for x in q]
+    paths = {"a/0.0/1.0/x.tar": "a/0/1/x.tar", "a/v1.0": "a/v1.0", "/12.0/": "/12/", "a/1.05/b": "a/1.05/b"}
+    assert one(spark, [(p,) for p in paths], "p string", N.repaired_path(F.col("p"))) == list(paths.values())
+    assert one(spark, [("a/rgb/rgb/1.png",), ("rgb/1",)], "p string", N.swapped_segment(F.col("p"), "rgb", "depth")) == ["a/depth/rgb/1.png", "rgb/1"]
+    assert one(spark, [("a/b.c.png",), (".hidden",), ("plain",)], "p string", N.stem(F.col("p"))) == ["b.c", ".hidden", "plain"]
+    assert one(spark, [("x12", "y3"), ("x", "y3"), ("x", "y")], "a string, b string", N.trailing_number(F.col("a"), F.col("b"))) == [12, 3, 0]
+    assert one(spark, [("Plastic / metal&Plastic",), ("/",)], "v string", N.material_atoms(F.col("v"))) == [["metal", "plastic"], []]
+    assert one(spark, [(0.125,), (0.375,), (2.5,)], "v double", N.half_even(F.col("v"), 2)) == [0.12, 0.38, 2.5]
+    assert one(spark, [("clean",), ("zoo",), ("clutter",), (None,)], "p string", N.phase_rank(F.col("p"))) == [2, 3, 0, 3]
+
+
+def test_lookups(spark):
+    cells = spark.createDataFrame([("s1", "clean", "easy", 1.0, 2, True, "x")], "scene_id string, phase string, difficulty string, `metric:a` double, `metric:b` int, c boolean, d string")
+    rows = lookups.analysis_rows(cells)
+    assert rows.columns == ["scene", "phase", "difficulty", "id", "a", "b"] and rows.first().id == "s1_clean"
+    assert lookups.metric_columns(cells.toDF("scene", "phase", "difficulty", "a", "b", "c", "d"), {"a", "b", "c", "d", "scene"}) == ["a", "b"]
+    with pytest.raises(ValueError):
+        lookups.metric_columns(rows, {"a"}, ["a", "nope"])
+    frames = spark.createDataFrame([("multi", True), ("multi", None), ("ego", True)], "scene_type string, has_rgb boolean")
+    assert lookups.scoped(frames, ["multi"], ["has_rgb"]).count() == 1 and lookups.scoped(frames, ["multi"], ["has_mask"]).count() == 0
+
+
+def test_identity_without_reassignment(spark):
+    rows = [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 9, 3), (0, 1, 0)]  # track, truth
+    px = spark.createDataFrame(rows, "frame int, track long, truth long")
+    tracks = spark.createDataFrame([(1, 1), (2, 2)], "track long, source long")
+    got = {r.object: (r.hit, r.union, r.located) for r in identity.identity_iou(px, tracks, ["frame"]).collect()}
+    assert got == {1: (1, 3, True), 2: (1, 2, True), 3: (0, 1, False)}
+
+
+def test_border_coherence(spark):
+    mask = np.zeros((8, 8), int)
+    mask[:, 4:] = 1
+    rows = [(1, mask.ravel().tolist(), (mask * 2.0).ravel().tolist()), (2, mask.ravel().tolist(), [1.0] * 64), (3, [0] * 64, [1.0] * 64)]
+    got = {r.k: r for r in identity.border_coherence(spark.createDataFrame(rows, "k int, mask array<int>, depth array<double>"), ["k"], (8, 8)).collect()}
+    # the mask's border is column 3, the depth's columns 3 and 4; both widened by two
+    assert got[1].precision == 1.0 and got[1].recall == pytest.approx(5 / 6) and got[1].coherence == pytest.approx(2 * (5 / 6) / (1 + 5 / 6))
+    assert (got[2].precision, got[2].recall, got[2].coherence) == (0.0, 1.0, 0.0) and got[3].coherence == 1.0
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 5)).astype(np.float32)
+    v[7] = v[3] * 2  # a tie
+    odd = [(900, None, 0), (901, [0.0] * 5, 0), (902, [1.0], 0), (903, [float("nan")] * 5, 0), (None, [1.0] * 5, 0)]
+    rows = [(i, [float(x) for x in v[i]], i % 3) for i in range(150)] + odd
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {}
+    for r in vectors.nearest(df, F.col("vec_id") % 10 == 0, 4).collect():
+        got.setdefault(r.query, {})[r.place] = r.neighbour
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    for q in range(0, 150, 10):
+        cos = np.round(u @ u[q], 9)
+        want = sorted((i for i in range(150) if i != q), key=lambda i: (-cos[i], i))[:4]
+        assert [got[q][k] for k in range(1, 5)] == want
+    assert set(got) == set(range(0, 150, 10))
+
+
+def test_quota_sample_prefers_other_scenes(spark):
+    rows = [("t", s, i) for s in range(2) for i in range(5)] + [("u", 7, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "type string, scene int, i int")
+    got = planning.quota_sample(df, ["type"], "scene", ["i"], 2, "s").collect()
+    assert {r.scene for r in got if r.type == "t"} == {0, 1} and len([r for r in got if r.type == "u"]) == 2
+    cells = spark.createDataFrame([("t",), ("u",), ("v",)], "type string")
+    assert [r.type for r in planning.short_cells(planning.quota_sample(df, ["type"], "scene", ["i"], 2, "s"), cells, ["type"], 2).collect()] == ["v"]
+
+
+def test_rings_reach_every_member(spark):
+    pool = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1)], "k string, m long")
+    got = questions.ring(pool, ["k"], "m", "seed").collect()
+    assert sorted(r.place for r in got if r.k == "a") == list(range(300)) and {r["size"] for r in got if r.k == "a"} == {300}
+    targets = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 3, "a"), (2, 4, "a")], "frame int, item long, v string")
+    found = questions.references(targets, pool.withColumnRenamed("k", "v").withColumnRenamed("m", "item"), "v", ["frame"], "item", "s").collect()
+    assert len(found) == 1 and found[0].reference != 5  # b has no other member; two objects of frame 2 share a value
