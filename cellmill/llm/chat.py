@@ -14,7 +14,7 @@ of those before them. By its prefix sum a turn falls into a section of SECTION_W
 sections are formatted independently. History reaches back across sections.
 
 Tokens are estimated from the text: a mark or letter of a script without spaces is one, a word of other letters one for every four
-of them. Pass `tokens` to count by another rule.
+characters. Pass `tokens` to count by another rule.
 
 Edge cases: null roles and texts are empty; a null turn counts as turn -1; a null conversation id is a conversation;
 repeated rows are turns each, and ties of the turn number go by role, then the first TIE_CHARS characters of the text, then its hash; a turn beyond the budget has a window of its
@@ -39,7 +39,7 @@ TIE_CHARS = 64
 TURN_MARKS = 4
 #: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han, fullwidth forms.
 _NO_SPACES = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F"
-_TOKEN = rf"[{_NO_SPACES}]|[\p{{L}}\p{{M}}\p{{N}}_&&[^{_NO_SPACES}]]{{1,4}}|[^\p{{L}}\p{{M}}\p{{N}}_\s]"
+_TOKEN = rf"[{_NO_SPACES}]|[\p{{L}}\p{{M}}\p{{N}}_]{{1,4}}|[^\p{{L}}\p{{M}}\p{{N}}_\s]"
 
 
 def escape(text: Column) -> Column:
@@ -58,14 +58,15 @@ def estimated_tokens(text: Column) -> Column:
 def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens) -> DataFrame:
     """conv, turn, role, role_out, text_out, tokens, before: the tokens of the conversation's turns before this one."""
     role, text = F.coalesce(rows[role_col], F.lit("")), F.coalesce(rows[text_col], F.lit(""))
-    plain = rows.select(rows[conv_col].alias("conv"), F.coalesce(rows[turn_col].cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"))
-    turns = plain.select(
-        "conv", "turn", "role", escape(F.col("role")).alias("role_out"), escape(F.col("text")).alias("text_out"),
-        (tokens(F.col("text")).cast("long") + TURN_MARKS).alias("tokens"),
-        F.substr("text", F.lit(1), F.lit(TIE_CHARS)).alias("head"), F.xxhash64("text").alias("digest"),
-    )
+    text_head, digest = F.substr(text, F.lit(1), F.lit(TIE_CHARS)), F.xxhash64(text)
+    turn = F.coalesce(rows[turn_col].cast("long"), F.lit(-1))
+    plain = rows.select(rows[conv_col].alias("conv"), turn.alias("turn"), role.alias("role"), text.alias("text"), text_head.alias("head"), digest.alias("digest"))
     order = ["turn", "role", "head", "digest", "tie"]  # turns equal up to the tie are equal, so any order does
-    dealt = cut(turns.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id()))
+    ranges = plain.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("conv", *order)
+    dealt = cut(ranges.select(  # tokens and escapes come after the sort, which reads its input twice
+        "conv", *order, escape(F.col("role")).alias("role_out"), escape(F.col("text")).alias("text_out"),
+        (tokens(F.col("text")).cast("long") + TURN_MARKS).alias("tokens"), F.spark_partition_id().alias("part"),
+    ))
     parts = dealt.groupBy(F.col("conv").alias("of"), F.col("part").alias("in_part")).agg(F.sum("tokens").alias("sum"))
     earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy("in_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut(parts.select("of", "in_part", earlier.alias("offset")))
