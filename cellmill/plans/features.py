@@ -9,6 +9,8 @@ from cellmill.plans.cells import rounded
 from cellmill.sources.tables import table
 
 KEYS = ["scene", "phase"]
+#: Features in the ten thousands: their last digits differ between engines.
+LARGE = ("rgb_blur", "fisheye_sharpness")
 
 
 def _frames(spark, sf):
@@ -45,7 +47,8 @@ def _fisheye(spark, sf):
 def phase_features(spark, sf):
     """All features of every scene and phase."""
     out = X.phase_features(_pixels(spark, sf), _poses(spark, sf), _faulty(spark, sf), _fisheye(spark, sf), KEYS, (8, 8), (8, 4), ["px", "py", "pz"], ["qx", "qy", "qz", "qw"])
-    return rounded(out.select(*KEYS, *[F.nanvl(F.col(c), F.lit(None)).alias(c) if c in X.FISHEYE else c for c in out.columns if c not in KEYS]), 5)
+    known = lambda c: F.nanvl(F.col(c), F.lit(None)) if c in X.FISHEYE else F.col(c)
+    return out.select(*KEYS, *[F.round(known(c), 5 if c in LARGE else 9).alias(c) for c in out.columns if c not in KEYS])
 
 
 def image_sharpness(spark, sf):
@@ -111,9 +114,9 @@ ORACLE_SQL = {
         ff AS (SELECT scene, phase, frame, avg(CASE WHEN lft < 30 THEN 1.0 ELSE 0.0 END) AS fisheye_dark, avg(CASE WHEN lft > 230 THEN 1.0 ELSE 0.0 END) AS fisheye_bright, var_pop(lap) AS fisheye_sharpness,
             corr(lft, rgt) AS fisheye_corr, avg(grad) AS fisheye_texture FROM fn GROUP BY ALL),
         fe AS (SELECT scene, phase, {", ".join(f"avg({c}) AS {c}" for c in X.FISHEYE)} FROM ff GROUP BY ALL)
-        SELECT scene, phase, {", ".join(f"round(coalesce({c}, 0), 5) AS {c}" for c in ("depth_invalid", "depth_invalid_mask", "depth_std", "depth_std_mask", "specular", "dark", "rgb_blur", "rgb_texture", "obj_mean", "obj_std", "obj_consist",
+        SELECT scene, phase, {", ".join(f"round(coalesce({c}, 0), {5 if c in LARGE else 9}) AS {c}" for c in ("depth_invalid", "depth_invalid_mask", "depth_std", "depth_std_mask", "specular", "dark", "rgb_blur", "rgb_texture", "obj_mean", "obj_std", "obj_consist",
             "mask_area_mean", "mask_area_std", "area_cv", "area_drop", "vis_instability", "occ_mean", "occ_p90", "occ_heavy", "trans_mean", "trans_p90", "rot_mean", "rot_p90", "jerk", "iter_mean", "iter_max"))},
-            {", ".join(f"round({c}, 5) AS {c}" for c in X.FISHEYE)}
+            {", ".join(f"round({c}, {5 if c in LARGE else 9}) AS {c}" for c in X.FISHEYE)}
         FROM im LEFT JOIN nu USING (scene, phase) LEFT JOIN sz USING (scene, phase) LEFT JOIN st USING (scene, phase) LEFT JOIN oc USING (scene, phase) LEFT JOIN mo USING (scene, phase)
         LEFT JOIN ef USING (scene, phase) LEFT JOIN fe USING (scene, phase)""",
 }
