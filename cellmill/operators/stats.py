@@ -270,16 +270,14 @@ def poisson_steps(most: int = 8) -> list[float]:
     return out
 
 
-def poisson_times(seed: str, replicate: str, unit: str) -> Column:
-    """How often a unit is drawn in a replicate: a Poisson(1) draw from the hash of both, the same in any order."""
-    text = F.concat_ws(":", F.lit(seed), F.col(replicate).cast("string"), F.col(unit).cast("string"))
-    h = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return sum((F.when(h >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
-
-
 def _replicated(df: DataFrame, replicates: int, seed: str, unit: str) -> DataFrame:
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return drawn.withColumn("times", poisson_times(seed, "replicate", unit)).filter("times > 0")
+    """df for every replicate, with times: how often the row's unit is drawn in it, a Poisson(1) draw from the hash of both, the same in any order.
+    The hash is a column of its own, so that it is made once a row, and no row is filtered out, which would make it twice."""
+    text = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col(unit).cast("string"))
+    share = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__share", share)
+    times = sum((F.when(F.col("__share") >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
+    return drawn.withColumn("times", times).drop("__share")
 
 
 def bootstrap_means(df: DataFrame, value: str, unit: str, replicates: int = 2000, by: tuple[str, ...] = (), seed: str = "boot") -> DataFrame:
