@@ -77,7 +77,7 @@ def test_queries_on_awkward_and_empty_tables(spark, place, name):
         for t, df in tables.items():
             (df if kind == "odd" else df.limit(0)).write.parquet(str(place / kind / f"{t}.parquet"))
         got = QUERIES[name](spark, str(place / kind)).collect()
-        whole = {"op2_simhash": 71, "op3_quality": 71, "op4_urls": 5, "op6_bpe": 71, "op7_embedding": 8, "op9_lm": 71}
+        whole = {"op2_simhash": 71, "op3_quality": 71, "op4_urls": 5, "op6_bpe": 71, "op7_embedding": 8, "op9_lm": 71, "op11_mixing": 71, "op12_merkle": 71}
         if kind == "none":
             assert len(got) == (name == "op1_chat")  # the probe conversation is always there
         elif name in whole:
