@@ -1,10 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut after sentence ends, line ends and clause marks; the pieces, called sentences here, make up the text again. (A
-passage set into other text loses the pieces at its two ends; whole sentences would lose more of it.) From every sentence a run starts: the
-fewest consecutive sentences, at least MIN_SENTENCES, that hold MIN_WORDS words or more. Every run is hashed to 128 bits over
+A text is cut after sentence ends and line ends; the sentences make up the text again, and only whole ones are ever removed. From
+every sentence a run starts: the fewest consecutive sentences, at least MIN_SENTENCES, that hold MIN_WORDS words or more; a
+sentence of LONG_WORDS words or more is as long as several, and a run by itself. Every run is hashed to 128 bits over
 its words (lower case, white space ignored). A run that occurs more than once is a repeated span. Its first
-occurrence by (document, sentence) stays; the sentences of all others go.
+occurrence by (document, sentence) stays; the sentences of all others go. Of a passage set into other text in the middle of sentences, those
+that it shares with that text stay.
 
 A document is an id with a text, so positions never cross texts: rows that share an id but not the text are documents each, in
 the order of two 64-bit hashes of their texts; documents without an id come last. Equal rows are one document.
@@ -36,13 +37,14 @@ from cellmill.llm.common import cut, document, slices
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
+LONG_WORDS = 25
 #: Beyond this share of bits the bitmap filters too little, and runs are joined with the repeated hashes instead.
 MAX_FILL = 0.25
-_END = re.compile(r"(?<=[.!?,;:]\s)|(?<=\n)|(?<=[。！？，；：])")
+_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)|(?<=[。！？])")
 
 
 def sentences(text: str | None) -> list[str]:
-    """The pieces of a text; joined, they are the text."""
+    """The sentences of a text; joined, they are the text."""
     return [s for s in _END.split(text) if s] if text else []
 
 
@@ -53,6 +55,7 @@ def runs(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
     n = len(words)
     first = np.arange(n)
     after = np.maximum(np.searchsorted(until, until[:-1] + min_words), first + min_sentences)
+    after[np.diff(until) >= max(LONG_WORDS, min_words)] = first[np.diff(until) >= max(LONG_WORDS, min_words)] + 1
     joined, digest = [" ".join(w) for w in words], xxhash.xxh3_128_digest
     whole = [(i, j) for i, j in zip(first.tolist(), after.tolist()) if j <= n and words[i]]
     return [i for i, _ in whole], [j for _, j in whole], [digest(" ".join(joined[i:j])) for i, j in whole]
