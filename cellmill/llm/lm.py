@@ -14,7 +14,8 @@ same, and n(v) counts both ways: the loss of a text is the sum over its bigrams
     log(n(w) + STRENGTH) - log(n(v, w) + STRENGTH * p(w))
 which needs counts of (v, w) and w alone. Bigrams go to buckets by w, where both can be counted, and sums by text come back. Words and
 bigrams that make up more than a HOT-th of all tokens (fewer than HOT each) are counted before: bigrams of such a word are dealt by both
-words, and such bigrams are scored on the spot. This only spreads the work; no result depends on HOT. Words are known by their 64-bit XXH64.
+words, and bigrams of two such words are scored on the spot. Less frequent words whose bigrams would overfill a bucket are dealt by both words too, down
+to a HEAVY-th of all tokens. This only spreads the work; no result depends on HOT or HEAVY. Words are known by their 64-bit XXH64.
 
 Edge cases: null and empty texts have the end token alone and are scored by it; with a size, ties at the vocabulary's edge go by the
 word; repeated rows count and are scored each; empty corpora give uniform models; other columns are not read.
@@ -41,8 +42,12 @@ HOT = 1 << 14
 BUCKET_TOKENS = 1 << 17
 BLOCK_TOKENS = 1 << 19
 FLUSH_WORDS = 1 << 18
-#: Tasks that go through the buckets, sorted, one bucket in memory at a time. A text gets at most one sum from each, so the sums grow with the texts.
-TASKS = 32
+#: Tasks that go through the buckets, sorted, one bucket in memory at a time: TASKS at least, and one for every TASK_TOKENS. A text gets at most one
+#: sum from each.
+TASKS, TASK_TOKENS = 32, 1 << 26
+#: Words with more than a HEAVY-th of all tokens (fewer than HEAVY; a sorted array of three numbers each is broadcast) are dealt by both words where
+#: their bigrams would be more than a bucket's.
+HEAVY = 1 << 20
 #: A row's number is its block's and, in the low bits, its place in it.
 PLACE_BITS = 16
 
@@ -178,7 +183,7 @@ def _packed(texts: DataFrame, shared, is_target: bool) -> DataFrame:
     kind = texts.schema[0].dataType.simpleString()
 
     def run(batches):
-        kept, hot, hot_counts, pairs, pair_counts, totals, size, strength, buckets = shared.value
+        kept, hot, hot_counts, pairs, pair_counts, totals, size, strength, buckets, heavy, _ = shared.value
         task, id_type = TaskContext.get().partitionId(), None
         for number, (rows, sizes, second) in enumerate(_Keys(kept).blocks(batches, 1)):
             id_type = rows[0].column(0).type
@@ -199,8 +204,9 @@ def _packed(texts: DataFrame, shared, is_target: bool) -> DataFrame:
                     names=NAMES,
                 )
             left = ~done
-            first, second, places, a, b = first[left], second[left], places[left], a[left], b[left]
-            bucket = (np.where(b >= 0, _mixed(first, second), _mixed(np.uint64(0), second)) % np.uint64(buckets)).astype(np.int64)
+            first, second, places, a = first[left], second[left], places[left], a[left]
+            spread = find(second, heavy) >= 0  # hot ones are among them
+            bucket = (np.where(spread, _mixed(first, second), _mixed(np.uint64(0), second)) % np.uint64(buckets)).astype(np.int64)
             bucket = bucket * 2 + (a >= 0)  # those with a hot first word by themselves: its position is enough
             order = np.lexsort((second, bucket))
             first, second, places, a, bucket = first[order], second[order], places[order].astype(np.uint16), a[order].astype(np.uint16), bucket[order]
@@ -253,7 +259,7 @@ class _Sums:
         return out
 
 
-def _scored(bucket: list[tuple], hot: np.ndarray, hot_counts: np.ndarray, totals: np.ndarray, size: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+def _scored(bucket: list[tuple], hot: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, totals: np.ndarray, size: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and losses (near, far) of every bigram of a bucket that is in a text to score."""
     runs = [np.frombuffer(x[3], np.uint32) for x in bucket]
     second = np.concatenate([np.repeat(np.frombuffer(x[2], np.uint64), r) for x, r in zip(bucket, runs)])
@@ -268,14 +274,14 @@ def _scored(bucket: list[tuple], hot: np.ndarray, hot_counts: np.ndarray, totals
     at_word, at_pair = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
     counts = lambda at: np.stack([np.bincount(at, near), np.bincount(at, ~near)])
     word, pair = counts(at_word), counts(at_pair)
-    known = find(second[new_word], hot)
-    word[:, known >= 0] = hot_counts[:, known[known >= 0]]
+    known = find(second[new_word], heavy)
+    word[:, known >= 0] = heavy_counts[:, known[known >= 0]]
     loss = losses(pair, word[:, at_word[new_pair]], totals, size, strength)
     return rows[~near], loss[:, at_pair[~near]]
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", size: int | None = None, strength: float = STRENGTH, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", size: int | None = None, strength: float = STRENGTH, hot: int = HOT, bucket_tokens: int = BUCKET_TOKENS, heavy: int = HEAVY
 ) -> DataFrame:
     """One row per row of docs: id_col, n_tokens (the end included), target_loss, background_loss (nats a token), score (their
     difference). docs are the background, all of them; target has the texts to resemble."""
@@ -291,13 +297,14 @@ def cross_entropy_difference(
     least = totals.sum() / hot
     frequent, word_counts = _frequent(counts, least)
     pairs, pair_counts = _frequent(both(frequent), least)
-    shared = spark.sparkContext.broadcast((known, frequent, word_counts, pairs, pair_counts, totals, size, strength, int(totals.sum() // bucket_tokens) + 1))
+    spread, spread_counts = _frequent(counts, min(least, max(totals.sum() / heavy, bucket_tokens)))
+    shared = spark.sparkContext.broadcast((known, frequent, word_counts, pairs, pair_counts, totals, size, strength, int(totals.sum() // bucket_tokens) + 1, spread, spread_counts))
     rows = docs.select(docs[id_col], docs[text_col])
     kind = rows.schema[0].dataType.simpleString()
     packed = _packed(rows, shared, False).union(_packed(target.select(F.lit(None).cast(kind), target[target_text_col]), shared, True))
 
     def run(batches):
-        _, hot, hot_counts, _, _, totals, size, strength, _ = shared.value
+        _, hot, _, _, _, totals, size, strength, _, heavy, heavy_counts = shared.value
         sums, bucket, now, id_type = _Sums(), [], None, None
 
         def flushed():
@@ -313,17 +320,18 @@ def cross_entropy_difference(
                 yield given.select(NAMES[7:])
             for number, *blob in zip(*[batch.filter(pc.invert(texts)).column(c).to_pylist() for c in NAMES[:7]]):
                 if number != now and bucket:
-                    sums.add(*_scored(bucket, hot, hot_counts, totals, size, strength))
+                    sums.add(*_scored(bucket, hot, heavy, heavy_counts, totals, size, strength))
                     bucket = []
                     if sums.full():
                         yield from flushed()
                 now = number
                 bucket.append(blob)
         if bucket:
-            sums.add(*_scored(bucket, hot, hot_counts, totals, size, strength))
+            sums.add(*_scored(bucket, hot, heavy, heavy_counts, totals, size, strength))
         yield from flushed()
 
-    parts = packed.repartition(TASKS, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"row bigint, id {kind}, n_tokens bigint, near double, far double")
+    tasks = max(TASKS, -(-int(totals.sum()) // TASK_TOKENS))
+    parts = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"row bigint, id {kind}, n_tokens bigint, near double, far double")
     summed = parts.groupBy("row").agg(F.first("id", ignorenulls=True).alias(id_col), F.max("n_tokens").alias("n_tokens"), F.sum("near").alias("near"), F.sum("far").alias("far"))
     return summed.select(
         id_col, "n_tokens", (F.col("near") / F.col("n_tokens")).alias("target_loss"), (F.col("far") / F.col("n_tokens")).alias("background_loss"), ((F.col("near") - F.col("far")) / F.col("n_tokens")).alias("score")
