@@ -2,8 +2,9 @@
 
 Features are words and marks (runs of other characters), their bigrams, and one feature for any word that repeats the word
 before it, hashed into BUCKETS places. A text is the unit vector of its feature counts; its score is the logistic function of
-one sparse dot product. Training is sequential by nature and runs in one task over TRAIN_ROWS labelled rows at most
-(those with the smallest hash of their id, so the choice does not depend on order or partitions). The model
+one sparse dot product. (The repeated word is no n-gram, but a feature of its own.) Training is sequential by nature and runs in one task over TRAIN_ROWS
+labelled rows and TRAIN_CHARS characters at most: rows in the order of a hash of their id, so the choice does not depend on order or partitions, as long as
+their texts together have no more. Features are made where the texts are, and the one task gets them alone. The model
 has BUCKETS + 1 numbers whatever the data, so it is broadcast; scoring is a map without a shuffle.
 
 Edge cases: null and empty texts have no features and get the score of the bias alone; rows without a label, an id or a text
@@ -18,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmill.llm.common import word_hash
+from cellmill.llm.common import slices, word_hash
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 12_000
+#: Bounds the memory of training: a character gives less than one feature, and a feature has 8 bytes.
+TRAIN_CHARS = 1 << 27
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.0
 _UNITS = re.compile(r"\w+|[^\w\s]+").findall
@@ -72,13 +75,12 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -700, 700))))
 
 
-def fit(rows: list[tuple[str | None, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after some passes over (text, label) rows in their order."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights after some passes over (bucket numbers, values, label) rows in their order."""
     model = Ftrl.new()
-    known = [(*features(text), float(label)) for text, label in rows]
     for _ in range(epochs):
-        for at, x, label in known:
-            model.learn(at, x, label)
+        for at, x, label in rows:
+            model.learn(at, x, float(label))
     return model.weights()
 
 
@@ -91,8 +93,8 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights learnt from at most `rows` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> np.ndarray:
+    """Weights learnt from at most `rows` labelled rows that are not held out, and at most `chars` characters of them."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).distinct()
     order = [F.xxhash64("id"), "id", "label"]
     sample = known.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).orderBy(*order).limit(rows)
@@ -100,11 +102,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = texts.join(F.broadcast(sample), "id")  # `rows` rows of two numbers
     found = found.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text an id, however often it occurs
 
+    def featured(batches):
+        for batch in slices(batches):
+            made = [features(t) for t in batch.column(3).to_pylist()]
+            bytes_of = lambda k: pa.array([m[k].tobytes() for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bytes_of(0), bytes_of(1), *batch.columns[4:]], names=["id", "label", "h", "at", "x", "chars"])
+
     def run(batches):
-        rows = [(t, y) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), r["label"]) for batch in batches for r in batch.select(["at", "x", "label"]).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["weights"])
 
-    one = found.repartition(1).sortWithinPartitions(*order, F.xxhash64("text")).select("text", "label")
+    texts = found.select("id", "label", F.xxhash64("text").alias("h"), "text", F.length("text").alias("chars"))
+    made = texts.mapInArrow(featured, f"id {found.schema['id'].dataType.simpleString()}, label int, h bigint, at binary, x binary, chars int")
+    in_order = Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over `rows` rows
+    one = made.withColumn("so_far", F.sum("chars").over(in_order)).filter(F.col("so_far") <= chars).select("label", "at", "x")
     got = one.mapInArrow(run, "weights binary").collect()
     return np.frombuffer(got[0].weights) if got else np.zeros(BUCKETS + 1)
 
