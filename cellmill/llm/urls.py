@@ -2,7 +2,8 @@
 
 A rule is a host, a path prefix and a verdict; it fits its host and all subdomains. Each URL is expanded into host-suffix and
 path-prefix expressions, but only of the shapes (number of host labels, length of path) that occur among the rules. A short prefix of
-an expression's SHA-256 digest is the key of an equi-join with the rules; survivors are confirmed by the full digest. Of
+an expression's SHA-256 digest is the key of an equi-join with the rules; survivors are confirmed by the full digest. Rules are counted and their
+shapes gathered while the plan is built. Of
 several rules the longest wins, then the one with the longer host, then block before allow.
 
 The rules' shapes are a small set whatever the rules are (at most labels times path lengths). Up to BROADCAST_RULES rules, which
@@ -70,19 +71,23 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     most = max(n for n, _ in shapes)
     digest = lambda n, chars: _digest(suffix({"labels": F.lit(n)}), F.substr(F.col("path"), F.lit(1), F.lit(chars)))
     place = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))
+    # the few rules of a prefix are one row; whether one of them is meant is told by the whole digest after the join
+    by_prefix = lambda some: some.groupBy("prefix").agg(F.collect_list(F.struct("full", place.alias("rule"))).alias("rules"))
+    confirmed = lambda met, sought: F.get(F.filter(met, lambda r: r["full"] == F.col(sought)), F.lit(0))["rule"]
     if small and len(shapes) <= LOOKUP_SHAPES:  # a look-up for each shape; pages aren't shuffled
         judged, found = parsed, []
         for i, (n, chars) in enumerate(sorted(shapes)):
             fits = (F.col("host") != "") & (host_labels >= n) & (F.length("path") >= chars)
             judged = judged.withColumn(f"digest{i}", F.when(fits, digest(n, chars))).withColumn(f"prefix{i}", F.substr(f"digest{i}", F.lit(1), F.lit(PREFIX_DIGITS)))
-            own = rules.filter((F.col("labels") == n) & (F.col("path_chars") == chars)).select(F.col("prefix").alias(f"of{i}"), F.col("full").alias(f"full{i}"), place.alias(f"rule{i}"))
-            judged = judged.join(F.broadcast(own), (F.col(f"prefix{i}") == F.col(f"of{i}")) & (F.col(f"digest{i}") == F.col(f"full{i}")), "left")
-            found.append(F.col(f"rule{i}"))
+            own = by_prefix(rules.filter((F.col("labels") == n) & (F.col("path_chars") == chars))).select(F.col("prefix").alias(f"of{i}"), F.col("rules").alias(f"rules{i}"))
+            judged = judged.join(F.broadcast(own), F.col(f"prefix{i}") == F.col(f"of{i}"), "left")
+            found.append(confirmed(f"rules{i}", f"digest{i}"))
         judged = judged.withColumn("best", F.greatest(*found) if len(found) > 1 else found[0])
     else:  # the verdict depends on host and path alone, so each of them is judged once
         expressions = F.transform(fitting, lambda s: _digest(suffix(s), F.substr(F.col("path"), F.lit(1), s["path_chars"])))
         spread = parsed.select("host", "path", F.explode(expressions).alias("digest")).withColumn("prefix", F.substr("digest", F.lit(1), F.lit(PREFIX_DIGITS)))
-        fits = spread.join(F.broadcast(rules) if small else rules, "prefix").filter("digest = full")
-        decided = cut(fits.groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path")).agg(F.max(place).alias("best")))
+        met = by_prefix(rules)
+        fits = spread.join(F.broadcast(met) if small else met, "prefix").withColumn("rule", confirmed("rules", "digest")).filter("rule IS NOT NULL")
+        decided = cut(fits.groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path")).agg(F.max("rule").alias("best")))
         judged = parsed.join(decided, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
     return judged.select(F.col("id").alias(id_col), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
