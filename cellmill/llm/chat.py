@@ -2,7 +2,7 @@
 
 A conversation becomes training windows of at most `budget` tokens. Prefix sums of the turns' tokens choose the spans: a span
 takes turns as long as the sum since its start fits beside the system turn and the history allowance, so windows end where
-turns end. Each window repeats the conversation's first system turn and the latest turns before its span whose tokens
+turns end. Each window repeats the conversation's first system turn, if that has half the budget or less, and the latest turns before its span whose tokens
 sum to `history` or less. The loss mask covers texts of the target role in the span alone: repeated turns are masked out, so every
 target counts once.
 
@@ -10,8 +10,12 @@ Template: <|start|>role<|sep|>text<|end|>. Control strings (the template's and c
 get a backslash after their first character; strings that already look so get one more, which makes it reversible.
 
 Prefix sums don't need a whole conversation in one task: turns are sorted into ranges, summed within each, and ranges get the sums
-of those before them. By its prefix sum a turn falls into a section of SECTION_WINDOWS windows' worth of tokens; a window ends with its section, and
-sections are formatted independently. History reaches back across sections.
+of those before them. By its prefix sum a turn falls into a section of SECTION_WINDOWS windows' worth of tokens, and sections are formatted
+independently. Where a section's first span starts is known beforehand: for the few turns that it may start with, numbers alone are followed
+from span to span into the next section, and a conversation's sections are chained by these. So spans run on across sections, and are those that one pass
+over the whole conversation would choose.
+
+A longer system turn stands in its place once, as any turn, and is not repeated: repeats would be most of what is trained on.
 
 Tokens are estimated from the text: a mark or letter of a script without spaces is one, a word of other letters one for every four
 characters. Pass `tokens` to count by another rule.
@@ -35,6 +39,8 @@ _TAILS = r"(\|(?:start|sep|end)\|>|/?s>|/?INST\])"
 BUDGET = 1024
 HISTORY = 256
 SECTION_WINDOWS = 64
+#: Rows of section starts that may be broadcast; only conversations of several sections have any.
+BROADCAST_STARTS = 100_000
 TIE_CHARS = 64
 TURN_MARKS = 4
 #: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han, fullwidth forms.
@@ -56,7 +62,7 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens) -> DataFrame:
-    """conv, turn, role, role_out, text_out, tokens, before: the tokens of the conversation's turns before this one."""
+    """conv, turn, role, role_out, text_out, tokens, before: the tokens of the conversation's turns before this one; in_all: those of all."""
     role, text = F.coalesce(rows[role_col], F.lit("")), F.coalesce(rows[text_col], F.lit(""))
     text_head, digest = F.substr(text, F.lit(1), F.lit(TIE_CHARS)), F.xxhash64(text)
     turn = F.coalesce(rows[turn_col].cast("long"), F.lit(-1))
@@ -69,10 +75,10 @@ def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
     ))
     parts = dealt.groupBy(F.col("conv").alias("of"), F.col("part").alias("in_part")).agg(F.sum("tokens").alias("sum"))
     earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("of").orderBy("in_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cut(parts.select("of", "in_part", earlier.alias("offset")))
+    offsets = cut(parts.select("of", "in_part", earlier.alias("offset"), F.sum("sum").over(Window.partitionBy("of")).alias("in_all")))
     within = F.sum("tokens").over(Window.partitionBy("part", "conv").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     placed = dealt.withColumn("within", within).join(offsets, (F.col("part") == F.col("in_part")) & F.col("conv").eqNullSafe(F.col("of")))
-    return placed.select("conv", "turn", "role", "role_out", "text_out", "tokens", (F.col("within") + F.col("offset")).alias("before"))
+    return placed.select("conv", "turn", "role", "role_out", "text_out", "tokens", (F.col("within") + F.col("offset")).alias("before"), "in_all")
 
 
 def _starts(turns: Column, room: Column) -> Column:
@@ -89,20 +95,76 @@ def _starts(turns: Column, room: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: F.concat(acc["starts"], F.array(acc["at"] + 1)))
 
 
+def _section_starts(turns: DataFrame) -> DataFrame:
+    """Where the first span of each section starts, for conversations of several sections: of, in_section, entry (tokens before). A section
+    without a start has no row. turns: conv, before, tokens, room, size, section.
+
+    The span after one that starts at `before` starts at the last turn not more than `room` further on, or at the next turn where that is none."""
+    long = turns.filter("in_all > size").select("conv", "before", "tokens", "room", "size", "section")
+    end, limit = F.col("before") + F.col("tokens"), F.col("before") + F.col("room")
+    early = (F.col("section") > 0) & (F.col("before") <= F.col("section") * F.col("size") + F.col("room"))  # a span of the section before may reach it
+    place = lambda number, own: F.struct(number.alias("part"), F.lit(own).alias("own"))
+    own = place(F.col("section"), True)
+    placed = long.withColumn("place", F.explode(F.when(early, F.array(own, place(F.col("section") - 1, False))).otherwise(F.array(own)))).select("*", "place.*")
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("conv", "part").orderBy("before")))
+    turn = F.struct("at", "before", end.alias("end"))
+    nothing = F.lit(None).cast("struct<at:int,before:bigint,end:bigint>")
+    event = lambda pos, kind, seen: F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), seen.alias("seen"))
+    a_turn, asks = event(F.col("before"), 0, turn), event(limit, 1, nothing)
+    events = numbered.withColumn("event", F.explode(F.when(F.col("own"), F.array(a_turn, asks)).otherwise(F.array(a_turn)))).select("*", "event.*")
+    last = F.last("seen", ignorenulls=True).over(Window.partitionBy("conv", "part").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    step = lambda at, before: F.struct(at.alias("at"), before.alias("before"))
+    after = (
+        F.when(F.col("last.at") == F.col("at"), step(F.col("at") + 1, end))
+        .when(F.col("last.end") <= limit, step(F.col("last.at") + 1, F.col("last.end")))
+        .otherwise(step(F.col("last.at"), F.col("last.before")))
+    )
+    jumps = events.withColumn("last", last).filter("kind = 1").select("conv", "part", "at", "before", "size", "room", after.alias("next"))
+    listed = jumps.groupBy("conv", "part", "size", "room").agg(F.array_sort(F.collect_list(F.struct("at", "before", "next"))).alias("own"))
+    may_start = F.filter("own", lambda t: (t["at"] == 1) | (t["before"] < F.col("part") * F.col("size") + F.col("room")))
+
+    def leaves(start: Column) -> Column:
+        """Where the span after the section's last starts, if its first starts there."""
+        jump = lambda now, _: F.when(now["at"] <= F.size("own"), F.get("own", now["at"] - 1)["next"]).otherwise(now)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(2 * SECTION_WINDOWS + 2)), step(start["at"], start["before"]), jump)["before"]
+
+    ways = listed.select("conv", "part", "size", F.transform(may_start, lambda t: F.struct(t["before"].alias("entry"), leaves(t).alias("leave"))).alias("ways"))
+    chained = ways.groupBy("conv", "size").agg(F.array_sort(F.collect_list(F.struct("part", "ways"))).alias("parts"))
+    begin = F.struct(F.lit(0).cast("long").alias("now"), F.array().cast("array<struct<part:bigint,entry:bigint>>").alias("entries"))
+
+    def through(acc: Column, p: Column) -> Column:
+        here = F.floor(acc["now"] / F.col("size")) == p["part"]
+        way = F.get(F.filter(p["ways"], lambda w: w["entry"] == acc["now"]), F.lit(0))
+        found = F.concat(acc["entries"], F.array(F.struct(p["part"].alias("part"), acc["now"].alias("entry"))))
+        return F.struct(F.when(here, way["leave"]).otherwise(acc["now"]).alias("now"), F.when(here, found).otherwise(acc["entries"]).alias("entries"))
+
+    entries = chained.select(F.col("conv").alias("of_conv"), F.explode(F.aggregate("parts", begin, through)["entries"]).alias("e"))
+    return cut(entries.select("of_conv", F.col("e.part").alias("in_section"), "e.entry"))
+
+
 def windows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, target: str = "assistant", tokens=estimated_tokens) -> DataFrame:
     """One row per window: conv, section, span (their order within a conversation), n_repeated (turns in front that an earlier
     window has), n_new, n_tokens, formatted, loss (array of [start, end) in code points of formatted)."""
     turns = cut(_turns(rows, conv_col, turn_col, role_col, text_col, tokens))
     first_system = F.min_by(F.struct("before", "role_out", "text_out", "tokens"), "before")
-    systems = cut(turns.filter(F.col("role") == "system").groupBy(F.col("conv").alias("of")).agg(first_system.alias("system")))
+    systems = cut(turns.filter(F.col("role") == "system").groupBy(F.col("conv").alias("of")).agg(first_system.alias("system")).filter(F.col("system.tokens") * 2 <= budget))
     of_conv = F.col("conv").eqNullSafe(F.col("of"))
     room = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(1)).cast("long")
     roomy = turns.join(systems.select("of", F.col("system.tokens").alias("system_tokens")), of_conv, "left").withColumn("room", room)
-    size = F.greatest(F.col("room") * SECTION_WINDOWS, F.lit(4 * history + 1))
-    section = F.floor(F.col("before") / size)
-    place = lambda number, old: F.struct(number.alias("section"), F.lit(old).alias("old"))
-    late = F.col("before") >= (section + 1) * size - history
-    dealt = roomy.withColumn("place", F.explode(F.when(late, F.array(place(section, False), place(section + 1, True))).otherwise(F.array(place(section, False))))).select("*", "place.*")
+    sized = roomy.withColumn("size", F.greatest(F.col("room") * SECTION_WINDOWS, F.lit(4 * history + 1)))
+    in_sections = sized.withColumn("section", F.floor(F.col("before") / F.col("size")))
+    starts = _section_starts(in_sections)
+    small = starts.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS
+    with_start = in_sections.join(F.broadcast(starts) if small else starts, F.col("conv").eqNullSafe(F.col("of_conv")) & (F.col("section") == F.col("in_section")), "left")
+    place = lambda number, old: F.struct(number.alias("of_section"), F.lit(old).alias("old"))
+    section = F.col("section")
+    carried = (section > 0) & (F.col("entry").isNull() | (F.col("before") < F.col("entry")))  # still in a span of the section before
+    late = F.col("before") >= (section + 1) * F.col("size") - history
+    places = F.concat(
+        F.when(carried, F.array(place(section - 1, False), place(section, True))).otherwise(F.array(place(section, False))),
+        F.when(late, F.array(place(section + 1, True))).otherwise(F.array().cast("array<struct<of_section:bigint,old:boolean>>")),
+    )
+    dealt = with_start.withColumn("place", F.explode(places)).select("conv", "room", "before", "role", "role_out", "text_out", "tokens", F.col("place.of_section").alias("section"), "place.old")
     sections = (
         dealt.groupBy("conv", "section", "room")
         .agg(F.array_sort(F.collect_list(F.struct("before", "role", "role_out", "text_out", "tokens", "old"))).alias("turns"))
