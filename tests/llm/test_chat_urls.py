@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +13,11 @@ from cellmill.llm.queries import URL_RULES
 CONV = "conv_id long, turn long, role string, text string, formatted string, span int"
 
 
+def chat_tokens(text):
+    """The rule of estimated_tokens for texts without marks or letters of scripts without spaces; others count more, so it's a bound."""
+    return len(re.findall(r"[A-Za-z]{1,4}|[^A-Za-z\s]", text))
+
+
 def read(spark, rows, **how):
     df = chat.windows(spark.createDataFrame([(*r, "x", 1) for r in rows], CONV), **how)
     out = df.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("masked", chat.read_loss(F.col("formatted"), F.col("loss")))
@@ -37,23 +43,24 @@ def test_windows_hold_each_turn_once(spark, turns, budget):
     systems = [(r, t or "") for _, _, r, t in rows if r == "system"]
     for w in got:
         assert len(w.turns) == w.n_repeated + w.n_new
-        if systems:
+        if systems and 2 * (chat_tokens(systems[0][1]) + chat.TURN_MARKS) <= budget:
             assert systems[0] in [(t.role, t.text) for t in w.turns]
         assert w.n_tokens <= budget or w.n_new == 1
 
 
-def slow_windows(rows, budget, history, section_windows):
+def slow_windows(rows, budget, history):
     """The windows of one conversation by a plain loop: [(turns, number of repeated ones)]. rows: (turn, role, text)."""
     turns = sorted(((-1 if n is None else n, r or "", t or "") for n, r, t in rows))
     tokens = [sum(-(-len(w) // 4) for w in t.split()) + chat.TURN_MARKS for _, _, t in turns]
     before = [sum(tokens[:i]) for i in range(len(turns))]
     system = next((i for i, t in enumerate(turns) if t[1] == "system"), None)
+    if system is not None and 2 * tokens[system] > budget:
+        system = None
     room = max(1, budget - history - (tokens[system] if system is not None else 0))
-    size = max(room * section_windows, 4 * history + 1)
     spans = []
     for i in range(len(turns)):
         first = spans[-1][0] if spans else 0
-        if not spans or before[i] // size != before[first] // size or before[i] + tokens[i] - before[first] > room:
+        if not spans or before[i] + tokens[i] - before[first] > room:
             spans.append([])
         spans[-1].append(i)
     out = []
@@ -65,20 +72,31 @@ def slow_windows(rows, budget, history, section_windows):
     return out
 
 
-@pytest.mark.parametrize("kind", ["short", "sparse", "null", "repeated", "long", "system"])
-def test_windows_against_brute_force(spark, monkeypatch, kind):
-    monkeypatch.setattr(chat, "SECTION_WINDOWS", 5)
+@pytest.mark.parametrize("sections", [5, 2])
+@pytest.mark.parametrize("kind", ["short", "sparse", "null", "repeated", "long", "system", "endless"])
+def test_windows_against_brute_force(spark, monkeypatch, kind, sections):
+    monkeypatch.setattr(chat, "SECTION_WINDOWS", sections)
     rng = random.Random(kind)
-    say = lambda: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 40)))
-    number = {"short": lambda i: i, "sparse": lambda i: 100 * i, "null": lambda i: None, "repeated": lambda i: i // 50, "long": lambda i: i, "system": lambda i: i}[kind]
+    say = lambda: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 40) if kind != "endless" or rng.random() < 0.9 else rng.choice([300, 2500])))
+    number = {"short": lambda i: i, "sparse": lambda i: 100 * i, "null": lambda i: None, "repeated": lambda i: i // 50, "long": lambda i: i, "system": lambda i: i, "endless": lambda i: i}[kind]
     rows = [(number(i), rng.choice(["user", "assistant"]), say()) for i in range({"short": 130, "long": 1000}.get(kind, 200))]
     if kind in ("system", "repeated"):
         rows += [(60, "system", "be brief"), (3, "system", "be kind")]
     got = read(spark, [(1, *r) for r in rows], budget=300, history=60)
-    assert [([(t.role, t.text) for t in w.turns], w.n_repeated) for w in got] == slow_windows(rows, 300, 60, 5)
+    assert [([(t.role, t.text) for t in w.turns], w.n_repeated) for w in got] == slow_windows(rows, 300, 60)
     assert [x for w in got for x in w.masked] == [t for _, r, t in sorted((-1 if n is None else n, r, t) for n, r, t in rows) if r == "assistant"]
     filled = [w.n_tokens for w in got]
-    assert max(filled) <= 300 and sum(filled) / len(filled) > 200
+    assert kind == "endless" or max(filled) <= 300 and sum(filled) / len(filled) > 200
+    assert all(w.n_tokens <= 300 or w.n_new == 1 for w in got)
+
+
+def test_a_long_system_turn_is_not_repeated(spark):
+    rows = [(1, 0, "system", "rule " * 5000)] + [(1, i, "user" if i % 2 else "assistant", f"short turn {i}") for i in range(1, 201)]
+    got = read(spark, rows)
+    assert sum(len(w.formatted) for w in got) < 1.5 * sum(len(r[3]) for r in rows) + 40 * len(rows)
+    assert [w.n_tokens > chat.BUDGET for w in got] == [True] + [False] * (len(got) - 1) and got[0].n_new == 1
+    fits = read(spark, [(1, 0, "system", "rule " * 500)] + rows[1:])
+    assert len(fits) > 1 and all(w.turns[0].role == "system" and w.n_tokens <= chat.BUDGET for w in fits)
 
 
 def test_one_conversation_over_many_partitions(spark):
