@@ -7,12 +7,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that hold everywhere: UTC, adaptive plans, skew handling, Arrow transfer.
+#: Settings that hold everywhere: UTC, adaptive plans, skew handling, Arrow transfer; checkpoints go when nothing refers to them any more.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
