@@ -199,12 +199,79 @@ def boundary(mask: np.ndarray) -> np.ndarray:
     return mask & ~(padded[2:, 1:-1] & padded[:-2, 1:-1] & padded[1:-1, 2:] & padded[1:-1, :-2])
 
 
-def mask_boundary_f(pred: np.ndarray, truth: np.ndarray, tolerance: int = 2) -> float:
-    """F-score of two masks' boundaries within a tolerance in pixels."""
+def _envelope(heights: np.ndarray) -> np.ndarray:
+    """For each place the smallest height + squared distance, over all places of finite height: the lower envelope of parabolas."""
+    places = np.flatnonzero(np.isfinite(heights))
+    if not len(places):
+        return np.full(len(heights), np.inf)
+    kept, begins = [int(places[0])], [-np.inf]
+    for q in places[1:].tolist():
+        while True:
+            p = kept[-1]
+            meet = ((heights[q] + q * q) - (heights[p] + p * p)) / (2 * (q - p))
+            if meet > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+        kept.append(q)
+        begins.append(meet)
+    at = np.arange(len(heights))
+    nearest = np.array(kept)[np.searchsorted(begins, at, side="right") - 1]
+    return heights[nearest] + (at - nearest) ** 2.0
+
+
+def distances(mask: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distance of every pixel to the nearest one of the mask (inf if it is empty): envelopes along columns, then along rows."""
+    columns = np.stack([_envelope(c) for c in np.where(mask, 0.0, np.inf).T], axis=1)
+    return np.sqrt(np.stack([_envelope(r) for r in columns]))
+
+
+def boundary_scores(pred: np.ndarray, truth: np.ndarray, tolerance: float = 2) -> dict[str, float]:
+    """Shares of the predicted boundary that lie within the tolerance of the true one (accuracy) and the other way round (completeness), and their F
+    score; two empty boundaries agree, an empty one and another don't."""
     a, b = boundary(pred), boundary(truth)
-    if not a.any() and not b.any():
-        return 1.0
     if not a.any() or not b.any():
-        return 0.0
-    p, r = (a & dilate(b, tolerance)).sum() / a.sum(), (b & dilate(a, tolerance)).sum() / b.sum()
-    return float(2 * p * r / (p + r)) if p + r else 0.0
+        same = float(a.any() == b.any())
+        return {"accuracy": same, "completeness": same, "f": same}
+    p, r = float((distances(b)[a] <= tolerance).mean()), float((distances(a)[b] <= tolerance).mean())
+    return {"accuracy": p, "completeness": r, "f": 2 * p * r / (p + r) if p + r else 0.0}
+
+
+def mask_boundary_f(pred: np.ndarray, truth: np.ndarray, tolerance: float = 2) -> float:
+    """F-score of two masks' boundaries within a tolerance in pixels."""
+    return boundary_scores(pred, truth, tolerance)["f"]
+
+
+def label_edges(mask: np.ndarray) -> np.ndarray:
+    """Pixels with a neighbour of another label, and those beside them (up, down, left, right)."""
+    edge = np.zeros(mask.shape, bool)
+    for axis in (0, 1):
+        change = np.diff(mask, axis=axis) != 0
+        ahead, behind = [slice(None)] * 2, [slice(None)] * 2
+        ahead[axis], behind[axis] = slice(1, None), slice(None, -1)
+        edge[tuple(ahead)] |= change
+        edge[tuple(behind)] |= change
+    return dilate(edge)
+
+
+def largest_jump(depth: np.ndarray) -> np.ndarray:
+    """The largest difference of each pixel from one of its four neighbours."""
+    out = np.zeros(depth.shape)
+    for axis in (0, 1):
+        step = np.abs(np.diff(depth, axis=axis))
+        none = [(0, 0), (0, 0)]
+        for side in ((1, 0), (0, 1)):
+            none[axis] = side
+            out = np.fmax(out, np.pad(step, none))
+    return out
+
+
+def edge_depth_scores(pred: np.ndarray, truth: np.ndarray, valid: np.ndarray, mask: np.ndarray, jump: float = 0.05, least: int = 50) -> dict[str, float]:
+    """On the edges of a labelled mask: the share where the prediction jumps (accuracy), the share of the true jumps where it does too (completeness), and
+    their F score; nan with fewer than `least` edge pixels or true jumps."""
+    edges = label_edges(mask) & valid
+    real, found = edges & (largest_jump(truth) > jump), edges & (largest_jump(pred) > jump)
+    if edges.sum() < least or real.sum() < least:
+        return dict.fromkeys(("edge_accuracy", "edge_completeness", "edge_f"), math.nan)
+    a, c = float(found[edges].mean()), float(found[real].mean())
+    return {"edge_accuracy": a, "edge_completeness": c, "edge_f": 2 * a * c / max(a + c, 1e-9)}

@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cellmill.functions import flow as L
+from cellmill.functions import images as I
 from cellmill.functions import kernels as K
 from cellmill.operators import difficulty as D
+from cellmill.operators import grouped as R
 from cellmill.operators import manifold as N
 from cellmill.operators import motions as M
+from cellmill.operators import patches as H
 from cellmill.operators import reprojection as P
 from cellmill.plans.cells import METRICS, rounded
 from cellmill.plans.grouped import CAMERA
@@ -93,7 +96,40 @@ def lpp_consensus(spark, sf):
     return D.consensus(votes[0].unionByName(votes[1]).unionByName(votes[2]), KEYS)
 
 
-QUERIES = {f.__name__: f for f in (warping_errors, banded_alignment, flow_scores, track_products, pose_tracks, lpp_scores, lpp_consensus)}
+def patch_matches(spark, sf):
+    """Patches of four numbers of two neighbouring vectors, matched both ways; masks are bands of a number's size."""
+    e = table(spark, sf, "embeddings").filter("embedding IS NOT NULL").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "x"))
+    cut = e.withColumn("patch", F.floor(F.col("at") / 4)).withColumn("mask", F.floor(F.abs("x") * 20) % 3)
+    patches = cut.groupBy("pair", "side", "patch").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("feature"))
+    shares = cut.groupBy("pair", "side", "patch", "mask").agg((F.count(F.lit(1)) / 4).alias("share"))
+    votes = H.mask_votes(H.mutual_matches(patches, ["pair"]), shares, ["pair"])
+    return rounded(R.conflict_free(votes, ["pair"], "mask_a", "mask_b", "votes").select("pair", "mask_a", "mask_b", "votes"), 6)
+
+
+def rank_equalised(spark, sf):
+    """Vectors as depth in millimetres, equalised by rank."""
+    e = table(spark, sf, "embeddings").filter("embedding IS NOT NULL").select("vec_id", F.posexplode("embedding").alias("pixel", "x"))
+    pixels = e.select("vec_id", "pixel", F.rint(10 * (2 + 6 * F.col("x").cast("double"))).cast("int").alias("depth"))
+    return rounded(H.equalised(pixels, ["vec_id"], "depth", 5.0, 40.0, 62), 6)
+
+
+def boundary_distances(spark, sf):
+    """Boundaries of predicted and true masks within one and a half pixels, and depth jumps on their edges, of each vector as a frame."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for e in b.embedding:
+                x = np.array(e, float).reshape(SIDE, SIDE)
+                pred, labels = x + 0.02 * np.sin(np.arange(SIDE)), (x > 0).astype(int) + (x > 0.15)
+                rows.append({**I.boundary_scores(pred > 0.01, x > 0, 1.5), **I.edge_depth_scores(4 * pred, 4 * x, np.isfinite(x), labels, 0.3, 5)})
+            yield pd.DataFrame({"vec_id": b.vec_id, **{n: [r[n] for r in rows] for n in ("accuracy", "completeness", "f", "edge_accuracy", "edge_completeness", "edge_f")}})
+
+    names = "accuracy, completeness, f, edge_accuracy, edge_completeness, edge_f".split(", ")
+    e = table(spark, sf, "embeddings").filter("embedding IS NOT NULL").select("vec_id", "embedding")
+    return rounded(e.mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names)))
+
+
+QUERIES = {f.__name__: f for f in (patch_matches, rank_equalised, boundary_distances, warping_errors, banded_alignment, flow_scores, track_products, pose_tracks, lpp_scores, lpp_consensus)}
 
 
 def _sql_motion(q: list[str], t: list[str]) -> list[str]:
@@ -160,4 +196,39 @@ ORACLE_SQL: dict[str, str] = {
             SELECT * FROM steps WHERE k = 1
             UNION ALL SELECT s.vec_id, s.label, s.k, {", ".join(_sql_product("p.", "s."))} FROM so_far p JOIN steps s ON s.label = p.label AND s.k = p.k + 1)
         SELECT vec_id, label, round(degrees(acos(greatest(least((m0 + m4 + m8 - 1) / 2, 1), -1))), 4) AS angle, round(m9, 4) AS t0, round(m10, 4) AS t1, round(m11, 4) AS t2 FROM so_far""",
+    "chain_drift": f"""WITH RECURSIVE {SLIGHT_SQL},
+        truth AS (
+            SELECT vec_id // 10 AS chain, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS k, {_named(_sql_motion(["q1", "q2", "q3", "q4"], ["t0", "t1", "t2"]))} FROM slight),
+        pred AS (
+            SELECT vec_id // 10 AS chain, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS k,
+                {_named(_sql_motion(["q1", "q2", "q3", "q4"], ["t0 + u0 * 0.01", "t1 + u1 * 0.01", "t2 + u2 * 0.01"]))} FROM slight),
+        a AS (SELECT * FROM truth WHERE k = 1 UNION ALL SELECT s.chain, s.k, {", ".join(_sql_product("p.", "s."))} FROM a p JOIN truth s ON s.chain = p.chain AND s.k = p.k + 1),
+        b AS (SELECT * FROM pred WHERE k = 1 UNION ALL SELECT s.chain, s.k, {", ".join(_sql_product("p.", "s."))} FROM b p JOIN pred s ON s.chain = p.chain AND s.k = p.k + 1),
+        summed AS (SELECT vec_id // 10 AS chain, count(*) AS k, sum(0.01 * sqrt(u0 * u0 + u1 * u1 + u2 * u2)) AS summed FROM raw GROUP BY vec_id // 10)
+        SELECT chain, round(degrees(acos(greatest(least(({" + ".join(f"a.m{i} * b.m{i}" for i in range(9))} - 1) / 2, 1), -1))), 4) AS angle,
+            round(sqrt(pow(a.m9 - b.m9, 2) + pow(a.m10 - b.m10, 2) + pow(a.m11 - b.m11, 2)), 4) AS drift, round(summed, 4) AS summed
+        FROM summed JOIN a USING (chain, k) JOIN b USING (chain, k)""",
+    "patch_matches": """WITH RECURSIVE e AS (
+            SELECT vec_id // 2 AS pair, vec_id % 2 AS side, i // 4 AS patch, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE embedding IS NOT NULL),
+        patches AS (SELECT pair, side, patch, list(x ORDER BY pos) AS f FROM e GROUP BY pair, side, patch),
+        met AS (
+            SELECT a.pair, a.patch AS pa, b.patch AS pb, round(list_inner_product(a.f, b.f) / (sqrt(list_inner_product(a.f, a.f)) * sqrt(list_inner_product(b.f, b.f))), 9) AS c
+            FROM patches a JOIN patches b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
+        mutual AS (
+            SELECT pair, pa, pb FROM (SELECT *, row_number() OVER (PARTITION BY pair, pa ORDER BY c DESC, pb) AS x, row_number() OVER (PARTITION BY pair, pb ORDER BY c DESC, pa) AS y FROM met) WHERE x = 1 AND y = 1),
+        shares AS (SELECT pair, side, patch, CAST(floor(abs(x) * 20) AS INT) % 3 AS mask, count(*) / 4 AS share FROM e GROUP BY ALL),
+        votes AS (
+            SELECT m.pair, a.mask AS mask_a, b.mask AS mask_b, sum(a.share * b.share) AS votes FROM mutual m
+            JOIN shares a ON a.pair = m.pair AND a.side = 0 AND a.patch = pa JOIN shares b ON b.pair = m.pair AND b.side = 1 AND b.patch = pb GROUP BY ALL),
+        g AS (
+            SELECT *, false AS picked FROM votes
+            UNION ALL SELECT pair, mask_a, mask_b, votes, p FROM (
+                SELECT *, max(p) OVER (PARTITION BY pair, mask_a) OR max(p) OVER (PARTITION BY pair, mask_b) AS touched FROM (
+                    SELECT *, row_number() OVER (PARTITION BY pair, mask_a ORDER BY votes DESC, mask_a, mask_b) = 1
+                        AND row_number() OVER (PARTITION BY pair, mask_b ORDER BY votes DESC, mask_a, mask_b) = 1 AS p FROM g WHERE NOT picked)) WHERE p OR NOT touched)
+        SELECT pair, mask_a, mask_b, round(votes, 6) AS votes FROM g WHERE picked""",
+    "rank_equalised": """WITH p AS (
+            SELECT vec_id, i AS pixel, CAST(round_even(10 * (2 + 6 * CAST(embedding[i + 1] AS DOUBLE)), 0) AS INT) AS depth FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE embedding IS NOT NULL),
+        r AS (SELECT vec_id, pixel, cume_dist() OVER (PARTITION BY vec_id ORDER BY depth) AS share, count(*) OVER (PARTITION BY vec_id) AS n FROM p WHERE depth > 0)
+        SELECT vec_id, pixel, depth, round(CASE WHEN n > 62 THEN share WHEN n IS NOT NULL THEN greatest(least((depth - 5) / 35, 1), 0) ELSE 0 END, 6) AS level FROM p LEFT JOIN r USING (vec_id, pixel)""",
 }

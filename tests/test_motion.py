@@ -230,3 +230,60 @@ def test_axes_equal_dense_algebra(spark):
     assert not N.preserving_axes(rows.limit(0), names).any()
     out = N.preserved(rows, ["i"], names).collect()
     assert len(out) == 152 and [r for r in out if r.i == 999][0].lpp1 is None
+
+
+def test_distances_against_brute_force():
+    rng = np.random.default_rng(8)
+    for share in (0.0, 0.02, 0.3, 1.0):
+        mask = rng.random((13, 17)) < share
+        y, x = np.mgrid[:13, :17]
+        there = np.argwhere(mask)
+        want = np.full(mask.shape, np.inf) if not len(there) else np.sqrt(((np.stack([y, x], -1)[:, :, None] - there) ** 2).sum(-1)).min(axis=2)
+        assert np.allclose(I.distances(mask), want)
+
+
+def test_boundary_scores():
+    a, b = np.zeros((20, 20), bool), np.zeros((20, 20), bool)
+    a[4:12, 4:12], b[5:13, 6:14] = True, True
+    near = lambda p, q, t: np.mean([min(math.hypot(y - v, x - u) for v, u in np.argwhere(I.boundary(q))) <= t for y, x in np.argwhere(I.boundary(p))])
+    for t in (0, 1, 1.5, 2, 3):
+        got = I.boundary_scores(a, b, t)
+        assert got["accuracy"] == pytest.approx(near(a, b, t)) and got["completeness"] == pytest.approx(near(b, a, t))
+    assert I.boundary_scores(a & False, b & False)["f"] == 1 and I.boundary_scores(a, b & False)["f"] == 0 == I.mask_boundary_f(a & False, b)
+
+
+def test_edge_depth_scores():
+    rng = np.random.default_rng(9)
+    labels, pred, truth = rng.integers(0, 2, (9, 8)), rng.random((9, 8)), rng.random((9, 8))
+    around = lambda y, x: [(y + a, x + b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= y + a < 9 and 0 <= x + b < 8]
+    places = [(y, x) for y in range(9) for x in range(8)]
+    sharp = {p for p in places if any(labels[q] != labels[p] for q in around(*p))}
+    wide = sharp | {q for p in sharp for q in around(*p)}
+    jumps = lambda d: {p for p in wide if max(abs(d[p] - d[q]) for q in around(*p)) > 0.7}
+    got = I.edge_depth_scores(pred, truth, np.ones((9, 8), bool), labels, 0.7, 1)
+    assert got["edge_accuracy"] == pytest.approx(len(jumps(pred)) / len(wide)) and got["edge_completeness"] == pytest.approx(len(jumps(pred) & jumps(truth)) / len(jumps(truth)))
+    assert math.isnan(I.edge_depth_scores(pred, truth, np.zeros((9, 8), bool), labels)["edge_f"])
+
+
+def test_planted_correspondences(spark):
+    from cellmill.operators import patches as H
+
+    rng = np.random.default_rng(10)
+    f = rng.normal(size=(12, 6))
+    moved = rng.permutation(12)
+    rows = [("p", 0, i, v.tolist()) for i, v in enumerate(f)] + [("p", 1, int(moved[i]), (3 * v + rng.normal(0, 0.01, 6)).tolist()) for i, v in enumerate(f)]
+    rows += [("p", 1, 99, [0.0] * 6), ("p", 0, 98, None), ("q", 0, 0, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "pair string, side int, patch int, feature array<double>")
+    got = H.mutual_matches(df, ["pair"]).collect()
+    assert {(r.pair, r.patch_a, r.patch_b) for r in got} == {("p", i, int(moved[i])) for i in range(12)}
+    shares = spark.createDataFrame([("p", s, k, m, w) for s in (0, 1) for k in range(12) for m, w in (((k if s == 0 else int(np.argsort(moved)[k])) % 3, 0.75), (9, 0.25))], "pair string, side int, patch int, mask int, share double")
+    votes = {(r.mask_a, r.mask_b): r.votes for r in H.mask_votes(H.mutual_matches(df, ["pair"]), shares, ["pair"]).collect()}
+    assert votes == pytest.approx({**{(m, m): 4 * 0.5625 for m in range(3)}, (9, 9): 12 * 0.0625, **{(m, 9): 0.75 for m in range(3)}, **{(9, m): 0.75 for m in range(3)}})
+
+
+def test_equalised(spark):
+    from cellmill.operators import patches as H
+
+    rows = [("a", i, v) for i, v in enumerate([0, 5, 5, 7, -1, 9])] + [("few", 0, 20), ("few", 1, 0), ("none", 0, 0), ("none", 1, None)]
+    got = {(r.f, r.p): r.level for r in H.equalised(spark.createDataFrame(rows, "f string, p int, v int"), ["f"], "v", 10.0, 30.0, 2).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0.5, ("a", 2): 0.5, ("a", 3): 0.75, ("a", 4): 0, ("a", 5): 1, ("few", 0): 0.5, ("few", 1): 0, ("none", 0): 0, ("none", 1): 0}
