@@ -12,6 +12,7 @@ from cellmill.operators import identity as N
 from cellmill.operators import lookups as K
 from cellmill.session import settle, shared_dir
 from cellmill.sources import decode as B
+from cellmill.sources import shards as T
 from cellmill.sources.publish import Files, Published
 from cellmill.sources.tables import table
 from cellmill.streaming.ledger import Ledger
@@ -70,6 +71,22 @@ def resumed_work(spark, sf):
     return states
 
 
+def packed_pages(spark, sf):
+    """Pages and their addresses packed into tar shards and read back: those that have both, by the manifest of the shards."""
+    place = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    file = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.col(text).alias("text"))
+    both = F.explode(F.array(file("page.html", "html"), file("link.txt", "url")))
+    members = table(spark, sf, "pages").select("page_id", both.alias("m")).filter("m.text IS NOT NULL")
+    T.pack(members.select(F.concat_ws(".", "page_id", "m.kind").alias("member"), F.col("m.text").cast("binary").alias("data")), place)
+    whole = T.samples(T.read(spark, place, payload=False), ["page", "link"]).select("sample", F.explode(F.array("page", "link")).alias("at"))
+    read = T.read(spark, place).join(whole.select("sample", "at.shard", "at.member"), ["shard", "member"])
+    text = lambda kind: F.min(F.when(F.col("member").endswith(kind), F.col("data")))
+    pages = read.groupBy("sample").agg(text(".html").alias("html"), text(".txt").alias("url"))
+    found = settle(pages.select(F.col("sample").cast("bigint").alias("page_id"), F.sha2("html", 256).alias("html_sha256"), F.octet_length("html").cast("bigint").alias("html_bytes"), F.col("url").cast("string").alias("url")))
+    Files(spark, place).delete(place)
+    return found
+
+
 def scoped_frames(spark, sf):
     """Suppliers as frames of three families, then those with both modalities."""
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("scene_type"), (F.col("s_acctbal") > 0).alias("has_depth"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") % 4 < 3).alias("has_mask"))
@@ -99,7 +116,7 @@ def border_coherence(spark, sf):
     return scores.select("label", "frames", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "coherence")])
 
 
-QUERIES = {f.__name__: f for f in (decoded_arrays, published_version, resumed_work, scoped_frames, picked_metrics, cell_log_rows, border_coherence)}
+QUERIES = {f.__name__: f for f in (decoded_arrays, published_version, resumed_work, packed_pages, scoped_frames, picked_metrics, cell_log_rows, border_coherence)}
 ORACLE_SQL: dict[str, str] = {
     "decoded_arrays": """WITH e AS (SELECT vec_id, vec_id % 10 = 0 AS torn, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL)
         SELECT vec_id, CASE WHEN torn THEN NULL ELSE 1 END AS dims, CASE WHEN NOT torn THEN round(list_sum(v), 6) END AS total,
@@ -109,6 +126,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT o_orderkey, (o_orderkey % 5 = 0)::INT + (o_orderkey % 25 = 0)::INT + (o_orderkey % 125 = 0)::INT + (o_orderkey % 625 = 0)::INT AS fails,
                 CASE o_orderkey % 3 WHEN 0 THEN 5 WHEN 2 THEN 4 ELSE 3 END AS turns FROM orders)
         SELECT o_orderkey, CASE WHEN fails < least(turns, 3) THEN 'done' ELSE 'failed' END AS state, CAST(least(fails + 1, turns, 3) AS INT) AS attempts FROM o""",
+    "packed_pages": "SELECT page_id, sha256(html) AS html_sha256, octet_length(encode(html)) AS html_bytes, url FROM pages WHERE html IS NOT NULL AND url IS NOT NULL",
     "scoped_frames": """SELECT s_suppkey, s_nationkey % 5 AS scene_type FROM supplier WHERE s_nationkey % 5 IN (0, 2, 3) AND s_acctbal > 0 AND s_suppkey % 4 IN (1, 2)""",
     "picked_metrics": """SELECT 'l_quantity' AS metric, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'l_discount', round(avg(l_discount), 6) FROM lineitem
         UNION ALL SELECT 'l_tax', round(avg(l_tax), 6) FROM lineitem""",

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellmill.session import shared_dir
+from cellmill.session import settle, shared_dir
+from cellmill.sources.publish import Files
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
@@ -81,23 +83,42 @@ def stateful_cells(samples: DataFrame, keys: list[str], order: str, value: str,
     return samples.groupBy(*keys).applyInPandasWithState(step, schema, CELL_STATE, "update", "ProcessingTimeTimeout" if idle else "NoTimeout")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while; a stream keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "append", checkpoint: str | None = None, needs: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream over all there is and returns its rows, which are written to the shared folder batch by batch. With a checkpoint folder, a second
-    run goes on where it ended. In complete mode the last batch is the result."""
+    run goes on where it ended. In complete mode the last batch is the result. needs: settings that the stream is started with."""
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/batch={number}")  # a batch that is tried again replaces itself
 
     writer = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True)
-    query = writer.option("checkpointLocation", checkpoint or f"{place}-checkpoint").start()
+    with settings(spark, needs or {}):
+        query = writer.option("checkpointLocation", checkpoint or f"{place}-checkpoint").start()
     query.awaitTermination()
-    if not _exists(spark, place):
+    files = Files(spark, place)
+    if not checkpoint:
+        files.delete(f"{place}-checkpoint")
+    if not files.exists(place):
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(place)
     if mode == "complete":
         rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
-    return rows.drop("batch")
+    rows = settle(rows.drop("batch"))
+    files.delete(place)
+    return rows
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
