@@ -240,3 +240,41 @@ def count_questions(objects: DataFrame, frame: list[str], item: str, category: s
     every = F.transform(F.sequence(low, low + 3), lambda v: v.cast("string"))
     out = counted.withColumn("options", _mixed(every, seed, *frame, category))
     return out.select(*frame, category, "answer", F.concat_ws("|", "options").alias("options"), F.array_position("options", F.col("answer").cast("string")).cast("int").alias("place"))
+
+
+def attribute_questions(objects: DataFrame, frame: list[str], item: str, category: str, value: str, seed: str) -> DataFrame:
+    """Which object is the <value> <category>: asked of the first two objects (by item) of a category that a frame shows more than once, if they have a value.
+    Wrong options name the values of up to two others that differ ("?" if they have none), then any of the category, then none."""
+    same = objects.filter(F.col(category).isNotNull()).select(*frame, category, item, F.nullif(F.col(value).cast("string"), F.lit("")).alias("value")).distinct()
+    shown = same.groupBy(*frame, category).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("item"), "value"))).alias("all")).filter(F.size("all") > 1)  # frames hold few objects
+    asked = shown.select(*frame, category, "all", F.explode(F.slice("all", 1, 2)).alias("one")).filter("one.value IS NOT NULL")
+    named = lambda v: F.concat_ws(" ", F.lit("the"), v, F.col(category))
+    others = F.transform(F.filter("all", lambda o: ~o["value"].eqNullSafe(F.col("one.value"))), lambda o: named(F.coalesce(o["value"], F.lit("?"))))
+    wrong = F.slice(F.concat(F.slice(others, 1, 2), F.array(F.concat_ws(" ", F.lit("any"), category)), F.array_repeat(F.lit("none of the visible objects"), 2)), 1, 3)
+    out = asked.select(*frame, category, F.col("one.item").alias(item), named(F.col("one.value")).alias("answer"), wrong.alias("wrong"))
+    out = out.withColumn("options", _mixed(F.concat(F.array("answer"), "wrong"), seed, *frame, item))
+    return out.select(*frame, category, item, "answer", F.concat_ws("|", "options").alias("options"), F.array_position("options", F.col("answer")).cast("int").alias("place"))
+
+
+def state_questions(before: DataFrame, after: DataFrame, frame: list[str], category: str, seed: str, removed: int = 2, added: int = 1) -> DataFrame:
+    """What changed in a frame between two views: categories that went (up to `removed`, in hash order), that came (up to `added`), and by how many their
+    number changed, if it did. Wrong options of the first two are up to three categories that stayed, filled up with "nothing was ..."; a frame that only one view has lost
+    or gained all. Both views are one table with a flag each, so a frame is shuffled once."""
+    view = lambda df, old: df.filter(F.col(category).isNotNull()).select(*frame, F.col(category).cast("string").alias("c"), F.lit(old).alias("old"))
+    both = view(before, True).unionByName(view(after, False)).groupBy(*frame, "c").agg(F.max("old").alias("was"), F.min("old").alias("gone"))
+    own = F.concat_ws("/", *[F.col(k).cast("string") for k in frame])
+    hashed = F.struct(F.sha2(F.concat_ws(":", F.lit(seed), own, "c"), 256).alias("h"), F.col("c"))
+    kinds = {"stayed": F.col("was") & ~F.col("gone"), "removed": F.col("gone"), "added": ~F.col("was")}
+    sets = both.groupBy(*frame).agg(*[F.transform(F.array_sort(F.collect_list(F.when(w, hashed))), lambda s: s["c"]).alias(k) for k, w in kinds.items()])  # frames hold few categories
+    delta = F.size("added") - F.size("removed")
+    word = lambda way, n: F.concat(F.lit(way + " by "), n.cast("string"))
+    ask = lambda change, answer, wrong: F.struct(F.lit(change).alias("change"), answer.alias("answer"), F.slice(wrong, 1, 3).alias("wrong"))
+    filled = lambda change: F.concat("stayed", F.array_repeat(F.lit(f"nothing was {change}"), 3))
+    moved = F.when(delta < 0, word("decreased", -delta)).otherwise(word("increased", delta))
+    opposite = F.when(delta < 0, word("increased", 1 - delta)).otherwise(word("decreased", delta + 1))
+    count = F.when(delta != 0, F.array(ask("count", moved, F.array(F.lit("stayed the same"), opposite, F.lit("cannot determine")))))
+    asked = lambda change, n: F.transform(F.slice(change, 1, n), lambda c: ask(change, c, filled(change)))
+    gone, came = asked("removed", removed), asked("added", added)
+    out = sets.select(*frame, F.explode(F.concat(gone, came, F.coalesce(count, F.slice(gone, 1, 0)))).alias("q")).select(*frame, "q.*")
+    out = out.withColumn("options", _mixed(F.concat(F.array("answer"), "wrong"), seed, *frame, "change", "answer"))
+    return out.select(*frame, "change", "answer", F.concat_ws("|", "options").alias("options"), F.array_position("options", F.col("answer")).cast("int").alias("place"))

@@ -62,6 +62,17 @@ def robot_count(spark, sf):
     return G.count_questions(o, ["frame"], "item", "category", "t5")
 
 
+def robot_attribute(spark, sf):
+    """Which of several objects of a brand in an order has a size, with options."""
+    return G.attribute_questions(_objects(spark, sf).select("frame", "item", "p_brand", "size_class"), ["frame"], "item", "p_brand", "size_class", "t2")
+
+
+def robot_state(spark, sf):
+    """What went, came and changed in number between the first and the last lines of an order, which overlap."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("frame"), "l_linenumber", "p_brand")
+    return G.state_questions(li.filter("l_linenumber <= 4"), li.filter("l_linenumber >= 3"), ["frame"], "p_brand", "t4")
+
+
 def mos_plan(spark, sf):
     """Six orders of each supplier that several kinds of lines share, dealt to kinds and halves."""
     li = table(spark, sf, "lineitem")
@@ -78,7 +89,7 @@ def acceptance_sample(spark, sf):
     return B.quota_sample(rows, ["type", "condition"], "scene", ["l_orderkey"], 2, "accept")
 
 
-QUERIES = {f.__name__: f for f in (knn_embeddings, knn_votes, range_gradients, incontext_farthest, incontext_identify, robot_presence, robot_direction, robot_count, mos_plan, acceptance_sample)}
+QUERIES = {f.__name__: f for f in (knn_embeddings, knn_votes, range_gradients, incontext_farthest, incontext_identify, robot_presence, robot_direction, robot_count, robot_attribute, robot_state, mos_plan, acceptance_sample)}
 
 _h = lambda seed, *parts: f"sha256('{seed}:' || {' || chr(31) || '.join(parts)})"
 _O = """o AS (SELECT DISTINCT l_orderkey AS frame, l_partkey AS item, p_brand, p_type, CAST(p_size % 5 AS VARCHAR) AS size_class, p_size, p_retailprice, CAST(l_partkey % 64 AS DOUBLE) AS x, CAST(l_partkey * 7 % 48 AS DOUBLE) AS y
@@ -121,6 +132,23 @@ ORACLE_SQL = {
     "robot_count": f"""WITH {_O}, c AS (SELECT frame, p_brand AS category, count(DISTINCT item) AS answer FROM o GROUP BY ALL), e AS (SELECT frame, category, answer, CAST(unnest(CASE WHEN answer = 1 THEN [1, 2, 3, 4] ELSE [answer - 1, answer, answer + 1, answer + 2] END) AS VARCHAR) AS o FROM c),
         m AS (SELECT frame, category, answer, {_MIX('t5', "frame || '/' || category")} AS os FROM e GROUP BY ALL)
         SELECT frame, category, answer, array_to_string(os, '|') AS options, CAST(list_position(os, CAST(answer AS VARCHAR)) AS INT) AS place FROM m""",
+    "robot_attribute": f"""WITH {_O}, i AS (SELECT frame, p_brand, list(struct_pack(item := item, v := size_class) ORDER BY item) AS every FROM o GROUP BY ALL HAVING count(*) > 1),
+        a AS (SELECT frame, p_brand, every, unnest(every[1:2]) AS one FROM i),
+        w AS (SELECT frame, p_brand, one.item AS item, 'the ' || one.v || ' ' || p_brand AS answer, list_filter(every, lambda e: e.v <> one.v)[1:2] AS others FROM a),
+        e AS (SELECT frame, p_brand, item, answer, unnest(([answer] || [('the ' || x.v || ' ' || p_brand) FOR x IN others] || ['any ' || p_brand, 'none of the visible objects', 'none of the visible objects'])[1:4]) AS o FROM w)
+        SELECT frame, p_brand, item, answer, array_to_string(os, '|') AS options, CAST(list_position(os, answer) AS INT) AS place
+        FROM (SELECT frame, p_brand, item, answer, {_MIX('t2', "frame || '/' || item")} AS os FROM e GROUP BY ALL)""",
+    "robot_state": f"""WITH l AS (SELECT l_orderkey AS frame, l_linenumber AS n, p_brand AS c FROM lineitem JOIN part ON l_partkey = p_partkey),
+        s AS (SELECT frame, c, bool_or(n <= 4) AS was, bool_or(n >= 3) AS is_, sha256('t4:' || frame || ':' || c) AS h FROM l GROUP BY frame, c),
+        k AS (SELECT frame, coalesce(list(c ORDER BY h) FILTER (WHERE was AND is_), []) AS stayed, coalesce(list(c ORDER BY h) FILTER (WHERE NOT is_), []) AS removed,
+            coalesce(list(c ORDER BY h) FILTER (WHERE NOT was), []) AS added, count(*) FILTER (WHERE is_) - count(*) FILTER (WHERE was) AS d FROM s GROUP BY frame),
+        q AS (SELECT frame, 'removed' AS change, unnest(removed[1:2]) AS answer, (stayed || ['nothing was removed', 'nothing was removed', 'nothing was removed'])[1:3] AS wrong FROM k
+            UNION ALL SELECT frame, 'added', unnest(added[1:1]), (stayed || ['nothing was added', 'nothing was added', 'nothing was added'])[1:3] FROM k
+            UNION ALL SELECT frame, 'count', CASE WHEN d < 0 THEN 'decreased by ' || -d ELSE 'increased by ' || d END,
+                ['stayed the same', CASE WHEN d < 0 THEN 'increased by ' || (1 - d) ELSE 'decreased by ' || (d + 1) END, 'cannot determine'] FROM k WHERE d <> 0),
+        e AS (SELECT frame, change, answer, unnest([answer] || wrong) AS o FROM q)
+        SELECT frame, change, answer, array_to_string(os, '|') AS options, CAST(list_position(os, answer) AS INT) AS place
+        FROM (SELECT frame, change, answer, {_MIX('t4', "frame || '/' || change || '/' || answer")} AS os FROM e GROUP BY ALL)""",
     "mos_plan": f"""WITH s AS (SELECT l_suppkey AS cell, l_orderkey AS frame, CASE WHEN l_discount < CAST(0.06 AS DOUBLE) THEN 'spatial' ELSE 'general' END AS stream FROM lineitem UNION SELECT l_suppkey, l_orderkey, CASE WHEN l_quantity > 25 THEN 'spatial' ELSE 'general' END FROM lineitem),
         j AS (SELECT cell, frame FROM s GROUP BY ALL HAVING count(DISTINCT stream) = 2), c AS (SELECT cell, count(*) AS eligible FROM j GROUP BY cell),
         f AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_h('plan', 'cell', 'frame')}) AS k FROM j), p AS (SELECT cell, frame, k, row_number() OVER (PARTITION BY cell ORDER BY {_h('plan-split', 'cell', 'frame')}) AS half, count(*) OVER (PARTITION BY cell) AS n FROM f WHERE k <= 6)
