@@ -80,6 +80,21 @@ def mos_plan(spark, sf):
     return B.joint_frames(li.select(F.col("l_suppkey").alias("cell"), F.col("l_orderkey").alias("frame"), F.when(F.col("l_discount") < 0.06, "spatial").otherwise("general").alias("stream")).union(rows), ["cell"], "frame", "stream", ["general", "spatial"], 6, "plan")
 
 
+#: Slots of a recorded scene's plan, and of one that was worn: (slot, stream, frames, why it is pending).
+RECORDED = [("general", "g", "all", None), ("spatial", "s", "all", None), ("incontext_general", "ig", "first", None), ("incontext_spatial", "is", "second", None)]
+WORN = [("general", "g", "all", None), ("incontext_general", "ig", "first", None), ("spatial", None, "all", "no depth"), ("incontext_spatial", None, "second", "not made yet")]
+
+
+def benchmark_plan(spark, sf):
+    """Six days of each user with an event for every slot, types kept even. Users with even numbers have four streams; the others have two, and slots that are pending."""
+    e = table(spark, sf, "events").withColumn("day", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"))
+    inside = {"g": F.lit(True), "s": F.col("value") > 10, "ig": F.col("event_type") != "error", "is": F.col("value") < 60}
+    streams = F.explode(F.array_compact(F.array(*[F.when(w, s) for s, w in inside.items()]))).alias("stream")
+    rows = e.select("user_id", "day", streams, "event_type", "event_id")
+    plans = [B.full_plan(rows.filter(F.col("user_id") % 2 == odd), ["user_id"], "day", "stream", "event_type", "event_id", slots, 6, "plan") for odd, slots in enumerate((RECORDED, WORN))]
+    return plans[0].unionByName(plans[1])
+
+
 def acceptance_sample(spark, sf):
     """Two centred answers of each type and condition, from different scenes where possible; and the cells that have fewer."""
     li = table(spark, sf, "lineitem")
@@ -89,7 +104,7 @@ def acceptance_sample(spark, sf):
     return B.quota_sample(rows, ["type", "condition"], "scene", ["l_orderkey"], 2, "accept")
 
 
-QUERIES = {f.__name__: f for f in (knn_embeddings, knn_votes, range_gradients, incontext_farthest, incontext_identify, robot_presence, robot_direction, robot_count, robot_attribute, robot_state, mos_plan, acceptance_sample)}
+QUERIES = {f.__name__: f for f in (knn_embeddings, knn_votes, range_gradients, incontext_farthest, incontext_identify, robot_presence, robot_direction, robot_count, robot_attribute, robot_state, mos_plan, benchmark_plan, acceptance_sample)}
 
 _h = lambda seed, *parts: f"sha256('{seed}:' || {' || chr(31) || '.join(parts)})"
 _O = """o AS (SELECT DISTINCT l_orderkey AS frame, l_partkey AS item, p_brand, p_type, CAST(p_size % 5 AS VARCHAR) AS size_class, p_size, p_retailprice, CAST(l_partkey % 64 AS DOUBLE) AS x, CAST(l_partkey * 7 % 48 AS DOUBLE) AS y
@@ -99,6 +114,12 @@ _KNN = """q AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM
     k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS place FROM c), nn AS (SELECT * FROM k WHERE place <= 5)"""
 _BAND = "CASE WHEN truth >= CAST(0.3 AS DOUBLE) AND truth < 1 THEN 'near' WHEN truth >= 1 AND truth < 2.5 THEN 'mid' WHEN truth >= 2.5 AND truth < 5 THEN 'far' END"
 _MIX = lambda seed, key: f"list(o ORDER BY sha256('{seed}:' || {key} || ':' || o))"
+# x: candidates (keys, day, event_type, event_id) with the frame's number t in its group. A step takes for frame t the type that was used least, ties by hash; `even` is an event of it for each frame.
+_EVEN = lambda keys, seed: f"""y AS (SELECT DISTINCT {keys}, t, day, event_type FROM x), g AS (SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS t, '' AS day, '' AS event_type, CAST([] AS VARCHAR[]) AS used FROM x
+            UNION ALL SELECT {keys}, t, day, event_type, list_append(used, event_type) FROM (SELECT {", ".join("y." + k.strip() for k in keys.split(","))}, y.t, y.day, y.event_type, used,
+                row_number() OVER (PARTITION BY {", ".join("y." + k.strip() for k in keys.split(","))} ORDER BY len(list_filter(used, lambda u: u = y.event_type)), sha256('{seed}:' || y.day || ':' || y.event_type)) AS k
+                FROM g JOIN y ON {" AND ".join(f"g.{k.strip()} = y.{k.strip()}" for k in keys.split(","))} AND y.t = g.t + 1) WHERE k = 1),
+        even AS (SELECT {keys}, day, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, day ORDER BY sha256('{seed}:' || event_id)) AS k FROM x SEMI JOIN g USING ({keys}, day, event_type)) WHERE k = 1)"""
 ORACLE_SQL = {
     "knn_embeddings": f"WITH {_KNN} SELECT query, neighbour, round(cosine, 6) AS cosine, place FROM nn",
     "knn_votes": f"""WITH {_KNN}, w AS (SELECT query, e.label, sum(greatest(cosine, 0)) AS w FROM nn JOIN embeddings e ON e.vec_id = neighbour GROUP BY ALL), s AS (SELECT *, CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 0.0 END AS share FROM w WINDOW p AS (PARTITION BY query)),
@@ -153,6 +174,17 @@ ORACLE_SQL = {
         j AS (SELECT cell, frame FROM s GROUP BY ALL HAVING count(DISTINCT stream) = 2), c AS (SELECT cell, count(*) AS eligible FROM j GROUP BY cell),
         f AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_h('plan', 'cell', 'frame')}) AS k FROM j), p AS (SELECT cell, frame, k, row_number() OVER (PARTITION BY cell ORDER BY {_h('plan-split', 'cell', 'frame')}) AS half, count(*) OVER (PARTITION BY cell) AS n FROM f WHERE k <= 6)
         SELECT cell, frame, CASE WHEN half <= n // 2 THEN 'general' ELSE 'spatial' END AS slot, eligible, eligible >= 6 AS enough FROM p JOIN c USING (cell)""",
+    "benchmark_plan": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, strftime(ts, '%Y-%m-%d') AS day, user_id % 2 = 1 AS worn FROM events),
+        c AS (SELECT user_id, worn, day, event_type, event_id, unnest(list_filter(['g', CASE WHEN value > 10 THEN 's' END, CASE WHEN event_type <> 'error' THEN 'ig' END, CASE WHEN value < 60 THEN 'is' END], lambda s: s IS NOT NULL)) AS stream FROM e),
+        j AS (SELECT user_id, worn, day FROM c WHERE NOT worn OR stream IN ('g', 'ig') GROUP BY ALL HAVING count(DISTINCT stream) = CASE WHEN worn THEN 2 ELSE 4 END),
+        n AS (SELECT user_id, count(*) AS eligible FROM j GROUP BY user_id), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_h('plan', 'user_id', 'day')}) AS k FROM j),
+        p AS (SELECT user_id, worn, day, row_number() OVER (PARTITION BY user_id ORDER BY {_h('plan-split', 'user_id', 'day')}) <= count(*) OVER (PARTITION BY user_id) // 2 AS early FROM f WHERE k <= 6),
+        s AS (SELECT * FROM (VALUES {", ".join(f"({worn}, '{slot}', {repr(st) if st else 'NULL'}, '{part}', {repr(why) if why else 'NULL'})" for worn, slots in (("false", RECORDED), ("true", WORN)) for slot, st, part, why in slots)}) AS t(worn, slot, stream, share, reason)),
+        d AS (SELECT user_id, day, slot, stream, reason FROM p JOIN s USING (worn) WHERE share = 'all' OR share = CASE WHEN early THEN 'first' ELSE 'second' END),
+        x AS (SELECT user_id, slot, day, event_type, event_id, dense_rank() OVER (PARTITION BY user_id, slot ORDER BY day) AS t FROM d JOIN c USING (user_id, day, stream)),
+        {_EVEN('user_id, slot', 'plan')}
+        SELECT user_id, day, slot, event_type, event_id, reason, eligible, eligible >= 6 AS enough FROM (SELECT user_id, slot, day, event_type, event_id, NULL AS reason FROM even
+            UNION ALL SELECT user_id, slot, day, NULL, NULL, reason FROM d WHERE stream IS NULL) JOIN n USING (user_id)""",
     "acceptance_sample": f"""WITH b AS (SELECT l_returnflag AS type, l_linenumber AS condition, l_suppkey AS scene, l_orderkey, (2 * (l_partkey % 60) + l_quantity) / 128 AS x, (2 * (l_suppkey % 40) + 9) / CAST(96 AS DOUBLE) AS y FROM lineitem),
         r AS (SELECT type, condition, scene, l_orderkey, row_number() OVER (PARTITION BY type, condition, scene ORDER BY {_h('accept', 'type', 'condition', 'scene', 'l_orderkey')}) AS turn FROM b WHERE x BETWEEN 0.25 AND 0.75 AND y BETWEEN 0.25 AND 0.75),
         k AS (SELECT *, row_number() OVER (PARTITION BY type, condition ORDER BY turn, {_h('accept', 'type', 'condition', 'scene', 'l_orderkey')}) AS k FROM r) SELECT type, condition, scene, l_orderkey FROM k WHERE k <= 2""",
