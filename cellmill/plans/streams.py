@@ -14,8 +14,8 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-def _plain(df):
-    return rounded(df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes]), 4)
+def _plain(df, places=4):
+    return rounded(df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes]), places)
 
 
 def tumbling_windows(spark, sf):
@@ -49,7 +49,7 @@ def ended_cells(spark, sf):
     stream = spark.readStream.schema(kinds).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern, since a stream takes no single file
     day = "date_format(CASE WHEN event_type = 'error' THEN ts - INTERVAL 6 HOURS ELSE ts END, 'yyyy-MM-dd')"
     hours = 3_600_000
-    return _plain(S.run_to_end(spark, E.ending_cells(stream, "user_id", day, "ts", "value", 12 * hours, 400 * 24 * hours), needs=E.STORE))
+    return _plain(S.run_to_end(spark, E.ending_cells(stream, "user_id", day, "ts", "value", 12 * hours, 400 * 24 * hours), needs=E.STORE), 6)  # means of a few values of two places: no ties at six
 
 
 def batch_predictions(spark, sf):
@@ -86,6 +86,6 @@ ORACLE_SQL = {
         o AS (SELECT user_id, cell, n, mean, a, b, CASE WHEN next - b < 43200000 THEN 'changed' ELSE 'idle' END AS status FROM t
                 WHERE kept AND (next IS NOT NULL OR b + 43200000 <= (SELECT max(ms) - 600000 FROM e))
             UNION ALL SELECT user_id, cell, 1, value, ms, ms, 'reopened' FROM f WHERE NOT first_run)
-        SELECT user_id, cell, n, round(mean, 4) AS mean, {_F.format('epoch_ms(a)')} AS started, {_F.format('epoch_ms(b)')} AS ended, status FROM o""",
+        SELECT user_id, cell, n, round(mean, 6) AS mean, {_F.format('epoch_ms(a)')} AS started, {_F.format('epoch_ms(b)')} AS ended, status FROM o""",
     "batch_predictions": "SELECT event_id, CASE WHEN value <= 120 THEN round(round(value, 3) * 2, 3) END AS prediction, value > 120 AS failed FROM events",
 }
