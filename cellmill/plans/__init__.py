@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cells", "stats", "sequences", "kernels", "relations", "questions", "grouped", "streams", "analysis", "helpers", "features", "extras", "tasks", "motion", "files")
+MODULES = ("cells", "stats", "sequences", "kernels", "relations", "questions", "grouped", "streams", "analysis", "helpers", "features", "extras", "tasks", "motion", "files", "manifests")
 
 
 def _collect(name: str) -> dict:
