@@ -270,31 +270,36 @@ def poisson_steps(most: int = 8) -> list[float]:
     return out
 
 
-def _replicated(df: DataFrame, replicates: int, seed: str, unit: str) -> DataFrame:
-    """df for every replicate, with times: how often the row's unit is drawn in it, a Poisson(1) draw from the hash of both, the same in any order.
-    The hash is a column of its own, so that it is made once a row, and no row is filtered out, which would make it twice."""
+def _replicated(sums: DataFrame, replicates: int, seed: str, unit: str) -> DataFrame:
+    """sums (a row for each unit and group) for every replicate, with times: how often the row's unit is drawn in it, a Poisson(1) draw from the hash of
+    both, the same in any order. A unit's rows, as many as there are groups, travel together, so that its hash is made once a replicate. The hash is
+    a column of its own, and no row is filtered out, which would make it twice."""
     text = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col(unit).cast("string"))
     share = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__share", share)
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows grow to many, so they are not put into one task for being few
+    together = sums.repartition(parts, unit).groupBy(unit).agg(F.collect_list(F.struct(*[c for c in sums.columns if c != unit])).alias("__rows"))
+    drawn = together.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__share", share)
     times = sum((F.when(F.col("__share") >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
-    return drawn.withColumn("times", times).drop("__share")
+    return drawn.select("replicate", times.alias("times"), F.explode("__rows").alias("__row")).select("replicate", "times", "__row.*")
 
 
 def bootstrap_means(df: DataFrame, value: str, unit: str, replicates: int = 2000, by: tuple[str, ...] = (), seed: str = "boot") -> DataFrame:
-    """Mean of every bootstrap replicate. Rows are drawn where they are, without an index of all rows."""
-    drawn = _replicated(df.select(*by, unit, value), replicates, seed, unit)
-    return drawn.groupBy(*by, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col("times"))), F.lit(0))).alias("mean"))
+    """Mean of every bootstrap replicate. A unit's rows are drawn together, so they are summed first; there is no index of all rows."""
+    sums = df.groupBy(*by, unit).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("__s"), F.count(value).alias("__n"))
+    drawn = _replicated(sums, replicates, seed, unit)
+    return drawn.groupBy(*by, "replicate").agg((F.sum(F.col("__s") * F.col("times")) / F.nullif(F.sum(F.col("__n") * F.col("times")), F.lit(0))).alias("mean"))
 
 
 def bootstrap_phi(z: DataFrame, metrics: list[str], replicates: int = 1000, level: float = 0.95, seed: str = "phi", least: float = 0.5, scene: str = "scene", phase: str = "phase") -> DataFrame:
     """Spread of the one-way phase effect over scenes drawn anew: means, percentile limits, standard errors, and how many draws gave none. A scene's
-    cells are drawn together. One aggregation makes the sums of every replicate; the driver gets a row a replicate and phase."""
+    cells are drawn together. Sums of a scene and phase are made once, those of every replicate in one aggregation; the driver gets a row a replicate and phase."""
     if not 0 < level < 1 or replicates < 50:
         raise StatsError("the level must lie in (0, 1), and at least 50 replicates are needed")
     pairs = list(combinations_with_replacement(metrics, 2))
     t = F.col("times")
-    sums = [F.sum(t).alias("n"), *[F.sum(t * F.col(m)).alias(f"s_{m}") for m in metrics], *[F.sum(t * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]]
-    rows = _replicated(z.select(scene, phase, *metrics), replicates, seed, scene).groupBy("replicate", phase).agg(*sums).collect()
+    own = z.groupBy(scene, phase).agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"s_{m}") for m in metrics], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs])
+    sums = [F.sum(t * F.col(c)).alias(c) for c in own.columns[2:]]
+    rows = _replicated(own, replicates, seed, scene).groupBy("replicate", phase).agg(*sums).collect()
     drawn: dict[int, list] = {}
     for r in rows:
         drawn.setdefault(r.replicate, []).append(r)
