@@ -126,19 +126,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def append_new(spark: SparkSession, source: DataFrame, path: str, key: str, checkpoint: str) -> None:
-    """Appends the rows of a stream whose key the table at path lacks: a resumed run skips what is done. Of the table only the keys between the
-    batch's smallest and largest are read, which Parquet's statistics narrow to the files that can hold them."""
+def append_new(spark: SparkSession, source: DataFrame, path: str, key: str, checkpoint: str, buckets: int = 1024) -> None:
+    """Appends the rows of a stream whose key the table at path lacks: a resumed run skips what is done. The table is partitioned by a hash of the key
+    (the column bucket), and of it only the keys in the batch's own buckets are read. Of equal keys in a batch one row is appended; a null key is a key.
+    buckets must stay what it was when the table was begun."""
+    own = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
     def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = settle(batch.dropDuplicates([key]).withColumn("bucket", own))  # counted, compared and written from one reading
         if _exists(spark, path):
-            span = batch.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-            known = spark.read.parquet(path).select(key)
-            if span.low is not None:
-                known = known.filter(F.col(key).between(span.low, span.high) | F.col(key).isNull())
-            fresh = fresh.join(known.withColumnRenamed(key, "__known"), F.col(key).eqNullSafe(F.col("__known")), "left_anti")
-        fresh.write.mode("append").parquet(path)
+            wanted = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many numbers as there are buckets at most
+            known = spark.read.schema(fresh.schema).parquet(path).filter(F.col("bucket").isin(wanted)).select(F.col(key).alias("__known"))
+            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+        fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
     source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
