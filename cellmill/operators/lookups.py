@@ -62,11 +62,17 @@ def matched_scenes(ego: DataFrame, other: DataFrame, name: str = "name") -> Data
     return numbered.join(counted, "number", "left").select(name, "number", F.coalesce(F.col("n") == 1, F.lit(False)).alias("ok"))
 
 
+#: Rows of a palette that may be broadcast.
+PALETTE = 65_536
+
+
 def palette_labels(pixels: DataFrame, palette: DataFrame, image: list[str]) -> DataFrame:
-    """pixels (image, red, green, blue, ...) with label: the colour's place in the palette (label, red, green, blue; at most 65,536 rows), 0 if
+    """pixels (image, red, green, blue, ...) with label: the colour's place in the palette (label, red, green, blue; broadcast up to PALETTE rows, which are counted), 0 if
     it has none. An image whose largest label leaves a gap gets its number of other labels there instead."""
     rgb = ["red", "green", "blue"]
-    placed = pixels.join(F.broadcast(palette.select(*rgb, "label")), rgb, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    colours = palette.select(*rgb, "label")
+    small = colours.limit(PALETTE + 1).count() <= PALETTE
+    placed = pixels.join(F.broadcast(colours) if small else colours, rgb, "left").withColumn("label", F.coalesce("label", F.lit(0)))
     spans = placed.groupBy(*image).agg(F.max("label").alias("__most"), (F.countDistinct("label") - 1).alias("__dense"))
     return placed.join(spans, image).withColumn("label", F.when(F.col("label") == F.col("__most"), F.col("__dense")).otherwise(F.col("label")).cast("long")).drop("__most", "__dense")
 
