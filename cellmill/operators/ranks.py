@@ -54,3 +54,29 @@ def percentile_norm(df: DataFrame, by: tuple[str, ...], value: str, out: str, bu
     average = (F.col("__before") + F.col("__running") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__total")
     norms = ranked.select(*by, "__v", F.when(F.col("__distinct") < 2, F.lit(0.5)).otherwise(average).alias("__p"))
     return df.withColumn("__v", valid).join(norms, [*by, "__v"], "left").withColumn(out, F.coalesce("__p", F.lit(0.5))).drop("__v", "__p")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, by name, exact percentiles of the known values of each group, linear between neighbours. Different values are counted and sorted into
+    ranges; sizes of earlier ranges are added, so no task holds a group's values."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = settle(counted.repartitionByRange(*by, "__v").withColumn("__range", F.spark_partition_id()))  # ranges are sampled anew by every run
+    of = [f"__of_{c}" for c in by]
+    sizes = dealt.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of)], F.col("__range").alias("__in")).agg(F.sum("__n").alias("__s"))  # a row for each range
+    up_to = W.partitionBy(*of).orderBy("__in").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = sizes.withColumn("__before", F.sum("__s").over(up_to) - F.col("__s")).withColumn("__total", F.sum("__s").over(W.partitionBy(*of))).drop("__s")
+    running = F.sum("__n").over(W.partitionBy("__range", *by).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    same = F.col("__range") == F.col("__in")
+    for c, o in zip(by, of):
+        same &= F.col(c).eqNullSafe(F.col(o))
+    ranked = dealt.withColumn("__running", running).join(F.broadcast(offsets), same).withColumn("__last", F.col("__before") + F.col("__running"))
+    at = lambda place: F.max(F.when((place < F.col("__last")) & (place >= F.col("__last") - F.col("__n")), F.col("__v")))
+    spots = {name: q * (F.col("__total") - 1) for name, q in shares.items()}
+    ends = [c for name, spot in spots.items() for c in (at(F.floor(spot)).alias(f"__low_{name}"), at(F.ceil(spot)).alias(f"__high_{name}"))]
+    found = ranked.groupBy(*by).agg(F.max("__total").alias("__total"), *ends)
+
+    def between(name: str) -> Column:
+        low, high, spot = F.col(f"__low_{name}"), F.col(f"__high_{name}"), spots[name]
+        return F.when(low == high, low).otherwise((F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high)
+
+    return found.select(*by, *[between(name).alias(name) for name in shares])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cellmill import roles
 from cellmill.operators import cells as C
 from cellmill.operators import scores as S
+from cellmill.operators.ranks import percentiles
+from cellmill.session import settle
 from cellmill.sources.tables import table
 
 METRICS = list(roles.METRICS)
@@ -78,8 +80,11 @@ def latency_percentiles(spark, sf):
     s = roles.samples(spark, sf)
     w = W.partitionBy("model", "scene")
     trimmed = s.withColumn("k", F.row_number().over(w.orderBy("sample", "latency_ms"))).withColumn("frames", F.count(F.lit(1)).over(w)).filter("k > 2 OR frames <= 2")
-    p = [F.percentile("latency_ms", q).alias(f"p{round(q * 100)}") for q in (0.05, 0.5, 0.95, 0.99)]
-    return rounded(trimmed.groupBy("model").agg(*p, F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"), F.count(F.lit(1)).alias("n")))
+    trimmed = settle(trimmed.select("model", "latency_ms"))  # read twice
+    p = percentiles(trimmed, ["model"], "latency_ms", {f"p{round(q * 100)}": q for q in (0.05, 0.5, 0.95, 0.99)}).withColumnRenamed("model", "of")
+    rest = trimmed.groupBy("model").agg(F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"), F.count(F.lit(1)).alias("n"))
+    joined = rest.join(p, F.col("model").eqNullSafe(F.col("of")), "left")
+    return rounded(joined.select("model", "p5", "p50", "p95", "p99", "mean", "max", "n"))
 
 
 def esd_by_tier(spark, sf):
