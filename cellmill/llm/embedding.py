@@ -14,6 +14,10 @@ default of 8 leaves out pairs only where a link happens to point straight across
 A cell is dealt in blocks of about BLOCK nodes and compared block against block, so no task needs a whole cell. Tasks give sums
 of links per node and a spanning forest of the linked nodes, never all pairs.
 
+Vectors are most of what is shuffled and written: they stay 4-byte numbers where the table has such, go once into the parts of a cell and once
+into its pairs of blocks, and come back to the rows by two hashes. Tables of cells are broadcast, but only cells above SPLIT (or BLOCK) nodes
+are listed.
+
 Edge cases: rows whose id, label or vector is null, and vectors that are empty, zero or hold null or non-finite components, link
 with nothing; vectors of different lengths don't compare; repeated rows are vectors each; an empty table gives an
 empty result; other columns are not read.
@@ -88,7 +92,7 @@ def fit_cells(nodes: DataFrame, cell: int = CELL, sample: int = SAMPLE, margin:
         return {}
     share = min(1.0, sample / total)
     names = F.broadcast(nodes.sparkSession.createDataFrame([(k,) for k in large], "key string"))  # at most MAX_CENTROIDS / 2 names
-    chosen = nodes.join(names, "key").filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "vector").limit(2 * sample)
+    chosen = nodes.join(names, "key").filter(F.pmod(F.xxhash64(_doubles("vector")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "vector").limit(2 * sample)
     by_key: dict[str, list] = {}
     for r in sorted(chosen.toArrow().to_pylist(), key=lambda r: (r["key"], r["vector"])):
         by_key.setdefault(r["key"], []).append(r["vector"])
@@ -122,21 +126,27 @@ def assign(nodes: DataFrame, cells: dict[str, np.ndarray], margin: float = MARGI
                     at[i] = found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.int32()))], names=["node", "key", "times", "vector", "cells"])
 
-    return nodes.select("node", "key", "times", "vector").mapInArrow(run, NODE + ", cells array<int>")
+    return nodes.select("node", "key", "times", "vector").mapInArrow(run, _node_schema(nodes) + ", cells array<int>")
+
 
+def _doubles(vector: str) -> Column:
+    """The vector as doubles, whose hash doesn't depend on how the table keeps its numbers."""
+    return F.col(vector).cast("array<double>")
 
-NODE = "node bigint, key string, times bigint, vector array<double>"
-_INSIDE = NODE + ", cells array<int>, cell int, subs array<int>"
+
+def _node_schema(nodes: DataFrame) -> str:
+    return f"node bigint, key string, times bigint, vector {nodes.schema['vector'].dataType.simpleString()}"
 
 
 def split_cells(inside: DataFrame, margin: float = MARGIN, cell: int | None = None) -> DataFrame:
-    """inside (NODE, cells, cell) with subs: the parts of the cell, home first; [0] where the cell isn't cut."""
+    """inside (node, key, times, vector, cells, cell) with subs: the parts of the cell, home first; [0] where the cell isn't cut."""
     cell = cell or CELL
-    sizes = cut(inside.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n")))
-    big = sizes.filter(F.col("n") > SPLIT).withColumn("parts", F.least(F.ceil(F.col("n") / cell), F.lit(MAX_SUB)))
-    known = inside.join(big, ["key", "cell"], "left")
+    schema = _node_schema(inside) + ", cells array<int>, cell int, subs array<int>"
+    sizes = inside.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
+    big = cut(sizes.filter(F.col("n") > SPLIT).withColumn("parts", F.least(F.ceil(F.col("n") / cell), F.lit(MAX_SUB))))
+    known = inside.join(F.broadcast(big), ["key", "cell"], "left")  # a row for more than SPLIT nodes; a shuffle would carry all vectors
     whole = known.filter("n IS NULL").select(*inside.columns, F.array(F.lit(0)).alias("subs"))
-    crowded = cut(known.filter("n IS NOT NULL"))
+    crowded = known.filter("n IS NOT NULL")
     draw = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 20)) <= F.least(F.lit(1.0), 4 * F.col("parts") / F.col("n")) * (1 << 20)
 
     def fit(table: pa.Table) -> pa.Table:
@@ -149,17 +159,18 @@ def split_cells(inside: DataFrame, margin: float = MARGIN, cell: int | None = No
     models = crowded.filter(draw).groupBy("key", "cell").applyInArrow(fit, "key string, cell int, model array<array<double>>")
     deals = F.ceil(F.col("n") / SUB_ROWS)
     dealt = crowded.select(*inside.columns, F.pmod(F.xxhash64("node"), deals).alias("deal"), F.lit(None).cast("array<array<double>>").alias("model"))
-    copies = models.join(big, ["key", "cell"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)))
+    columns = inside.columns
+    copies = models.join(F.broadcast(big), ["key", "cell"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)))
     none = lambda c: F.lit(None).cast(inside.schema[c].dataType).alias(c)
     copies = copies.select(*[c if c in ("key", "cell") else none(c) for c in inside.columns], "deal", "model")
 
     def place(table: pa.Table) -> pa.Table:
         model = pa.compute.drop_null(table.column("model"))
-        rows = table.filter(pa.compute.is_valid(table.column("node"))).select([f.split(" ")[0] for f in _INSIDE.split(", ")[:-1]])
+        rows = table.filter(pa.compute.is_valid(table.column("node"))).select(columns)
         subs = cells_of(unit(np.array(rows.column("vector").to_pylist())), np.array(model[0].as_py()), margin) if len(model) and len(rows) else [[0]] * len(rows)
         return rows.append_column("subs", pa.array(subs, pa.list_(pa.int32())))
 
-    placed = dealt.unionByName(copies).repartition("key", "cell", "deal").groupBy("key", "cell", "deal").applyInArrow(place, _INSIDE)
+    placed = dealt.unionByName(copies).repartition("key", "cell", "deal").groupBy("key", "cell", "deal").applyInArrow(place, schema)
     return whole.unionByName(placed)
 
 
@@ -202,28 +213,30 @@ def compare(table: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
     """One row per row: id_col, n_links, component_id (smallest id reachable), kept (whether the row represents its group).
     Rows that share an id but not a vector are vectors each; their id names the group of either."""
-    plain = rows.select(rows[id_col].cast("long").alias("id"), rows[label_col].alias("label"), rows[vector_col].cast("array<double>").alias("vector"))
+    numbers = "array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    plain = rows.select(rows[id_col].cast("long").alias("id"), rows[label_col].alias("label"), rows[vector_col].cast(numbers).alias("vector"))
     key = F.concat_ws("|", F.col("label").cast("string"), F.size("vector").cast("string"))
     plain = plain.withColumn("key", F.when(usable(F.col("vector")) & F.col("id").isNotNull() & F.col("label").isNotNull(), key))
+    digest = [F.xxhash64(_doubles("vector")).alias("d1"), F.xxhash64(F.lit(1), _doubles("vector")).alias("d2")]
     distinct = plain.filter("key IS NOT NULL").groupBy("key", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     placed = cut(assign(nodes, fit_cells(nodes, margin=margin), margin))
-    inside = cut(split_cells(placed.withColumn("cell", F.explode("cells")), margin).withColumn("sub", F.explode("subs")))
-    sizes = cut(inside.groupBy("key", "cell", "sub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    blocked = inside.join(sizes, ["key", "cell", "sub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    parted = cut(split_cells(placed.withColumn("cell", F.explode("cells")), margin))
+    sub = parted.select("key", "cell", F.explode("subs").alias("sub")).groupBy("key", "cell", "sub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    large = F.broadcast(cut(sub.filter("blocks > 1")))  # a row for more than BLOCK nodes
+    inside = parted.withColumn("sub", F.explode("subs")).join(large, ["key", "cell", "sub"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocked = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "cell", "sub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "times", "cells", "subs", "vector"
     )
     compared = cut(pairs.repartition("key", "cell", "sub", "i", "j").groupBy("key", "cell", "sub", "i", "j").applyInArrow(lambda t: compare(t, similarity), "node bigint, other bigint, links bigint"))
     links = compared.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(compared.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = cut(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    ids = cut(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    known = named.join(links, "node", "left").join(ids, "component").select(
-        F.col("key").alias("node_key"), F.col("vector").alias("node_vector"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), "component_id"
-    )
-    same = (F.col("key") == F.col("node_key")) & (F.col("vector") == F.col("node_vector"))
-    found = plain.join(cut(known), same, "left")
+    names = nodes.select("node", "key", *digest, "least", "times")
+    named = cut(names.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = named.join(links, "node", "left").join(ids, "component").select("key", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), "component_id")
+    found = plain.select("id", "key", *digest).join(cut(known), ["key", "d1", "d2"], "left")
     component = F.coalesce("component_id", "id")
     return found.select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")

@@ -513,6 +513,23 @@ def test_blocks_of_a_large_cell(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_few_copies_of_vectors_are_written(spark, monkeypatch):
+    """Three tables with vectors, with the numbers of the table, and no join that shuffles vectors."""
+    written, joins, cut = [], [], embedding.cut
+
+    def noted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        written.append(df.dtypes)
+        joins.extend(line for line in plan.split("\n") if "SortMergeJoin" in line and any("vector" in c for c in df.columns))
+        return cut(df)
+
+    monkeypatch.setattr(embedding, "cut", noted)
+    rng = np.random.default_rng(12)
+    embedding.near_duplicates(vectors(spark, [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(50)])).collect()
+    kinds = [kind for columns in written for name, kind in columns if "vector" in name]
+    assert kinds == ["array<float>"] * 3 and not joins
+
+
 def test_vectors_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.05], 0), (2, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (5, [-1.0, 0.0], 0), (4, [-1.0, 0.05], 0), (3, [5.0, 5.0], 1)]
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(vectors(spark, rows)).collect()]
