@@ -41,12 +41,14 @@ def tertile(rank: Column, total: Column, distinct: Column | None = None) -> Colu
 def percentile_norm(df: DataFrame, by: tuple[str, ...], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Average rank over the number of valid values within groups `by`; ties share their mean, missing values and
     constant groups get 0.5. Ranks are counted over distinct values, so ties never meet in one task as rows, and within buckets
-    between approximate quantiles, so a group is not one task either."""
+    between approximate quantiles, so a group is not one task either. Sums of doubles and approximate quantiles may differ whenever a plan runs, so
+    the values and the quantiles are settled before more than one reader uses them."""
     valid = F.when(~F.isnan(value), F.col(value))
+    df = settle(df)
     seen = df.select(*by, valid.alias("__v")).filter("__v IS NOT NULL").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     groups = seen.groupBy(*by).agg(F.percentile_approx("__v", shares, F.lit(1000)).alias("__cuts"), F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
-    placed = seen.join(groups, list(by)).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    placed = seen.join(F.broadcast(settle(groups)), list(by)).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
     sizes = placed.groupBy(*by, "__bucket").agg(F.sum("__n").alias("__s"))
     before = F.sum("__s").over(W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__s")
     running = F.sum("__n").over(W.partitionBy(*by, "__bucket").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
