@@ -85,7 +85,8 @@ def tier_borders(scored: DataFrame, by: str, value: str, ties: list[str], total:
     ranks = [total // 3, 2 * total // 3]
     slack = 2.0 / BRACKET
     shares = [min(max(r / total + d, 0.0), 1.0) for r in ranks for d in (-slack, slack)]
-    brackets = F.broadcast(scored.groupBy(by).agg(F.percentile_approx(value, shares, BRACKET).alias("__b")))  # a row for each group
+    # approximate quantiles may differ whenever a plan runs, so they are settled before several readers use them; a row for each group
+    brackets = F.broadcast(settle(scored.groupBy(by).agg(F.percentile_approx(value, shares, BRACKET).alias("__b"))))
     lows, highs = [F.col("__b")[0], F.col("__b")[2]], [F.col("__b")[1], F.col("__b")[3]]
     near = scored.join(brackets, by)
     below = near.groupBy(by).agg(*[F.count_if(F.col(value) < low).alias(f"__less{i}") for i, low in enumerate(lows)])
