@@ -3,10 +3,15 @@ compares all pairs."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellmill.operators.nearby import nearest_rows
+
 
 def lookup_first(left: DataFrame, right: DataFrame, key_pairs: list[tuple[str, str]], value: str) -> DataFrame:
     """left with the value found by the first key pair (left column, right column) that finds one, and its number (from 1)."""
@@ -137,12 +142,9 @@ def nearest_in_direction(df: DataFrame, frame: list[str], item: str, x: str, y:
 
 
 def nearest_within(left: DataFrame, right: DataFrame, point: tuple[str, str, str], radius: float, left_id: str, right_id: str) -> DataFrame:
-    """For each left point the nearest right point not further than radius, from the 27 grid cells around it."""
-    cell = [F.floor(F.col(c) / radius) for c in point]
-    a = left.select(F.col(left_id).alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in point], *[k.alias(f"__g{i}") for i, k in enumerate(cell)])
-    for i in range(3):
-        a = a.withColumn(f"__g{i}", F.explode(F.array(*[F.col(f"__g{i}") + d for d in (-1, 0, 1)])))
-    b = right.select(F.col(right_id).alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in point], *[k.alias(f"__g{i}") for i, k in enumerate(cell)])
-    d2 = sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in point), F.lit(0.0))
-    pairs = a.join(b, [f"__g{i}" for i in range(3)]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
-    return pairs.groupBy("id_a").agg(F.min_by("id_b", F.struct("d2", "id_b")).alias("id_b"), F.sqrt(F.min("d2")).alias("distance"))
+    """For each left point the nearest right point not further than radius (ties to the smaller id), in leaves of a k-d tree: grid cells as wide as the radius may hold
+    all points. Ids are whole numbers; points with a null or non-finite coordinate take no part."""
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    points = lambda df, i: df.filter(F.col(i).isNotNull() & reduce(and_, map(fine, point))).select(F.col(i).cast("long").alias("row"), F.array(*[F.col(c).cast("double") for c in point]).alias("x"))
+    found = nearest_rows(points(left, left_id), points(right, right_id), 1, radius)
+    return found.select(F.col("row").alias("id_a"), F.col("other").alias("id_b"), F.sqrt("d2").alias("distance"))
