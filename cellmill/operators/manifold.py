@@ -4,7 +4,7 @@ Every row is tied to its nearest rows (Euclidean) by an edge of weight exp(-d^2
 axes are the generalised eigenvectors of X'LX v = l X'DX v with the smallest eigenvalues. Both matrices are sums over edges:
 X'LX of w (a - b)(a - b)' and X'DX of w (aa' + bb'), so only K x K numbers reach the driver, where the small problem is solved.
 
-Nearest rows are found in blocks against blocks (as in vectors.nearest); each task keeps the best of its block.
+Nearest rows are found in leaves of a k-d tree (nearby).
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellmill.operators.nearby import LEAF, nearest_rows
 from cellmill.operators.ranks import global_rank
 from cellmill.session import settle
 
@@ -25,28 +25,7 @@ RIDGE = 1e-9
 
 def neighbour_edges(rows: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """row, other, d2: the k nearest other rows of each row (ties to the smaller number). rows: row (a unique number), x (array of doubles)."""
-    blocks = max(1, -(-rows.count() // block))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    asking = rows.select("row", "x", F.lit(True).alias("asks"), own.alias("qb")).withColumn("rb", every)
-    asked = rows.select("row", "x", F.lit(False).alias("asks"), own.alias("rb")).withColumn("qb", every)
-
-    def best(table: pa.Table) -> pa.Table:
-        asks, number = table.column("asks").to_numpy(zero_copy_only=False), table.column("row").to_numpy()
-        x = np.array(table.column("x").to_pylist(), np.float64).reshape(table.num_rows, -1)
-        there = np.flatnonzero(~asks)
-        there = there[np.argsort(number[there])]
-        out = []
-        for at in np.flatnonzero(asks):
-            gap = ((x[there] - x[at]) ** 2).sum(axis=1)
-            gap[number[there] == number[at]] = np.inf
-            near = np.argsort(gap, kind="stable")[:k]
-            out += [(int(number[at]), int(number[there[j]]), float(gap[j])) for j in near if gap[j] < np.inf]
-        return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("row", pa.int64()), ("other", pa.int64()), ("d2", pa.float64())))})
-
-    found = asking.unionByName(asked).groupBy("qb", "rb").applyInArrow(best, "row bigint, other bigint, d2 double")
-    place = F.row_number().over(W.partitionBy("row").orderBy("d2", "other"))
-    return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    return nearest_rows(rows, rows, k, others=True, leaf=min(block, LEAF))
 
 
 def median(df: DataFrame, value: str) -> float | None:
