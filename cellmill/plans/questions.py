@@ -16,15 +16,27 @@ from cellmill.sources.tables import table
 FRAME = ["frame"]
 
 
-def _objects(spark, sf):
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    seen = li.select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("item")).distinct()
-    return seen.join(p, F.col("item") == F.col("p_partkey")).select("frame", "item", "p_brand", "p_type", F.pmod("p_size", F.lit(5)).cast("string").alias("size_class"), "p_size", "p_retailprice")
+#: Lines of a task that works on whole orders.
+LINES = 250_000
 
 
-def _attrs(spark, sf):
-    o = _objects(spark, sf)
-    return o.select("frame", "item", F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(c).alias("value")) for n, c in (("brand", "p_brand"), ("type", "p_type"), ("size", "size_class"))])).alias("a")).select("frame", "item", "a.*")
+def _objects(spark, sf, *columns):
+    """Parts seen in orders, each once, with the named attributes. Dealt by order over as many tasks as there are lines for, so a task's rows don't grow
+    with the tables, and what follows works on an order where it is."""
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part").withColumn("size_class", F.pmod("p_size", F.lit(5)).cast("string"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-li.count() // LINES))
+    seen = li.select(F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("item"))
+    return seen.join(p, F.col("item") == F.col("p_partkey")).select("frame", "item", *columns).repartition(tasks, "frame").distinct()
+
+
+_ATTRIBUTES = {"brand": "p_brand", "type": "p_type", "size": "size_class"}
+
+
+def _attrs(spark, sf, *names):
+    """Rows of the named attributes (all, if none is named)."""
+    chosen = {n: _ATTRIBUTES[n] for n in names or _ATTRIBUTES}
+    o = _objects(spark, sf, *chosen.values())
+    return o.select("frame", "item", F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(c).alias("value")) for n, c in chosen.items()])).alias("a")).select("frame", "item", "a.*")
 
 
 def attr_unique_owner(spark, sf):
@@ -32,30 +44,30 @@ def attr_unique_owner(spark, sf):
 
 
 def attr_composition(spark, sf):
-    return G.compositions(_attrs(spark, sf), FRAME, "item", "brand", "size")
+    return G.compositions(_attrs(spark, sf, "brand", "size"), FRAME, "item", "brand", "size")
 
 
 def attr_count(spark, sf):
-    return G.counts(_attrs(spark, sf).filter("attribute = 'brand'"), FRAME, "item", "value")
+    return G.counts(_attrs(spark, sf, "brand"), FRAME, "item", "value")
 
 
 def attr_odd_one_out(spark, sf):
-    return G.odd_one_out(_attrs(spark, sf).filter("attribute = 'size'"), FRAME, "item", "value")
+    return G.odd_one_out(_attrs(spark, sf, "size"), FRAME, "item", "value")
 
 
 def attr_absent(spark, sf):
     """Size classes that an order's parts lack."""
-    return G.absent_values(_attrs(spark, sf).filter("attribute = 'size'"), FRAME, "value")
+    return G.absent_values(_attrs(spark, sf, "size"), FRAME, "value")
 
 
 def synonym_yes(spark, sf):
     """Types as other names of parts, where no other part of the order goes by them."""
-    o = _objects(spark, sf).select("frame", "item", F.col("p_brand").alias("canonical"), F.col("p_type").alias("alias"))
+    o = _objects(spark, sf, "p_brand", "p_type").select("frame", "item", F.col("p_brand").alias("canonical"), F.col("p_type").alias("alias"))
     return G.synonyms(o, FRAME, "item", "canonical", "alias")
 
 
 def _placed(spark, sf):
-    return _objects(spark, sf).select("frame", "item", F.pmod("item", F.lit(64)).cast("double").alias("x"), F.pmod(F.col("item") * 7, F.lit(48)).cast("double").alias("y"), F.col("p_size").cast("double").alias("area"), F.col("p_retailprice").alias("depth"))
+    return _objects(spark, sf, "p_size", "p_retailprice").select("frame", "item", F.pmod("item", F.lit(64)).cast("double").alias("x"), F.pmod(F.col("item") * 7, F.lit(48)).cast("double").alias("y"), F.col("p_size").cast("double").alias("area"), F.col("p_retailprice").alias("depth"))
 
 
 def spatial_pairs(spark, sf):
@@ -72,7 +84,7 @@ def spatial_farthest(spark, sf):
 
 def incontext_reference(spark, sf):
     """For a part with a brand of its own in an order, a part outside the order with the same brand."""
-    o = _objects(spark, sf).select("frame", "item", F.col("p_brand").alias("value"))
+    o = _objects(spark, sf, "p_brand").select("frame", "item", F.col("p_brand").alias("value"))
     catalog = table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("value"))
     return G.references(o, catalog, "value", FRAME, "item", "ref")
 

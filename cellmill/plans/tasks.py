@@ -40,14 +40,14 @@ def incontext_farthest(spark, sf):
 
 def incontext_identify(spark, sf):
     """Objects to be found again in an order by their brand as identity, and why others are left out."""
-    o = _objects(spark, sf).select("frame", "item", F.concat_ws("/", "p_brand", "size_class").alias("identity"))
+    o = _objects(spark, sf, "p_brand", "size_class").select("frame", "item", F.concat_ws("/", "p_brand", "size_class").alias("identity"))
     catalog = table(spark, sf, "part").filter("p_size > 5").select(F.concat_ws("/", "p_brand", F.pmod("p_size", F.lit(5)).cast("string")).alias("identity")).distinct()
     return G.identify(o, ["frame"], "item", "identity", catalog)
 
 
 def robot_presence(spark, sf):
     """Whether a referenced brand is in an order: up to three that are, and no more that aren't."""
-    o = _objects(spark, sf).select("frame", F.col("p_brand").alias("category")).distinct()
+    o = _objects(spark, sf, "p_brand").select("frame", F.col("p_brand").alias("category")).distinct()
     return G.presence_questions(o, ["frame"], "category", table(spark, sf, "part").select(F.col("p_brand").alias("category")), 3, "t1")
 
 
@@ -58,13 +58,13 @@ def robot_direction(spark, sf):
 
 def robot_count(spark, sf):
     """How many objects of an order share a brand, with numbers to choose from."""
-    o = _objects(spark, sf).select("frame", "item", F.col("p_brand").alias("category"))
+    o = _objects(spark, sf, "p_brand").select("frame", "item", F.col("p_brand").alias("category"))
     return G.count_questions(o, ["frame"], "item", "category", "t5")
 
 
 def robot_attribute(spark, sf):
     """Which of several objects of a brand in an order has a size, with options."""
-    return G.attribute_questions(_objects(spark, sf).select("frame", "item", "p_brand", "size_class"), ["frame"], "item", "p_brand", "size_class", "t2")
+    return G.attribute_questions(_objects(spark, sf, "p_brand", "size_class"), ["frame"], "item", "p_brand", "size_class", "t2")
 
 
 def robot_state(spark, sf):
