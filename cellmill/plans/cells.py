@@ -142,10 +142,13 @@ def grouping_sets_accuracy(spark, sf):
 def summary_by_model(spark, sf):
     """Counts, median, spread and extremes for each model, as a performance summary."""
     s = roles.samples(spark, sf)
-    return rounded(s.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("scene").alias("scenes"), F.median("latency_ms").alias("median"), F.percentile("latency_ms", 0.95).alias("p95"),
-        F.max("latency_ms").alias("max"), F.min("latency_ms").alias("min"), F.stddev_samp("latency_ms").alias("std"), F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))).alias("rms"),
-    ))
+    p = percentiles(s.select("model", "latency_ms"), ["model"], "latency_ms", {"median": 0.5, "p95": 0.95}).withColumnRenamed("model", "of")
+    rest = s.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("scene").alias("scenes"), F.max("latency_ms").alias("max"), F.min("latency_ms").alias("min"),
+        F.stddev_samp("latency_ms").alias("std"), F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))).alias("rms"),
+    )
+    joined = rest.join(F.broadcast(p), F.col("model").eqNullSafe(F.col("of")), "left")
+    return rounded(joined.select("model", "n", "scenes", "median", "p95", "max", "min", "std", "rms"))
 
 
 def records_schema(spark, sf):
