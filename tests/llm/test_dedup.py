@@ -175,6 +175,38 @@ def test_near_copies_against_brute_force(spark, monkeypatch, cell, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs(spark, []).columns
 
 
+def test_near_copies_do_not_depend_on_the_number_of_texts(spark):
+    rng = random.Random(20)
+    pairs = []
+    for _ in range(150):
+        base = prose(rng, 100)
+        words = base.split()
+        at = rng.randint(20, 70)
+        pairs += [base, " ".join([*words[:5], "new", *words[6:at], "new", *words[at + 1 :]])]
+    rows = list(enumerate(pairs))
+    sets = {i: slow_shingles(t) for i, t in rows}
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85 for i in range(0, 300, 2))
+    strangers = [(1000 + k, prose(rng, 12)) for k in range(3000)]
+    alone = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows)).collect()}
+    among = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows + strangers)).collect()}
+    assert {i: among[i] for i in alone} == alone and sum(alone[i + 1] == i for i in range(0, 300, 2)) > 140
+
+
+def test_texts_agree_in_bands_as_their_similarity_says():
+    rng = random.Random(21)
+    agree = []
+    for _ in range(150):
+        words = prose(rng, 85).split()
+        other = [*words[:3], "new", *words[4:40], "new", *words[41:]]
+        a, b = slow_shingles(" ".join(words)), slow_shingles(" ".join(other))
+        same = near_copies.band_cells(" ".join(words)) == near_copies.band_cells(" ".join(other))
+        agree.append((same.sum(), near_copies.BANDS * (len(a & b) / len(a | b)) ** near_copies.BAND_ROWS))
+    got, want = np.array(agree).T
+    assert abs(got.mean() - want.mean()) < 0.8 and got.std() < 3.4 and got.min() > 0
+    assert not (near_copies.band_cells(prose(rng, 300)) == near_copies.band_cells(prose(rng, 300))).any()
+    assert (near_copies.band_cells(None) == near_copies.band_cells(" \n")).all() and (near_copies.band_cells("A  b") == near_copies.band_cells("a b")).all()
+
+
 def test_near_copies_tell_rows_apart_by_content(spark):
     rng = random.Random(16)
     p, u, v = (prose(rng, 120) for _ in range(3))
