@@ -1,6 +1,7 @@
 """Rules held against values worked out by hand."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -147,6 +148,33 @@ def test_selections_from_the_rule():
         assert len(got) == min(k, 80) and got[0] == 0 and got[-1] == 79 and got == sorted(set(got))
 
 
+def test_the_pose_search_by_halving_holds_no_distances_of_pairs():
+    rng = np.random.default_rng(14)
+
+    def drawn(n):
+        poses = np.concatenate([rng.normal(size=(n, 3)), rng.normal(size=(n, 4))], axis=1)
+        poses[:, 3:] /= np.linalg.norm(poses[:, 3:], axis=1, keepdims=True)
+        return poses
+
+    for n, k in ((40, 10), (90, 12), (5, 3), (30, 200)):
+        poses, low, high, want = drawn(n), 0.01, 3.0, None
+        for _ in range(25):
+            kept = grouped.ordered_poses(poses, (low + high) / 2, 0.5)
+            if len(kept) >= min(k, n):
+                low, want = (low + high) / 2, kept
+            else:
+                high = (low + high) / 2
+        want = want or grouped.ordered_poses(poses, 0.01, 0.5)
+        want = [want[0], *want[1:-1][: k - 2], want[-1]]
+        assert grouped.ordered_poses_for(poses, k, 0.5) == want
+    poses = drawn(3000)
+    tracemalloc.start()
+    assert len(grouped.ordered_poses_for(poses, 10, 0.5)) == 10
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # 4.5 million distances between pairs would take 36 MB
+
+
 def test_bootstrap_of_the_phase_effect(spark):
     rng = np.random.default_rng(5)
     rows = [(s, p, float(k + rng.normal()), float(rng.normal())) for s in range(40) for k, p in enumerate(("clutter", "interaction", "clean"))]
