@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cellmill.functions import flow as L
@@ -27,6 +29,8 @@ from cellmill.sources.tables import table
 SIDE, CLIP = 8, 12
 TURN, MOVE = 0.05, (0.05, 0.01, 0.02)
 LEAST = 3
+#: Pairs of frames whose flows are found together.
+FLOW_PAIRS = 256
 
 
 def _frames(spark, sf):
@@ -49,17 +53,37 @@ def banded_alignment(spark, sf):
     return rounded(P.banded_alignment(_frames(spark, sf), ["clip"], "frame", "pose", "pred", "truth", CAMERA, SIDE, SIDE, LEAST), 5)
 
 
-def _flow_scores(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values("frame")
-    truth, pred = (np.array(g[c].tolist(), float).reshape(-1, SIDE, SIDE) for c in ("truth", "pred"))
-    flows = np.array([L.dense_flow(b, a, window=5) for a, b in zip(truth, truth[1:])]).reshape(-1, SIDE, SIDE, 2)
-    return pd.DataFrame([{"clip": g["clip"].iloc[0], "opw": L.warping_error(pred, flows), "tmc": L.motion_consistency(pred, truth)}])
+def _maps(column: pa.ChunkedArray) -> np.ndarray:
+    """(rows, SIDE, SIDE); what is null is not finite, so it has no flow."""
+    flat = pc.fill_null(column, pa.scalar([None] * SIDE * SIDE, column.type)).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, SIDE, SIDE)
+
+
+def _flow_scores(rows: pa.Table, group: np.ndarray) -> pa.Table:
+    """A row a clip of many whole clips; neighbours of all clips are compared together, FLOW_PAIRS at a time."""
+    truth, pred = _maps(rows.column("truth")), _maps(rows.column("pred"))
+    first = np.flatnonzero(group[1:] == group[:-1])
+    found = [np.zeros((2, 0))]
+    for at in range(0, len(first), FLOW_PAIRS):
+        a = first[at : at + FLOW_PAIRS]
+        b = a + 1
+        errors = L.pair_errors(pred[a], pred[b], L.dense_flows(truth[b], truth[a], window=5))
+        found.append(np.stack([errors, L.motion_similarities((pred[a], pred[b]), (truth[a], truth[b]))]))
+    scores, clips = np.concatenate(found, axis=1), int(group[-1]) + 1
+
+    def mean(values: np.ndarray) -> pa.Array:
+        ok = np.isfinite(values)
+        n, total = (np.bincount(group[first[ok]], w, clips) for w in (None, values[ok]))
+        return pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), from_pandas=True)
+
+    begins = np.flatnonzero(np.diff(group, prepend=-1))
+    return pa.table({"clip": rows.column("clip").take(pa.array(begins)), "opw": mean(scores[0]), "tmc": mean(scores[1])})
 
 
 def flow_scores(spark, sf):
     """Warping error along the flow of the true maps, and consistency of predicted with true motion, of each clip of twelve frames."""
     f = _frames(spark, sf).select("clip", "frame", "truth", "pred").filter("clip IS NOT NULL")
-    return rounded(f.groupBy("clip").applyInPandas(_flow_scores, "clip long, opw double, tmc double"), 4)
+    return rounded(R.whole_groups(f, ["clip"], "frame", _flow_scores, "clip long, opw double, tmc double"), 4)
 
 
 def _steps(spark, sf):

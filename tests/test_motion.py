@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from cellmill.functions import images as I
 from cellmill.operators import manifold as N
 from cellmill.operators import motions as M
 from cellmill.operators import reprojection as P
+from cellmill.plans import motion as Q
 
 
 def scene(x, y):
@@ -124,6 +126,33 @@ def turns(rng, n, size):
     return np.concatenate([I.quaternion_matrices(q).reshape(n, 9), rng.normal(0, 0.1, (n, 3))], axis=1)
 
 
+def test_many_small_clips_are_scored_together(monkeypatch):
+    rng = np.random.default_rng(15)
+    maps, preds = rng.uniform(2, 6, (400, 8, 8)), rng.uniform(2, 6, (400, 8, 8))
+    sizes = [12, 1, 7, 12, 2, *[12] * 30, 6]
+    maps[15], preds[40, 2, 3] = np.nan, np.inf
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    assert len(group) == 400
+    lists = lambda m: pa.array(m.reshape(400, 64).tolist(), pa.list_(pa.float64()))
+    solve, calls = np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda *args: calls.append(1) or solve(*args))
+    got = Q._flow_scores(pa.table({"clip": group + 100, "frame": np.arange(400), "truth": lists(maps), "pred": lists(preds)}), group)
+    assert len(calls) <= 18  # three rounds of three flows for each of two blocks of pairs, not for each pair
+    assert got.column("clip").to_pylist() == list(range(100, 100 + len(sizes)))
+    for clip, (opw, tmc) in enumerate(zip(got.column("opw").to_pylist(), got.column("tmc").to_pylist())):
+        truth, pred = maps[group == clip], preds[group == clip]
+        flows = np.array([L.dense_flow(b, a, window=5) for a, b in zip(truth, truth[1:])]).reshape(-1, 8, 8, 2)
+        errors = [slow_warp(pred[t], pred[t + 1], flows[t]) for t in range(len(truth) - 1) if np.isfinite(flows[t]).all() and np.isfinite(pred[t : t + 2]).all()]
+        if np.isfinite(pred).all():
+            assert opw == (pytest.approx(np.mean(errors)) if errors else None)
+        size = lambda m, t: np.linalg.norm(L.dense_flow(*L._scaled(m[t : t + 2])), axis=-1)
+        alike = [I.structure(size(pred, t), size(truth, t)) for t in range(len(truth) - 1)]
+        alike = [x for x in alike if np.isfinite(x)]
+        assert tmc == (pytest.approx(np.mean(alike)) if alike else None)
+    nothing = pa.table({"clip": [1, 1], "frame": [0, 1], "truth": pa.array([None, None], pa.list_(pa.float64())), "pred": lists(preds)[:2]})
+    assert Q._flow_scores(nothing, np.zeros(2, int)).to_pylist() == [{"clip": 1, "opw": None, "tmc": None}]
+
+
 def slow_products(motions):
     out, now = [], np.eye(4)
     for m in motions:
