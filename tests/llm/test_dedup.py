@@ -192,6 +192,39 @@ def test_near_copies_do_not_depend_on_the_number_of_texts(spark):
     assert {i: among[i] for i in alone} == alone and sum(alone[i + 1] == i for i in range(0, 300, 2)) > 140
 
 
+def test_near_copies_lose_no_link(spark):
+    """Short texts that differ in one of nine shingles (similarity 0.8) and, by chance, in more bits than the first step looks for."""
+    rng = random.Random(22)
+    far, far_wide, rows = [], [], []
+    while len(far) < 6 or len(far_wide) < 6:
+        words = prose(rng, 13, 10**6).split()
+        a, b = " ".join(words), " ".join([*words[:-1], "new"])
+        (x, x2, _), (y, y2, _) = near_copies.wide_fingerprint(a), near_copies.wide_fingerprint(b)
+        bits, more = ((p ^ q) & (2**64 - 1) for p, q in ((x, y), (x2, y2)))
+        if bits.bit_count() > near_copies.MAX_BITS:
+            far.append((a, b))
+        elif bits.bit_count() + more.bit_count() > near_copies.MAX_WIDE:
+            far_wide.append((a, b))
+    for a, b in far + far_wide:
+        rows += [(len(rows), a), (len(rows) + 1, b), (len(rows) + 2, f"{a} and this is longer")]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows)).collect()}
+    assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == sorted(set(got.values()))
+
+
+def test_rarest_shingles_of_near_copies_meet():
+    rng = np.random.default_rng(23)
+    common = rng.integers(0, 3, near_copies.SLOTS).astype(np.uint32)
+    for n in [1, 4, 5, 9, 10, 45, 300] * 20:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        change = rng.integers(0, n // 9 + 1)
+        b = np.unique(np.concatenate([a[rng.permutation(n)[change:]], rng.integers(0, 2**63, change).astype(np.uint64)]))
+        assert near_copies.alike(a, b) and np.isin(near_copies.rarest(a, common), near_copies.rarest(b, common)).any()
+        x, y = (np.frombuffer(near_copies.bucket_counts(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-6
+    assert (near_copies.rarest(a[:0], common) == [0]).all()
+
+
 def test_texts_agree_in_bands_as_their_similarity_says():
     rng = random.Random(21)
     agree = []
